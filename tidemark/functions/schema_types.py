@@ -124,6 +124,19 @@ def conflicts(table: T.StructType, found: T.StructType) -> list[str]:
     return out
 
 
+def clashes(known: T.StructType, found: T.StructType) -> list[str]:
+    """Columns whose two types have no common type but text."""
+    have = {f.name: f.dataType for f in known.fields}
+    out = []
+    for f in found.fields:
+        t = have.get(f.name)
+        if t is None or fits(f.dataType, t):
+            continue
+        if isinstance(common_type(t, f.dataType, "widen"), T.StringType):
+            out.append(f"{f.name}: {f.dataType.simpleString()} does not fit {t.simpleString()}")
+    return out
+
+
 def from_variant_schema(text: str) -> T.StructType | None:
     """Spark type of a ``schema_of_variant_agg`` result; None when the records are not objects."""
     while text.startswith("ARRAY<") and text.endswith(">"):

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.expressions import BYTES_PER_GB, as_column, minus
-from tidemark.model import PERMANENTLY_SKIPPED, PROCESSING, SUCCESS
-from tidemark.operators.ledger import processed_paths
+from tidemark.model import PERMANENTLY_SKIPPED, PROCESSING, SKIPPED, SUCCESS
 from tidemark.sources.manifest import modified_between
 
 NEW, RETRY, CHANGED, UNCHANGED, IN_PROGRESS = "NEW", "RETRY", "CHANGED", "UNCHANGED", "IN_PROGRESS"
@@ -16,9 +15,10 @@ def _files(manifest: DataFrame) -> DataFrame:
     return manifest.withColumnRenamed("path", "file_path")
 
 
-def new_files(manifest: DataFrame, state: DataFrame) -> DataFrame:
+def new_files(manifest: DataFrame, state: DataFrame, statuses: tuple[str, ...] = (SUCCESS, SKIPPED)) -> DataFrame:
     """Manifest rows whose path the ledger does not hold as done."""
-    done = processed_paths(state).withColumnRenamed("file_path", "path")
+    # The current state holds a path once, so no distinct (and no shuffle for it) is needed here.
+    done = state.filter(F.col("status").isin(*statuses)).select("ingestion_id", F.col("file_path").alias("path"))
     keys = ["ingestion_id", "path"] if "ingestion_id" in manifest.columns else ["path"]
     return manifest.join(done, keys, "left_anti")
 
@@ -43,7 +43,8 @@ def classify(manifest: DataFrame, state: DataFrame) -> DataFrame:
     changed = file_changed(F.col("etag"), F.col("_etag"), F.col("modified_at"), F.col("_modified"))
     action = (
         F.when(F.col("_status").isNull(), NEW)
-        .when(F.col("_status").isin(PROCESSING, PERMANENTLY_SKIPPED), F.when(F.col("_status") == PROCESSING, IN_PROGRESS).otherwise(UNCHANGED))
+        .when(F.col("_status") == PROCESSING, IN_PROGRESS)
+        .when(F.col("_status") == PERMANENTLY_SKIPPED, UNCHANGED)
         .when(F.col("_status") == SUCCESS, F.when(changed, CHANGED).otherwise(UNCHANGED))
         .otherwise(RETRY)
     )
@@ -66,15 +67,11 @@ def classify(manifest: DataFrame, state: DataFrame) -> DataFrame:
 def plan(manifest: DataFrame, state: DataFrame, mode: str = "changed") -> DataFrame:
     """Files to process. ``path`` drops every path already SUCCESS or SKIPPED; ``changed`` takes changed ones too."""
     sorted_out = classify(manifest, state)
-    if mode == "path":
-        takes = F.col("action").isin(NEW, RETRY) & ~F.coalesce(F.col("previous_status") == "SKIPPED", F.lit(False))
-    elif mode == "changed":
-        takes = F.col("action").isin(NEW, RETRY, CHANGED) & ~F.coalesce(
-            F.col("previous_status") == "SKIPPED", F.lit(False)
-        )
-    else:
+    actions = {"path": (NEW, RETRY), "changed": (NEW, RETRY, CHANGED)}
+    if mode not in actions:
         raise ValueError(f"unknown plan mode {mode!r}")
-    return sorted_out.filter(takes)
+    skipped_before = F.coalesce(F.col("previous_status") == SKIPPED, F.lit(False))
+    return sorted_out.filter(F.col("action").isin(*actions[mode]) & ~skipped_before)
 
 
 def prefilter(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from tidemark.functions.schema_types import common_type, from_variant_schema, merge
+from tidemark.functions.schema_types import from_variant_schema, merge
 from tidemark.model import SOURCE_FILE
 from tidemark.sources.paths import canonical, escape_glob
 from tidemark.sources.readers import reader_options
@@ -110,7 +110,3 @@ def common_schema(schemas: list[T.StructType]) -> T.StructType:
     return out
 
 
-__all__ = [
-    "read_lines", "json_file_schemas", "schema_groups", "merge_variant_schemas", "csv_headers",
-    "column_types", "inconsistent_columns", "common_schema", "common_type",
-]
