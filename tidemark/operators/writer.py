@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from tidemark.functions.schema_types import new_columns
 from tidemark.model import CORRUPT, PART, RUN_ID, RUN_PARTIAL, RUN_SUCCESS, SERVICE_COLUMNS, SOURCE_FILE
+from tidemark.workspace import delete_path
 
 
 def quote(name: str) -> str:
@@ -74,8 +75,12 @@ def overwrite_partitions(df: DataFrame, table: str) -> None:
 
 
 def drop_run(spark: SparkSession, table: str, run_id: str, part: int | None = None) -> None:
+    """Drops partitions of a run that must not be seen, with their files: external tables keep those."""
     spec = f"{RUN_ID} = '{run_id}'" + ("" if part is None else f", {PART} = {part}")
+    if spark.sql(f"SHOW PARTITIONS {table} PARTITION ({spec})").isEmpty():
+        return
     spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({spec})")
+    delete_path(spark, f"{table_location(spark, table)}/{RUN_ID}={run_id}" + ("" if part is None else f"/{PART}={part}"))
 
 
 def write_part(

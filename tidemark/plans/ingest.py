@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import time
 import uuid
 from dataclasses import dataclass
@@ -52,6 +53,8 @@ def run_ingestion(
     """Processes the files of ``config`` that need it. ``run_id`` of a lost run replays that run."""
     started = as_of or datetime.now(timezone.utc)
     run_id = run_id or uuid.uuid4().hex
+    if not re.fullmatch(r"[A-Za-z0-9_.-]+", run_id):
+        raise ValueError(f"run id {run_id!r} cannot name a partition")
     clock = time.monotonic()
     try:
         result = _Run(spark, config, store, run_id, started, trigger).execute(manifest)
@@ -390,8 +393,6 @@ def run_metrics(events: DataFrame, *by: str) -> DataFrame:
 
 def unreadable_path(e: Exception) -> str | None:
     """Path named by Spark's unreadable-file error."""
-    import re
-
     found = re.search(r"while reading file ([^\s]+?)\.? ", str(e)) or re.search(r"(file:/[^\s]+?)\.?[\s,]", str(e))
     return re.sub(r"^file:/+", "file:/", found.group(1)) if found else None
 
