@@ -299,8 +299,8 @@ def _(c):
 def _impact_sql(files: str, skipped: str, present: str) -> str:
     return f"""
 SELECT s.ingestion_id, coalesce(n, 0) AS files_to_process, {skipped} AS files_skipped, {present} AS files_skipped_present,
-  round(coalesce(b, 0) / 1073741824.0, 2) AS estimated_data_size_gb,
-  round(coalesce(b, 0) / 1073741824.0 * 0.25, 2) AS estimated_cost_usd,
+  round_even(coalesce(b, 0) / 1073741824.0, 2) AS estimated_data_size_gb,
+  round_even(coalesce(b, 0) / 1073741824.0 * 0.25, 2) AS estimated_cost_usd,
   CASE WHEN n IS NULL THEN 0 ELSE greatest(5, 2 * n) END AS estimated_duration_minutes, oldest_file_date, newest_file_date
 FROM sources s LEFT JOIN (SELECT ingestion_id, count(*) AS n, CAST(sum(size_bytes) AS bigint) AS b,
     min(modified_at) AS oldest_file_date, max(modified_at) AS newest_file_date FROM {files} GROUP BY 1) f
@@ -331,7 +331,7 @@ def _(c):
 def _fallback_sql(n: str, skipped: str) -> str:
     return f"""
 SELECT ingestion_id, CAST(n AS bigint) AS files_to_process, CAST({skipped} AS bigint) AS files_skipped,
-  round(n * 0.5, 2) AS estimated_data_size_gb, round(n * 0.5 * 0.25, 2) AS estimated_cost_usd,
+  round_even((n * 0.5)::double, 2) AS estimated_data_size_gb, round_even((n * 0.5 * 0.25)::double, 2) AS estimated_cost_usd,
   CAST(greatest(5, n * 2) AS bigint) AS estimated_duration_minutes,
   'Using estimated values - file discovery unavailable' AS warning
 FROM (SELECT ingestion_id, d, {n} AS n FROM (SELECT s.ingestion_id, {DONE} AS d FROM sources s) a) b"""
@@ -386,15 +386,14 @@ def _(c):
 RUNS_MONTH = "CASE frequency WHEN 'hourly' THEN 720 WHEN 'daily' THEN 30 WHEN 'weekly' THEN 4 WHEN 'monthly' THEN 1 ELSE 30 END"
 
 
-# Listing cost falls on exact halves of the last digit; the decimal product rounds them half up.
 @query("k1_monthly_cost", f"""
 , t AS (SELECT i.ingestion_id, {RUNS_MONTH} AS runs, coalesce(n, 0) AS n, coalesce(b, 0) / 1073741824.0 AS gb,
     CASE WHEN format IN ('json', 'csv') THEN 1.0::double ELSE 0.5::double END AS f FROM ingestions i LEFT JOIN (
     SELECT ingestion_id, count(*) AS n, CAST(sum(file_size_bytes) AS bigint) AS b FROM state GROUP BY 1) s ON s.ingestion_id = i.ingestion_id)
-SELECT ingestion_id, CAST(runs AS int) AS runs_per_month, round(gb, 2) AS total_gb, round(gb * f, 2) AS duration_minutes,
-  round(gb * f / 60.0 * 64 * 0.4::double, 2) AS compute_per_run, round(gb * f / 60.0 * 64 * 0.4::double * runs, 2) AS compute_monthly,
-  round(gb * runs * 0.023::double, 2) AS storage_monthly, CAST(round(CAST(n * runs AS decimal(18,0)) * 0.000005, 4) AS double) AS discovery_monthly,
-  round(gb * f / 60.0 * 64 * 0.4::double * runs + gb * runs * 0.023::double + n::double * runs / 1000.0 * 0.005::double, 2) AS total_monthly
+SELECT ingestion_id, CAST(runs AS int) AS runs_per_month, round_even(gb, 2) AS total_gb, round_even(gb * f, 2) AS duration_minutes,
+  round_even(gb * f / 60.0 * 64 * 0.4::double, 2) AS compute_per_run, round_even(gb * f / 60.0 * 64 * 0.4::double * runs, 2) AS compute_monthly,
+  round_even(gb * runs * 0.023::double, 2) AS storage_monthly, round_even(n::double * runs / 1000.0 * 0.005::double, 4) AS discovery_monthly,
+  round_even(gb * f / 60.0 * 64 * 0.4::double * runs + gb * runs * 0.023::double + n::double * runs / 1000.0 * 0.005::double, 2) AS total_monthly
 FROM t""", ("state", "ingestions"))
 def _(c):
     files = c.state.select("ingestion_id", F.col("file_path").alias("path"), F.col("file_size_bytes").alias("size_bytes"),

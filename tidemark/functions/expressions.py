@@ -37,6 +37,12 @@ def gigabytes(size: Column) -> Column:
     return size / F.lit(float(BYTES_PER_GB))
 
 
+def round_half_even(value: Column, digits: int) -> Column:
+    """Rounds amounts as Python's ``round`` does: exact halves go to the even digit."""
+    scale = float(10**digits)
+    return F.rint(value.cast("double") * scale) / scale
+
+
 def glob_to_regex(pattern: str) -> str:
     """Anchored regular expression of a path glob: ``*`` and ``?`` stop at ``/``, ``**`` does not."""
     token = re.compile(r"\*\*/|\*\*|\*|\?|\[!?[^\]]*\]|\{[^}]*\}|.", re.S)

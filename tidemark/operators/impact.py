@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.functions.expressions import gigabytes, runs_per_month
+from tidemark.functions.expressions import gigabytes, round_half_even, runs_per_month
 from tidemark.operators.planning import new_files
 
 # Price per GB, minutes per file, least minutes, GB assumed per unseen file.
@@ -21,8 +21,8 @@ DBU_HOUR, STORAGE_GB, LIST_PER_1000, CLUSTER_DBUS = 0.40, 0.023, 0.005, 64
 
 def _estimate(files: Column, gb: Column) -> dict[str, Column]:
     return {
-        "estimated_data_size_gb": F.round(gb, 2),
-        "estimated_cost_usd": F.round(gb * COST_PER_GB, 2),
+        "estimated_data_size_gb": round_half_even(gb, 2),
+        "estimated_cost_usd": round_half_even(gb * COST_PER_GB, 2),
         "estimated_duration_minutes": F.when(files == 0, F.lit(0)).otherwise(
             F.greatest(F.lit(MIN_MINUTES), files * MINUTES_PER_FILE)
         ).cast("bigint"),
@@ -146,13 +146,13 @@ def monthly_cost(configs: DataFrame, stats: DataFrame) -> DataFrame:
     return joined.select(
         "ingestion_id",
         runs.alias("runs_per_month"),
-        F.round(gb, 2).alias("total_gb"),
-        F.round(minutes, 2).alias("duration_minutes"),
-        F.round(per_run, 2).alias("compute_per_run"),
-        F.round(compute, 2).alias("compute_monthly"),
-        F.round(storage, 2).alias("storage_monthly"),
-        F.round(discovery, 4).alias("discovery_monthly"),
-        F.round(compute + storage + discovery, 2).alias("total_monthly"),
+        round_half_even(gb, 2).alias("total_gb"),
+        round_half_even(minutes, 2).alias("duration_minutes"),
+        round_half_even(per_run, 2).alias("compute_per_run"),
+        round_half_even(compute, 2).alias("compute_monthly"),
+        round_half_even(storage, 2).alias("storage_monthly"),
+        round_half_even(discovery, 4).alias("discovery_monthly"),
+        round_half_even(compute + storage + discovery, 2).alias("total_monthly"),
     )
 
 
@@ -164,5 +164,5 @@ def extrapolated_minutes(manifest: DataFrame, sample: DataFrame, sample_seconds:
     return whole.crossJoin(part).select(
         "total_bytes",
         "sample_bytes",
-        F.round(F.col("total_bytes") / F.col("sample_bytes") * F.lit(sample_seconds) / 60.0, 6).alias("estimated_minutes"),
+        round_half_even(F.col("total_bytes") / F.col("sample_bytes") * F.lit(sample_seconds) / 60.0, 6).alias("estimated_minutes"),
     )
