@@ -126,9 +126,9 @@ def _(c):
 @query("h12_find_file", """
 SELECT ingestion_id, file_path, status, error_type, error_message, retry_count, processing_started_at, processed_at,
   processing_duration_ms / 1000.0 AS duration_seconds, records_ingested, bytes_read
-FROM state WHERE file_path = 's3a://landing/ing5/part_7.json'""", S)
+FROM state WHERE file_path = 's3a://landing/ing79/part_1616.json'""", S)
 def _(c):
-    return A.find_file(c.state, "s3a://landing/ing5/part_7.json")
+    return A.find_file(c.state, "s3a://landing/ing79/part_1616.json")
 
 
 @query("h12_failures", f"""
@@ -240,9 +240,9 @@ def _(c):
 @query("q5_arrival_gaps", """
 SELECT * FROM (SELECT ingestion_id, day, previous_day, CAST(date_diff('day', previous_day, day) AS int) AS gap_days FROM (
   SELECT ingestion_id, day, lag(day) OVER (PARTITION BY ingestion_id ORDER BY day) AS previous_day FROM (
-    SELECT DISTINCT ingestion_id, CAST(modified_at AS date) AS day FROM manifest) a) b) d WHERE gap_days > 2""", ("manifest",))
+    SELECT DISTINCT ingestion_id, CAST(discovered_at AS date) AS day FROM state) a) b) d WHERE gap_days > 10""", S)
 def _(c):
-    return Q.arrival_gaps(c.manifest)
+    return Q.arrival_gaps(c.state, 10, "discovered_at")
 
 
 @query("q6_size_spikes", """
@@ -376,11 +376,11 @@ def _(c):
     return R.full_impact(M.modified_between(_scaled(c), "2024-01-05 00:00:00", "2024-01-20 00:00:00"), c.sources)
 
 
-@query("r11_conditional_refresh", "SELECT ingestion_id, count(*) AS files_to_process FROM manifest GROUP BY 1 HAVING count(*) > 50",
+@query("r11_conditional_refresh", "SELECT ingestion_id, count(*) AS files_to_process FROM manifest GROUP BY 1 HAVING count(*) > 45",
        ("manifest",))
 def _(c):
     impact = R.full_impact(c.manifest, c.sources)
-    return R.refresh_if(impact, "files_to_process > 50").select("ingestion_id", "files_to_process")
+    return R.refresh_if(impact, "files_to_process > 45").select("ingestion_id", "files_to_process")
 
 
 RUNS_MONTH = "CASE frequency WHEN 'hourly' THEN 720 WHEN 'daily' THEN 30 WHEN 'weekly' THEN 4 WHEN 'monthly' THEN 1 ELSE 30 END"

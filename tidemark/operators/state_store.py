@@ -46,13 +46,21 @@ class StateStore:
         columns = [f.name for f in self._stored(self.TABLES[table]).fields]
         rows.select(*columns).write.mode("overwrite").parquet(f"{self.root}/{table}/run_id={run_id}/phase={phase}")
 
-    def read(self, table: str) -> DataFrame:
+    def read(self, table: str, phase: str | None = None) -> DataFrame:
+        """All rows, or those of one phase: its folder alone is read, so the others may be replaced meanwhile."""
         schema = self.TABLES[table]
         with_phase = T.StructType([*self._stored(schema).fields, T.StructField("run_id", T.StringType()),
                                    T.StructField("phase", T.StringType())])
         found = self.spark.read.schema(with_phase).parquet(f"{self.root}/{table}")
+        if phase is not None:
+            found = found.filter(F.col("phase") == phase)
         return found.select(*[f.name for f in schema.fields])
 
+    def planned(self, ingestion_id: str, run_id: str) -> DataFrame:
+        """The files a run has fixed for itself."""
+        rows = self.read("ledger", "plan")
+        return rows.filter((F.col("ingestion_id") == ingestion_id) & (F.col("run_id") == run_id))
+
     def events(self, ingestion_id: str | None = None, run_id: str | None = None) -> DataFrame:
         out = self.read("ledger")
         if ingestion_id is not None:

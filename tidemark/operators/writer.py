@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from tidemark.functions.schema_types import new_columns
 from tidemark.model import CORRUPT, PART, RUN_ID, RUN_PARTIAL, RUN_SUCCESS, SERVICE_COLUMNS, SOURCE_FILE
-from tidemark.workspace import delete_path
+from tidemark.workspace import delete_path, materialize
 
 
 def quote(name: str) -> str:
@@ -97,7 +97,8 @@ def write_part(
         PART: F.when(F.col(CORRUPT).isNull(), F.lit(part)).otherwise(F.lit(-1 - part)),
     })
     if cluster_columns:
-        out = cluster(out, cluster_columns)
+        # Stored once, so the raw files are not parsed again for quantiles and range bounds.
+        out = cluster(materialize(out, "clustering"), cluster_columns)
     elif partition_columns:
         # Rebalancing splits a value that holds most rows over many writers.
         out = out.hint("rebalance", *partition_columns)
@@ -177,37 +178,46 @@ def z_value(buckets: list[str], bits: int = 8) -> Column:
     return z
 
 
+def _ordinal(df: DataFrame, column: str) -> Column:
+    """A number in the order of the column: times as seconds, text by its first six bytes."""
+    kind, c = df.schema[column].dataType, F.col(quote(column))
+    if isinstance(kind, T.NumericType):
+        return c.cast("double")
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(c.cast("timestamp")).cast("double")
+    head = F.rpad(F.coalesce(c.cast("string"), F.lit("")), 6, " ").cast("binary")
+    return F.conv(F.hex(F.substring(head, 1, 6)), 16, 10).cast("double")
+
+
+def _bucket(at: Column, edges: list[float], steps: int) -> Column:
+    """Bucket number: the quantile range by comparisons, then equal steps within it. Stays in generated code."""
+    inner = edges[1:-1]
+    q = F.lit(0)
+    low, high = F.lit(edges[0]), F.lit(edges[1])
+    for i, e in enumerate(inner):
+        q = q + (at >= e).cast("int")
+        low = F.when(at >= e, F.lit(e)).otherwise(low)
+        high = F.when(at >= e, F.lit(edges[i + 2])).otherwise(high)
+    within = F.floor(F.try_divide(at - low, high - low) * steps)
+    step = F.greatest(F.lit(0), F.least(F.lit(steps - 1), F.coalesce(within, F.lit(0))))
+    return F.coalesce(q * steps + step, F.lit(0)).cast("int")
+
+
 def cluster(df: DataFrame, columns: tuple[str, ...], partitions: int | None = None) -> DataFrame:
     """Rows laid out along a z-order curve, so files cover small ranges of every column.
 
-    Buckets per column come from approximate quantiles; range partitioning on the curve then splits
-    hot values over several files.
+    Costs a pass for quantiles and one for range bounds over ``df``; hand it stored rows, not a raw scan.
     """
-    cuts = 255
-    shares = [i / (cuts + 1) for i in range(1, cuts + 1)]
-    numeric = {f.name: isinstance(f.dataType, T.NumericType) for f in df.schema.fields}
-
-    def order(c: str):
-        if numeric[c]:
-            return F.col(quote(c)).cast("double")
-        if df.schema[c].dataType.simpleString() in ("timestamp", "date", "timestamp_ntz"):
-            return F.col(quote(c)).cast("timestamp").cast("double")
-        # Leading bytes of text as a number keep its order.
-        return F.conv(F.hex(F.rpad(F.coalesce(F.col(quote(c)), F.lit("")), 6, " ").cast("binary").substr(1, 6)), 16, 10).cast("double")
-
-    edges = df.select(*[
-        F.percentile_approx(order(c), F.array(*[F.lit(s) for s in shares]), 10_000).alias(f"_e{i}")
-        for i, c in enumerate(columns)
-    ])
-    # One row of at most 255 numbers per column.
-    placed = df.crossJoin(F.broadcast(edges))
-
-    def bucket(i: int, c: str) -> Column:
-        at = order(c)
-        return F.coalesce(F.size(F.filter(F.col(f"_e{i}"), lambda edge: edge < at)), F.lit(0))
-
-    placed = placed.withColumns({f"_z{i}": bucket(i, c) for i, c in enumerate(columns)})
-    placed = placed.withColumn("_z", z_value([f"_z{i}" for i in range(len(columns))]))
+    ranges, steps = 16, 16
+    shares = F.array(*[F.lit(i / ranges) for i in range(ranges + 1)])
+    row = df.select(*[F.percentile_approx(_ordinal(df, c), shares, 1000) for c in columns]).first()
+    if row[0] is None:
+        return df
+    buckets = {
+        f"_z{i}": _bucket(_ordinal(df, c), row[i], steps) if row[i] else F.lit(0) for i, c in enumerate(columns)
+    }
+    placed = df.withColumns(buckets)
+    placed = placed.withColumn("_z", z_value(list(buckets)))
     key = [F.col("_z"), *[F.col(quote(c)) for c in columns]]
     # The last range key splits a value that many rows share.
     salted = [*key, F.rand(7)]

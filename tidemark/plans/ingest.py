@@ -93,7 +93,7 @@ class _Run:
     def fix_plan(self, manifest: DataFrame | None) -> DataFrame:
         """Plans once and stores it: later steps and a replay see the same files whatever lands meanwhile."""
         config, store = self.config, self.store
-        mine = store.events(config.ingestion_id, self.run_id).filter(F.col("seq") == 0)
+        mine = store.planned(config.ingestion_id, self.run_id)
         if not mine.isEmpty():
             return mine
         if manifest is None:
@@ -124,7 +124,7 @@ class _Run:
             at.alias("event_time"), F.lit(0).alias("seq"),
         )
         store.append("ledger", rows, self.run_id, "plan")
-        return store.events(config.ingestion_id, self.run_id).filter(F.col("seq") == 0)
+        return store.planned(config.ingestion_id, self.run_id)
 
     def load_part(self, files: DataFrame, k: int, scans: int) -> None:
         config = self.config
