@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from datetime import date, datetime
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 BYTES_PER_GB = 1024**3
 
@@ -37,6 +37,12 @@ def gigabytes(size: Column) -> Column:
     return size / F.lit(float(BYTES_PER_GB))
 
 
+def first_per_key(rows: DataFrame, keys, order) -> DataFrame:
+    """The row of each key that is greatest in ``order``."""
+    w = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
+    return rows.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") == 1).drop("_rank")
+
+
 def round_half_even(value: Column, digits: int) -> Column:
     """Rounds amounts as Python's ``round`` does: exact halves go to the even digit."""
     scale = float(10**digits)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.functions.expressions import as_column, error_class, minus
+from tidemark.functions.expressions import as_column, error_class, first_per_key, minus
 from tidemark.model import (
     CLEARED, FAILED, LEDGER_SCHEMA, PENDING, PERMANENTLY_SKIPPED, PROCESSING, SCHEMA_ERROR, SKIPPED, SUCCESS,
 )
@@ -13,13 +13,13 @@ KEY = ("ingestion_id", "file_path")
 
 
 def current_state(events: DataFrame, keys: tuple[str, ...] = KEY, order: tuple[str, ...] = ("event_time", "seq")) -> DataFrame:
-    """Latest event per file. An aggregate, so events collapse before the shuffle and no key is sorted."""
-    rest = [c for c in events.columns if c not in keys]
-    latest = events.groupBy(*keys).agg(
-        F.max_by(F.struct(*rest), F.struct(*order)).alias("_last")
-    )
-    out = latest.select(*keys, "_last.*").select(*events.columns)
-    return out.filter(F.col("status") != CLEARED)
+    """Latest event per file.
+
+    Spark keeps one row per file and task before the shuffle (the rank filter becomes a group limit), so a
+    file with very many events is no burden, and columns the caller drops are never shuffled.
+    """
+    latest = first_per_key(events, keys, order)
+    return latest.filter(F.col("status") != CLEARED)
 
 
 def processed_paths(state: DataFrame, statuses: tuple[str, ...] = (SUCCESS, SKIPPED)) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tidemark.model import LEDGER_SCHEMA, RUN_SCHEMA, SCHEMA_FILE_SCHEMA, SCHEMA_VERSION_SCHEMA
 from tidemark.operators.ledger import current_state
+from tidemark.workspace import make_folder, path_exists
 
 
 class StateStore:
@@ -24,19 +25,8 @@ class StateStore:
         self.spark = spark
         self.root = root.rstrip("/")
         # A table exists as an empty folder from the start, so readers need no special first case.
-        for name, schema in self.TABLES.items():
-            if not self._present(f"{self.root}/{name}"):
-                empty = spark.createDataFrame([], self._stored(schema))
-                empty.write.mode("ignore").parquet(f"{self.root}/{name}/run_id=_/phase=_")
-
-    def _present(self, path: str) -> bool:
-        try:
-            self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).schema
-            return True
-        except Exception as e:
-            if "PATH_NOT_FOUND" in str(e):
-                return False
-            raise
+        for name in self.TABLES:
+            make_folder(spark, f"{self.root}/{name}")
 
     @staticmethod
     def _stored(schema: T.StructType) -> T.StructType:
@@ -56,6 +46,9 @@ class StateStore:
             found = found.filter(F.col("phase") == phase)
         return found.select(*[f.name for f in schema.fields])
 
+    def has_plan(self, run_id: str) -> bool:
+        return path_exists(self.spark, f"{self.root}/ledger/run_id={run_id}/phase=plan/_SUCCESS")
+
     def planned(self, ingestion_id: str, run_id: str) -> DataFrame:
         """The files a run has fixed for itself."""
         rows = self.read("ledger", "plan")

@@ -6,16 +6,13 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
+from tidemark.functions.expressions import first_per_key
 
-def dedupe(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Latest row per key, ties broken by the whole row.
 
-    Aggregates before the shuffle, so a key with very many copies costs one row per task.
-    """
-    rest = [c for c in df.columns if c not in keys]
-    tie = [c for c in rest if c not in order]
-    best = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order, *tie)).alias("_row"))
-    return best.select(*keys, "_row.*").select(*df.columns)
+def dedupe(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Latest row per key, ties broken by the whole row; one row per key and task reaches the shuffle."""
+    tie = [c for c in df.columns if c not in keys and c not in order]
+    return first_per_key(df, keys, [*order, *tie])
 
 
 def merge_rows(target: DataFrame, source: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

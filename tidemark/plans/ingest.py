@@ -23,7 +23,8 @@ from tidemark.operators.schema_infer import json_file_schemas, read_lines
 from tidemark.operators.state_store import StateStore
 from tidemark.operators.upsert import merge_rows, swap_snapshot
 from tidemark.sources import manifest as manifests
-from tidemark.sources.readers import scan, scan_permissive
+from tidemark.sources.listing import check_markers
+from tidemark.sources.readers import listing_tasks, scan, scan_permissive
 
 VERDICT_SCHEMA = f"{SOURCE_FILE} string, verdict string, error_type string, message string"
 
@@ -57,7 +58,8 @@ def run_ingestion(
         raise ValueError(f"run id {run_id!r} cannot name a partition")
     clock = time.monotonic()
     try:
-        result = _Run(spark, config, store, run_id, started, trigger).execute(manifest)
+        with listing_tasks(spark):
+            result = _Run(spark, config, store, run_id, started, trigger).execute(manifest)
     except Exception as e:
         ended = started + timedelta(seconds=time.monotonic() - clock)
         _write_run(spark, store, config, run_id, started, ended, trigger, RUN_FAILED,
@@ -93,9 +95,8 @@ class _Run:
     def fix_plan(self, manifest: DataFrame | None) -> DataFrame:
         """Plans once and stores it: later steps and a replay see the same files whatever lands meanwhile."""
         config, store = self.config, self.store
-        mine = store.planned(config.ingestion_id, self.run_id)
-        if not mine.isEmpty():
-            return mine
+        if store.has_plan(self.run_id):
+            return store.planned(config.ingestion_id, self.run_id)
         if manifest is None:
             manifest = manifests.discover(
                 self.spark, config.source_path, pattern=config.file_pattern, match=config.match,
@@ -250,12 +251,13 @@ class _Run:
             return T.StructType([have.get(f.name.lower(), f) for f in found.fields])
         return T.StructType([f for f in table.fields if f.name.lower() in names])
 
+    def latest_version(self) -> int | None:
+        mine = self.store.read("schema_versions").filter(F.col("ingestion_id") == self.config.ingestion_id)
+        return mine.agg(F.max("version")).first()[0]
+
     def record_version(self, added, schema: T.StructType, resolution: str, before=None) -> None:
         config = self.config
-        top = self.store.read("schema_versions").filter(F.col("ingestion_id") == config.ingestion_id).agg(
-            F.max("version")
-        ).first()[0]
-        version = (top or 0) + 1
+        version = (self.latest_version() or 0) + 1
         summary = "; ".join(f"{c.change_type} {c.column_name}" for c in diff(before or T.StructType([]), schema))
         now = self.now()
         row = (config.ingestion_id, version, now, schema.json(), resolution, now, summary, self.run_id)
@@ -315,7 +317,7 @@ class _Run:
         """Files that lack the format's leading and trailing marker, found in one job over file ends."""
         marker = {"parquet": (b"PAR1", b"PAR1"), "orc": (b"ORC", b"")}[self.config.format]
         found = self.spark.createDataFrame([(p,) for p in paths], "path string").mapInPandas(
-            lambda batches: _check_markers(batches, marker), "path string"
+            check_markers(*marker), "path string"
         )
         return {r[0]: "file markers are missing" for r in found.collect()}
 
@@ -331,8 +333,7 @@ class _Run:
             inflight.join(verdicts.withColumnsRenamed({SOURCE_FILE: "file_path", "error_type": "found_type"}), "file_path", "left")
             .join(counts.withColumnRenamed(SOURCE_FILE, "file_path"), "file_path", "left")
         )
-        versions = store.read("schema_versions").filter(F.col("ingestion_id") == config.ingestion_id)
-        version = versions.agg(F.max("version")).first()[0]
+        version = self.new_version or self.latest_version()
         events = finished_events(
             judged.withColumn("schema_version", F.lit(version).cast("int")),
             F.lit(self.now()),
@@ -360,7 +361,7 @@ class _Run:
         status = run_status(success, failed)
         errors = [
             (r.file_path, r.error_type, r.error_message, r.processed_at)
-            for r in done.filter(F.col("status") == FAILED).orderBy("file_path").limit(100).collect()
+            for r in (done.filter(F.col("status") == FAILED).orderBy("file_path").limit(100).collect() if failed else [])
         ]
         _write_run(spark, store, config, self.run_id, self.started, self.now(), self.trigger, status,
                    success, failed, skipped, records, bytes_read, written, errors)
@@ -397,23 +398,6 @@ def unreadable_path(e: Exception) -> str | None:
     return re.sub(r"^file:/+", "file:/", found.group(1)) if found else None
 
 
-def _check_markers(batches, marker):
-    from tidemark.sources.listing import _open
-
-    head, tail = marker
-    for batch in batches:
-        bad = []
-        for path in batch["path"]:
-            system, inner, _ = _open(path)
-            with system.open_input_file(inner) as f:
-                size = f.size()
-                start = f.read_at(min(size, len(head)), 0)
-                end = f.read_at(min(size, len(tail)), max(0, size - len(tail)))
-            if start != head or end != tail:
-                bad.append(path)
-        yield batch[batch["path"].isin(bad)]
-
-
 def _write_run(spark, store, config, run_id, started, ended, trigger, status, success=0, failed=0, skipped=0,
                records=0, bytes_read=0, written=0, errors=None) -> None:
     row = (config.ingestion_id, started, ended, status, trigger, success + failed, failed, skipped, records,

@@ -6,13 +6,19 @@ empty files and lists one directory subtree per task.
 
 from __future__ import annotations
 
+import sys
 from datetime import datetime, timezone
 
+from pyspark import cloudpickle
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tidemark.model import MANIFEST_SCHEMA
 
 
+# Workers get this module's code with the task, so they need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 class Subtree(InputPartition):
     def __init__(self, uri: str, recursive: bool):
         self.uri = uri
@@ -81,3 +87,22 @@ class ListingSource(DataSource):
 
 def register(spark) -> None:
     spark.dataSource.register(ListingSource)
+
+
+def check_markers(head: bytes, tail: bytes):
+    """Function for ``mapInPandas``: paths whose file does not start and end with the markers."""
+
+    def check(batches):
+        for batch in batches:
+            bad = []
+            for path in batch["path"]:
+                system, inner, _ = _open(path)
+                with system.open_input_file(inner) as f:
+                    size = f.size()
+                    start = f.read_at(min(size, len(head)), 0)
+                    end = f.read_at(min(size, len(tail)), max(0, size - len(tail)))
+                if start != head or end != tail:
+                    bad.append(path)
+            yield batch[batch["path"].isin(bad)]
+
+    return check

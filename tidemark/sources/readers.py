@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -20,6 +21,27 @@ OPTION_NAMES = {
 }
 
 
+LISTING = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+UNSET_LISTING = "10000"
+
+
+@contextmanager
+def listing_tasks(spark: SparkSession):
+    """Lists files in as many tasks as the cluster has use for.
+
+    Left alone, Spark starts one task per path up to 10000, which takes far longer than the listing itself.
+    A value set by the user stays.
+    """
+    if spark.conf.get(LISTING) != UNSET_LISTING:
+        yield
+        return
+    spark.conf.set(LISTING, str(min(10_000, max(32, spark.sparkContext.defaultParallelism * 4))))
+    try:
+        yield
+    finally:
+        spark.conf.set(LISTING, UNSET_LISTING)
+
+
 def reader_options(options: dict | None) -> dict:
     """Reader options by Spark name; unset ones are dropped."""
     return {OPTION_NAMES.get(k, k): v for k, v in (options or {}).items() if v is not None}
