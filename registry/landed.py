@@ -209,6 +209,15 @@ def _(c):
     return t.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.sum("o_custkey").cast("bigint").alias("keys"))
 
 
+@query("i4_table_exists", """
+SELECT CAST(ts AS date) AS day, true AS known, false AS unknown FROM events GROUP BY 1""")
+def _(c):
+    config, store = ingested(c)
+    known, unknown = (writer.table_exists(c.spark, t) for t in (config.table, config.table + "_none"))
+    rows = writer.committed(c.spark, config.table, store.runs())
+    return rows.select(F.to_date("ts").alias("day")).distinct().select("day", F.lit(known).alias("known"), F.lit(unknown).alias("unknown"))
+
+
 OUTCOME = """
 SELECT 'days_a' AS folder, 'SUCCESS' AS status, count(*) AS records, NULL AS error_type FROM events WHERE day(ts) <= 20
 UNION ALL SELECT 'days_b', 'SUCCESS', count(*), NULL FROM events WHERE day(ts) > 20
@@ -505,6 +514,17 @@ def _(c):
     return changes.select("version", "change_type", "column_name")
 
 
+@query("s2_add_columns", """
+SELECT column_name, CASE column_name WHEN 'region' THEN 'string' ELSE 'struct<k:bigint>' END AS data_type, n AS filled FROM (
+  SELECT unnest(['meta', 'region']) AS column_name, count(*) FILTER (WHERE day(ts) > 20) AS n FROM events) t""")
+def _(c):
+    config, store = ingested(c)
+    rows = writer.committed(c.spark, config.table, store.runs())
+    added = H.schema_rows(c.spark, rows.schema).filter("column_name in ('meta', 'region')").select("column_name", "data_type")
+    filled = rows.agg(F.count("meta").alias("meta"), F.count("region").alias("region")).unpivot([], ["meta", "region"], "column_name", "filled")
+    return added.join(filled, "column_name")
+
+
 @query("s3_null_backfill", """
 SELECT CAST(ts AS date) AS day, count(*) AS n, count(*) FILTER (WHERE day(ts) <= 20) AS null_region,
   count(*) FILTER (WHERE day(ts) <= 20) AS null_meta FROM events GROUP BY 1""")

@@ -113,3 +113,27 @@ def test_stream_to_table(spark, job):
     q = write_table(rows, config.table, f"file:{src.parent}/ck2", partition_columns=("event_type",))
     q.awaitTermination()
     assert spark.table(config.table).count() == 100
+
+
+def test_compaction_and_retention_keep_the_state(spark, job):
+    config, store, src = job
+    land(src, 0, 2, rows=10)
+    run_ingestion(spark, config, store, T0, "r1")
+    land(src, 2, 1, rows=10)
+    run_ingestion(spark, config, store, T1, "r2")
+    small = store.compacted(f"{store.root}-compact")
+    assert small.state("ing1").exceptAll(store.state("ing1")).isEmpty() and small.events().count() == 3
+    assert writer.committed(spark, config.table, small.runs()).count() == 30
+    assert run_ingestion(spark, config, small, T1, "r3").success == 0
+    kept, archived = store.retire(f"{store.root}-kept", f"{store.root}-archive", "2025-04-01 12:00:00", 90)
+    assert archived == 2 and kept.state("ing1").count() == 1
+
+
+def test_clear_by_pattern(spark, job):
+    from tidemark.plans.refresh import clear
+
+    config, store, src = job
+    land(src, 0, 3, rows=10)
+    run_ingestion(spark, config, store, T0, "r1")
+    assert clear(store, "ing1", T1, "%batch_1.json") == 1
+    assert run_ingestion(spark, config, store, T1, "r2").success == 1

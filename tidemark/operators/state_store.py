@@ -1,17 +1,22 @@
 """Ledger, runs and schema history as parquet folders in shared storage.
 
-Each append goes to its own ``run_id=/phase=`` folder and replaces it when repeated: a replayed run leaves
-one set of events, and concurrent runs never share an output folder.
+Each append goes to its own ``i=<ingestion>/r=<run>/phase=<phase>`` folder and replaces it when repeated: a
+replayed run leaves one set of events, concurrent runs never share an output folder, and one ingestion's
+history is read without listing the others.
 """
 
 from __future__ import annotations
 
+from urllib.parse import quote
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tidemark.model import LEDGER_SCHEMA, RUN_SCHEMA, SCHEMA_FILE_SCHEMA, SCHEMA_VERSION_SCHEMA
-from tidemark.operators.ledger import current_state
+from tidemark.operators.ledger import current_state, split_by_age
 from tidemark.workspace import make_folder, path_exists
 
+FOLDERS = [T.StructField(n, T.StringType()) for n in ("i", "r", "phase")]
+
 
 class StateStore:
     TABLES = {
@@ -28,53 +33,67 @@ class StateStore:
         for name in self.TABLES:
             make_folder(spark, f"{self.root}/{name}")
 
-    @staticmethod
-    def _stored(schema: T.StructType) -> T.StructType:
-        return T.StructType([f for f in schema.fields if f.name != "run_id"])
-
-    def append(self, table: str, rows: DataFrame, run_id: str, phase: str) -> None:
-        columns = [f.name for f in self._stored(self.TABLES[table]).fields]
-        rows.select(*columns).write.mode("overwrite").parquet(f"{self.root}/{table}/run_id={run_id}/phase={phase}")
-
-    def read(self, table: str, phase: str | None = None) -> DataFrame:
-        """All rows, or those of one phase: its folder alone is read, so the others may be replaced meanwhile."""
+    def folder(self, table: str, ingestion_id: str | None = None, run_id: str | None = None, phase: str | None = None) -> str:
+        parts = [self.root, table]
+        for name, value in (("i", ingestion_id), ("r", run_id), ("phase", phase)):
+            if value is not None:
+                parts.append(f"{name}={quote(value, safe='')}")
+        return "/".join(parts)
+
+    def append(self, table: str, ingestion_id: str, run_id: str, phase: str, rows: DataFrame) -> None:
+        columns = [f.name for f in self.TABLES[table].fields]
+        if "run_id" not in rows.columns:
+            rows = rows.withColumn("run_id", F.lit(run_id))
+        rows.select(*columns).write.mode("overwrite").parquet(self.folder(table, ingestion_id, run_id, phase))
+
+    def read(self, table: str, ingestion_id: str | None = None, run_id: str | None = None, phase: str | None = None) -> DataFrame:
+        """Rows of the table, of one ingestion, one run or one phase; only that folder is listed and read."""
         schema = self.TABLES[table]
-        with_phase = T.StructType([*self._stored(schema).fields, T.StructField("run_id", T.StringType()),
-                                   T.StructField("phase", T.StringType())])
-        found = self.spark.read.schema(with_phase).parquet(f"{self.root}/{table}")
-        if phase is not None:
-            found = found.filter(F.col("phase") == phase)
-        return found.select(*[f.name for f in schema.fields])
+        path = self.folder(table, ingestion_id, run_id, phase)
+        if not path_exists(self.spark, path):
+            return self.spark.createDataFrame([], schema)
+        found = self.spark.read.schema(T.StructType([*schema.fields, *FOLDERS])).option("basePath", self.folder(table))
+        return found.parquet(path).select(*[f.name for f in schema.fields])
 
-    def has_plan(self, run_id: str) -> bool:
-        return path_exists(self.spark, f"{self.root}/ledger/run_id={run_id}/phase=plan/_SUCCESS")
+    def has_plan(self, ingestion_id: str, run_id: str) -> bool:
+        return path_exists(self.spark, self.folder("ledger", ingestion_id, run_id, "plan") + "/_SUCCESS")
 
     def planned(self, ingestion_id: str, run_id: str) -> DataFrame:
-        """The files a run has fixed for itself."""
-        rows = self.read("ledger", "plan")
-        return rows.filter((F.col("ingestion_id") == ingestion_id) & (F.col("run_id") == run_id))
+        """The files a run has fixed for itself; its other phases may be replaced meanwhile."""
+        return self.read("ledger", ingestion_id, run_id, "plan")
 
     def events(self, ingestion_id: str | None = None, run_id: str | None = None) -> DataFrame:
-        out = self.read("ledger")
-        if ingestion_id is not None:
-            out = out.filter(F.col("ingestion_id") == ingestion_id)
-        return out if run_id is None else out.filter(F.col("run_id") == run_id)
+        return self.read("ledger", ingestion_id, run_id)
 
     def state(self, ingestion_id: str | None = None) -> DataFrame:
         return current_state(self.events(ingestion_id))
 
-    def runs(self) -> DataFrame:
+    def runs(self, ingestion_id: str | None = None) -> DataFrame:
         """Latest row per run."""
-        rows = self.read("runs")
+        rows = self.read("runs", ingestion_id)
         rest = [c for c in rows.columns if c != "run_id"]
         latest = rows.groupBy("run_id").agg(F.max_by(F.struct(*rest), F.coalesce("ended_at", "started_at")).alias("_r"))
         return latest.select("_r.*", "run_id").select(*rows.columns)
 
-    def compact(self, token: str, as_of) -> str:
-        """Writes the current state as one folder below a new root and returns that root."""
-        root = f"{self.root}-{token}"
+    def _rewrite(self, table: str, rows: DataFrame, token: str) -> None:
+        placed = rows.withColumns({"i": F.col("ingestion_id"), "r": F.lit(token), "phase": F.lit("state")})
+        # Rebalancing splits an ingestion that holds most rows over many files.
+        placed.hint("rebalance", "i").write.partitionBy("i", "r", "phase").mode("overwrite").parquet(self.folder(table))
+
+    def compacted(self, root: str) -> "StateStore":
+        """A new store with one row per file and few large files; the old one stays as it is."""
+        new = StateStore(self.spark, root)
+        new._rewrite("ledger", self.state(), "compact")
+        for name in ("runs", "schema_versions", "schema_files"):
+            new._rewrite(name, self.runs() if name == "runs" else self.read(name), "compact")
+        return new
+
+    def retire(self, root: str, archive: str, as_of, retention_days: int = 90) -> tuple["StateStore", int]:
+        """A new store without files processed before the horizon, and how many went to ``archive``."""
+        kept, old = split_by_age(self.state(), as_of, retention_days)
+        old.write.mode("overwrite").parquet(archive)
         new = StateStore(self.spark, root)
-        new.append("ledger", self.state().repartition("ingestion_id", "file_path"), f"compact-{token}", "state")
+        new._rewrite("ledger", kept, "retired")
         for name in ("runs", "schema_versions", "schema_files"):
-            new.append(name, self.read(name), f"compact-{token}", "state")
-        return root
+            new._rewrite(name, self.runs() if name == "runs" else self.read(name), "retired")
+        return new, self.spark.read.schema(LEDGER_SCHEMA).parquet(archive).count()

@@ -95,7 +95,7 @@ class _Run:
     def fix_plan(self, manifest: DataFrame | None) -> DataFrame:
         """Plans once and stores it: later steps and a replay see the same files whatever lands meanwhile."""
         config, store = self.config, self.store
-        if store.has_plan(self.run_id):
+        if store.has_plan(config.ingestion_id, self.run_id):
             return store.planned(config.ingestion_id, self.run_id)
         if manifest is None:
             manifest = manifests.discover(
@@ -124,7 +124,7 @@ class _Run:
             F.lit(None).cast("int").alias("schema_version"),
             at.alias("event_time"), F.lit(0).alias("seq"),
         )
-        store.append("ledger", rows, self.run_id, "plan")
+        store.append("ledger", config.ingestion_id, self.run_id, "plan", rows)
         return store.planned(config.ingestion_id, self.run_id)
 
     def load_part(self, files: DataFrame, k: int, scans: int) -> None:
@@ -252,8 +252,7 @@ class _Run:
         return T.StructType([f for f in table.fields if f.name.lower() in names])
 
     def latest_version(self) -> int | None:
-        mine = self.store.read("schema_versions").filter(F.col("ingestion_id") == self.config.ingestion_id)
-        return mine.agg(F.max("version")).first()[0]
+        return self.store.read("schema_versions", self.config.ingestion_id).agg(F.max("version")).first()[0]
 
     def record_version(self, added, schema: T.StructType, resolution: str, before=None) -> None:
         config = self.config
@@ -262,7 +261,7 @@ class _Run:
         now = self.now()
         row = (config.ingestion_id, version, now, schema.json(), resolution, now, summary, self.run_id)
         rows = self.spark.createDataFrame([row], SCHEMA_VERSION_SCHEMA)
-        self.store.append("schema_versions", rows, self.run_id, f"v{version}")
+        self.store.append("schema_versions", config.ingestion_id, self.run_id, f"v{version}", rows)
         self.new_version = version
 
     def write_groups(self, groups, k: int) -> DataFrame:
@@ -342,12 +341,12 @@ class _Run:
             F.col("found_type"),
             F.col("message"),
         )
-        store.append("ledger", events, self.run_id, "done")
+        store.append("ledger", config.ingestion_id, self.run_id, "done", events)
         if self.new_version:
             touched = events.filter(F.col("status") == SUCCESS).select(
                 "ingestion_id", F.lit(self.new_version).alias("version"), "file_path", F.lit(self.run_id).alias("run_id")
             )
-            store.append("schema_files", touched, self.run_id, f"v{self.new_version}")
+            store.append("schema_files", config.ingestion_id, self.run_id, f"v{self.new_version}", touched)
 
     def complete(self) -> RunResult:
         config, spark, store = self.config, self.spark, self.store
@@ -402,13 +401,13 @@ def _write_run(spark, store, config, run_id, started, ended, trigger, status, su
                records=0, bytes_read=0, written=0, errors=None) -> None:
     row = (config.ingestion_id, started, ended, status, trigger, success + failed, failed, skipped, records,
            bytes_read, written, int((ended - started).total_seconds()), failed, errors or [], config.table, run_id)
-    store.append("runs", spark.createDataFrame([row], RUN_SCHEMA), run_id, "end")
+    store.append("runs", config.ingestion_id, run_id, "end", spark.createDataFrame([row], RUN_SCHEMA))
 
 
 def publish_snapshot(spark, config: IngestionConfig, store: StateStore, run_id: str) -> None:
     """``<table>_current``: the table as overwrite or merge would leave it after this run."""
     name = f"{config.table}_current"
-    committed = writer.committed(spark, config.table, store.runs(), service_columns=True)
+    committed = writer.committed(spark, config.table, store.runs(config.ingestion_id), service_columns=True)
     fresh = committed.filter(F.col(writer.RUN_ID) == run_id).drop(*writer.SERVICE_COLUMNS)
     if config.write_mode == "merge" and writer.table_exists(spark, name):
         order = [c for c in fresh.columns if c not in config.merge_keys]

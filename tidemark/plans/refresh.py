@@ -104,7 +104,7 @@ def clear(store: StateStore, ingestion_id: str, at: datetime, path_like: str | N
     """Forgets the files of an ingestion, or those whose path matches; returns how many."""
     token = f"clear-{ingestion_id}-{at:%Y%m%dT%H%M%S%f}"
     events = ledger.clear_history(store.state(ingestion_id), F.lit(at), path_like)
-    store.append("ledger", events, token, "clear")
+    store.append("ledger", ingestion_id, token, "clear", events)
     return store.events(ingestion_id, token).count()
 
 

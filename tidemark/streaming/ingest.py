@@ -134,10 +134,10 @@ def commit_batch(df: DataFrame, run_id: str, config: IngestionConfig, store: Sta
         F.lit(0).alias("retry_count"), nothing.cast("int").alias("schema_version"),
         at.alias("event_time"), F.lit(1).alias("seq"),
     )
-    store.append("ledger", events, run_id, "done")
+    store.append("ledger", config.ingestion_id, run_id, "done", events)
     if not failed.isEmpty():
         writer.retract_files(spark, config.table, run_id, 0, failed)
     m = run_metrics(store.events(config.ingestion_id, run_id)).first() or (0, 0, 0, 0, 0)
     row = (config.ingestion_id, as_of, as_of, run_status(m[0], m[1]), "stream", m[0] + m[1], m[1], m[2], m[3], m[4],
            None, 0, m[1], [], config.table, run_id)
-    store.append("runs", spark.createDataFrame([row], RUN_SCHEMA), run_id, "end")
+    store.append("runs", config.ingestion_id, run_id, "end", spark.createDataFrame([row], RUN_SCHEMA))
