@@ -449,7 +449,7 @@ def _(c):
 
 
 @query("h15_stream_rollup", """
-SELECT event_type, CAST(date_trunc('day', ts) AS timestamp) AS window_start, count(*) AS file_count, 0 AS failed_count,
+SELECT event_type, CAST(date_trunc('day', ts) AS timestamp) AS window_start, count(*) AS file_count, CAST(0 AS bigint) AS failed_count,
   CAST(sum(user_id) AS bigint) AS records, CAST(sum(event_id) AS bigint) AS bytes FROM events GROUP BY 1, 2""")
 def _(c):
     def make():
@@ -488,7 +488,7 @@ def _all_lines(c):
 
 @query("s7_file_schemas", f"""
 SELECT CAST(ts AS date) AS day, CASE WHEN day(ts) <= 20 THEN '{SCHEMA_A}' ELSE '{WIDE}' END AS columns_up_to_value,
-  count(*) AS records, 0 AS malformed FROM events GROUP BY 1, 2""")
+  count(*) AS records, CAST(0 AS bigint) AS malformed FROM events GROUP BY 1, 2""")
 def _(c):
     return _file_schemas(c).groupBy(
         folder_day().alias("day"), F.regexp_replace("variant_schema", "value: .*$", "value: ").alias("columns_up_to_value")

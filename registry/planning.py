@@ -293,8 +293,6 @@ SELECT archived, count(*) AS file_count, CAST(sum(file_size_bytes) AS bigint) AS
   SELECT coalesce(processed_at < TIMESTAMP '{LEDGER_NOW}' - INTERVAL 90 DAY, false) AS archived, file_size_bytes FROM state) t
 GROUP BY 1""", ("state",))
 def _(c):
-    kept, archived = L.split_by_age(c.state, LEDGER_NOW)
-    both = kept.withColumn("archived", F.lit(False)).unionByName(archived.withColumn("archived", F.lit(True)))
-    return both.groupBy("archived").agg(
+    return L.with_age(c.state, LEDGER_NOW).groupBy("archived").agg(
         F.count("*").alias("file_count"), F.sum("file_size_bytes").cast("bigint").alias("total_bytes")
     )

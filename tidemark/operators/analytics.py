@@ -180,10 +180,9 @@ def dashboard(state: DataFrame, ingestions: DataFrame, as_of) -> DataFrame:
         window_sum(before).alias("bytes_previous_24h"),
         F.count_if(day & (ok | bad)).alias("_ended"),
     )
-    active = ingestions.agg(F.count_if(F.col("status") == "active").alias("active_ingestions"))
-    # Two one-row aggregates.
-    return active.crossJoin(kpis).select(
-        "active_ingestions", "files_24h", "files_previous_24h", "bytes_24h", "bytes_previous_24h",
+    active = ingestions.agg(F.count_if(F.col("status") == "active")).scalar()
+    return kpis.select(
+        active.alias("active_ingestions"), "files_24h", "files_previous_24h", "bytes_24h", "bytes_previous_24h",
         F.round(F.try_divide(F.col("files_24h") * 100.0, F.col("_ended")), 6).alias("success_rate"),
         F.round(
             F.try_divide((F.col("files_24h") - F.col("files_previous_24h")) * 100.0, F.col("files_previous_24h")), 6

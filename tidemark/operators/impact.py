@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.expressions import gigabytes, round_half_even, runs_per_month
-from tidemark.operators.planning import new_files
 
 # Price per GB, minutes per file, least minutes, GB assumed per unseen file.
 COST_PER_GB = 0.25
@@ -29,48 +28,53 @@ def _estimate(files: Column, gb: Column) -> dict[str, Column]:
     }
 
 
-def _impact(files: DataFrame, ingestions: DataFrame, skipped: DataFrame | None) -> DataFrame:
-    """Aggregates files per ingestion and keeps ingestions without any."""
-    sums = files.groupBy("ingestion_id").agg(
-        F.count("*").alias("_n"),
-        F.sum("size_bytes").alias("_bytes"),
-        F.min("modified_at").alias("oldest_file_date"),
-        F.max("modified_at").alias("newest_file_date"),
-    )
+def _per_ingestion(sums: DataFrame, ingestions: DataFrame) -> DataFrame:
+    """Estimates from per-ingestion sums; ingestions without any file stay, with zeros."""
     out = ingestions.select("ingestion_id").join(sums, "ingestion_id", "left")
-    if skipped is not None:
-        out = out.join(skipped, "ingestion_id", "left")
     n = F.coalesce("_n", F.lit(0))
     gb = gigabytes(F.coalesce("_bytes", F.lit(0)))
-    skip = F.coalesce(F.col("_skipped"), F.lit(0)) if skipped is not None else F.lit(0)
-    present = F.coalesce(F.col("_present"), F.lit(0)) if skipped is not None else F.lit(0)
-    est = _estimate(n, gb)
     return out.select(
         "ingestion_id",
         n.alias("files_to_process"),
-        skip.cast("bigint").alias("files_skipped"),
-        present.cast("bigint").alias("files_skipped_present"),
-        *[c.alias(k) for k, c in est.items()],
+        F.coalesce("_skipped", F.lit(0)).cast("bigint").alias("files_skipped"),
+        F.coalesce("_present", F.lit(0)).cast("bigint").alias("files_skipped_present"),
+        *[c.alias(k) for k, c in _estimate(n, gb).items()],
         "oldest_file_date",
         "newest_file_date",
     )
 
 
+def _sums(takes: Column) -> list[Column]:
+    return [
+        F.count_if(takes).alias("_n"),
+        F.sum(F.when(takes, F.col("size_bytes"))).alias("_bytes"),
+        F.min(F.when(takes, F.col("modified_at"))).alias("oldest_file_date"),
+        F.max(F.when(takes, F.col("modified_at"))).alias("newest_file_date"),
+    ]
+
+
 def full_impact(manifest: DataFrame, ingestions: DataFrame) -> DataFrame:
-    return _impact(manifest, ingestions, None)
+    sums = manifest.groupBy("ingestion_id").agg(
+        *_sums(F.lit(True)), F.lit(0).alias("_skipped"), F.lit(0).alias("_present")
+    )
+    return _per_ingestion(sums, ingestions)
 
 
 def incremental_impact(manifest: DataFrame, state: DataFrame, ingestions: DataFrame) -> DataFrame:
-    """New files only. ``files_skipped`` counts the ledger, ``files_skipped_present`` those still in storage."""
-    done = state.filter(F.col("status").isin("SUCCESS", "SKIPPED"))
-    listed = manifest.select("ingestion_id", F.col("path").alias("file_path"), F.lit(1).alias("_seen"))
-    skipped = (
-        done.select("ingestion_id", "file_path")
-        .join(listed, ["ingestion_id", "file_path"], "left")
-        .groupBy("ingestion_id")
-        .agg(F.count("*").alias("_skipped"), F.count("_seen").alias("_present"))
+    """New files only. ``files_skipped`` counts the ledger, ``files_skipped_present`` those still in storage.
+
+    One join on the full file key gives all the counts.
+    """
+    done = state.filter(F.col("status").isin("SUCCESS", "SKIPPED")).select(
+        "ingestion_id", F.col("file_path").alias("path"), F.lit(True).alias("_done")
     )
-    return _impact(new_files(manifest, state), ingestions, skipped)
+    listed = manifest.select("ingestion_id", "path", "size_bytes", "modified_at", F.lit(True).alias("_listed"))
+    both = listed.join(done, ["ingestion_id", "path"], "full_outer")
+    known = F.col("_done").isNotNull()
+    sums = both.groupBy("ingestion_id").agg(
+        *_sums(~known), F.count_if(known).alias("_skipped"), F.count_if(known & F.col("_listed").isNotNull()).alias("_present")
+    )
+    return _per_ingestion(sums, ingestions)
 
 
 def fallback_impact(state: DataFrame, ingestions: DataFrame, mode: str) -> DataFrame:
@@ -158,11 +162,7 @@ def monthly_cost(configs: DataFrame, stats: DataFrame) -> DataFrame:
 
 def extrapolated_minutes(manifest: DataFrame, sample: DataFrame, sample_seconds: float) -> DataFrame:
     """Duration for the whole manifest from the time a sample of its files took."""
-    whole = manifest.agg(F.sum("size_bytes").alias("total_bytes"))
-    part = sample.agg(F.sum("size_bytes").alias("sample_bytes"))
-    # Two one-row aggregates.
-    return whole.crossJoin(part).select(
-        "total_bytes",
-        "sample_bytes",
-        round_half_even(F.col("total_bytes") / F.col("sample_bytes") * F.lit(sample_seconds) / 60.0, 6).alias("estimated_minutes"),
-    )
+    part = sample.agg(F.sum("size_bytes")).scalar()
+    whole = manifest.agg(F.sum("size_bytes").alias("total_bytes")).withColumn("sample_bytes", part)
+    minutes = F.col("total_bytes") / F.col("sample_bytes") * F.lit(sample_seconds) / 60.0
+    return whole.withColumn("estimated_minutes", round_half_even(minutes, 6))

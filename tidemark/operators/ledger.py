@@ -124,9 +124,13 @@ def finished_events(
     }).select(*[f.name for f in LEDGER_SCHEMA.fields])
 
 
+def with_age(state: DataFrame, as_of, retention_days: int = 90) -> DataFrame:
+    """Adds ``archived``: processed before the horizon. Unprocessed files are never old."""
+    old = F.col("processed_at") < minus(as_column(as_of), days=retention_days)
+    return state.withColumn("archived", F.coalesce(old, F.lit(False)))
+
+
 def split_by_age(state: DataFrame, as_of, retention_days: int = 90) -> tuple[DataFrame, DataFrame]:
-    """(kept, archived): rows processed before the horizon are archived, unprocessed rows stay."""
-    old = F.coalesce(
-        F.col("processed_at") < minus(as_column(as_of), days=retention_days), F.lit(False)
-    )
-    return state.filter(~old), state.filter(old)
+    """(kept, archived) rows."""
+    aged = with_age(state, as_of, retention_days)
+    return aged.filter(~F.col("archived")).drop("archived"), aged.filter("archived").drop("archived")

@@ -28,11 +28,9 @@ def estimate_records(manifest: DataFrame) -> DataFrame:
 
 def estimate_records_by_size(manifest: DataFrame, sample: DataFrame, text: str = "value") -> DataFrame:
     """Total bytes over the mean record size of a sample."""
+    record_bytes = sample.agg(F.avg(F.octet_length(text) + 1)).scalar()
     size = manifest.agg(F.count("*").alias("file_count"), F.sum("size_bytes").cast("bigint").alias("total_bytes"))
-    mean = sample.agg(F.avg(F.octet_length(text) + 1).alias("record_bytes"))
-    return size.crossJoin(mean).select(
-        "file_count", "total_bytes", F.round(F.col("total_bytes") / F.col("record_bytes")).cast("bigint").alias("estimated_records")
-    )
+    return size.withColumn("estimated_records", F.round(F.col("total_bytes") / record_bytes).cast("bigint"))
 
 
 def null_profile(df: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tidemark.model import LEDGER_SCHEMA, RUN_SCHEMA, SCHEMA_FILE_SCHEMA, SCHEMA_VERSION_SCHEMA
 from tidemark.operators.ledger import current_state, split_by_age
-from tidemark.workspace import make_folder, path_exists
+from tidemark.workspace import make_folder, materialize, path_exists
 
 FOLDERS = [T.StructField(n, T.StringType()) for n in ("i", "r", "phase")]
 
@@ -90,7 +90,8 @@ class StateStore:
 
     def retire(self, root: str, archive: str, as_of, retention_days: int = 90) -> tuple["StateStore", int]:
         """A new store without files processed before the horizon, and how many went to ``archive``."""
-        kept, old = split_by_age(self.state(), as_of, retention_days)
+        # Stored once: both halves and the count come from it.
+        kept, old = split_by_age(materialize(self.state(), "state"), as_of, retention_days)
         old.write.mode("overwrite").parquet(archive)
         new = StateStore(self.spark, root)
         new._rewrite("ledger", kept, "retired")
