@@ -77,8 +77,11 @@ class StateStore:
 
     def _rewrite(self, table: str, rows: DataFrame, token: str) -> None:
         placed = rows.withColumns({"i": F.col("ingestion_id"), "r": F.lit(token), "phase": F.lit("state")})
-        # Rebalancing splits an ingestion that holds most rows over many files.
-        placed.hint("rebalance", "i").write.partitionBy("i", "r", "phase").mode("overwrite").parquet(self.folder(table))
+        # Ranges of the key split an ingestion that holds most rows over many files, and sorted files let the
+        # look-up of one file or run skip all row groups but one.
+        key = "file_path" if "file_path" in rows.columns else "run_id"
+        spread = placed.repartitionByRange("i", key).sortWithinPartitions("i", key)
+        spread.write.partitionBy("i", "r", "phase").mode("overwrite").parquet(self.folder(table))
 
     def compacted(self, root: str) -> "StateStore":
         """A new store with one row per file and few large files; the old one stays as it is."""
