@@ -145,6 +145,12 @@ def test_crash_leaves_nothing_visible_and_replay_is_idempotent(spark, job, monke
     assert rows(spark, config, store).count() == 3000
     r = run_ingestion(spark, config, store, T0, "r2")
     assert (r.success, r.records) == (1, 1000)
+    # A replay with another number of scans leaves no rows of the earlier ones.
+    config.files_per_scan = 1
+    assert run_ingestion(spark, config, store, T0, "r1").records == 3000
+    config.files_per_scan = 50_000
+    assert run_ingestion(spark, config, store, T0, "r1").records == 3000
+    assert rows(spark, config, store).count() == 4000
 
 
 def test_several_scans_per_run(spark, job):

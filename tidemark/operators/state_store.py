@@ -72,7 +72,7 @@ class StateStore:
         """Latest row per run."""
         rows = self.read("runs", ingestion_id)
         rest = [c for c in rows.columns if c != "run_id"]
-        latest = rows.groupBy("run_id").agg(F.max_by(F.struct(*rest), F.coalesce("ended_at", "started_at")).alias("_r"))
+        latest = rows.groupBy("run_id").agg(F.max_by(F.struct(*rest), F.struct(F.coalesce("ended_at", "started_at"), F.col("ended_at").isNotNull())).alias("_r"))
         return latest.select("_r.*", "run_id").select(*rows.columns)
 
     def _rewrite(self, table: str, rows: DataFrame, token: str) -> None:

@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tidemark.functions.schema_types import clashes, conflicts, diff, from_variant_schema, merge
 from tidemark.model import (
-    CORRUPT_ERROR, FAILED, MALFORMED_ERROR, PROCESSING, RUN_FAILED, RUN_PARTIAL, RUN_SCHEMA, RUN_SUCCESS,
-    SCHEMA_ERROR, SCHEMA_VERSION_SCHEMA, SKIPPED, SOURCE_FILE, SUCCESS, IngestionConfig,
+    CORRUPT_ERROR, FAILED, MALFORMED_ERROR, PROCESSING, RUN_FAILED, RUN_PARTIAL, RUN_RUNNING, RUN_SCHEMA,
+    RUN_SUCCESS, SCHEMA_ERROR, SCHEMA_VERSION_SCHEMA, SKIPPED, SOURCE_FILE, SUCCESS, IngestionConfig,
 )
 from tidemark.operators import planning, writer
 from tidemark.operators.ledger import finished_events
@@ -25,6 +25,7 @@ from tidemark.operators.upsert import merge_rows, swap_snapshot
 from tidemark.sources import manifest as manifests
 from tidemark.sources.listing import check_markers
 from tidemark.sources.readers import listing_tasks, scan, scan_permissive
+from tidemark.workspace import delete_path
 
 VERDICT_SCHEMA = f"{SOURCE_FILE} string, verdict string, error_type string, message string"
 
@@ -81,6 +82,7 @@ class _Run:
 
     def execute(self, manifest: DataFrame | None) -> RunResult:
         config, store = self.config, self.store
+        self.begin()
         files = self.fix_plan(manifest)
         total = files.agg(F.count_if(F.col("status") == PROCESSING)).first()[0]
         if total:
@@ -92,6 +94,16 @@ class _Run:
             self.finish_files(files, scans)
         return self.complete()
 
+    def begin(self) -> None:
+        """Shows the run as running and takes back whatever an earlier attempt of it wrote."""
+        config, spark, store = self.config, self.spark, self.store
+        delete_path(spark, store.folder("runs", config.ingestion_id, self.run_id, "end"))
+        row = (config.ingestion_id, self.started, None, RUN_RUNNING, self.trigger, 0, 0, 0, 0, 0, 0, None, 0, [],
+               config.table, self.run_id)
+        store.append("runs", config.ingestion_id, self.run_id, "start", spark.createDataFrame([row], RUN_SCHEMA))
+        if writer.table_exists(spark, config.table):
+            writer.drop_run(spark, config.table, self.run_id)
+
     def fix_plan(self, manifest: DataFrame | None) -> DataFrame:
         """Plans once and stores it: later steps and a replay see the same files whatever lands meanwhile."""
         config, store = self.config, self.store
@@ -133,7 +145,6 @@ class _Run:
         # Empty files have nothing to scan; they end as SUCCESS with 0 records.
         paths = [r[0] for r in mine.filter("file_size_bytes > 0").select("file_path").collect()]
         verdicts = self.spark.createDataFrame([], VERDICT_SCHEMA)
-        self.drop_part(k)
         if paths:
             table_schema = None
             if writer.table_exists(self.spark, config.table):
@@ -152,11 +163,6 @@ class _Run:
     def verdict_path(self, k: int) -> str:
         return f"{self.store.root}/verdicts/run_id={self.run_id}/part={k}"
 
-    def drop_part(self, k: int) -> None:
-        if writer.table_exists(self.spark, self.config.table):
-            writer.drop_run(self.spark, self.config.table, self.run_id, k)
-            writer.drop_run(self.spark, self.config.table, self.run_id, -1 - k)
-
     def judge_json(self, paths, table_schema, k):
         """Schema and malformed count of every file from one pass; files that cannot be loaded drop out."""
         probe_path = f"{self.store.root}/probes/run_id={self.run_id}/part={k}"
