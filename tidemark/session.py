@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -19,3 +23,17 @@ def builder(app: str = "tidemark", master: str | None = None, shuffle_partitions
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return b
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once per session, for functions that run in Python workers."""
+    context = spark.sparkContext
+    if getattr(context, "_tidemark_sent", False):
+        return
+    home = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="tidemark-code-")) / "tidemark.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(home.rglob("*.py")):
+            out.write(file, str(Path(home.name) / file.relative_to(home)))
+    context.addPyFile(str(archive))
+    context._tidemark_sent = True
