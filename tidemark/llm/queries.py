@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import near_dup, quality
+from tidemark.llm import decontaminate, mixing, near_dup, quality, token_files
 from tidemark.llm.tables import load
 from tidemark.session import ship
+from tidemark.workspace import scratch
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -29,3 +30,32 @@ def op2_minhash_near_dedup(spark, sf_dir):
 @query
 def op3_quality_rules(spark, sf_dir):
     return quality.quality_verdicts(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+@query
+def op6_temperature_mixing(spark, sf_dir):
+    return mixing.schedule(load(spark, sf_dir, "documents"))
+
+
+SQL["op6_temperature_mixing"] = mixing.schedule_sql()
+
+
+@query
+def op10_benchmark_decontamination(spark, sf_dir):
+    return decontaminate.contaminated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
+SQL["op10_benchmark_decontamination"] = decontaminate.contaminated_sql()
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(token_files.TOKENIZER)
+
+
+@query
+def op8_token_files(spark, sf_dir):
+    folder = scratch(spark, "token-files")
+    token_files.write_tokens(load(spark, sf_dir, "documents"), folder, tokenizer_path())
+    return token_files.read_tokens(spark, folder, with_ids=False)
