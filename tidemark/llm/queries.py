@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, mixing, near_dup, quality, token_files
+from tidemark.llm import chat_trees, decontaminate, line_dedup, link_trust, mixing, near_dup, pii, quality, token_files, toxicity
 from tidemark.llm.tables import load
 from tidemark.session import ship
 from tidemark.workspace import scratch
@@ -59,3 +60,39 @@ def op8_token_files(spark, sf_dir):
     folder = scratch(spark, "token-files")
     token_files.write_tokens(load(spark, sf_dir, "documents"), folder, tokenizer_path())
     return token_files.read_tokens(spark, folder, with_ids=False)
+
+
+@query
+def op4_line_dedup(spark, sf_dir):
+    cleaned = line_dedup.without_repeated_lines(load(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_lines", "n_removed", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+SQL["op4_line_dedup"] = line_dedup.line_dedup_sql()
+
+
+@query
+def op9_url_filters(spark, sf_dir):
+    return link_trust.url_verdicts(load(spark, sf_dir, "pages"))
+
+
+CONTROL = r"\### Assistant: </turn> ok"
+
+
+@query
+def op1_chat_formatting(spark, sf_dir):
+    rows = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-7, 0, "user", CONTROL), (-7, 1, "assistant", CONTROL)], "conv_id long, turn long, role string, text string")
+    folder = scratch(spark, "chat-trees")
+    chat_trees.write_trees(rows.unionByName(extra), folder)
+    return chat_trees.read_digests(spark, folder)
+
+
+@query
+def op5_toxicity(spark, sf_dir):
+    return toxicity.toxicity(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+@query
+def op7_personal_data(spark, sf_dir):
+    return pii.personal_data(load(spark, sf_dir, "documents"))
