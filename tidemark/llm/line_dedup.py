@@ -52,7 +52,7 @@ def without_repeated_lines(docs: DataFrame) -> DataFrame:
     """``doc_id, text, n_lines, n_removed`` per row of ``docs``, the text without the covered lines."""
     named = _named(docs)
     joined = named.join(covered_lines(docs), ["name", "mark"], "left")
-    kept = "array_join(transform(filter(transform(split(text, '\\n', -1), (l, i) -> named_struct('l', l, 'i', i)), x -> NOT array_contains(covered, x.i)), x -> x.l), '\\n')"
+    kept = "transform(array(split(text, '\\n', -1)), l -> array_join(transform(array_except(sequence(0, size(l) - 1), covered), i -> l[i]), '\\n'))[0]"
     return joined.select("doc_id", F.when(F.col("covered").isNull(), F.col("text")).otherwise(F.expr(kept)).alias("text"),
                          F.size(F.split("text", "\n", -1)).alias("n_lines"), F.coalesce(F.size("covered"), F.lit(0)).alias("n_removed"))
 
@@ -66,5 +66,5 @@ u AS (SELECT * FROM w WHERE regexp_matches(win[1] || win[2] || win[3], '[^\\x20\
 r AS (SELECT *, row_number() OVER (PARTITION BY win ORDER BY doc_id, p) AS k FROM u),
 c AS (SELECT doc_id, list(DISTINCT line) AS covered FROM (SELECT doc_id, unnest([p, p + 1, p + 2]) AS line FROM r WHERE k > 1) GROUP BY doc_id)
 SELECT d.doc_id, len(l) AS n_lines, coalesce(len(covered), 0) AS n_removed,
-  md5(array_to_string(list_transform(list_filter(range(1, len(l) + 1), i -> NOT list_contains(coalesce(covered, []), i)), i -> l[i]), chr(10))) AS text_md5
+  md5(array_to_string(list_transform(list_filter(range(1, len(l) + 1), lambda i: NOT list_contains(coalesce(covered, []), i)), lambda i: l[i]), chr(10))) AS text_md5
 FROM d LEFT JOIN c USING (doc_id)"""

@@ -121,15 +121,15 @@ WITH RECURSIVE k AS (SELECT doc_id, source, coalesce('=' || source, 'null') AS s
 t AS (SELECT s, sum(n)::BIGINT AS tokens FROM k GROUP BY s),
 p AS (SELECT list(tokens / tot) AS p FROM t, (SELECT sum(tokens)::DOUBLE AS tot FROM t) WHERE tokens > 0),
 b AS (SELECT 0 AS i, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi UNION ALL
-  SELECT i + 1, CASE WHEN list_max(list_transform(p, x -> pow(x, (lo + hi) / 2 - 1))) / list_min(list_transform(p, x -> pow(x, (lo + hi) / 2 - 1))) > {REPETITION}
+  SELECT i + 1, CASE WHEN list_max(list_transform(p, lambda x: pow(x, (lo + hi) / 2 - 1))) / list_min(list_transform(p, lambda x: pow(x, (lo + hi) / 2 - 1))) > {REPETITION}
     THEN (lo + hi) / 2 ELSE lo END,
-  CASE WHEN list_max(list_transform(p, x -> pow(x, (lo + hi) / 2 - 1))) / list_min(list_transform(p, x -> pow(x, (lo + hi) / 2 - 1))) > {REPETITION}
+  CASE WHEN list_max(list_transform(p, lambda x: pow(x, (lo + hi) / 2 - 1))) / list_min(list_transform(p, lambda x: pow(x, (lo + hi) / 2 - 1))) > {REPETITION}
     THEN hi ELSE (lo + hi) / 2 END FROM b, p WHERE i < {STEPS}),
-e AS (SELECT hi AS e, list_min(list_transform(p, x -> pow(x, hi - 1))) AS f FROM b, p WHERE i = {STEPS}),
+e AS (SELECT hi AS e, list_min(list_transform(p, lambda x: pow(x, hi - 1))) AS f FROM b, p WHERE i = {STEPS}),
 g AS (SELECT s, tokens, CASE WHEN tokens > 0 THEN CAST(round(tokens * pow(tokens / (SELECT sum(tokens) FROM t), e - 1) / f) AS BIGINT) ELSE 0 END AS goal FROM t, e),
 w AS (SELECT s, CASE WHEN tokens > 0 THEN goal // tokens ELSE 1 END AS whole, CASE WHEN tokens > 0 THEN goal % tokens ELSE 0 END AS rest FROM g),
-x AS (SELECT k.*, whole, rest, md5(k.s || '|' || substr(d, 1, 3) || '|' || whole) AS at FROM k JOIN w USING (s)),
-o AS (SELECT *, sum(n) OVER (PARTITION BY s ORDER BY at, d RANGE UNBOUNDED PRECEDING) AS upto FROM x),
+x AS (SELECT k.*, whole, rest, md5(k.s || '|' || substr(d, 1, 3) || '|' || whole) AS spot FROM k JOIN w USING (s)),
+o AS (SELECT *, sum(n) OVER (PARTITION BY s ORDER BY spot, d RANGE UNBOUNDED PRECEDING) AS upto FROM x),
 u AS (SELECT *, whole + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END AS times FROM o)
 SELECT doc_id, source, n AS n_tokens, epoch, CAST('0x' || substr(d, 1, 3) AS BIGINT) AS block,
   md5(s || '|' || substr(d, 1, 3) || '|' || epoch) || d AS place

@@ -38,8 +38,7 @@ from tidemark.workspace import materialize
 BANDS, ROWS = 48, 5
 BINS = BANDS * ROWS
 PERCENT = 75
-PAIR_ALL = 8
-FIRST_PIVOTS = 4
+FIRST_PIVOTS = 16
 ROUND_SEEDS, BAND_PLACE = seeds(2 * BINS, 21), seeds(ROWS, 22) | U(1)
 BAND_SEEDS = seeds(BANDS, 23)
 EMPTY = np.iinfo(np.uint64).max
@@ -167,12 +166,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def _next_pairs(rest: DataFrame, labels: DataFrame, pivots: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs of each open bucket's members with some of them as pivots, and those pivots by bucket."""
-    sized = rest.groupBy("key").agg(F.count("*").alias("k"), F.min("node").alias("always"))
-    now = _labelled(rest, labels).join(sized, "key")
-    share = F.lit(float(pivots)) / F.col("k")
-    drawn = (F.pmod(F.xxhash64("key", "node", F.lit(pivots)), F.lit(1 << 30)) / float(1 << 30)) < share
-    picked = now.filter((F.col("k") <= PAIR_ALL) | (F.col("node") == F.col("always")) | drawn)
+    """Pairs of each open bucket's members with some of them as pivots, and those pivots by bucket.
+
+    If few members are outside the bucket's largest component, they are the pivots and the bucket is done.
+    """
+    now = _labelled(rest, labels)
+    sized = now.groupBy("key", "label").agg(F.count("*").alias("k"), F.min("node").alias("always"))
+    sized = sized.groupBy("key").agg(F.sum("k").alias("k"), F.max("k").alias("most"), F.max_by("label", F.struct("k", "label")).alias("main"), F.min("always").alias("always"))
+    now = now.join(sized, "key")
+    outside = F.col("k") - F.col("most")
+    drawn = (F.pmod(F.xxhash64("key", "node", F.lit(pivots)), F.lit(1 << 30)) / float(1 << 30)) < F.lit(float(pivots)) / F.col("k")
+    picked = now.filter(F.when(outside <= pivots, F.col("label") != F.col("main")).otherwise((F.col("node") == F.col("always")) | drawn))
     picked = picked.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"))
     fits = f"label <> label_b AND 100 * least(n, n_b) >= {PERCENT} * greatest(n, n_b)"
     return now.join(picked, "key").filter(fits).select(F.col("node").alias("a"), "b"), picked.select("key", F.col("b").alias("node"))

@@ -144,7 +144,8 @@ class Words(dict):
     """Token ids of texts, as bytes of 16-bit numbers; a dictionary of those of the pieces between spaces.
 
     The tokenizer drops white space, lower-cases, and splits letters from what follows them, so a piece by itself
-    has the same ids as within its text, and so have its lower-cased letters and a full stop or comma behind them.
+    has the same ids as within its text, and so have its lower-cased letters and a full stop or comma behind them
+    (of Latin letters that stay letters in lower case).
     The store of pieces is bounded and started anew when it is full.
     """
 
@@ -159,7 +160,7 @@ class Words(dict):
     def __missing__(self, piece: str) -> bytes:
         if piece.isascii() and not piece.islower() and "<" not in piece and piece.lower() != piece:
             found = self[piece.lower()]
-        elif piece[-1:] in (".", ",") and piece[:-1].isalpha():
+        elif piece[-1:] in (".", ",") and piece[:-1].isalpha() and max(piece) < "\u0250" and piece[:-1].lower().isalpha():
             found = self[piece[:-1]] + self[piece[-1]]
         else:
             found = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, dtype="<u2").tobytes()

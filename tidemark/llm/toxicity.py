@@ -48,6 +48,7 @@ EXCEPTIONS = ["clown fish", "trash can", "trash bin", "sore loser", "worthless c
 FOLD = {ord(c): latin for latin, others in LOOKS_LIKE.items() for c in others}
 LEET = {ord(c): latin for c, latin in STANDS_FOR.items()}
 EDGE = string.punctuation + "“”«»„…’"
+LEADING = EDGE.replace("$", "").replace("@", "")
 
 
 def folded_words(text: str) -> list[str]:
@@ -57,7 +58,7 @@ def folded_words(text: str) -> list[str]:
         text = text.translate(FOLD)
     for word in text.split():
         if not word.isalpha():
-            inner = word.strip(EDGE)
+            inner = word.lstrip(LEADING).rstrip(EDGE)
             if not inner.isalpha():
                 inner = "".join(c for c in inner.translate(LEET) if c.isalpha()) if any(c.isalpha() for c in inner) else ""
             word = inner
