@@ -24,8 +24,11 @@ Defined cases
 from __future__ import annotations
 
 import struct
+import sys
 import zlib
+from array import array
 from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +42,7 @@ END_ID, VOCABULARY = 1, 1 << 16
 BLOCK_IDS, LANES_LOG, CHECKPOINT_IDS, SCALE = 1 << 19, 10, 1 << 18, 18
 HEADER, MAGIC, VERSION = struct.Struct("<4sBBHIIIII"), b"TMrA", 1
 LOW = np.uint64(1 << 31)
-CACHED_WORDS, CACHED_LENGTH = 400_000, 48
+CACHED_WORDS, CACHED_LENGTH = 1_200_000, 48
 U64 = np.uint64
 
 
@@ -150,20 +153,37 @@ class Words(dict):
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size(with_added_tokens=True) > VOCABULARY:
             raise ValueError("the file format holds ids below 65536")
+        if sys.byteorder != "little":
+            raise ValueError("ids are kept as they are in the memory of little-endian machines")
+        self.model = self.tokenizer.model
+        # How the tokenizer writes letters for its model; only words of these letters go to the model directly.
+        spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.letters = {n: spell(chr(n))[0][0] for n in range(0x250) if chr(n).isalpha() and chr(n).lower() == chr(n)}
+        tried = ("word", "qzx", "été", "straße", "ñandú")
+        self.direct = all(self.of_model(w) == self.of_tokenizer(w) for w in tried)
+
+    def of_tokenizer(self, piece: str) -> bytes:
+        return array("H", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+
+    def of_model(self, word: str) -> bytes:
+        """The ids of lower-case letters that need no normalising: the model's part of the tokenizer alone."""
+        return array("H", [t.id for t in self.model.tokenize(word.translate(self.letters))]).tobytes()
 
     def __missing__(self, piece: str) -> bytes:
         if piece.isascii() and not piece.islower() and "<" not in piece and piece.lower() != piece:
             found = self[piece.lower()]
         elif piece[-1:] in (".", ",") and piece[:-1].isalpha() and max(piece) < "\u0250" and piece[:-1].lower().isalpha():
             found = self[piece[:-1]] + self[piece[-1]]
+        elif self.direct and piece.isalpha() and max(piece) < "\u0250" and piece.lower() == piece and is_normalized("NFC", piece):
+            found = self.of_model(piece)
         else:
-            found = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, dtype="<u2").tobytes()
+            found = self.of_tokenizer(piece)
         if len(piece) <= CACHED_LENGTH:
             self[piece] = found
         return found
