@@ -1,4 +1,4 @@
 from registry.core import QUERIES, SQL
-from registry import landed, monitoring, planning  # noqa: F401
+from registry import faults, landed, monitoring, planning  # noqa: F401
 
 __all__ = ["QUERIES", "SQL"]

@@ -36,7 +36,7 @@ def test_basic(spark, job):
     r = run_ingestion(spark, config, store, T0, "r1")
     assert (r.status, r.success, r.failed, r.records) == ("success", 3, 0, 3000)
     t = rows(spark, config, store)
-    assert sorted(t.columns) == ["event_type", "id", "timestamp", "user_id", "value"]
+    assert sorted(t.columns) == ["id", "kind", "reading", "seen_at", "sensor"]
     assert t.count() == 3000 and t.select("id").distinct().count() == 3000
     run = store.runs().filter("run_id = 'r1'").first()
     assert run.files_processed == 3 and run.error_count == 0 and run.bytes_written > 0
@@ -63,12 +63,12 @@ def test_schema_evolution(spark, job):
     run_ingestion(spark, config, store, T0, "r1")
     land(src, 3, 2, evolved_record)
     r = run_ingestion(spark, config, store, T0, "r2")
-    assert set(r.added_columns) == {"region", "metadata"}
+    assert set(r.added_columns) == {"site", "device"}
     t = rows(spark, config, store)
     assert len(t.columns) == 7 and t.count() == 5000
     old, new = t.filter("id < 3000"), t.filter("id >= 3000")
-    assert old.filter("region is null and metadata is null").count() == 3000
-    assert new.filter("region is not null and metadata.browser is not null").count() == 2000
+    assert old.filter("site is null and device is null").count() == 3000
+    assert new.filter("site is not null and device.maker is not null").count() == 2000
     versions = {v.version: v.resolution_type for v in store.read("schema_versions").collect()}
     assert versions == {1: "initial", 2: "auto_merge"}
 
@@ -77,8 +77,8 @@ def test_bad_and_empty_files(spark, job):
     config, store, src = job
     land(src, 0, 2)
     (src / "empty.json").write_text("")
-    (src / "cut.json").write_text(json.dumps({"id": 9001, "value": 1.0}) + '\n{"id": 90')
-    (src / "conflict.json").write_text(json.dumps({"id": "abc", "value": 1.0}) + "\n")
+    (src / "cut.json").write_text(json.dumps({"id": 9001, "reading": 1.0}) + '\n{"id": 90')
+    (src / "conflict.json").write_text(json.dumps({"id": "abc", "reading": 1.0}) + "\n")
     run_ingestion(spark, config, store, T0, "r0", manifest=None)
     state = {r.file_path.rsplit("/", 1)[1]: r for r in store.state("ing1").collect()}
     assert state["empty.json"].status == "SUCCESS" and state["empty.json"].records_ingested == 0
@@ -92,8 +92,8 @@ def test_conflicting_type_is_held_back(spark, job):
     config, store, src = job
     land(src, 0, 1)
     run_ingestion(spark, config, store, T0, "r1")
-    (src / "conflict.json").write_text(json.dumps({"id": "abc", "value": 1.0}) + "\n")
-    (src / "names with space [x].json").write_text(json.dumps({"id": 5, "value": 1}) + "\n")
+    (src / "conflict.json").write_text(json.dumps({"id": "abc", "reading": 1.0}) + "\n")
+    (src / "names with space [x].json").write_text(json.dumps({"id": 5, "reading": 1}) + "\n")
     r = run_ingestion(spark, config, store, T0, "r2")
     assert (r.success, r.failed, r.skipped) == (1, 0, 1)
     held = store.state("ing1").filter("status = 'SKIPPED'").first()
@@ -104,13 +104,13 @@ def test_conflicting_type_is_held_back(spark, job):
 def test_explicit_schema_takes_one_scan_and_retracts_bad_files(spark, job):
     config, store, src = job
     config.schema = '{"type":"struct","fields":[{"name":"id","type":"long","nullable":true,"metadata":{}},' \
-                    '{"name":"value","type":"double","nullable":true,"metadata":{}}]}'
+                    '{"name":"reading","type":"double","nullable":true,"metadata":{}}]}'
     land(src, 0, 2)
-    (src / "bad.json").write_text('{"id": 7, "value": 1.5}\n{"id": "x", "value": 2}\n')
+    (src / "bad.json").write_text('{"id": 7, "reading": 1.5}\n{"id": "x", "reading": 2}\n')
     r = run_ingestion(spark, config, store, T0, "r1")
     assert (r.status, r.success, r.failed, r.records) == ("partial", 2, 1, 2000)
     t = rows(spark, config, store)
-    assert t.columns == ["id", "value"] and t.count() == 2000 and t.filter("id = 7").count() < 2
+    assert t.columns == ["id", "reading"] and t.count() == 2000 and t.filter("id = 7").count() < 2
     bad = writer.rejected(spark, config.table, store.runs()).collect()
     assert len(bad) == 1 and '"x"' in bad[0]["_corrupt_record"]
 
@@ -119,7 +119,7 @@ def test_quarantine_keeps_good_records(spark, job):
     config, store, src = job
     config.on_bad_records = "quarantine"
     land(src, 0, 1)
-    (src / "cut.json").write_text(json.dumps({"id": 9001, "value": 1.0}) + '\n{"id": 90')
+    (src / "cut.json").write_text(json.dumps({"id": 9001, "reading": 1.0}) + '\n{"id": 90')
     r = run_ingestion(spark, config, store, T0, "r1")
     assert (r.success, r.failed, r.records) == (2, 0, 1001)
     assert writer.rejected(spark, config.table, store.runs()).count() == 1
@@ -164,13 +164,13 @@ def test_several_scans_per_run(spark, job):
 
 def test_partition_and_cluster_columns(spark, job):
     config, store, src = job
-    config.partition_columns = ("event_type",)
-    config.cluster_columns = ("user_id", "id")
+    config.partition_columns = ("kind",)
+    config.cluster_columns = ("sensor", "id")
     land(src, 0, 2)
     run_ingestion(spark, config, store, T0, "r1")
     parts = [r[0] for r in spark.sql(f"SHOW PARTITIONS {config.table}").collect()]
-    assert len(parts) == 4 and all("event_type=" in p for p in parts)
-    assert rows(spark, config, store).groupBy("event_type").count().filter("count = 500").count() == 4
+    assert len(parts) == 4 and all("kind=" in p for p in parts)
+    assert rows(spark, config, store).groupBy("kind").count().filter("count = 500").count() == 4
 
 
 def test_merge_publishes_latest_per_key(spark, job):
@@ -178,11 +178,11 @@ def test_merge_publishes_latest_per_key(spark, job):
     config.write_mode, config.merge_keys = "merge", ("id",)
     land(src, 0, 1, rows=10)
     run_ingestion(spark, config, store, T0, "r1")
-    (src / "update.json").write_text("\n".join(json.dumps({"id": i, "value": -1.0}) for i in (3, 4, 100)) + "\n")
+    (src / "update.json").write_text("\n".join(json.dumps({"id": i, "reading": -1.0}) for i in (3, 4, 100)) + "\n")
     run_ingestion(spark, config, store, T0, "r2")
     t = spark.table(config.table + "_current")
-    assert t.count() == 11 and t.filter("value = -1.0").count() == 3
-    spark.sql(f"DROP TABLE {config.table}_current")
+    assert t.count() == 11 and t.filter("reading = -1.0").count() == 3
+    spark.sql(f"DROP VIEW {config.table}_current")
 
 
 def test_csv_with_two_headers(spark, job):

@@ -15,9 +15,9 @@ from tidemark.streaming.ingest import ingest_stream, progress_metrics, read_file
 T0 = datetime(2025, 1, 1, tzinfo=timezone.utc)
 T1 = datetime(2025, 1, 2, tzinfo=timezone.utc)
 SCHEMA = T.StructType([
-    T.StructField("id", T.LongType()), T.StructField("timestamp", T.StringType()),
-    T.StructField("user_id", T.StringType()), T.StructField("event_type", T.StringType()),
-    T.StructField("value", T.DoubleType()),
+    T.StructField("id", T.LongType()), T.StructField("seen_at", T.StringType()),
+    T.StructField("sensor", T.StringType()), T.StructField("kind", T.StringType()),
+    T.StructField("reading", T.DoubleType()),
 ])
 
 
@@ -110,7 +110,7 @@ def test_stream_to_table(spark, job):
     config, store, src = job
     land(src, 0, 2, rows=50)
     rows = read_files(spark, config.source_path, "json", SCHEMA, max_files_per_trigger=1)
-    q = write_table(rows, config.table, f"file:{src.parent}/ck2", partition_columns=("event_type",))
+    q = write_table(rows, config.table, f"file:{src.parent}/ck2", partition_columns=("kind",))
     q.awaitTermination()
     assert spark.table(config.table).count() == 100
 

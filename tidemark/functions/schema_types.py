@@ -59,18 +59,18 @@ def common_type(a: T.DataType, b: T.DataType, promote: str) -> T.DataType:
 
 
 def merge(old: T.StructType, new: T.StructType, promote: str = "string") -> T.StructType:
-    """Union of fields in order; a column seen with two types or in one schema only becomes nullable."""
-    incoming = {f.name: f for f in new.fields}
+    """Union of fields in order, names compared without case; a column seen with two types or in one schema only becomes nullable."""
+    incoming = {f.name.lower(): f for f in new.fields}
     out = []
     for f in old.fields:
-        g = incoming.pop(f.name, None)
+        g = incoming.pop(f.name.lower(), None)
         if g is None:
             out.append(f)
         elif g.dataType == f.dataType:
             out.append(T.StructField(f.name, f.dataType, f.nullable or g.nullable))
         else:
             out.append(T.StructField(f.name, common_type(f.dataType, g.dataType, promote), True))
-    out.extend(T.StructField(g.name, g.dataType, True) for g in new.fields if g.name in incoming)
+    out.extend(T.StructField(g.name, g.dataType, True) for g in incoming.values())
     return T.StructType(out)
 
 
@@ -93,11 +93,12 @@ class SchemaChange:
 
 def diff(old: T.StructType, new: T.StructType, strict: bool = False) -> list[SchemaChange]:
     """Field-by-field changes; removals, narrowing and lost nullability are breaking."""
-    a = {f.name: f for f in old.fields}
-    b = {f.name: f for f in new.fields}
+    a = {f.name.lower(): f for f in old.fields}
+    b = {f.name.lower(): f for f in new.fields}
     out = []
-    for name in [*a, *(n for n in b if n not in a)]:
-        x, y = a.get(name), b.get(name)
+    for key in [*a, *(n for n in b if n not in a)]:
+        x, y = a.get(key), b.get(key)
+        name = (x or y).name
         ot, nt = x and x.dataType.simpleString(), y and y.dataType.simpleString()
         on, nn = x and x.nullable, y and y.nullable
         if x is None:
@@ -126,10 +127,10 @@ def conflicts(table: T.StructType, found: T.StructType) -> list[str]:
 
 def clashes(known: T.StructType, found: T.StructType) -> list[str]:
     """Columns whose two types have no common type but text."""
-    have = {f.name: f.dataType for f in known.fields}
+    have = {f.name.lower(): f.dataType for f in known.fields}
     out = []
     for f in found.fields:
-        t = have.get(f.name)
+        t = have.get(f.name.lower())
         if t is None or fits(f.dataType, t):
             continue
         if isinstance(common_type(t, f.dataType, "widen"), T.StringType):
@@ -137,6 +138,17 @@ def clashes(known: T.StructType, found: T.StructType) -> list[str]:
     return out
 
 
+def doubled_names(found: T.StructType) -> list[str]:
+    """Columns that one schema spells in two ways; they cannot be told apart in a table."""
+    seen: dict[str, str] = {}
+    out = []
+    for f in found.fields:
+        first = seen.setdefault(f.name.lower(), f.name)
+        if first != f.name:
+            out.append(f"{f.name}: is also spelled {first}")
+    return out
+
+
 def from_variant_schema(text: str) -> T.StructType | None:
     """Spark type of a ``schema_of_variant_agg`` result; None when the records are not objects."""
     while text.startswith("ARRAY<") and text.endswith(">"):

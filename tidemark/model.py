@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass, field
+from datetime import datetime
 
 from pyspark.sql import types as T
 
@@ -137,7 +138,21 @@ class IngestionConfig:
     exclude_pattern: str | None = None
     max_file_age_days: int | None = None
     row_count_threshold: int | None = None
+    # How many files one scan takes; schemas and verdicts do not depend on it.
     files_per_scan: int = 50_000
+    # Failed files are tried again this often, after a growing wait; None tries every failed file in every run.
+    max_retries: int | None = 3
+    retry_backoff: bool = False
+    stale_after_hours: int = 2
+    # Columns by which the last row of a merge key wins; without them the newest file does.
+    merge_order: tuple[str, ...] = ()
+    # Whether a run whose files hold no rows may empty the published table of mode overwrite.
+    allow_empty_overwrite: bool = False
+    # Steps (name, argument) applied to the rows on their way into the table, see operators.transforms.
+    transforms: tuple[tuple[str, object], ...] = ()
+    # Only files modified from then on, or the day folders of the last days.
+    since: datetime | None = None
+    lookback_days: int | None = None
 
     def __post_init__(self) -> None:
         self.format = self.format.lower()

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.functions.expressions import BYTES_PER_GB, as_column, minus
-from tidemark.model import PERMANENTLY_SKIPPED, PROCESSING, SKIPPED, SUCCESS
+from tidemark.functions.expressions import BYTES_PER_GB, as_column, error_class, minus, next_retry_at
+from tidemark.model import FAILED, PERMANENTLY_SKIPPED, PROCESSING, SKIPPED, SUCCESS
 from tidemark.sources.manifest import modified_between
 
 NEW, RETRY, CHANGED, UNCHANGED, IN_PROGRESS = "NEW", "RETRY", "CHANGED", "UNCHANGED", "IN_PROGRESS"
@@ -74,6 +74,24 @@ def plan(manifest: DataFrame, state: DataFrame, mode: str = "changed") -> DataFr
     return sorted_out.filter(F.col("action").isin(*actions[mode]) & ~skipped_before)
 
 
+def due(files: DataFrame, state: DataFrame, as_of, max_retries: int | None = 3, backoff: bool = False) -> DataFrame:
+    """Drops failed files that must not be tried now: retries used up, hopeless until they change, or still to wait.
+
+    A file whose size or time differs from the failed one's is a new try.
+    """
+    if max_retries is None:
+        return files
+    keys = ["ingestion_id", "file_path"] if "ingestion_id" in files.columns else ["file_path"]
+    wait = F.coalesce(next_retry_at(F.col("processed_at"), F.col("retry_count")) > as_column(as_of), F.lit(False)) if backoff else F.lit(False)
+    again = F.col("error_type").isNull() | error_class(F.col("error_type"))["retryable"]
+    held = state.filter((F.col("status") == FAILED) & (~again | (F.col("retry_count") >= max_retries) | wait)).select(
+        *keys, F.col("file_size_bytes").alias("size_bytes"), F.col("file_modified_at").alias("_failed_modified")
+    )
+    same = [files[k] == held[k] for k in keys] + [files["size_bytes"].eqNullSafe(held["size_bytes"])]
+    same.append(files["modified_at"].cast("timestamp").eqNullSafe(held["_failed_modified"].cast("timestamp")))
+    return files.join(held, same, "left_anti")
+
+
 def prefilter(
     files: DataFrame,
     as_of=None,

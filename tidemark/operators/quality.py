@@ -32,11 +32,13 @@ def sla_breaches(state: DataFrame, max_seconds: float) -> DataFrame:
     )
 
 
-def silent_ingestions(manifest: DataFrame, as_of, days: int = 2) -> DataFrame:
-    """Ingestions whose newest file is older than the limit."""
+def silent_ingestions(manifest: DataFrame, as_of, days: int = 2, ingestions: DataFrame | None = None) -> DataFrame:
+    """Ingestions whose newest file is older than the limit, and those of ``ingestions`` that never got a file."""
     newest = manifest.groupBy("ingestion_id").agg(F.max("modified_at").alias("newest_file"))
+    if ingestions is not None:
+        newest = ingestions.select("ingestion_id").distinct().join(newest, "ingestion_id", "left")
     idle = F.date_diff(F.to_date(as_column(as_of)), F.to_date("newest_file"))
-    return newest.withColumn("idle_days", idle).filter(idle > days)
+    return newest.withColumn("idle_days", idle).filter((idle > days) | F.col("newest_file").isNull())
 
 
 def arrival_gaps(manifest: DataFrame, days: int = 2, time: str = "modified_at") -> DataFrame:

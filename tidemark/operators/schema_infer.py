@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from tidemark.functions.schema_types import from_variant_schema, merge
 from tidemark.model import SOURCE_FILE
-from tidemark.sources.paths import canonical, escape_glob
+from tidemark.sources.paths import scanned_file, escape_glob
 from tidemark.sources.readers import reader_options
 
 
@@ -17,7 +17,7 @@ def read_lines(spark: SparkSession, paths: list[str], options: dict | None = Non
     # A text reader takes no header, quote or delimiter; the codec follows from the file name.
     keep = {k: v for k, v in opts.items() if k in ("lineSep", "encoding")}
     lines = spark.read.options(**keep).text([escape_glob(p) for p in paths], wholetext=whole)
-    return lines.select("value", canonical(F.col("_metadata.file_path")).alias(SOURCE_FILE))
+    return lines.select("value", scanned_file(F.col("_metadata.file_path")).alias(SOURCE_FILE))
 
 
 def json_file_schemas(lines: DataFrame, value: str = "value", file: str = SOURCE_FILE) -> DataFrame:
@@ -58,7 +58,7 @@ def csv_headers(spark: SparkSession, paths: list[str], options: dict | None = No
     """
     lines = spark.read.text([escape_glob(p) for p in paths]).filter(F.col("_metadata.file_block_start") == 0)
     numbered = lines.select(
-        "value", canonical(F.col("_metadata.file_path")).alias(SOURCE_FILE), F.monotonically_increasing_id().alias("n")
+        "value", scanned_file(F.col("_metadata.file_path")).alias(SOURCE_FILE), F.monotonically_increasing_id().alias("n")
     )
     return numbered.groupBy(SOURCE_FILE).agg(F.min_by("value", "n").alias("header"))
 

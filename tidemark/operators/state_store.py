@@ -7,12 +7,13 @@ history is read without listing the others.
 
 from __future__ import annotations
 
+import uuid
 from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from tidemark.model import LEDGER_SCHEMA, RUN_SCHEMA, SCHEMA_FILE_SCHEMA, SCHEMA_VERSION_SCHEMA
-from tidemark.operators.ledger import current_state, split_by_age
+from tidemark.model import FAILED, LEDGER_SCHEMA, PROCESSING, RUN_SCHEMA, SCHEMA_FILE_SCHEMA, SCHEMA_VERSION_SCHEMA
+from tidemark.operators.ledger import current_state, split_by_age, stale_reset, transition
 from tidemark.workspace import make_folder, materialize, path_exists
 
 FOLDERS = [T.StructField(n, T.StringType()) for n in ("i", "r", "phase")]
@@ -68,6 +69,17 @@ class StateStore:
     def state(self, ingestion_id: str | None = None) -> DataFrame:
         return current_state(self.events(ingestion_id))
 
+    def reset_stale(self, ingestion_id: str, run_id: str, as_of, hours: int = 2) -> None:
+        """Stores the events that return files of lost runs to PENDING; a replayed run keeps its own."""
+        state = self.state(ingestion_id).filter(F.col("run_id") != run_id)
+        self.append("ledger", ingestion_id, run_id, "reset", stale_reset(state, F.lit(as_of), hours).drop("run_id"))
+
+    def fail_in_flight(self, ingestion_id: str, run_id: str, at, error_type: str, message: str) -> None:
+        """Stores that the files a broken run had taken have failed, so that a later run may take them."""
+        mine = self.state(ingestion_id).filter((F.col("run_id") == run_id) & (F.col("status") == PROCESSING))
+        events = transition(mine, F.lit(at), FAILED, error_type=error_type, error_message=message, processed_at=F.lit(at))
+        self.append("ledger", ingestion_id, run_id, "broken", events)
+
     def runs(self, ingestion_id: str | None = None) -> DataFrame:
         """Latest row per run."""
         rows = self.read("runs", ingestion_id)
@@ -92,12 +104,16 @@ class StateStore:
         return new
 
     def retire(self, root: str, archive: str, as_of, retention_days: int = 90) -> tuple["StateStore", int]:
-        """A new store without files processed before the horizon, and how many went to ``archive``."""
+        """A new store without files processed before the horizon, and how many went to ``archive``.
+
+        Each pass adds its own folder to the archive, so earlier passes stay.
+        """
         # Stored once: both halves and the count come from it.
         kept, old = split_by_age(materialize(self.state(), "state"), as_of, retention_days)
-        old.write.mode("overwrite").parquet(archive)
+        moved = f"{archive.rstrip('/')}/pass={uuid.uuid4().hex}"
+        old.write.parquet(moved)
         new = StateStore(self.spark, root)
         new._rewrite("ledger", kept, "retired")
         for name in ("runs", "schema_versions", "schema_files"):
             new._rewrite(name, self.runs() if name == "runs" else self.read(name), "retired")
-        return new, self.spark.read.schema(LEDGER_SCHEMA).parquet(archive).count()
+        return new, self.spark.read.schema(LEDGER_SCHEMA).parquet(moved).count()

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.functions.expressions import first_per_key
+from tidemark.workspace import delete_path, list_folder
 
 
 def dedupe(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Latest row per key, ties broken by the whole row; one row per key and task reaches the shuffle."""
     tie = [c for c in df.columns if c not in keys and c not in order]
+    if not order and not tie:
+        return df.dropDuplicates(keys)
     return first_per_key(df, keys, [*order, *tie])
 
 
@@ -73,20 +77,28 @@ def _matched(target: DataFrame, source: DataFrame, keys: list[str], order: list[
     return a.join(b, keys, "full_outer").withColumn("_same", same)
 
 
-def swap_snapshot(rows: DataFrame, table: str, location: str | None = None, partition_columns: tuple[str, ...] = ()) -> None:
-    """Replaces a table with rows that may be read from it: new files first, then the name moves."""
-    from tidemark.workspace import scratch
+def swap_snapshot(rows: DataFrame, name: str, location: str) -> None:
+    """Publishes rows, which may be read from ``name`` itself, under that name.
 
+    They go to a new folder below ``location`` and the name, a view, is replaced in one step: readers see the old rows
+    or the new ones. The snapshot before stays for readers that have begun with it; older ones are removed.
+    """
     spark = rows.sparkSession
-    path = f"{location}/snapshot-{_token()}" if location else scratch(spark, "snapshot")
-    writer = rows.write
-    if partition_columns:
-        writer = writer.partitionBy(*partition_columns)
-    writer.parquet(path)
-    spark.sql(f"DROP TABLE IF EXISTS {table}")
-    spark.catalog.createTable(table, path=path, source="parquet")
-    if partition_columns:
-        spark.sql(f"MSCK REPAIR TABLE {table}")
+    path = f"{location}/snapshot-{datetime.now(timezone.utc):%Y%m%dT%H%M%S%f}-{_token()[:8]}"
+    rows.write.parquet(path)
+    if spark.catalog.tableExists(name) and spark.catalog.getTable(name).tableType != "VIEW":
+        spark.sql(f"DROP TABLE {name}")
+    spark.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM parquet.`{path}`")
+    for old in sorted(list_folder(spark, location))[:-2]:
+        delete_path(spark, old)
+
+
+def drop_published(spark: SparkSession, name: str, location: str) -> None:
+    """Takes a published name and its snapshots away."""
+    if spark.catalog.tableExists(name):
+        kind = "VIEW" if spark.catalog.getTable(name).tableType == "VIEW" else "TABLE"
+        spark.sql(f"DROP {kind} {name}")
+    delete_path(spark, location)
 
 
 def _token() -> str:

@@ -8,6 +8,8 @@ says it ended, so a lost job leaves nothing visible and a replay leaves the same
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tidemark.functions.schema_types import new_columns
@@ -64,14 +66,25 @@ def evolve_table(spark: SparkSession, table: str, incoming: T.StructType) -> lis
 
 
 def overwrite_partitions(df: DataFrame, table: str) -> None:
-    """Replaces the partitions present in ``df``; columns go by name, absent ones become NULL."""
+    """Replaces the partitions present in ``df``; columns go by name, absent ones become NULL.
+
+    The statement runs in a session of its own with the same settings: switching the overwrite mode of the caller's
+    session would change what another thread's insert in it replaces.
+    """
     spark = df.sparkSession
-    before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    own = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if own.conf.isModifiable(key):
+            own.conf.set(key, value)
+    own.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    own.catalog.setCurrentDatabase(spark.catalog.currentDatabase())
+    rows = f"tidemark_{uuid.uuid4().hex}"
+    df.createGlobalTempView(rows)
     try:
-        spark.sql(f"INSERT OVERWRITE {table} BY NAME SELECT * FROM {{rows}}", rows=df)
+        own.sql(f"INSERT OVERWRITE {table} BY NAME SELECT * FROM global_temp.{rows}")
     finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
+        spark.catalog.dropGlobalTempView(rows)
+    spark.catalog.refreshTable(table)
 
 
 def drop_run(spark: SparkSession, table: str, run_id: str, part: int | None = None) -> None:
@@ -127,9 +140,19 @@ def retract_files(spark: SparkSession, table: str, run_id: str, part: int, faile
 
 
 def committed(spark: SparkSession, table: str, runs: DataFrame, service_columns: bool = False) -> DataFrame:
-    """The rows readers see: good records of ended runs."""
-    done = runs.filter(F.col("status").isin(RUN_SUCCESS, RUN_PARTIAL)).select(F.col("run_id").alias(RUN_ID))
-    rows = spark.table(table).filter(F.col(PART) >= 0).join(done, RUN_ID, "left_semi")
+    """The rows readers see: good records of ended runs, of each file those of the last run that loaded it."""
+    done = runs.filter(F.col("status").isin(RUN_SUCCESS, RUN_PARTIAL)).select(
+        F.col("run_id").alias(RUN_ID), F.struct(F.coalesce("ended_at", "started_at"), "run_id").alias("_at")
+    )
+    good = spark.table(table).filter(F.col(PART) >= 0)
+    rows = good.join(done.select(RUN_ID), RUN_ID, "left_semi")
+    # Files that several runs have loaded are few: pairs of file and run come from two columns, and only outdated
+    # pairs meet the rows.
+    pairs = good.select(SOURCE_FILE, RUN_ID).distinct().join(done, RUN_ID)
+    several = pairs.groupBy(SOURCE_FILE).agg(F.max("_at").alias("_last"), F.count("*").alias("_n")).filter("_n > 1")
+    outdated = pairs.join(several, SOURCE_FILE).filter("_at < _last").select(SOURCE_FILE, RUN_ID)
+    if not outdated.isEmpty():
+        rows = rows.join(outdated, [SOURCE_FILE, RUN_ID], "left_anti").select(*good.columns)
     if service_columns:
         return rows
     return rows.drop(*SERVICE_COLUMNS)
@@ -168,25 +191,33 @@ def append(df: DataFrame, table: str, partition_columns: tuple[str, ...] = ()) -
 
 
 def z_value(buckets: list[str], bits: int = 8) -> Column:
-    """Interleaved bits of bucket numbers, lowest bit first; at most seven columns of eight bits."""
-    bits = min(bits, 62 // len(buckets))
-    z = F.lit(0).cast("bigint")
-    for b in range(bits):
-        for i, c in enumerate(buckets):
-            bit = F.shiftright(F.col(c).cast("bigint"), b).bitwiseAND(F.lit(1).cast("bigint"))
-            z = z.bitwiseOR(F.shiftleft(bit, b * len(buckets) + i))
-    return z
+    """Interleaved bits of bucket numbers as text of 0 and 1, highest bits first, so any number of columns fits."""
+    turned = [F.lpad(F.bin(F.col(c).cast("bigint")), bits, "0") for c in buckets]
+    return F.concat(*[F.substring(t, b + 1, 1) for b in range(bits) for t in turned])
 
 
 def _ordinal(df: DataFrame, column: str) -> Column:
-    """A number in the order of the column: times as seconds, text by its first six bytes."""
+    """A number in the order of the column; times as microseconds."""
     kind, c = df.schema[column].dataType, F.col(quote(column))
     if isinstance(kind, T.NumericType):
         return c.cast("double")
-    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(c.cast("timestamp")).cast("double")
-    head = F.rpad(F.coalesce(c.cast("string"), F.lit("")), 6, " ").cast("binary")
-    return F.conv(F.hex(F.substring(head, 1, 6)), 16, 10).cast("double")
+    return F.unix_micros(c.cast("timestamp")).cast("double")
+
+
+def _is_text(df: DataFrame, column: str) -> bool:
+    return not isinstance(df.schema[column].dataType, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType))
+
+
+def _text_edges(df: DataFrame, column: str, ranges: int) -> list[str]:
+    """Values that cut a text column into ranges of about equal size, from whole values of a sample of hashes."""
+    rows = df.select(F.col(quote(column)).cast("string").alias("v")).filter("v IS NOT NULL")
+    kept = rows.groupBy("v").agg(F.count("*").alias("n")).orderBy(F.xxhash64("v")).limit(EDGE_SAMPLE).collect()
+    values, total, edges, seen = sorted((r.v, r.n) for r in kept), sum(r.n for r in kept), [], 0
+    for v, n in values:
+        if seen * ranges >= (len(edges) + 1) * total and v not in edges:
+            edges.append(v)
+        seen += n
+    return edges
 
 
 def _bucket(at: Column, edges: list[float], steps: int) -> Column:
@@ -203,6 +234,10 @@ def _bucket(at: Column, edges: list[float], steps: int) -> Column:
     return F.coalesce(q * steps + step, F.lit(0)).cast("int")
 
 
+# Distinct text values from which the ranges of a clustering column are taken; bounds the layout's quality only.
+EDGE_SAMPLE = 10_000
+
+
 def cluster(df: DataFrame, columns: tuple[str, ...], partitions: int | None = None) -> DataFrame:
     """Rows laid out along a z-order curve, so files cover small ranges of every column.
 
@@ -210,12 +245,17 @@ def cluster(df: DataFrame, columns: tuple[str, ...], partitions: int | None = No
     """
     ranges, steps = 16, 16
     shares = F.array(*[F.lit(i / ranges) for i in range(ranges + 1)])
-    row = df.select(*[F.percentile_approx(_ordinal(df, c), shares, 1000) for c in columns]).first()
-    if row[0] is None:
-        return df
-    buckets = {
-        f"_z{i}": _bucket(_ordinal(df, c), row[i], steps) if row[i] else F.lit(0) for i, c in enumerate(columns)
-    }
+    numeric = [c for c in columns if not _is_text(df, c)]
+    row = df.select(*[F.percentile_approx(_ordinal(df, c), shares, 1000).alias(c) for c in numeric]).first() if numeric else {}
+    buckets = {}
+    for i, c in enumerate(columns):
+        if c in numeric:
+            buckets[f"_z{i}"] = _bucket(_ordinal(df, c), row[c], steps) if row[c] else F.lit(0)
+        else:
+            at, number = F.col(quote(c)).cast("string"), F.lit(0)
+            for e in _text_edges(df, c, ranges * steps):
+                number = number + (at >= e).cast("int")
+            buckets[f"_z{i}"] = F.coalesce(number, F.lit(0))
     placed = df.withColumns(buckets)
     placed = placed.withColumn("_z", z_value(list(buckets)))
     key = [F.col("_z"), *[F.col(quote(c)) for c in columns]]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 import re
 import time
@@ -11,23 +12,38 @@ from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from tidemark.functions.schema_types import clashes, conflicts, diff, from_variant_schema, merge
+from tidemark.functions.schema_types import clashes, conflicts, diff, doubled_names, from_variant_schema, merge, new_columns
 from tidemark.model import (
-    CORRUPT_ERROR, FAILED, MALFORMED_ERROR, PROCESSING, RUN_FAILED, RUN_PARTIAL, RUN_RUNNING, RUN_SCHEMA,
+    CORRUPT, CORRUPT_ERROR, FAILED, MALFORMED_ERROR, MANIFEST_SCHEMA, PROCESSING, RUN_FAILED, RUN_PARTIAL, RUN_RUNNING, RUN_SCHEMA,
     RUN_SUCCESS, SCHEMA_ERROR, SCHEMA_VERSION_SCHEMA, SKIPPED, SOURCE_FILE, SUCCESS, IngestionConfig,
 )
-from tidemark.operators import planning, writer
+from tidemark.operators import planning, transforms, writer
 from tidemark.operators.ledger import finished_events
 from tidemark.operators.schema_history import user_columns
-from tidemark.operators.schema_infer import json_file_schemas, read_lines
+from tidemark.operators.schema_infer import csv_headers, json_file_schemas, read_lines
 from tidemark.operators.state_store import StateStore
-from tidemark.operators.upsert import merge_rows, swap_snapshot
+from tidemark.operators.upsert import dedupe, swap_snapshot
 from tidemark.sources import manifest as manifests
-from tidemark.sources.listing import check_markers
+from tidemark.sources.listing import check_markers, footer_schemas
 from tidemark.sources.readers import listing_tasks, scan, scan_permissive
-from tidemark.workspace import delete_path
+from tidemark.workspace import delete_path, path_exists
 
-VERDICT_SCHEMA = f"{SOURCE_FILE} string, verdict string, error_type string, message string"
+VERDICT_COLUMNS = "verdict string, error_type string, message string"
+VERDICT_SCHEMA = f"{SOURCE_FILE} string, {VERDICT_COLUMNS}"
+PROBE_SCHEMA = f"{SOURCE_FILE} string, found string, {VERDICT_COLUMNS}"
+# The run row shows the first errors as a report; the count is full, and all errors are ledger rows of the run.
+ERRORS_IN_RUN_ROW = 100
+
+
+def schema_of(text: str | None) -> T.StructType | None:
+    """A schema from its JSON, or from Spark's text for variants."""
+    if not text:
+        return None
+    return T.StructType.fromJson(json.loads(text)) if text.startswith("{") else from_variant_schema(text)
+
+
+def new_only(known: T.StructType, found: T.StructType) -> T.StructType:
+    return T.StructType(new_columns(known, found))
 
 
 @dataclass
@@ -64,7 +80,8 @@ def run_ingestion(
     except Exception as e:
         ended = started + timedelta(seconds=time.monotonic() - clock)
         _write_run(spark, store, config, run_id, started, ended, trigger, RUN_FAILED,
-                   errors=[(None, type(e).__name__, str(e)[:4000], ended)])
+                   errors=[(None, type(e).__name__, str(e), ended)])
+        store.fail_in_flight(config.ingestion_id, run_id, ended, type(e).__name__, str(e))
         raise
     return result
 
@@ -75,7 +92,8 @@ class _Run:
         self.run_id, self.started, self.trigger = run_id, started, trigger
         self.clock = time.monotonic()
         self.added: list[str] = []
-        self.new_version: int | None = None
+        self.new_versions: list[int] = []
+        self.groups: list = []
 
     def now(self) -> datetime:
         return self.started + timedelta(seconds=time.monotonic() - self.clock)
@@ -84,13 +102,15 @@ class _Run:
         config, store = self.config, self.store
         self.begin()
         files = self.fix_plan(manifest)
-        total = files.agg(F.count_if(F.col("status") == PROCESSING)).first()[0]
+        todo = files.filter(F.col("status") == PROCESSING)
+        total = todo.agg(F.count("*")).first()[0]
         if total:
-            # A scan holds its file list on the driver, as every Spark file scan does; beyond the bound
-            # the run takes several scans, split by a hash of the path.
+            # A scan holds its file list on the driver, as every Spark file scan does; beyond the bound the run
+            # takes several scans, split by a hash of the path. Schemas and verdicts are decided before, for all.
             scans = math.ceil(total / config.files_per_scan)
+            self.judge(todo, scans)
             for k in range(scans):
-                self.load_part(files.filter(F.col("status") == PROCESSING), k, scans)
+                self.load_part(k, scans)
             self.finish_files(files, scans)
         return self.complete()
 
@@ -98,11 +118,13 @@ class _Run:
         """Shows the run as running and takes back whatever an earlier attempt of it wrote."""
         config, spark, store = self.config, self.spark, self.store
         delete_path(spark, store.folder("runs", config.ingestion_id, self.run_id, "end"))
+        delete_path(spark, store.folder("ledger", config.ingestion_id, self.run_id, "broken"))
         row = (config.ingestion_id, self.started, None, RUN_RUNNING, self.trigger, 0, 0, 0, 0, 0, 0, None, 0, [],
                config.table, self.run_id)
         store.append("runs", config.ingestion_id, self.run_id, "start", spark.createDataFrame([row], RUN_SCHEMA))
         if writer.table_exists(spark, config.table):
             writer.drop_run(spark, config.table, self.run_id)
+        store.reset_stale(config.ingestion_id, self.run_id, self.started, config.stale_after_hours)
 
     def fix_plan(self, manifest: DataFrame | None) -> DataFrame:
         """Plans once and stores it: later steps and a replay see the same files whatever lands meanwhile."""
@@ -110,13 +132,12 @@ class _Run:
         if store.has_plan(config.ingestion_id, self.run_id):
             return store.planned(config.ingestion_id, self.run_id)
         if manifest is None:
-            manifest = manifests.discover(
-                self.spark, config.source_path, pattern=config.file_pattern, match=config.match,
-                max_files=config.max_files,
-            )
+            manifest = self.listed()
         if "ingestion_id" not in manifest.columns:
             manifest = manifest.withColumn("ingestion_id", F.lit(config.ingestion_id))
-        todo = planning.plan(manifest, store.state(config.ingestion_id), config.plan_mode)
+        state = store.state(config.ingestion_id)
+        todo = planning.plan(manifest, state, config.plan_mode)
+        todo = planning.due(todo, state, F.lit(self.started), config.max_retries, config.retry_backoff)
         todo = planning.prefilter(
             todo, self.started, config.max_file_size_gb, config.exclude_pattern, config.max_file_age_days
         )
@@ -139,123 +160,190 @@ class _Run:
         store.append("ledger", config.ingestion_id, self.run_id, "plan", rows)
         return store.planned(config.ingestion_id, self.run_id)
 
-    def load_part(self, files: DataFrame, k: int, scans: int) -> None:
+    def listed(self) -> DataFrame:
+        """The manifest of the source, of the day folders looked back at, or of the files modified lately."""
         config = self.config
-        mine = files if scans == 1 else files.filter(F.pmod(F.xxhash64("file_path"), F.lit(scans)) == k)
-        # Empty files have nothing to scan; they end as SUCCESS with 0 records.
-        paths = [r[0] for r in mine.filter("file_size_bytes > 0").select("file_path").collect()]
-        verdicts = self.spark.createDataFrame([], VERDICT_SCHEMA)
-        if paths:
-            table_schema = None
-            if writer.table_exists(self.spark, config.table):
-                table_schema = user_columns(self.spark.table(config.table).schema)
-            if config.explicit_schema is not None:
-                groups = [(paths, config.explicit_schema)]
-            elif config.format == "json":
-                groups, verdicts = self.judge_json(paths, table_schema, k)
-            else:
-                groups, verdicts = self.judge_by_schema(paths, table_schema)
-            groups = [(p, s) for p, s in groups if p]
-            if groups:
-                verdicts = verdicts.unionByName(self.write_groups(groups, k))
-        verdicts.write.mode("overwrite").parquet(self.verdict_path(k))
+        roots = [config.source_path]
+        if config.lookback_days is not None:
+            days = manifests.day_roots(config.source_path, self.started - timedelta(days=config.lookback_days), self.started)
+            roots = [r for r in days if path_exists(self.spark, r)]
+        if not roots:
+            return self.spark.createDataFrame([], MANIFEST_SCHEMA)
+        return manifests.discover(
+            self.spark, *roots, pattern=config.file_pattern, match=config.match, since=config.since, max_files=config.max_files
+        )
 
-    def verdict_path(self, k: int) -> str:
-        return f"{self.store.root}/verdicts/run_id={self.run_id}/part={k}"
+    def paths(self, table: DataFrame, k: int, scans: int, column: str = "file_path") -> list[str]:
+        mine = table if scans == 1 else table.filter(F.pmod(F.xxhash64(column), F.lit(scans)) == k)
+        return [r[0] for r in mine.select(column).collect()]
 
-    def judge_json(self, paths, table_schema, k):
-        """Schema and malformed count of every file from one pass; files that cannot be loaded drop out."""
-        probe_path = f"{self.store.root}/probes/run_id={self.run_id}/part={k}"
-        json_file_schemas(read_lines(self.spark, paths, self.config.format_options)).write.mode("overwrite").parquet(
-            probe_path
-        )
-        probe = self.spark.read.parquet(probe_path)
-        # At most one text per file of this scan, usually a handful; the first file in key order sets a type.
-        firsts = probe.groupBy("variant_schema").agg(F.min(SOURCE_FILE).alias("first")).collect()
+    def judge(self, todo: DataFrame, scans: int) -> None:
+        """One decision for all files of the run: verdicts, and the schema that each of the others is read with.
+
+        Stored are a row per file with the JSON of its own schema (``verdicts``), and kept a row per distinct schema.
+        """
+        config = self.config
+        filled = todo.filter("file_size_bytes > 0")
+        table_schema = None
+        if writer.table_exists(self.spark, config.table):
+            table_schema = user_columns(self.spark.table(config.table).schema)
+        if config.explicit_schema is not None:
+            probe = filled.select(F.col("file_path").alias(SOURCE_FILE), F.lit(config.explicit_schema.json()).alias("found"), *[F.lit(None).cast("string").alias(c) for c in ("verdict", "error_type", "message")])
+        else:
+            for k in range(scans):
+                paths = self.paths(filled, k, scans)
+                if paths:
+                    self.probe(paths).write.mode("overwrite").parquet(self.probe_path(k))
+                else:
+                    self.spark.createDataFrame([], PROBE_SCHEMA).write.mode("overwrite").parquet(self.probe_path(k))
+            probe = self.spark.read.schema(PROBE_SCHEMA).parquet(*[self.probe_path(k) for k in range(scans)])
+        # A row per distinct schema; the first file in key order sets a new column's type.
+        good = probe.filter("error_type IS NULL")
+        firsts = good.groupBy("found").agg(F.min(SOURCE_FILE).alias("first")).collect()
         merged = table_schema or T.StructType([])
-        found_columns = T.StructType([])
-        reasons = {}
-        for t in [r[0] for r in sorted(firsts, key=lambda r: r["first"])]:
-            s = from_variant_schema(t) if t else None
+        reasons: dict[str, str] = {}
+        self.groups: list[tuple[list[str], T.StructType]] = []
+        for text in [r["found"] for r in sorted(firsts, key=lambda r: r["first"])]:
+            s = schema_of(text)
             if s is None:
-                reasons[t] = None if t in (None, "VOID") else f"records are not objects: {t[:200]}"
+                if text not in (None, "", "VOID"):
+                    reasons[text] = f"records are not objects: {text}"
                 continue
-            problems = conflicts(table_schema, s) if table_schema is not None else []
-            problems += [p for p in clashes(merged, s) if p not in problems]
-            reasons[t] = "; ".join(problems) or None
-            if not problems:
-                merged = merge(merged, s, "widen")
-                found_columns = merge(found_columns, s, "widen")
-        broken = [(t, m) for t, m in reasons.items() if m]
-        reason = self.spark.createDataFrame(broken, "variant_schema string, schema_problem string")
-        judged = probe.join(reason, "variant_schema", "left")
-        whole_file = self.config.on_bad_records == "fail_file"
-        malformed = (F.col("malformed_count") > 0) if whole_file else (
-            F.col("malformed_count") == F.col("record_count")
-        ) & (F.col("record_count") > 0)
-        verdict = F.when(malformed, FAILED).when(F.col("schema_problem").isNotNull(), SKIPPED)
-        judged = judged.withColumn("verdict", verdict)
-        out = judged.filter(F.col("verdict").isNotNull()).select(
-            SOURCE_FILE,
-            "verdict",
-            F.when(malformed, MALFORMED_ERROR).otherwise(SCHEMA_ERROR).alias("error_type"),
-            F.when(malformed, F.format_string("%d of %d records malformed", "malformed_count", "record_count"))
-            .otherwise(F.concat(F.lit("Schema mismatch: "), F.col("schema_problem"))).alias("message"),
+            problems = doubled_names(s)
+            if config.format != "csv" and table_schema is not None:
+                problems += conflicts(table_schema, s)
+            if config.format != "csv":
+                problems += [p for p in clashes(merged, s) if p not in problems]
+            if problems:
+                reasons[text] = "; ".join(problems)
+            else:
+                # A CSV value that does not fit the column's type is a bad record of its file alone.
+                merged = merge(merged, s if config.format != "csv" else new_only(merged, s), "widen")
+                self.groups.append(([text], s))
+        bad = self.spark.createDataFrame(list(reasons.items()), "found string, schema_problem string")
+        judged = probe.join(bad, "found", "left").select(
+            SOURCE_FILE, "found",
+            F.coalesce("verdict", F.when(F.col("schema_problem").isNotNull(), SKIPPED)).alias("verdict"),
+            F.coalesce("error_type", F.when(F.col("schema_problem").isNotNull(), SCHEMA_ERROR)).alias("error_type"),
+            F.coalesce("message", F.concat(F.lit("Schema mismatch: "), F.col("schema_problem"))).alias("message"),
         )
-        bad = {r[0] for r in out.select(SOURCE_FILE).collect()}
-        return [([p for p in paths if p not in bad], found_columns)], out
+        judged.write.mode("overwrite").parquet(self.judged_path())
+        if self.groups:
+            whole = T.StructType([])
+            for _, s in self.groups:
+                whole = merge(whole, s if config.format != "csv" else new_only(whole, s), "widen")
+            self.target_schema(whole)
 
-    def judge_by_schema(self, paths, table_schema):
-        """CSV by header line, other formats by one inference over the scan."""
-        nothing = self.spark.createDataFrame([], VERDICT_SCHEMA)
-        config = self.config
-        by_header = config.format == "csv" and str(config.format_options.get("header", "")).lower() == "true"
-        batches = [paths]
-        if by_header:
-            from tidemark.operators.schema_infer import csv_headers
-
-            grouped: dict[str, list[str]] = {}
-            for r in csv_headers(self.spark, paths, config.format_options).collect():
-                grouped.setdefault(r["header"], []).append(r[SOURCE_FILE])
-            batches = list(grouped.values())
-        groups, rows = [], []
+    def judged_path(self) -> str:
+        return f"{self.store.root}/probes/run_id={self.run_id}/judged"
+
+    def probe_path(self, k: int) -> str:
+        return f"{self.store.root}/probes/run_id={self.run_id}/part={k}"
+
+    def verdict_path(self, k: int) -> str:
+        return f"{self.store.root}/verdicts/run_id={self.run_id}/part={k}"
+
+    def probe(self, paths: list[str]) -> DataFrame:
+        """Per file: its schema, or why it cannot be loaded."""
+        config, spark = self.config, self.spark
+        if config.format == "json":
+            seen = json_file_schemas(read_lines(spark, paths, config.format_options))
+            some = F.col("malformed_count") > 0
+            if config.on_bad_records != "fail_file":
+                some = (F.col("malformed_count") == F.col("record_count")) & (F.col("record_count") > 0)
+            return seen.select(
+                SOURCE_FILE, F.col("variant_schema").alias("found"), F.when(some, FAILED).alias("verdict"),
+                F.when(some, MALFORMED_ERROR).alias("error_type"),
+                F.when(some, F.format_string("%d of %d records malformed", "malformed_count", "record_count")).alias("message"),
+            )
+        if config.format in ("parquet", "orc"):
+            files = spark.createDataFrame([(p,) for p in paths], f"{SOURCE_FILE} string")
+            files = files.repartition(min(len(paths), 4 * spark.sparkContext.defaultParallelism))
+            return files.mapInPandas(footer_schemas(config.format, FAILED, CORRUPT_ERROR), PROBE_SCHEMA)
+        if config.format == "csv" and str(config.format_options.get("header", "")).lower() == "true":
+            heads = csv_headers(spark, paths, config.format_options)
+            names: dict[str, list[str]] = {}
+            for r in heads.collect():
+                names.setdefault(r["header"], []).append(r[SOURCE_FILE])
+            batches = list(names.values())
+        else:
+            batches = [paths]
+        rows = []
         for batch in batches:
-            options = dict(config.format_options)
-            if config.format in ("parquet", "orc"):
-                options.update(mergeSchema="true", ignoreCorruptFiles="true")
             try:
-                schema = scan(self.spark, config.format, batch, options=options, literal_paths=True).schema
+                text = scan(spark, config.format, batch, options=config.format_options, literal_paths=True).schema.json()
+                rows += [(p, text, None, None, None) for p in batch]
             except Exception as e:
                 if "UNABLE_TO_INFER_SCHEMA" not in str(e):
                     raise
-                rows += [(p, FAILED, CORRUPT_ERROR, "no readable schema") for p in batch]
-                continue
-            found = conflicts(table_schema, schema) if table_schema is not None else []
-            if found:
-                rows += [(p, SKIPPED, SCHEMA_ERROR, "Schema mismatch: " + "; ".join(found)) for p in batch]
-            else:
-                groups.append((batch, schema))
-        return groups, (self.spark.createDataFrame(rows, VERDICT_SCHEMA) if rows else nothing)
+                rows += [(p, None, FAILED, CORRUPT_ERROR, "no readable schema") for p in batch]
+        return spark.createDataFrame(rows, PROBE_SCHEMA)
+
+    def load_part(self, k: int, scans: int) -> None:
+        judged = self.spark.read.schema(f"{SOURCE_FILE} string, found string, {VERDICT_COLUMNS}").parquet(self.judged_path())
+        mine = judged if scans == 1 else judged.filter(F.pmod(F.xxhash64(SOURCE_FILE), F.lit(scans)) == k)
+        verdicts = mine.filter("verdict IS NOT NULL").select(SOURCE_FILE, "verdict", "error_type", "message")
+        by_schema: dict[str, list[str]] = {}
+        for r in mine.filter("verdict IS NULL AND found IS NOT NULL").select(SOURCE_FILE, "found").collect():
+            by_schema.setdefault(r["found"], []).append(r[SOURCE_FILE])
+        groups = self.read_groups(by_schema)
+        if groups:
+            verdicts = verdicts.unionByName(self.write_groups(groups, k))
+        verdicts.write.mode("overwrite").parquet(self.verdict_path(k))
 
-    def target_schema(self, found: T.StructType) -> T.StructType:
-        """Creates or evolves the table for the found columns and gives the schema to read with."""
+    def read_groups(self, by_schema: dict[str, list[str]]) -> list[tuple[list[str], T.StructType]]:
+        """Files that one reader can take: the same spelling of the columns, and the same columns where order counts."""
+        grouped: dict[tuple, tuple[list[str], T.StructType]] = {}
+        table = {f.name.lower(): f.name for f in user_columns(self.spark.table(self.config.table).schema).fields} if by_schema else {}
+        for text, paths in sorted(by_schema.items()):
+            s = schema_of(text)
+            if s is None:
+                continue
+            odd = tuple(sorted(f.name for f in s.fields if table.get(f.name.lower(), f.name) != f.name))
+            key = (text,) if self.config.format == "csv" else odd
+            old = grouped.get(key)
+            grouped[key] = ((old[0] if old else []) + paths, merge(old[1], s, "widen") if old else s)
+        return list(grouped.values())
+
+    def target_schema(self, found: T.StructType) -> None:
+        """Creates or evolves the table for the found columns."""
         config, spark = self.config, self.spark
+        stored = found
+        if config.transforms:
+            stored = transforms.apply(spark.createDataFrame([], found), list(config.transforms)).schema
         if not writer.table_exists(spark, config.table):
-            writer.create_table(spark, config.table, found, config.partition_columns, config.location)
-            self.record_version([], found, "initial")
+            writer.create_table(spark, config.table, stored, config.partition_columns, config.location)
+            self.record_version([], stored, "initial")
         elif config.evolution_enabled:
             before = user_columns(spark.table(config.table).schema)
-            added = writer.evolve_table(spark, config.table, found)
+            added = writer.evolve_table(spark, config.table, stored)
             if added:
                 self.added += [f.name for f in added]
                 self.record_version(added, user_columns(spark.table(config.table).schema), "auto_merge", before)
-        table = user_columns(spark.table(config.table).schema)
-        names = {f.name.lower() for f in found.fields}
-        # CSV columns go by position, so its read schema keeps the file's order.
-        if config.format == "csv":
-            have = {f.name.lower(): f for f in table.fields}
-            return T.StructType([have.get(f.name.lower(), f) for f in found.fields])
-        return T.StructType([f for f in table.fields if f.name.lower() in names])
+
+    def read_schema(self, found: T.StructType) -> T.StructType:
+        """The file's columns in its own spelling, with the table's types."""
+        table = {f.name.lower(): f for f in user_columns(self.spark.table(self.config.table).schema).fields}
+        touched = {name.lower() for kind, arg in self.config.transforms if kind in ("cast", "rename") for name in arg}
+        fields = []
+        for f in found.fields:
+            t = table.get(f.name.lower())
+            known = t is not None and f.name.lower() not in touched
+            if t is None and not self.config.evolution_enabled and self.config.format != "csv" and not self.config.transforms:
+                continue
+            fields.append(T.StructField(f.name, t.dataType if known else f.dataType, True))
+        return T.StructType(fields)
+
+    def read_group(self, paths: list[str], found: T.StructType) -> DataFrame:
+        config = self.config
+        rows = scan_permissive(self.spark, config.format, paths, self.read_schema(found), config.format_options)
+        table = {f.name.lower(): f.name for f in self.spark.table(config.table).schema.fields}
+        rows = rows.withColumnsRenamed({c: table[c.lower()] for c in rows.columns if table.get(c.lower(), c) != c})
+        if config.transforms:
+            service = [c for c in (SOURCE_FILE, CORRUPT) if c in rows.columns]
+            steps = [(k, [*arg, *service]) if k == "select" else (k, arg) for k, arg in config.transforms]
+            rows = transforms.apply(rows, steps)
+        return rows
 
     def latest_version(self) -> int | None:
         return self.store.read("schema_versions", self.config.ingestion_id).agg(F.max("version")).first()[0]
@@ -268,22 +356,18 @@ class _Run:
         row = (config.ingestion_id, version, now, schema.json(), resolution, now, summary, self.run_id)
         rows = self.spark.createDataFrame([row], SCHEMA_VERSION_SCHEMA)
         self.store.append("schema_versions", config.ingestion_id, self.run_id, f"v{version}", rows)
-        self.new_version = version
+        self.new_versions.append(version)
 
     def write_groups(self, groups, k: int) -> DataFrame:
         """Reads and writes all groups of one scan; failing files are taken out until the rest passes."""
         config, spark = self.config, self.spark
-        whole = T.StructType([])
-        for _, s in groups:
-            whole = merge(whole, s, "widen")
-        self.target_schema(whole)
         failed: dict[str, str] = {}
         while True:
             frames = []
             for paths, schema in groups:
                 left = [p for p in paths if p not in failed]
                 if left:
-                    frames.append(scan_permissive(spark, config.format, left, self.target_schema(schema), config.format_options))
+                    frames.append(self.read_group(left, schema))
             if not frames:
                 break
             rows = frames[0]
@@ -299,7 +383,7 @@ class _Run:
                 known = {p for paths, _ in groups for p in paths}
                 if path is None or path not in known or path in failed:
                     raise
-                failed[path] = str(e)[:500]
+                failed[path] = str(e)
                 if len(failed) == 1 and config.format in ("parquet", "orc"):
                     failed.update(self.without_magic(sorted(known - set(failed))))
         out = [(p, FAILED, CORRUPT_ERROR, m) for p, m in failed.items()]
@@ -338,7 +422,7 @@ class _Run:
             inflight.join(verdicts.withColumnsRenamed({SOURCE_FILE: "file_path", "error_type": "found_type"}), "file_path", "left")
             .join(counts.withColumnRenamed(SOURCE_FILE, "file_path"), "file_path", "left")
         )
-        version = self.new_version or self.latest_version()
+        version = self.new_versions[-1] if self.new_versions else self.latest_version()
         events = finished_events(
             judged.withColumn("schema_version", F.lit(version).cast("int")),
             F.lit(self.now()),
@@ -348,11 +432,11 @@ class _Run:
             F.col("message"),
         )
         store.append("ledger", config.ingestion_id, self.run_id, "done", events)
-        if self.new_version:
+        for v in self.new_versions:
             touched = events.filter(F.col("status") == SUCCESS).select(
-                "ingestion_id", F.lit(self.new_version).alias("version"), "file_path", F.lit(self.run_id).alias("run_id")
+                "ingestion_id", F.lit(v).alias("version"), "file_path", F.lit(self.run_id).alias("run_id")
             )
-            store.append("schema_files", config.ingestion_id, self.run_id, f"v{self.new_version}", touched)
+            store.append("schema_files", config.ingestion_id, self.run_id, f"v{v}", touched)
 
     def complete(self) -> RunResult:
         config, spark, store = self.config, self.spark, self.store
@@ -366,11 +450,11 @@ class _Run:
         status = run_status(success, failed)
         errors = [
             (r.file_path, r.error_type, r.error_message, r.processed_at)
-            for r in (done.filter(F.col("status") == FAILED).orderBy("file_path").limit(100).collect() if failed else [])
+            for r in (done.filter(F.col("status") == FAILED).orderBy("file_path").limit(ERRORS_IN_RUN_ROW).collect() if failed else [])
         ]
         _write_run(spark, store, config, self.run_id, self.started, self.now(), self.trigger, status,
                    success, failed, skipped, records, bytes_read, written, errors)
-        if config.write_mode != "append":
+        if config.write_mode != "append" and success and (records or config.allow_empty_overwrite):
             self.publish()
         return RunResult(self.run_id, status, success, failed, skipped, records, bytes_read, written, tuple(self.added))
 
@@ -412,21 +496,34 @@ def _write_run(spark, store, config, run_id, started, ended, trigger, status, su
 
 def publish_snapshot(spark, config: IngestionConfig, store: StateStore, run_id: str) -> None:
     """``<table>_current``: the table as overwrite or merge would leave it after this run."""
-    name = f"{config.table}_current"
+    name = published_name(config)
     committed = writer.committed(spark, config.table, store.runs(config.ingestion_id), service_columns=True)
-    fresh = committed.filter(F.col(writer.RUN_ID) == run_id).drop(*writer.SERVICE_COLUMNS)
-    if config.write_mode == "merge" and writer.table_exists(spark, name):
-        order = [c for c in fresh.columns if c not in config.merge_keys]
-        rows = merge_rows(spark.table(name), fresh, list(config.merge_keys), order)
-    elif config.write_mode == "merge":
-        from tidemark.operators.upsert import dedupe
-
-        rows = dedupe(fresh, list(config.merge_keys), [c for c in fresh.columns if c not in config.merge_keys])
-    elif config.write_mode == "overwrite_partitions" and writer.table_exists(spark, name):
+    mine = committed.filter(F.col(writer.RUN_ID) == run_id)
+    fresh = mine.drop(*writer.SERVICE_COLUMNS)
+    there = writer.table_exists(spark, name)
+    if config.write_mode == "merge":
+        keys, order = list(config.merge_keys), list(config.merge_order)
+        if not order:
+            # The newest file wins, then the last path; both are looked up per file, not stored per row.
+            age = store.planned(config.ingestion_id, run_id).select(F.col("file_path").alias(SOURCE_FILE), F.col("file_modified_at").alias("_modified"))
+            fresh = mine.join(age, SOURCE_FILE, "left").withColumn("_file", F.col(SOURCE_FILE)).drop(*writer.SERVICE_COLUMNS)
+            order = ["_modified", "_file"]
+        rows = dedupe(fresh, keys, order).drop("_modified", "_file")
+        if there:
+            rows = spark.table(name).join(rows.select(*keys), keys, "left_anti").unionByName(rows, allowMissingColumns=True)
+    elif config.write_mode == "overwrite_partitions" and there:
         by = list(config.partition_columns)
         kept = spark.table(name).join(fresh.select(*by).distinct(), by, "left_anti")
         rows = kept.unionByName(fresh, allowMissingColumns=True)
     else:
         rows = fresh
-    swap_snapshot(rows, name)
+    swap_snapshot(rows, name, published_location(spark, config))
+
+
+def published_name(config: IngestionConfig) -> str:
+    return f"{config.table}_current"
+
 
+def published_location(spark: SparkSession, config: IngestionConfig) -> str:
+    """Beside the table's own files."""
+    return (config.location or writer.table_location(spark, config.table)).rstrip("/") + "_current"

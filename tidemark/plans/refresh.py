@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidemark.model import IngestionConfig
 from tidemark.operators import impact as impacts, ledger, writer
 from tidemark.operators.state_store import StateStore
-from tidemark.plans.ingest import run_ingestion
+from tidemark.operators.upsert import drop_published
+from tidemark.plans.ingest import published_location, published_name, run_ingestion
 from tidemark.sources import manifest as manifests
 from tidemark.workspace import delete_path
 
@@ -87,13 +88,15 @@ def refresh(
                 detail = summary["run"] = run_ingestion(spark, config, store, at, run_id, manifest)
             done.append((step, "success", detail))
         except Exception as e:
-            done.append((step, "failed", f"{type(e).__name__}: {str(e)[:500]}"))
+            done.append((step, "failed", f"{type(e).__name__}: {e}"))
             return {**summary, "status": "partial_failure", "operations": done}
     return {**summary, "status": "accepted", "operations": done}
 
 
 def drop_target(spark: SparkSession, config: IngestionConfig) -> dict:
     """Drops the table; the files of an external one go with it, so a new table starts empty."""
+    if config.write_mode != "append" and writer.table_exists(spark, config.table):
+        drop_published(spark, published_name(config), published_location(spark, config))
     dropped = writer.drop_table(spark, config.table)
     if config.location and dropped["existed"]:
         delete_path(spark, config.location)

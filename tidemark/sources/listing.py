@@ -106,3 +106,36 @@ def check_markers(head: bytes, tail: bytes):
             yield batch[batch["path"].isin(bad)]
 
     return check
+
+
+def footer_schemas(fmt: str, failed: str, error_type: str):
+    """Function for ``mapInPandas``: per file its Spark schema from the footer, or that it cannot be read."""
+
+    def schema_json(path: str) -> str:
+        from pyspark.sql.pandas.types import from_arrow_schema
+
+        system, inner, _ = _open(path)
+        with system.open_input_file(inner) as f:
+            if fmt == "parquet":
+                from pyarrow import parquet
+
+                found = parquet.read_schema(f)
+                own = (found.metadata or {}).get(b"org.apache.spark.sql.parquet.row.metadata")
+                return own.decode() if own else from_arrow_schema(found).json()
+            from pyarrow import orc
+
+            return from_arrow_schema(orc.ORCFile(f).schema).json()
+
+    def read(batches):
+        import pandas as pd
+
+        for batch in batches:
+            rows = []
+            for path in batch.iloc[:, 0]:
+                try:
+                    rows.append((path, schema_json(path), None, None, None))
+                except Exception as e:
+                    rows.append((path, None, failed, error_type, str(e)))
+            yield pd.DataFrame(rows, columns=[batch.columns[0], "found", "verdict", "error_type", "message"], dtype=object)
+
+    return read

@@ -34,6 +34,11 @@ def canonical(path: Column) -> Column:
     return F.regexp_replace(path, r"^file:/+", "file:/")
 
 
+def scanned_file(metadata_path: Column) -> Column:
+    """The listed path of a row's file: Spark's file metadata escapes spaces, brackets and the like."""
+    return canonical(F.url_decode(F.replace(metadata_path, F.lit("+"), F.lit("%2B"))))
+
+
 def escape_glob(path: str) -> str:
     """Spark reads ``[ ] { } * ?`` in a path as a glob; a listed path is meant literally."""
     return "".join("\\" + c if c in "[]{}*?" else c for c in path)

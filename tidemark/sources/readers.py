@@ -8,7 +8,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tidemark.model import CORRUPT, FORMATS, SOURCE_FILE
-from tidemark.sources.paths import canonical, escape_glob
+from tidemark.sources.paths import scanned_file, escape_glob
 
 # Option names of the ingestion config and the reader options they stand for.
 OPTION_NAMES = {
@@ -82,7 +82,7 @@ def scan(
 
 def with_source_file(df: DataFrame) -> DataFrame:
     """Adds the file each row came from."""
-    return df.select("*", canonical(F.col("_metadata.file_path")).alias(SOURCE_FILE))
+    return df.select("*", scanned_file(F.col("_metadata.file_path")).alias(SOURCE_FILE))
 
 
 def scan_permissive(

@@ -10,7 +10,7 @@ from tidemark.model import CORRUPT, FAILED, MALFORMED_ERROR, RUN_SCHEMA, SOURCE_
 from tidemark.operators import writer
 from tidemark.operators.state_store import StateStore
 from tidemark.plans.ingest import run_metrics, run_status
-from tidemark.sources.paths import canonical
+from tidemark.sources.paths import scanned_file
 from tidemark.sources.readers import reader_options
 
 # Fixed value: bytes assumed per written row when only row counts are known.
@@ -91,7 +91,7 @@ def ingest_stream(
         options["pathGlobFilter"] = config.file_pattern
     source = read_files(spark, config.source_path, config.format, full, options, max_files_per_trigger)
     rows = source.select(
-        "*", canonical(F.col("_metadata.file_path")).alias(SOURCE_FILE),
+        "*", scanned_file(F.col("_metadata.file_path")).alias(SOURCE_FILE),
         F.col("_metadata.file_size").alias("_size"), F.col("_metadata.file_modification_time").alias("_modified"),
     )
 

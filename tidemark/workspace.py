@@ -55,3 +55,9 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 def make_folder(spark: SparkSession, path: str) -> None:
     fs, target = _hadoop(spark, path)
     fs.mkdirs(target)
+
+
+def list_folder(spark: SparkSession, path: str) -> list[str]:
+    """Paths of what lies directly in a folder."""
+    fs, target = _hadoop(spark, path)
+    return [str(s.getPath().toString()) for s in fs.listStatus(target)] if fs.exists(target) else []
