@@ -5,9 +5,9 @@ from __future__ import annotations
 from functools import cached_property
 from typing import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.operators.ledger import current_state
+from tidemark.operators.ledger import current_state, recent_state
 from tidemark.workspace import scratch
 
 QUERIES: dict[str, Callable] = {}
@@ -170,6 +170,11 @@ class Inputs:
     def state(self) -> DataFrame:
         return current_state(self.events_log, order=STATE_ORDER)
 
+    def recent(self, now: str, days: int) -> DataFrame:
+        """State for a report on the last days before ``now``."""
+        since = F.expr(f"TIMESTAMP_NTZ '{now}' - INTERVAL '{days}' DAY")
+        return recent_state(self.events_log, since, order=STATE_ORDER)
+
     @cached_property
     def runs(self) -> DataFrame:
         return self.derived(

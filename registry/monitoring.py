@@ -56,12 +56,12 @@ FROM state WHERE processed_at > {NOW} - INTERVAL %s GROUP BY ingestion_id"""
 
 @query("h5_health", HEALTH % "24 HOUR", S)
 def _(c):
-    return A.health(c.state, LEDGER_NOW)
+    return A.health(c.recent(LEDGER_NOW, 1), LEDGER_NOW)
 
 
 @query("h5_health_year", HEALTH % "8760 HOUR", S)
 def _(c):
-    return A.health(c.state, LEDGER_NOW, hours=8760)
+    return A.health(c.recent(LEDGER_NOW, 365), LEDGER_NOW, hours=8760)
 
 
 @query("h6_slowest_files", f"""
@@ -70,7 +70,7 @@ SELECT file_path, processing_duration_ms / 1000.0 AS duration_seconds, records_i
 FROM (SELECT * FROM state WHERE status = 'SUCCESS' AND processed_at > {NOW} - INTERVAL 700 DAY
   ORDER BY processing_duration_ms DESC, ingestion_id, file_path LIMIT 20) t""", S)
 def _(c):
-    return A.slowest_files(c.state, LEDGER_NOW, days=700)
+    return A.slowest_files(c.recent(LEDGER_NOW, 700), LEDGER_NOW, days=700)
 
 
 @query("h7_error_patterns", f"""
@@ -78,14 +78,14 @@ SELECT error_type, count(*) AS error_count, count(DISTINCT ingestion_id) AS affe
   count(DISTINCT left(error_message, 100)) AS distinct_messages
 FROM state WHERE status = 'FAILED' AND processed_at > {NOW} - INTERVAL 365 DAY GROUP BY 1""", S)
 def _(c):
-    return A.error_patterns(c.state, LEDGER_NOW, days=365)
+    return A.error_patterns(c.recent(LEDGER_NOW, 365), LEDGER_NOW, days=365)
 
 
 @query("h7_error_messages", f"""
 SELECT error_type, left(error_message, 100) AS message, count(*) AS error_count
 FROM state WHERE status = 'FAILED' AND processed_at > {NOW} - INTERVAL 365 DAY GROUP BY 1, 2""", S)
 def _(c):
-    return A.error_messages(c.state, LEDGER_NOW, days=365)
+    return A.error_messages(c.recent(LEDGER_NOW, 365), LEDGER_NOW, days=365)
 
 
 @query("h8_daily_volume", f"""
@@ -136,7 +136,7 @@ SELECT ingestion_id, file_path, status, error_type, error_message, retry_count,
   processing_duration_ms / 1000.0 AS duration_seconds, records_ingested, bytes_read
 FROM state WHERE status = 'FAILED' AND processed_at > {NOW} - INTERVAL 365 DAY""", S)
 def _(c):
-    return A.failures(c.state, LEDGER_NOW, days=365)
+    return A.failures(c.recent(LEDGER_NOW, 365), LEDGER_NOW, days=365)
 
 
 @query("h13_dashboard", """
@@ -151,7 +151,7 @@ SELECT (SELECT count(*) FROM ingestions WHERE status = 'active') AS active_inges
   round((f1 - f0) * 100.0 / nullif(f0, 0), 6) AS files_change_pct FROM k""".replace("WITH w AS", ", w AS", 1),
        ("state", "ingestions"))
 def _(c):
-    return A.dashboard(c.state, c.ingestions, "2000-06-01 00:00:00")
+    return A.dashboard(c.recent("2000-06-01 00:00:00", 2), c.ingestions, "2000-06-01 00:00:00")
 
 
 @query("h14_trend", """
@@ -166,7 +166,7 @@ SELECT i.ingestion_id, d.day, coalesce(files, 0) AS files, coalesce(failed_files
 FROM ingestions i CROSS JOIN days d LEFT JOIN p ON p.ingestion_id = i.ingestion_id AND p.day = d.day""",
        ("state", "ingestions"))
 def _(c):
-    return A.trend(c.state, c.ingestions, "2000-06-30 00:00:00")
+    return A.trend(c.recent("2000-06-30 00:00:00", 7), c.ingestions, "2000-06-30 00:00:00")
 
 
 def _rollup_sql(grain: str, rows: str = "state WHERE processed_at IS NOT NULL") -> str:

@@ -22,6 +22,15 @@ def current_state(events: DataFrame, keys: tuple[str, ...] = KEY, order: tuple[s
     return latest.filter(F.col("status") != CLEARED)
 
 
+def recent_state(events: DataFrame, since: Column, keys: tuple[str, ...] = KEY, order: tuple[str, ...] = ("event_time", "seq")) -> DataFrame:
+    """Current state of the files with an event from then on: all that were processed since, and perhaps others.
+
+    An event is never older than the processing it tells of, so a report on a time window gets the same rows as
+    from the whole state, but only that window of the ledger is read, ranked and shuffled.
+    """
+    return current_state(events.filter(F.col("event_time") >= since), keys, order)
+
+
 def processed_paths(state: DataFrame, statuses: tuple[str, ...] = (SUCCESS, SKIPPED)) -> DataFrame:
     """Distinct paths that need no further work."""
     return state.filter(F.col("status").isin(*statuses)).select(*KEY).distinct()

@@ -12,8 +12,9 @@ from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from tidemark.functions.expressions import as_column
 from tidemark.model import FAILED, LEDGER_SCHEMA, PROCESSING, RUN_SCHEMA, SCHEMA_FILE_SCHEMA, SCHEMA_VERSION_SCHEMA
-from tidemark.operators.ledger import current_state, split_by_age, stale_reset, transition
+from tidemark.operators.ledger import current_state, recent_state, split_by_age, stale_reset, transition
 from tidemark.workspace import make_folder, materialize, path_exists
 
 FOLDERS = [T.StructField(n, T.StringType()) for n in ("i", "r", "phase")]
@@ -69,6 +70,10 @@ class StateStore:
     def state(self, ingestion_id: str | None = None) -> DataFrame:
         return current_state(self.events(ingestion_id))
 
+    def recent(self, since, ingestion_id: str | None = None) -> DataFrame:
+        """State for reports on what was processed since a moment; the filter reaches the scan."""
+        return recent_state(self.events(ingestion_id), as_column(since).cast("timestamp"))
+
     def reset_stale(self, ingestion_id: str, run_id: str, as_of, hours: int = 2) -> None:
         """Stores the events that return files of lost runs to PENDING; a replayed run keeps its own."""
         state = self.state(ingestion_id).filter(F.col("run_id") != run_id)
