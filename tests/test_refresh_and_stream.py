@@ -10,7 +10,7 @@ from tidemark.operators import writer
 from tidemark.operators.state_store import StateStore
 from tidemark.plans.ingest import run_ingestion
 from tidemark.plans.refresh import refresh
-from tidemark.streaming.ingest import ingest_stream, progress_metrics, read_files, write_table
+from tidemark.streaming.ingest import ingest_stream, progress_metrics, read_files, settle_empty_files, write_table
 
 T0 = datetime(2025, 1, 1, tzinfo=timezone.utc)
 T1 = datetime(2025, 1, 2, tzinfo=timezone.utc)
@@ -93,17 +93,24 @@ def test_stream_is_one_run_per_batch_and_restarts_exactly(spark, job):
     config.schema, config.file_pattern = SCHEMA, "*.json"
     land(src, 0, 3, rows=100)
     (src / "cut.json").write_text('{"id": 7}\n{"id": ')
+    (src / "empty.json").write_text("")
     ck = f"file:{src.parent}/ck"
-    q = ingest_stream(spark, config, store, ck, T0, max_files_per_trigger=2)
+    q = ingest_stream(spark, config, store, ck, None, max_files_per_trigger=2)
     q.awaitTermination()
     assert len(q.recentProgress) >= 2 and progress_metrics(q.recentProgress)["records_ingested"] > 0
     land(src, 3, 1, rows=100)
-    ingest_stream(spark, config, store, ck, T1, max_files_per_trigger=2).awaitTermination()
+    ingest_stream(spark, config, store, ck, None, max_files_per_trigger=2).awaitTermination()
     t = writer.committed(spark, config.table, store.runs())
     assert t.count() == 400 and t.select("id").distinct().count() == 400
     state = store.state("ing1")
     assert state.filter("status = 'SUCCESS' and records_ingested = 100").count() == 4
     assert state.filter("status = 'FAILED'").count() == 1
+    assert state.filter("file_path LIKE '%empty.json'").count() == 0
+    assert settle_empty_files(spark, config, store) == 1 and settle_empty_files(spark, config, store) == 0
+    done = store.state("ing1").filter("file_path LIKE '%empty.json'").first()
+    assert (done.status, done.records_ingested) == ("SUCCESS", 0)
+    ends = store.runs().filter("trigger = 'stream'").select("started_at", "ended_at", "bytes_written").collect()
+    assert all(r.ended_at >= r.started_at for r in ends) and sum(r.bytes_written for r in ends) > 0
 
 
 def test_stream_to_table(spark, job):
