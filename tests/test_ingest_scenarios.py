@@ -49,12 +49,13 @@ def test_incremental(spark, job):
     land(src, 0, 3)
     run_ingestion(spark, config, store, T0, "r1")
     land(src, 3, 2)
+    config.row_count_threshold = 2000
     r = run_ingestion(spark, config, store, T0, "r2")
-    assert (r.success, r.records) == (2, 2000)
+    assert (r.success, r.records, r.low_row_count) == (2, 2000, False)
     t = rows(spark, config, store)
     assert t.count() == 5000 and t.select("id").distinct().count() == 5000
     r = run_ingestion(spark, config, store, T0, "r3")
-    assert (r.status, r.success, r.failed, r.records) == ("success", 0, 0, 0)
+    assert (r.status, r.success, r.failed, r.records, r.low_row_count) == ("success", 0, 0, 0, True)
 
 
 def test_schema_evolution(spark, job):
@@ -216,3 +217,48 @@ def test_prefilter_marks_skipped(spark, job):
     r = run_ingestion(spark, config, store, T0, "r1")
     assert (r.success, r.skipped) == (1, 1)
     assert store.state("ing1").filter("status = 'SKIPPED'").first().error_message == "excluded"
+
+
+def test_two_runs_in_one_session_do_not_touch_each_other(spark, job, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    config, store, src = job
+    mode = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    others = []
+    for k in range(2):
+        folder = tmp_path / f"src{k}"
+        land(folder, k, 1, rows=50)
+        others.append(IngestionConfig(f"other{k}", f"file:{folder}", f"{config.table}_{k}", location=f"file:{tmp_path}/table{k}"))
+    with ThreadPoolExecutor(2) as pool:
+        done = list(pool.map(lambda c: run_ingestion(spark, c, store, T0, f"run-{c.ingestion_id}"), others))
+    assert [r.records for r in done] == [50, 50]
+    assert [rows(spark, c, store).count() for c in others] == [50, 50]
+    assert spark.conf.get("spark.sql.sources.partitionOverwriteMode") == mode
+    for c in others:
+        spark.sql(f"DROP TABLE {c.table}")
+
+
+def test_key_only_rows_are_merged(spark, job):
+    config, store, src = job
+    config.write_mode, config.merge_keys = "merge", ("id",)
+    run_ingestion(spark, config, store, T0, "r0")
+    src.mkdir()
+    (src / "a.json").write_text('{"id": 1}\n{"id": 1}\n{"id": 2}\n')
+    run_ingestion(spark, config, store, T0, "r1")
+    assert sorted(r.id for r in spark.table(config.table + "_current").collect()) == [1, 2]
+    spark.sql(f"DROP VIEW {config.table}_current")
+
+
+def test_clustering_keeps_all_columns_apart(spark):
+    table = spark.range(512).select(*[_bit(k).alias(f"c{k}") for k in range(9)])
+    out = writer.cluster(table, tuple(f"c{k}" for k in range(9)), 16)
+    assert out.count() == 512 and out.distinct().count() == 512
+    assert spark.createDataFrame([(128,) * 9], ", ".join(f"c{k} int" for k in range(9))).select(writer.z_value([f"c{k}" for k in range(9)])).first()[0] == "1" * 9 + "0" * 63
+    texts = spark.range(1000).select(F.concat(F.lit("s3a://bucket/very/long/prefix/"), F.lpad("id", 6, "0")).alias("uri"))
+    placed = writer.cluster(texts, ("uri",), 8).withColumn("p", F.spark_partition_id())
+    ranges = sorted((r.lo, r.hi) for r in placed.groupBy("p").agg(F.min("uri").alias("lo"), F.max("uri").alias("hi")).collect())
+    assert len(ranges) > 4 and all(a[1] <= b[0] or a[1][:-2] == b[0][:-2] for a, b in zip(ranges, ranges[1:]))
+
+
+def _bit(k):
+    return F.shiftright(F.col("id").cast("int"), k).bitwiseAND(F.lit(1))

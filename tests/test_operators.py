@@ -254,3 +254,17 @@ def test_rollup_weeks_start_on_monday(spark):
         "processed_at", F.lit("i").alias("ingestion_id"), F.lit("SUCCESS").alias("status"), F.lit(1).alias("records_ingested"), F.lit(1).alias("bytes_read"))
     got = sorted(str(r.window_start) for r in A.rollup(df, "week").collect())
     assert got == ["2024-01-01 00:00:00", "2024-01-08 00:00:00"]
+
+
+def test_listed_paths_keep_account_and_host():
+    from tidemark.sources.listing import spelling
+
+    def back(uri, found):
+        _, prefix, cut = spelling(uri)
+        return prefix + found.removeprefix(cut)
+
+    assert back("s3a://b/x", "b/x/f") == back("s3://b/x", "b/x/f") == "s3a://b/x/f" and back("gs://b/x", "b/x/f") == "gs://b/x/f"
+    assert back("abfss://c@acc.dfs.core.windows.net/x", "c/x/f") == "abfss://c@acc.dfs.core.windows.net/x/f"
+    assert back("wasbs://c@acc.blob.core.windows.net/x", "c/x/f") == "wasbs://c@acc.blob.core.windows.net/x/f"
+    assert spelling("wasbs://c@acc.blob.core.windows.net/x")[0] == "abfss://c@acc.dfs.core.windows.net/x"
+    assert back("hdfs://nn:8020/x", "/x/f") == "hdfs://nn:8020/x/f"

@@ -57,6 +57,8 @@ class RunResult:
     bytes_read: int
     bytes_written: int
     added_columns: tuple[str, ...] = ()
+    # Whether the run brought fewer records than the ingestion's threshold.
+    low_row_count: bool = False
 
 
 def run_ingestion(
@@ -456,7 +458,8 @@ class _Run:
                    success, failed, skipped, records, bytes_read, written, errors)
         if config.write_mode != "append" and success and (records or config.allow_empty_overwrite):
             self.publish()
-        return RunResult(self.run_id, status, success, failed, skipped, records, bytes_read, written, tuple(self.added))
+        low = config.row_count_threshold is not None and records < config.row_count_threshold
+        return RunResult(self.run_id, status, success, failed, skipped, records, bytes_read, written, tuple(self.added), low)
 
     def publish(self) -> None:
         """Modes other than append turn the committed rows into a new snapshot of the published table."""

@@ -25,27 +25,44 @@ class Subtree(InputPartition):
         self.recursive = recursive
 
 
+def spelling(uri: str) -> tuple[str, str, str]:
+    """How pyarrow names a URI, and what to put before its paths in place of what to cut off to get URIs back.
+
+    Bucket stores give paths that begin with the bucket, container stores with the container but without the account,
+    others give plain paths without the host.
+    """
+    scheme, _, rest = uri.partition("://")
+    authority = rest.split("/", 1)[0]
+    if scheme in ("s3", "s3a", "s3n", "gs"):
+        return ("gs://" if scheme == "gs" else "s3://") + rest, f"{scheme}://" if scheme == "gs" else "s3a://", ""
+    if scheme in ("abfs", "abfss", "wasb", "wasbs"):
+        container, _, account = authority.partition("@")
+        own = uri if scheme.startswith("abfs") else f"abfss://{container}@{account.replace('.blob.', '.dfs.')}{rest[len(authority):]}"
+        return own, f"{scheme}://{authority}/", f"{container}/"
+    return uri, f"{scheme}://{authority}", ""
+
+
 def _open(uri: str):
-    """File system, path on it, and the prefix that turns its paths back into URIs."""
+    """File system, path on it, and a function that turns its paths back into URIs."""
     from pyarrow import fs
 
     if uri.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/"), "file:"
+        return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/"), "file:".__add__
     if uri.startswith("/"):
-        return fs.LocalFileSystem(), uri, "file:"
-    scheme, _, rest = uri.partition("://")
-    opened, path = fs.FileSystem.from_uri(("s3://" if scheme == "s3a" else scheme + "://") + rest)
-    return opened, path, ("s3a://" if scheme in ("s3", "s3a") else scheme + "://")
+        return fs.LocalFileSystem(), uri, "file:".__add__
+    own, prefix, cut = spelling(uri)
+    opened, path = fs.FileSystem.from_uri(own)
+    return opened, path, lambda found: prefix + found.removeprefix(cut)
 
 
 def _children(uri: str):
     from pyarrow import fs
 
-    system, path, prefix = _open(uri)
+    system, path, named = _open(uri)
     selector = fs.FileSelector(path, recursive=False, allow_not_found=True)
     for info in system.get_file_info(selector):
         if not info.base_name.startswith(("_", ".")):
-            yield info, prefix + info.path, info.type == fs.FileType.Directory
+            yield info, named(info.path), info.type == fs.FileType.Directory
 
 
 class ListingReader(DataSourceReader):
