@@ -15,9 +15,11 @@ Defined cases
 
 Skew
     Equal sets are merged by a map-side aggregate before bands are made. A band shared by many sets is not paired
-    with itself: it is compared with a few pivots, then only members that are still in another component than the
-    rest stay, with a growing number of pivots, until no untested pair could join two components. So no link
-    between components is lost, and a group of n near copies costs about n comparisons, not n squared.
+    with itself: its members are compared with two pivots, the member with the most company in all its bands and the
+    smallest one, which joins nearly all of a group of copies by about n comparisons. Where a band still spans
+    several components, the members outside its largest one are held against all by their shingle sets, in blocks of
+    bounded size, and only likely links come out and are confirmed. Members of one component are not
+    compared again, so links inside components may stay unseen, but none between components is lost.
 """
 
 from __future__ import annotations
@@ -38,7 +40,8 @@ from tidemark.workspace import materialize
 BANDS, ROWS = 48, 5
 BINS = BANDS * ROWS
 PERCENT = 75
-FIRST_PIVOTS = 16
+# Members of a block; and how many shingles shortened hashes may hide by falling together.
+BLOCK, SLACK = 1024, 2
 ROUND_SEEDS, BAND_PLACE = seeds(2 * BINS, 21), seeds(ROWS, 22) | U(1)
 BAND_SEEDS = seeds(BANDS, 23)
 EMPTY = np.iinfo(np.uint64).max
@@ -116,11 +119,65 @@ def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     return members.join(own, "node", "left").withColumn("label", F.coalesce("found", "node")).drop("found")
 
 
-def _rest(members: DataFrame, labels: DataFrame, pivots: DataFrame) -> DataFrame:
+def _rest(members: DataFrame, labels: DataFrame, tested: DataFrame | None = None) -> DataFrame:
     """Members whose bucket still spans several components, without those already compared with all of it."""
+    if tested is not None:
+        members = members.join(tested, ["key", "node"], "left_anti")
     now = _labelled(members, labels)
     open_ = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
-    return materialize(now.join(open_, "key").join(pivots, ["key", "node"], "left_anti").select("key", "node", "n"), "open-buckets")
+    return materialize(now.join(open_, "key").select("key", "node", "n"), "open-buckets")
+
+
+def _short_sets(batches):
+    for batch in batches:
+        made = [(shingle_hashes(x) >> U(32)).astype(np.uint32).tobytes() for x in as_bytes(batch.column("text"))]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made, pa.binary())], ["node", "bytes"])
+
+
+def _compare(table: pa.Table) -> pa.Table:
+    """Pairs of one block that look like links: a left and a right member of different components.
+
+    The common shingles of a left member with all right ones are counted at once, on 32 bits of their hashes.
+    """
+    node, label, n = (table.column(c).to_numpy() for c in ("node", "label", "n"))
+    left = table.column("left").to_numpy(zero_copy_only=False)
+    sets = [np.frombuffer(x, np.uint32) for x in table.column("bytes").to_pylist()]
+    right = np.flatnonzero(~left)
+    found: list[tuple[int, int]] = []
+    if len(right) and left.any():
+        known, spelled = np.unique(np.concatenate(sets), return_inverse=True)
+        ends = np.cumsum([len(x) for x in sets])
+        of = [spelled[e - len(x) : e] for e, x in zip(ends, sets)]
+        flat = np.concatenate([of[j] for j in right])
+        starts = np.concatenate(([0], np.cumsum([len(of[j]) for j in right])[:-1]))
+        here = np.zeros(len(known), dtype=np.int32)
+        for i in np.flatnonzero(left):
+            here[of[i]] = 1
+            common = np.add.reduceat(here[flat], starts) + SLACK
+            here[of[i]] = 0
+            like = (label[right] != label[i]) & (100 * common >= PERCENT * (n[right] + n[i] - common))
+            found += [(int(node[i]), int(node[j])) for j in right[like]]
+    return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+
+def _open_pairs(rest: DataFrame, labels: DataFrame, cand: DataFrame) -> DataFrame:
+    """Likely links among the members of open buckets, by shortened sets compared block against block.
+
+    Members outside a bucket's largest component are the left side, all are the right side; both are cut into blocks,
+    so a task holds two blocks whatever the bucket's size. Nothing is emitted for other pairs.
+    """
+    now = _labelled(rest, labels)
+    sized = now.groupBy("key", "label").agg(F.count("*").alias("k"))
+    sized = sized.groupBy("key").agg(F.sum("k").alias("k"), F.max("k").alias("most"), F.max_by("label", F.struct("k", "label")).alias("main"))
+    rights, lefts = F.ceil(F.col("k") / BLOCK), F.ceil((F.col("k") - F.col("most")) / BLOCK)
+    sized = sized.select("key", "main", rights.alias("rights"), lefts.alias("lefts"))
+    drawn = rest.select(F.col("node").alias("doc_id")).distinct()
+    short = materialize(cand.join(drawn, "doc_id", "left_semi").mapInArrow(_short_sets, "node long, bytes binary"), "short-sets")
+    all_ = now.join(sized, "key").join(short, "node").withColumn("mark", F.xxhash64("node"))
+    each = [F.col(c) for c in ("node", "label", "n", "bytes")]
+    right = all_.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lefts") - 1)).alias("i"), F.pmod("mark", "rights").alias("j"), F.lit(False).alias("left"), *each)
+    left = all_.filter("label <> main").select("key", F.pmod("mark", "lefts").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("rights") - 1)).alias("j"), F.lit(True).alias("left"), *each)
+    return left.unionByName(right).groupBy("key", "i", "j").applyInArrow(_compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -138,11 +195,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     held = sets.select(F.explode("bands").alias("key"), "node", "n")
     shared = held.groupBy("key").agg(F.count("*").alias("k"), F.min("node").alias("lo"), F.max("node").alias("hi"))
     shared = materialize(shared.filter("lo < hi"), "shared-bands")
-    large = materialize(held.join(shared.filter("k > 2"), "key"), "large-buckets")
+    large = materialize(held.join(shared.filter("k > 2").drop("hi"), "key"), "large-buckets")
+    # The text that others are copies of shares more bands with them than they do with each other, so the first
+    # pivots of a bucket are the member with the most company in all its buckets, and the smallest one.
+    company = large.groupBy("node").agg(F.sum("k").alias("company"))
+    hubs = large.select("key", "node").join(company, "node").groupBy("key").agg(F.max_by("node", F.struct("company", "node")).alias("hub"))
+    large = materialize(large.join(hubs, "key"), "large-buckets")
     first = (
         shared.filter("k = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
         .unionByName(large.select(F.col("node").alias("a"), F.col("lo").alias("b")))
-        .unionByName(large.select(F.col("node").alias("a"), F.col("hi").alias("b")))
+        .unionByName(large.select(F.col("node").alias("a"), F.col("hub").alias("b")))
     )
     pairs = materialize(_ordered(first), "pairs")
     nodes = shared.filter("k = 2").select(F.explode(F.array("lo", "hi")).alias("doc_id")).unionByName(large.select(F.col("node").alias("doc_id")))
@@ -150,14 +212,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     edges = confirmed(pairs, cand)
     labels = components(edges.unionByName(same_id))
-    tested = large.select("key", F.explode(F.array("lo", "hi")).alias("node")).distinct()
-    rest = _rest(large.filter("k > 3").select("key", "node", "n"), labels, tested)
-    pivots = FIRST_PIVOTS
-    while not rest.isEmpty():
-        new, tested = _next_pairs(rest, labels, pivots)
-        edges = edges.unionByName(confirmed(materialize(_ordered(new), "pairs"), cand))
-        labels = components(edges.unionByName(same_id))
-        rest, pivots = _rest(rest, labels, tested), 4 * pivots
+    tested = large.select("key", F.explode(F.array("lo", "hub")).alias("node")).distinct()
+    rest = _rest(large.select("key", "node", "n"), labels, tested)
+    if not rest.isEmpty():
+        more = materialize(_ordered(_open_pairs(rest, labels, cand)), "pairs")
+        labels = components(edges.unionByName(same_id).unionByName(confirmed(more, cand)))
 
     named = sets.select("set_key", "node").join(labels, "node", "left").select("set_key", F.coalesce("label", "node").alias("label"))
     out = signed.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
@@ -165,23 +224,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.expr("doc_id <=> component_id"))
 
 
-def _next_pairs(rest: DataFrame, labels: DataFrame, pivots: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs of each open bucket's members with some of them as pivots, and those pivots by bucket.
-
-    If few members are outside the bucket's largest component, they are the pivots and the bucket is done.
-    """
-    now = _labelled(rest, labels)
-    sized = now.groupBy("key", "label").agg(F.count("*").alias("k"), F.min("node").alias("always"))
-    sized = sized.groupBy("key").agg(F.sum("k").alias("k"), F.max("k").alias("most"), F.max_by("label", F.struct("k", "label")).alias("main"), F.min("always").alias("always"))
-    now = now.join(sized, "key")
-    outside = F.col("k") - F.col("most")
-    drawn = (F.pmod(F.xxhash64("key", "node", F.lit(pivots)), F.lit(1 << 30)) / float(1 << 30)) < F.lit(float(pivots)) / F.col("k")
-    picked = now.filter(F.when(outside <= pivots, F.col("label") != F.col("main")).otherwise((F.col("node") == F.col("always")) | drawn))
-    picked = picked.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"))
-    fits = f"label <> label_b AND 100 * least(n, n_b) >= {PERCENT} * greatest(n, n_b)"
-    return now.join(picked, "key").filter(fits).select(F.col("node").alias("a"), "b"), picked.select("key", F.col("b").alias("node"))
-
-
 def deduplicated(docs: DataFrame) -> DataFrame:
     """One row of each near-duplicate group, with all columns of ``docs``; rows without ``doc_id`` stay."""
     from pyspark.sql import Window
