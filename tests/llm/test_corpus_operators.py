@@ -304,3 +304,18 @@ def test_link_trust_equals_brute_force(spark):
         assert abs(t - trust[h]) < 1e-9 and abs(d - distrust[h]) < 1e-9
         if h.endswith(".net"):
             assert verdict == ("block" if d >= link_trust.MARGIN * t and d > link_trust.FLOOR * (1 - link_trust.DAMPING) else "allow")
+
+
+def test_distrust_reaches_the_end_of_a_chain(spark):
+    hosts = ["bad.com", *(f"c{k}.net" for k in range(1, 21))]
+    pages = [(k, f"http://{h}/" + ("" if k else "de/"), f"<a href='http://{hosts[k - 1]}/'>" if k else None, "h", "r", "t") for k, h in enumerate(hosts)]
+    got = {r.host: (r.distrust, r.verdict) for r in link_trust.url_verdicts(spark.createDataFrame(pages, PAGES)).collect()}
+    for k, h in enumerate(hosts):
+        assert abs(got[h][0] - 0.15 * 0.85**k) < 1e-9 and got[h][1] == ("block" if k <= 14 else "allow")
+
+
+def test_trust_in_a_cycle_is_the_fixed_point(spark):
+    pages = [(1, "http://good.org/", "<a href='http://a.net'>", "h", "r", "t"), (2, "http://a.net/", "<a href='http://good.org'>", "h", "r", "t")]
+    got = {r.host: r.trust for r in link_trust.url_verdicts(spark.createDataFrame(pages, PAGES)).collect()}
+    good = 0.15 / (1 - 0.85**2)
+    assert abs(got["good.org"] - good) < 1e-9 and abs(got["a.net"] - 0.85 * good) < 1e-9

@@ -21,10 +21,14 @@ Defined cases
 Scale
     Edges are summed before the shuffle and a host's pages never meet in one task: ranks are sums by host, and a
     round's state is written to the shared folder. Ranks are rounded so that the order of sums decides nothing.
+    Scores only grow from round to round and what is still to be handed on shrinks by ``DAMPING``: rounds go on until
+    all hosts together gain less than ``TOLERANCE``, or as many as bring any restart weight below it.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +37,9 @@ from tidemark.workspace import materialize
 # The rules of the query, as host/path.
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 BLOCKED_HOSTS = ["spam-farm.example.org", "cheap-pills.example.com", "casino-win.example.com"]
-DAMPING, ROUNDS, MARGIN, FLOOR, DIGITS = 0.85, 10, 2.0, 0.1, 12
+DAMPING, TOLERANCE, MARGIN, FLOOR, DIGITS = 0.85, 1e-10, 2.0, 0.1, 12
+# After so many rounds a restart weight of 1 has less than TOLERANCE left to hand on.
+ROUNDS = math.ceil(math.log(TOLERANCE) / math.log(DAMPING))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -68,7 +74,11 @@ def host_edges(judged: DataFrame) -> DataFrame:
     return found.filter("src <> dst AND src <> ''").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def _total(scores: DataFrame) -> float:
+    return scores.agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("total")).first().total
+
+
+def propagate(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """Personalised PageRank: ``host, score`` over ``edges(src, dst, weight)`` from ``seeds(host, weight)``, scores of at most 1."""
     whole = edges.groupBy("src").agg(F.sum("weight").alias("whole"))
     steps = materialize(edges.join(whole, "src").select("src", "dst", (F.col("weight") / F.col("whole")).alias("share")), "host-steps")
@@ -76,10 +86,14 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataF
     now = materialize(restart, "host-scores")
     if steps.isEmpty():
         return now
-    for _ in range(rounds):
+    total = _total(now)
+    for _ in range(ROUNDS + math.ceil(math.log(max(1.0, total)) / -math.log(DAMPING))):
         moved = steps.join(now, F.col("src") == F.col("host")).select(F.col("dst").alias("host"), (F.col("score") * F.col("share") * DAMPING).alias("score"))
         now = moved.unionByName(restart).groupBy("host").agg(F.round(F.sum("score"), DIGITS).alias("score"))
         now = materialize(now.filter("score > 0"), "host-scores")
+        before, total = total, _total(now)
+        if total - before <= TOLERANCE:
+            break
     return now
 
 
