@@ -150,6 +150,17 @@ def test_personal_data(spark):
     assert pii.personal_data(odd_docs(spark).limit(0)).count() == 0
 
 
+def test_keys_that_hold_a_run_of_card_digits_are_found_whole(spark):
+    key = "deadbeef4111111111111111cafebabedeadbeef"
+    rows = [(k, f'token = "{hashlib.sha1(str(k).encode()).hexdigest()}"') for k in range(60)] + [(100, f'token = "{key}"'), (101, "pay 4111 1111 1111 1111 now")]
+    got = {r.doc_id: r for r in pii.personal_data(odd_docs(spark, rows)).collect()}
+    assert pii.base_spans(rows[60][1]) == [("card", 17, 33)]
+    assert got[100].spans == "secret:9:49,card:17:33" and got[100].n_card == 1
+    assert got[100].base_sha256 == hashlib.sha256(b"card:17:33").hexdigest()
+    assert got[101].spans == "card:4:23"
+    assert [(k, a, z) for k, a, z, _ in pii.candidates(rows[60][1], pii.base_spans(rows[60][1]))] == [("secret", 9, 49)]
+
+
 def test_reliabilities_find_the_better_labeler():
     counts = {("secret", "+0++hl"): 90, ("secret", "-000ws"): 900, ("secret", "0000ws"): 500, ("secret", "+000hl"): 5, ("secret", "-0+0ws"): 3}
     post = pii.reliabilities(counts)

@@ -8,7 +8,8 @@ Method
     and context (cue words and assignment signs before it). Expectation-maximisation over the counts of vote
     patterns estimates, per kind, how often the labelers vote for true and for false spans, and the share of true
     ones. Their posteriors are the targets of a logistic span classifier over votes and shape; spans with at least
-    ``ACCEPT`` are added if they touch no base span.
+    ``ACCEPT`` are added beside the base spans. Only what lies wholly inside a base span is no candidate: a candidate that
+    reaches beyond one (a key that holds a run of digits like a card's) is counted and voted on like any other.
 
 Results
     Base spans and all spans, ``kind:start:end`` in code points, ends exclusive, by start and then kind.
@@ -147,7 +148,7 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, i
             continue
         for m in pattern.finditer(text):
             start, end = m.span()
-            if not any(a < end and start < z for _, a, z in base):
+            if not any(a <= start and end <= z for _, a, z in base):
                 found.append((kind, start, end, votes(kind, text, start, end)))
     return found
 
