@@ -99,6 +99,20 @@ def test_toxicity_folding():
     assert toxicity.measures(["xtrash"], automaton)[2] == 0
 
 
+def test_toxicity_in_words_joined_by_signs():
+    words = lambda s: toxicity.folded_words(s)
+    assert words("you-idiot") == ["youidiot", "idiot"] and words("fool/1d!ot") == ["foolidiot", "idiot"]
+    assert words("“fool|idiot”") == ["foollidiot", "idiot"] and words("well\u2014you_stupid,fool2idiot") == ["wellyoustupidfoolidiot", "you", "stupid", "fool", "idiot"]
+    assert words("don't i.d.i.o.t tra$$h 12-1234 ab-1234") == ["dont", "idiot", "trassh", "abiea"] and words("nai\u0308ve 22-idiot") == ["naive", "idiot"]
+    lexicon = toxicity.Lexicon({"idio": 4.0, "fool": 2.0}, (-3.0, 1.0, 0.1, 0.1))
+    automaton = lexicon.automaton()
+    assert toxicity.measures(words("you-idiot"), automaton)[2] == 4.0
+    assert toxicity.measures(words("fool/idiot"), automaton)[0] == pytest.approx(np.log1p(6.0))
+    assert toxicity.measures(words("idiot-like"), automaton)[0] == pytest.approx(np.log1p(4.0))
+    sample = [(words(f"you-idiot {k}x"), 1) for k in range(40)] + [(words(f"you-there {k}x"), 0) for k in range(40)]
+    assert any("idiot".startswith(s) for s in toxicity.learn_weights(sample))
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")

@@ -2,7 +2,8 @@
 
 Method
     Texts are lower-cased and characters that look like Latin letters are folded to those; in words of letters mixed
-    with digits or signs, these are read as the letters they stand for and other signs are dropped. The lexicon holds
+    with digits or signs, these are read as the letters they stand for and other signs are dropped; what stands after a
+    sign inside such a word is a word of its own besides (its first part begins the whole already). The lexicon holds
     beginnings of words with weights: the log-odds of documents with a word of that beginning, toxic against other,
     learned from labelled documents; of beginnings that occur in the same documents the longest is kept. One automaton
     finds all of them and the exception phrases; a match inside an exception phrase counts nothing. Three numbers of a
@@ -22,7 +23,9 @@ Defined cases
 from __future__ import annotations
 
 import math
+import re
 import string
+import unicodedata
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -49,6 +52,18 @@ FOLD = {ord(c): latin for latin, others in LOOKS_LIKE.items() for c in others}
 LEET = {ord(c): latin for c, latin in STANDS_FOR.items()}
 EDGE = string.punctuation + "“”«»„…’"
 LEADING = EDGE.replace("$", "").replace("@", "")
+RUN, LETTERS = re.compile(r"[^\W_]+"), re.compile(r"[^\W\d_]+")
+
+
+def later_parts(inner: str) -> list[str]:
+    """Words that begin after a sign inside a token; none is shorter than what the lexicon can hold."""
+    if not inner.isascii():
+        inner = "".join(c for c in inner if unicodedata.category(c)[0] != "M")
+    read = inner.translate(LEET)
+    letters = [m.start() for m in LETTERS.finditer(read)]
+    starts = {*letters, *(m.start() for m in list(RUN.finditer(inner))[1:])} - {*letters[:1]}
+    found = [m for at in sorted(starts) if (m := LETTERS.match(read, at))]
+    return [m.group() for m in found if m.end() - m.start() >= SHORTEST and any(c.isalpha() for c in inner[m.start() : m.end()])]
 
 
 def folded_words(text: str) -> list[str]:
@@ -57,13 +72,16 @@ def folded_words(text: str) -> list[str]:
     if not text.isascii():
         text = text.translate(FOLD)
     for word in text.split():
+        parts = []
         if not word.isalpha():
             inner = word.lstrip(LEADING).rstrip(EDGE)
             if not inner.isalpha():
+                parts = later_parts(inner)
                 inner = "".join(c for c in inner.translate(LEET) if c.isalpha()) if any(c.isalpha() for c in inner) else ""
             word = inner
         if word:
             out.append(word)
+            out += parts
     return out
 
 
