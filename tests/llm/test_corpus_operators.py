@@ -263,6 +263,18 @@ def test_chat_trees_share_turns_and_read_back(spark, tmp_path):
     assert chat_trees.read_digests(spark, f"file:{tmp_path}/none").count() == 0
 
 
+def test_long_shared_turns_are_not_written_for_every_conversation(spark, tmp_path):
+    prompt = "p" * 2000
+    rows = [(k, t, r, x) for k in range(40) for t, (r, x) in enumerate((("system", prompt), ("user", f"question {k}")))]
+    folder = f"file:{tmp_path}/long"
+    chat_trees.write_trees(chats_of(spark, rows), folder, pack_chars=500)
+    packs = spark.read.parquet(f"{folder}/packs").collect()
+    assert sum(p.sequence.count(prompt) for p in packs) == len(packs) <= 12
+    got = chat_trees.read_digests(spark, folder).collect()
+    assert sorted(r.conv_id for r in got) == list(range(40))
+    assert all(r.formatted_chars == sum(len(chat_trees.format_turn(g, x)[0]) for c, _, g, x in rows if c == r.conv_id) for r in got)
+
+
 PAGES = "page_id long, url string, html string, host string, rule string, trust string"
 
 

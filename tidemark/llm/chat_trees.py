@@ -7,8 +7,8 @@ Template
 
 Packs
     A path is the list of a conversation's turn hashes. Distinct conversations are sorted by path, which is the
-    depth-first order of the forest of all turns, and cut into packs of about ``PACK_CHARS`` code points. Within a
-    pack a turn is a node; what a conversation shares with the one before it is not written again. A node has its
+    depth-first order of the forest of all turns, and cut into packs of a conversation and about ``PACK_CHARS`` code
+    points that the next ones add. Within a pack a turn is a node; what a conversation shares with the one before it is not written again. A node has its
     place in the pack's sequence, a position id (its distance from the root along its path, so siblings continue at
     the same position), its parent, and the intervals of the sequence that it may attend to: its ancestors, merged
     where they touch. Within itself it attends causally. Tokens are code points.
@@ -21,7 +21,9 @@ Defined cases
 Scale
     Equal conversations are merged by a map-side aggregate before anything is sorted; a first turn in a third of all
     conversations is spread over many packs (and written once in each), because it is paths that are dealt out by
-    range. A pack is closed when it is full, so a task holds one pack and one conversation at a time.
+    range. A pack is closed when later conversations have added ``PACK_CHARS`` to its first, so that turns shared by all
+    of them are written once for that much, however long they are; a pack of that size takes no conversation that
+    shares no turn with it. So a task holds two conversations and ``PACK_CHARS`` at a time.
 """
 
 from __future__ import annotations
@@ -114,12 +116,17 @@ class Pack:
 
 def _pack(pack_chars: int):
     def run(batches):
-        pack = Pack()
+        pack, first = Pack(), 0
         for batch in batches:
             for k in range(batch.num_rows):
                 row = {c: batch.column(c)[k].as_py() for c in ("path_key", "keys", "turns")}
+                if pack.size >= pack_chars and pack.branch[0][0] != row["keys"][0]:
+                    yield pack.record(pack.ends[0]["path_key"])
+                    pack = Pack()
                 pack.add(row["path_key"], row["keys"], row["turns"])
-                if pack.size >= pack_chars:
+                if len(pack.ends) == 1:
+                    first = pack.size
+                if pack.size - first >= pack_chars:
                     yield pack.record(pack.ends[0]["path_key"])
                     pack = Pack()
         if pack.ends:
