@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_trees, decontaminate, line_dedup, link_trust, mixing, near_dup, pii, quality, token_files, toxicity
+from tidemark.llm import (
+    chat_trees, decontaminate, line_dedup, link_trust, merkle, mixing, near_dup, pii, quality, token_files, token_links, toxicity, winnowing,
+)
 from tidemark.llm.tables import load
 from tidemark.session import ship
 from tidemark.workspace import scratch
@@ -96,3 +98,24 @@ def op5_toxicity(spark, sf_dir):
 @query
 def op7_personal_data(spark, sf_dir):
     return pii.personal_data(load(spark, sf_dir, "documents"))
+
+
+@query
+def op11_token_links(spark, sf_dir):
+    import public_tokenizers
+
+    files = public_tokenizers.path(token_links.BYTE_TOKENIZER), public_tokenizers.PATTERN, public_tokenizers.path(token_links.PIECE_TOKENIZER)
+    return token_links.token_links(load(spark, sf_dir, "documents"), scratch(spark, "token-links"), *files)
+
+
+@query
+def op12_merkle_manifest(spark, sf_dir):
+    return merkle.tampered_proofs(load(spark, sf_dir, "documents"), scratch(spark, "merkle"))
+
+
+SQL["op12_merkle_manifest"] = merkle.tampered_proofs_sql()
+
+
+@query
+def op13_winnowing(spark, sf_dir):
+    return winnowing.fingerprints(load(spark, sf_dir, "documents"))
