@@ -29,8 +29,20 @@ def land(rows, root: str, folder: str, fmt: str = "json", **options) -> None:
     rows.write.format(fmt).options(**options).mode("overwrite").save(f"{root}/{folder}")
 
 
+#: Files that a landed table is cut into, by a key.
+CUTS = 6
+
+
+def land_cut(rows, root: str, folder: str, fmt: str = "json", **options) -> None:
+    """A file for each value of ``user_id`` modulo ``CUTS``, written by a task each; texts come with their key."""
+    if "cut" not in rows.columns:
+        rows = rows.withColumn("cut", F.col("user_id") % CUTS)
+    land_by = rows.repartition("cut").write.partitionBy("cut").format(fmt).options(**options).mode("overwrite")
+    land_by.save(f"{root}/{folder}")
+
+
 def rows_of(c, config, store):
-    return writer.committed(c.spark, config.table, store.runs())
+    return writer.committed(c.spark, config.table, store)
 
 
 def folder_of(path: str = "file_path"):
@@ -38,16 +50,18 @@ def folder_of(path: str = "file_path"):
 
 
 @query("s8_scan_chunks", """
-SELECT files_per_scan, status, files FROM (SELECT unnest([1, 3, 1000]) AS files_per_scan) s,
-  (SELECT 'SUCCESS' AS status, 4 AS files UNION ALL SELECT 'SKIPPED', 2) t WHERE EXISTS (SELECT 1 FROM events)""")
+SELECT files_per_scan, status, files FROM (SELECT unnest([7, 20, 1000]) AS files_per_scan) s,
+  (SELECT CASE WHEN event_id % 6 IN (1, 3) THEN 'SKIPPED' ELSE 'SUCCESS' END AS status, count(DISTINCT concat(event_id % 6, '/', user_id % 6)) AS files FROM events GROUP BY 1) t""")
 def _(c):
+    """Schemas and verdicts are the same whatever number of files a scan takes."""
     def make():
         out = []
-        for n in (1, 3, 1000):
+        for n in (7, 20, 1000):
             config, store = job(c, f"chunks{n}", files_per_scan=n)
             for k, kind in enumerate(("bigint", "string", "bigint", "string", "bigint", "bigint")):
-                rows = events(c).filter(f"event_id % 6 = {k}").withColumn("user_id", F.concat(F.lit("u" if kind == "string" else ""), "user_id").cast(kind))
-                land(rows.coalesce(1), config.source_path, f"part_{'abcdef'[k]}")
+                rows = events(c).filter(f"event_id % 6 = {k}").withColumn("cut", F.col("user_id") % CUTS)
+                rows = rows.withColumn("user_id", F.concat(F.lit("u" if kind == "string" else ""), "user_id").cast(kind))
+                land_cut(rows, config.source_path, f"part_{'abcdef'[k]}")
             run_ingestion(c.spark, config, store, T1, "run")
             out.append(store.state(config.ingestion_id).groupBy("status").agg(F.count("*").alias("files")).withColumn("files_per_scan", F.lit(n)))
         return out[0].unionByName(out[1]).unionByName(out[2])
@@ -114,31 +128,92 @@ def _(c):
     return event_counts(c.spark.table(c.once("refreshing", make).table + "_current"))
 
 
-@query("i18_changed_file", "SELECT event_type, count(*) AS n, CAST(sum(event_id) AS bigint) AS ids, CAST(sum(user_id) AS bigint) + count(*) AS users FROM events GROUP BY 1")
-def _(c):
-    """Of a changed file the new rows are seen and the old ones are not."""
+def _changing(c):
+    """Files of events; half of them are written anew, with other users, before the second run."""
     def make():
         config, store = job(c, "changing")
-        land(events(c).coalesce(1), config.source_path, "a")
+        land_cut(events(c), config.source_path, "a")
         run_ingestion(c.spark, config, store, T1, "run_1")
-        found = store.state(config.ingestion_id).select("file_path").first()[0]
-        land(events(c).withColumn("user_id", F.col("user_id") + 1).coalesce(1), config.source_path, "b")
-        _move_over(c, f"{config.source_path}/b", found)
+        land_cut(events(c).filter(f"user_id % {CUTS} % 2 = 0").withColumns({"cut": F.col("user_id") % CUTS, "user_id": F.col("user_id") + 1}), config.source_path, "b")
+        _move_over(c, f"{config.source_path}/b", f"{config.source_path}/a")
         run_ingestion(c.spark, config, store, T1 + timedelta(hours=1), "run_2")
         return config, store
 
-    rows = rows_of(c, *c.once("changing", make))
+    return c.once("changing", make)
+
+
+@query("i18_changed_file", f"""
+SELECT event_type, count(*) AS n, CAST(sum(event_id) AS bigint) AS ids, CAST(sum(user_id + CASE WHEN user_id % {CUTS} % 2 = 0 THEN 1 ELSE 0 END) AS bigint) AS users
+FROM events GROUP BY 1""")
+def _(c):
+    """Of a changed file the new rows are seen and the old ones are not; other files stay as they are."""
+    rows = rows_of(c, *_changing(c))
     return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("event_id").cast("bigint").alias("ids"), F.sum("user_id").cast("bigint").alias("users"))
 
 
-def _move_over(c, folder: str, target: str) -> None:
-    """Puts the only data file of a folder in the place of another file."""
-    from tidemark.workspace import _hadoop, delete_path, list_folder
+@query("i18_file_versions", f"""
+SELECT user_id % {CUTS} AS cut, 'run_2' AS live_run_id FROM events WHERE user_id % {CUTS} % 2 = 0 GROUP BY 1""")
+def _(c):
+    """The version map has the files that several runs have loaded, and the run whose rows are seen."""
+    _, store = _changing(c)
+    return store.versions().select(F.regexp_extract("file_path", r"cut=(\d+)", 1).cast("bigint").alias("cut"), "live_run_id")
+
+
+@query("i18_emptied_file", f"""
+SELECT user_id % {CUTS} AS cut, count(*) AS n, CAST(sum(event_id) AS bigint) AS ids FROM events WHERE user_id % {CUTS} % 3 <> 1 GROUP BY 1""")
+def _(c):
+    """A file that becomes empty hides its rows, also when a later run fails to read it and after the ledger is folded."""
+    def make():
+        config, store = job(c, "emptying")
+        config.file_pattern = None
+        land_cut(events(c).withColumn("kept", F.col("user_id") % CUTS), config.source_path, "a", compression="none")
+        run_ingestion(c.spark, config, store, T1, "run_1")
+        for folder in _cut_folders(c, f"{config.source_path}/a"):
+            if int(folder.rsplit("=", 1)[1]) % 3 == 1:
+                _write_over(c, _data_file(c, folder), "")
+        run_ingestion(c.spark, config, store, T1 + timedelta(hours=1), "run_2")
+        store.fold()
+        for folder in _cut_folders(c, f"{config.source_path}/a"):
+            if int(folder.rsplit("=", 1)[1]) % 3 == 1:
+                _write_over(c, _data_file(c, folder), "{cut")
+        run_ingestion(c.spark, config, store, T1 + timedelta(hours=2), "run_3")
+        store.fold()
+        return config, store
+
+    rows = rows_of(c, *c.once("emptying", make))
+    return rows.groupBy(F.col("kept").cast("bigint").alias("cut")).agg(F.count("*").alias("n"), F.sum("event_id").cast("bigint").alias("ids"))
+
+
+def _cut_folders(c, root: str) -> list[str]:
+    from tidemark.workspace import list_folder
+
+    return [p for p in list_folder(c.spark, root) if "cut=" in p.rsplit("/", 1)[-1]]
+
+
+def _data_file(c, folder: str) -> str:
+    from tidemark.workspace import list_folder
+
+    return next(p for p in list_folder(c.spark, folder) if p.rsplit("/", 1)[-1].startswith("part-"))
 
-    new = next(p for p in list_folder(c.spark, folder) if p.rsplit("/", 1)[-1].startswith("part-"))
-    delete_path(c.spark, target)
-    fs, path = _hadoop(c.spark, new)
-    fs.rename(path, _hadoop(c.spark, target)[1])
+
+def _write_over(c, path: str, text: str) -> None:
+    from tidemark.workspace import _hadoop
+
+    fs, target = _hadoop(c.spark, path)
+    out = fs.create(target, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def _move_over(c, source: str, target: str) -> None:
+    """Puts the file of each cut in the place of the target's file of that cut."""
+    from tidemark.workspace import _hadoop, delete_path
+
+    for folder in _cut_folders(c, source):
+        old = _data_file(c, f"{target}/{folder.rsplit('/', 1)[-1]}")
+        delete_path(c.spark, old)
+        fs, path = _hadoop(c.spark, _data_file(c, folder))
+        fs.rename(path, _hadoop(c.spark, old)[1])
 
 
 @query("i6_csv_isolation", """
@@ -171,21 +246,24 @@ def _(c):
     return c.once("clashing", make).groupBy(folder_of().alias("folder"), "status").agg(F.sum("records_ingested").alias("records"))
 
 
-@query("b6_run_retries", """
-SELECT 'cut' AS folder, 'FAILED' AS status, 0 AS retries, 'run_1' AS run_id UNION ALL SELECT 'good', 'SUCCESS', 0, 'run_1'""")
+@query("b6_run_retries", f"""
+SELECT folder, CASE folder WHEN 'cut' THEN 'FAILED' ELSE 'SUCCESS' END AS status, 0 AS retries, 'run_1' AS run_id, count(DISTINCT user_id % {CUTS}) AS files
+FROM events, (SELECT unnest(['cut', 'good']) AS folder) f GROUP BY 1""")
 def _(c):
-    """A file that cannot be mended by trying again is not read again until it changes."""
+    """Files that cannot be mended by trying again are not read again until they change."""
     def make():
         config, store = job(c, "retrying")
-        land(events(c).coalesce(1), config.source_path, "good")
-        text = events(c).select(F.to_json(F.struct("event_id")).alias("r")).select(F.expr("left(r, length(r) - 1)"))
-        text.coalesce(1).write.option("compression", "none").text(f"{config.source_path}/cut")
+        land_cut(events(c), config.source_path, "good")
+        text = F.to_json(F.struct("event_id"))
+        cut = events(c).select(F.substring(text, F.lit(1), F.length(text) - 1).alias("value"), (F.col("user_id") % CUTS).alias("cut"))
+        land_cut(cut, config.source_path, "cut", "text", compression="none")
         config.file_pattern = None
         for k in (1, 2, 3):
             run_ingestion(c.spark, config, store, T1 + timedelta(hours=k), f"run_{k}")
         return store.state(config.ingestion_id)
 
-    return c.once("retrying", make).select(folder_of().alias("folder"), "status", F.col("retry_count").alias("retries"), "run_id")
+    folder = F.regexp_extract("file_path", r"/(cut|good)/cut=", 1)
+    return c.once("retrying", make).groupBy(folder.alias("folder"), "status", F.col("retry_count").alias("retries"), "run_id").agg(F.count("*").alias("files"))
 
 
 @query("b8_reset_and_rerun", """
@@ -210,20 +288,19 @@ def _(c):
 SELECT file_path, CASE WHEN processed_at < TIMESTAMP '{LEDGER_NOW}' - INTERVAL 2000 DAY THEN 1 WHEN processed_at < TIMESTAMP '{LEDGER_NOW}' - INTERVAL 1000 DAY THEN 2 ELSE 0 END AS pass
 FROM state""", ("state",))
 def _(c):
-    """Two passes of retention: every row is in the archive of its pass or is kept."""
+    """Two passes of retention in place: every row is in the archive of its pass or is kept."""
     def make():
-        root, archive = c.scratch("retention"), c.scratch("archive")
-        first = StateStore(c.spark, f"{root}/0")
-        first.append("ledger", "all", "seed", "done", c.state.withColumns({n: F.lit(None).cast(t) for n, t in _missing(c.state)}))
-        second, _ = first.retire(f"{root}/1", archive, LEDGER_NOW, 2000)
-        third, _ = second.retire(f"{root}/2", archive, LEDGER_NOW, 1000)
-        return archive, third
-
-    archive, kept = c.once("two_passes", make)
+        archive, store = c.scratch("archive"), StateStore(c.spark, c.scratch("retention"))
+        store.append("ledger", "all", "seed", "done", c.state.withColumns({n: F.lit(None).cast(t) for n, t in _missing(c.state)}))
+        store.retire(archive, LEDGER_NOW, 2000)
+        store.retire(archive, LEDGER_NOW, 1000)
+        return archive, store
+
+    archive, store = c.once("two_passes", make)
     old = c.spark.read.parquet(archive).select("file_path", "processed_at")
     first = F.col("processed_at") < F.expr(f"TIMESTAMP '{LEDGER_NOW}' - INTERVAL 2000 DAY")
     old = old.select("file_path", F.when(first, 1).otherwise(2).alias("pass"))
-    return old.unionByName(kept.events().select("file_path", F.lit(0).alias("pass")))
+    return old.unionByName(store.state().select("file_path", F.lit(0).alias("pass")))
 
 
 def _missing(df):
@@ -254,3 +331,166 @@ def _(c):
 
     rows = rows_of(c, *c.once("steps", make))
     return rows.groupBy("kind").agg(F.count("*").alias("n"), F.sum("who").cast("bigint").alias("who"))
+
+
+# --- schema changes in runs ---------------------------------------------------------------------------
+
+
+def device(*fields):
+    made = {"maker": F.concat(F.lit("m"), F.col("event_id") % 5), "firmware": F.col("event_id") % 9, "slot": F.col("event_id") % 4}
+    return F.struct(*[made[f].alias(f) for f in fields])
+
+
+@query("s3_nested_field", """
+SELECT slot, count(*) AS n, CAST(sum(firmware) AS bigint) AS firmware, count(parts) AS parts FROM (
+  SELECT CASE WHEN event_id % 2 = 1 THEN event_id % 4 END AS slot, event_id % 9 AS firmware, CASE WHEN event_id % 2 = 1 THEN event_id % 3 END AS parts FROM events) e GROUP BY 1""")
+def _(c):
+    """Fields that are new inside a struct, and inside the structs of an array, are added; earlier rows have NULL there."""
+    def make():
+        config, store = job(c, "nesting")
+        rows = events(c).withColumn("cut", F.col("user_id") % CUTS)
+        old = rows.withColumns({"device": device("maker", "firmware"), "parts": F.array(F.struct(F.col("event_id").alias("id")))})
+        new = rows.withColumns({"device": device("maker", "slot", "firmware"), "parts": F.array(F.struct(F.col("event_id").alias("id"), (F.col("event_id") % 3).alias("wear")))})
+        land_cut(old.filter("event_id % 2 = 0"), config.source_path, "a")
+        run_ingestion(c.spark, config, store, T1, "run_1")
+        land_cut(new.filter("event_id % 2 = 1"), config.source_path, "b")
+        run_ingestion(c.spark, config, store, T1 + timedelta(hours=1), "run_2")
+        return config, store
+
+    rows = rows_of(c, *c.once("nesting", make))
+    return rows.groupBy(F.col("device.slot").alias("slot")).agg(
+        F.count("*").alias("n"), F.sum("device.firmware").cast("bigint").alias("firmware"), F.count(F.col("parts")[0]["wear"]).alias("parts")
+    )
+
+
+def _promoted(c):
+    """Whole numbers first, then files with fractions, which wait until their change is approved."""
+    def make():
+        from tidemark.plans.approval import decide
+
+        config, store = job(c, "promoting")
+        rows = events(c).withColumn("cut", F.col("user_id") % CUTS)
+        land_cut(rows.filter("event_id % 2 = 0").withColumn("value", F.col("event_id")), config.source_path, "a")
+        run_ingestion(c.spark, config, store, T1, "run_1")
+        land_cut(rows.filter("event_id % 2 = 1").withColumn("value", F.col("event_id") + 0.5), config.source_path, "b")
+        held = run_ingestion(c.spark, config, store, T1 + timedelta(hours=1), "run_2")
+        decide(store, config.ingestion_id, "accept", T1 + timedelta(hours=2))
+        run_ingestion(c.spark, config, store, T1 + timedelta(hours=3), "run_3")
+        return config, store, held
+
+    return c.once("promoting", make)
+
+
+@query("s14_promoted_type", """
+SELECT event_type, count(*) AS n, sum(event_id + CASE WHEN event_id % 2 = 1 THEN 0.5::double ELSE 0.0::double END) AS total FROM events GROUP BY 1""")
+def _(c):
+    """Approved files with a wider type are loaded, and rows stored before are read in it."""
+    config, store, _ = _promoted(c)
+    return rows_of(c, config, store).groupBy("event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
+@query("s14_held_until_approved", """
+SELECT status, count(*) AS files FROM (SELECT DISTINCT user_id % 6 AS cut, CASE event_id % 2 WHEN 0 THEN 'SUCCESS' ELSE 'SKIPPED' END AS status FROM events) f GROUP BY 1""")
+def _(c):
+    """What the run before the decision said of the files."""
+    config, store, _ = _promoted(c)
+    done = store.events(config.ingestion_id).filter("status IN ('SUCCESS', 'SKIPPED') AND run_id IN ('run_1', 'run_2')")
+    return done.groupBy("status").agg(F.count("*").alias("files"))
+
+
+def _grown(c, name: str, **settings):
+    """Two loads, of which the second has a column more."""
+    def make():
+        config, store = job(c, name, **settings)
+        rows = events(c).withColumn("cut", F.col("user_id") % CUTS)
+        land_cut(rows.filter("event_id % 2 = 0"), config.source_path, "a")
+        run_ingestion(c.spark, config, store, T1, "run_1")
+        region = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("r"), F.col("event_id") % 5))
+        land_cut(rows.filter("event_id % 2 = 1").withColumn("region", region), config.source_path, "b")
+        run_ingestion(c.spark, config, store, T1 + timedelta(hours=1), "run_2")
+        return config, store
+
+    return c.once(name, make)
+
+
+GROWN = "SELECT {column} AS region, count(*) AS n, CAST(sum(event_id) AS bigint) AS ids FROM events GROUP BY 1"
+NEW = "CASE WHEN event_id % 2 = 1 AND event_id % 3 = 0 THEN 'r' || (event_id % 5) END"
+
+
+def _by_region(rows):
+    return rows.groupBy("region").agg(F.count("*").alias("n"), F.sum("event_id").cast("bigint").alias("ids"))
+
+
+@query("s11_default_in_run", GROWN.format(column=f"coalesce({NEW}, 'unknown')"))
+def _(c):
+    """A new column with a default: rows stored before and rows without a value read as it."""
+    return _by_region(rows_of(c, *_grown(c, "defaulting", on_new_columns="backfill_default", column_defaults={"region": "'unknown'"})))
+
+
+@query("s12_version_in_run", GROWN.format(column=NEW))
+def _(c):
+    """A new column opens a generation of the table; readers see both."""
+    return _by_region(rows_of(c, *_grown(c, "versioning", on_new_columns="version_table")))
+
+
+@query("s12_generations", """
+SELECT count(*) AS generations, count(*) FILTER (WHERE has_region) AS with_region FROM (SELECT unnest([false, true]) AS has_region) g WHERE EXISTS (SELECT 1 FROM events)""")
+def _(c):
+    config, _ = _grown(c, "versioning", on_new_columns="version_table")
+    tables = [c.spark.table(t) for t in writer.generations(c.spark, config.table)]
+    flags = [t.limit(1).select(F.lit("region" in t.columns).alias("r")) for t in tables]
+    both = flags[0]
+    for f in flags[1:]:
+        both = both.unionByName(f)
+    return both.agg(F.count("*").alias("generations"), F.count_if("r").alias("with_region"))
+
+
+@query("q3_pending_in_run", """
+SELECT count(*) AS pending_count, max(files) AS held_files FROM (SELECT count(DISTINCT user_id % 6) AS files FROM events WHERE event_id % 2 = 1) f""")
+def _(c):
+    """A run that meets a new column asks for a decision and holds its files."""
+    from tidemark.operators.schema_history import open_decisions, pending_approvals
+
+    config, store = _grown(c, "asking", on_new_columns="approve")
+    pending = pending_approvals(open_decisions(store.read("schema_versions"))).select("ingestion_id", "pending_count")
+    held = store.state(config.ingestion_id).filter("status = 'SKIPPED'").groupBy("ingestion_id").agg(F.count("*").alias("held_files"))
+    return pending.join(held, "ingestion_id").select("pending_count", "held_files")
+
+
+@query("i20_rescued_in_run", """
+SELECT event_id, CASE WHEN event_id % 3 = 1 THEN NULL ELSE user_id END AS user_id, CASE event_id % 3 WHEN 1 THEN '{"user_id":"u' || user_id || '"}'
+  WHEN 2 THEN '{"extra":' || event_id || ',"device":{"slot":' || (event_id % 4) || '}}' END AS rest FROM events""")
+def _(c):
+    """Values that do not fit, unknown columns and unknown nested fields are kept in the rescue column; no file is held."""
+    def make():
+        config, store = job(c, "rescuing", rescue_column="rest", evolution_enabled=False)
+        rows = events(c).select("event_id", "user_id").withColumn("cut", F.col("user_id") % CUTS)
+        plain = rows.withColumn("device", device("maker", "firmware"))
+        land_cut(plain.filter("event_id % 3 = 0"), config.source_path, "a")
+        run_ingestion(c.spark, config, store, T1, "run_1")
+        land_cut(plain.filter("event_id % 3 = 1").withColumn("user_id", F.concat(F.lit("u"), "user_id")), config.source_path, "b")
+        more = rows.withColumns({"device": device("maker", "firmware", "slot"), "extra": F.col("event_id")})
+        land_cut(more.filter("event_id % 3 = 2"), config.source_path, "c")
+        run_ingestion(c.spark, config, store, T1 + timedelta(hours=1), "run_2")
+        return config, store
+
+    return rows_of(c, *c.once("rescuing", make)).select("event_id", "user_id", "rest")
+
+
+@query("x5_dates_in_run", """
+SELECT CAST(day AS date) AS day, count(*) AS n, min(label) AS label FROM (
+  SELECT CAST(ts AS date) AS day, event_type || '-' || (user_id % 6) AS label FROM events) e GROUP BY 1""")
+def _(c):
+    """Parsed dates and derived columns as steps of the run."""
+    def make():
+        steps = (("parse_dates", ("seen", ["yyyy-MM-dd", "dd.MM.yyyy"], "day")), ("cast", {"day": "date"}), ("derive", ("label", ["event_type", "part"])), ("select", ["event_id", "day", "label"]))
+        config, store = job(c, "dating", transforms=steps)
+        e = c.table("events")
+        seen = F.when(F.col("event_id") % 2 == 0, F.date_format("ts", "yyyy-MM-dd")).otherwise(F.date_format("ts", "dd.MM.yyyy"))
+        rows = e.select("event_id", "event_type", (F.col("user_id") % CUTS).alias("part"), seen.alias("seen"), (F.col("user_id") % CUTS).alias("cut"))
+        land_cut(rows, config.source_path, "a")
+        run_ingestion(c.spark, config, store, T1, "run_1")
+        return config, store
+
+    rows = rows_of(c, *c.once("dating", make))
+    return rows.groupBy("day").agg(F.count("*").alias("n"), F.min("label").alias("label"))

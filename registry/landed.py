@@ -194,7 +194,7 @@ def _(c):
 @query("i2_append", EVENT_COUNTS)
 def _(c):
     config, store = ingested(c)
-    return event_counts(writer.committed(c.spark, config.table, store.runs()))
+    return event_counts(writer.committed(c.spark, config.table, store))
 
 
 @query("i3_partitioned_create", "SELECT o_orderstatus, count(*) AS n, CAST(sum(o_custkey) AS bigint) AS keys FROM orders GROUP BY 1")
@@ -214,7 +214,7 @@ SELECT CAST(ts AS date) AS day, true AS known, false AS unknown FROM events GROU
 def _(c):
     config, store = ingested(c)
     known, unknown = (writer.table_exists(c.spark, t) for t in (config.table, config.table + "_none"))
-    rows = writer.committed(c.spark, config.table, store.runs())
+    rows = writer.committed(c.spark, config.table, store)
     return rows.select(F.to_date("ts").alias("day")).distinct().select("day", F.lit(known).alias("known"), F.lit(unknown).alias("unknown"))
 
 
@@ -319,7 +319,7 @@ def _(c):
 
     config, store = ingested(c)
     c.once("replayed", make)
-    return event_counts(writer.committed(c.spark, config.table, store.runs()))
+    return event_counts(writer.committed(c.spark, config.table, store))
 
 
 def _mixed_lines(c):
@@ -384,7 +384,7 @@ def _refreshed(c, mode: str):
 @query("r2_full_refresh", EVENT_COUNTS)
 def _(c):
     config, store, _ = _refreshed(c, "full")
-    return event_counts(writer.committed(c.spark, config.table, store.runs()))
+    return event_counts(writer.committed(c.spark, config.table, store))
 
 
 @query("r2_full_refresh_steps", """
@@ -397,7 +397,7 @@ def _(c):
 @query("r3_new_only_refresh", EVENT_COUNTS.replace("GROUP BY", "WHERE day(ts) > 20 GROUP BY"))
 def _(c):
     config, store, _ = _refreshed(c, "new_only")
-    return event_counts(writer.committed(c.spark, config.table, store.runs()))
+    return event_counts(writer.committed(c.spark, config.table, store))
 
 
 # --- streams --------------------------------------------------------------------------------------
@@ -417,7 +417,7 @@ def _streamed(c):
 @query("a16_file_stream", "SELECT CAST(ts AS date) AS day, count(*) AS n FROM events GROUP BY 1")
 def _(c):
     config, store, _ = _streamed(c)
-    rows = writer.committed(c.spark, config.table, store.runs())
+    rows = writer.committed(c.spark, config.table, store)
     return rows.groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
 
 
@@ -519,7 +519,7 @@ SELECT column_name, CASE column_name WHEN 'region' THEN 'string' ELSE 'struct<k:
   SELECT unnest(['meta', 'region']) AS column_name, count(*) FILTER (WHERE day(ts) > 20) AS n FROM events) t""")
 def _(c):
     config, store = ingested(c)
-    rows = writer.committed(c.spark, config.table, store.runs())
+    rows = writer.committed(c.spark, config.table, store)
     added = H.schema_rows(c.spark, rows.schema).filter("column_name in ('meta', 'region')").select("column_name", "data_type")
     filled = rows.agg(F.count("meta").alias("meta"), F.count("region").alias("region")).unpivot([], ["meta", "region"], "column_name", "filled")
     return added.join(filled, "column_name")
@@ -530,7 +530,7 @@ SELECT CAST(ts AS date) AS day, count(*) AS n, count(*) FILTER (WHERE day(ts) <=
   count(*) FILTER (WHERE day(ts) <= 20) AS null_meta FROM events GROUP BY 1""")
 def _(c):
     config, store = ingested(c)
-    rows = writer.committed(c.spark, config.table, store.runs())
+    rows = writer.committed(c.spark, config.table, store)
     return rows.groupBy(F.to_date("ts").alias("day")).agg(
         F.count("*").alias("n"), F.count_if(F.col("region").isNull()).alias("null_region"),
         F.count_if(F.col("meta").isNull()).alias("null_meta"),
@@ -567,9 +567,22 @@ def _(c):
 SELECT * FROM (VALUES ('event_id', 'bigint'), ('event_type', 'string'), ('meta', 'struct<k:bigint>'), ('region', 'string'),
   ('ts', 'string'), ('user_id', 'bigint'), ('value', 'double')) v(column_name, data_type) WHERE EXISTS (SELECT 1 FROM events)""")
 def _(c):
-    # All distinct schemas, folded: there are as many as producers disagree, not as many as files.
-    texts = S.schema_groups(_file_schemas(c).withColumnRenamed("file_path", SOURCE_FILE)).orderBy("first_file").select("variant_schema")
-    return H.schema_rows(c.spark, S.merge_variant_schemas(r[0] for r in texts.toLocalIterator())).select("column_name", "data_type")
+    groups = S.schema_groups(_file_schemas(c).withColumnRenamed("file_path", SOURCE_FILE))
+    return H.schema_rows(c.spark, S.merge_variant_schemas(groups)).select("column_name", "data_type")
+
+
+@query("s6_many_schemas", """
+SELECT 'c_' || user_id AS column_name, CASE WHEN count(DISTINCT event_id % 3) > 1 OR min(event_id % 3) = 1 THEN 'double' ELSE 'bigint' END AS data_type
+FROM (SELECT user_id, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS event_id FROM events) e GROUP BY 1
+UNION ALL SELECT 'nest', 'struct<a:bigint,b:' || CASE WHEN bool_or(event_type = 'error') AND bool_or(event_type <> 'error') THEN 'string' WHEN bool_or(event_type = 'error') THEN 'bigint' ELSE 'string' END || '>' FROM events""")
+def _(c):
+    """One schema per user and event kind: columns that only some records have, numbers that widen, a field that clashes."""
+    odd = F.col("event_type") == "error"
+    nest = F.when(odd, F.concat(F.lit('{"a": 1, "b": '), "event_id", F.lit("}"))).otherwise(F.lit('{"a": 2, "b": "x"}'))
+    number = F.when(odd, F.lit("1.5")).otherwise(F.lit("7"))
+    text = F.concat(F.lit('{"nest": '), nest, F.lit(', "c_'), F.col("user_id"), F.lit('": '), number, F.lit("}"))
+    lines = c.table("events").select(text.alias("value"), F.concat_ws("/", "user_id", F.when(odd, "a").otherwise("b")).alias(SOURCE_FILE))
+    return H.schema_rows(c.spark, S.merge_variant_schemas(S.schema_groups(S.json_file_schemas(lines)))).select("column_name", "data_type")
 
 
 @query("s9_next_versions", """

@@ -27,7 +27,7 @@ def job(spark, tmp_path):
 
 
 def rows(spark, config, store):
-    return writer.committed(spark, config.table, store.runs())
+    return writer.committed(spark, config.table, store)
 
 
 def test_basic(spark, job):

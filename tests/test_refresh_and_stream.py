@@ -41,7 +41,7 @@ def test_full_refresh(spark, job):
     assert out["status"] == "accepted" and [o[0] for o in out["operations"]] == [
         "table_dropped", "processed_files_cleared", "run_triggered"]
     assert out["operations"][0][2]["existed"] and out["operations"][1][2] == 3
-    t = writer.committed(spark, config.table, store.runs())
+    t = writer.committed(spark, config.table, store)
     assert t.count() == 3000 and t.agg(F.min("id"), F.max("id")).first()[:] == (0, 2999)
 
 
@@ -53,7 +53,7 @@ def test_new_only_refresh_keeps_history(spark, job):
     out = refresh(spark, config, store, "new_only", T1, "r2")
     assert [o[0] for o in out["operations"]] == ["table_dropped", "run_triggered"]
     assert (out["impact"]["files_to_process"], out["impact"]["files_skipped"]) == (2, 3)
-    t = writer.committed(spark, config.table, store.runs())
+    t = writer.committed(spark, config.table, store)
     assert t.count() == 2000 and t.agg(F.min("id"), F.max("id")).first()[:] == (3000, 4999)
 
 
@@ -100,7 +100,7 @@ def test_stream_is_one_run_per_batch_and_restarts_exactly(spark, job):
     assert len(q.recentProgress) >= 2 and progress_metrics(q.recentProgress)["records_ingested"] > 0
     land(src, 3, 1, rows=100)
     ingest_stream(spark, config, store, ck, None, max_files_per_trigger=2).awaitTermination()
-    t = writer.committed(spark, config.table, store.runs())
+    t = writer.committed(spark, config.table, store)
     assert t.count() == 400 and t.select("id").distinct().count() == 400
     state = store.state("ing1")
     assert state.filter("status = 'SUCCESS' and records_ingested = 100").count() == 4
@@ -128,12 +128,19 @@ def test_compaction_and_retention_keep_the_state(spark, job):
     run_ingestion(spark, config, store, T0, "r1")
     land(src, 2, 1, rows=10)
     run_ingestion(spark, config, store, T1, "r2")
-    small = store.compacted(f"{store.root}-compact")
-    assert small.state("ing1").exceptAll(store.state("ing1")).isEmpty() and small.events().count() == 3
-    assert writer.committed(spark, config.table, small.runs()).count() == 30
-    assert run_ingestion(spark, config, small, T1, "r3").success == 0
-    kept, archived = store.retire(f"{store.root}-kept", f"{store.root}-archive", "2025-04-01 12:00:00", 90)
-    assert archived == 2 and kept.state("ing1").count() == 1
+    before = store.state("ing1").collect()
+    assert store.fold() and not store.delta_folders("ledger") and not store.delta_folders("runs")
+    assert sorted(store.state("ing1").collect()) == sorted(before)
+    assert writer.committed(spark, config.table, store).count() == 30
+    land(src, 3, 1, rows=10)
+    assert run_ingestion(spark, config, store, T1, "r3").success == 1
+    assert store.state("ing1").count() == 4 and writer.committed(spark, config.table, store).count() == 40
+    assert store.fold() and store.runs().count() == 3 and not store.fold()
+    # What the first fold has merged is gone by now, the state is not.
+    assert not store.events("ing1", "r1").count() and store.state("ing1").count() == 4
+    assert run_ingestion(spark, config, store, T1, "r4").success == 0
+    assert store.retire(f"{store.root}-archive", "2025-04-01 12:00:00", 90) == 2
+    assert store.state("ing1").count() == 2 and writer.committed(spark, config.table, store).count() == 40
 
 
 def test_clear_by_pattern(spark, job):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 from pyspark.sql import types as T
@@ -41,6 +40,101 @@ def fits(found: T.DataType, target: T.DataType) -> bool:
     return isinstance(target, T.TimestampType) and isinstance(found, (T.DateType, T.StringType))
 
 
+def extended(target: T.DataType, found: T.DataType, promote: bool = False) -> T.DataType:
+    """``target`` with the nested fields that only ``found`` has, names compared without case.
+
+    Other types stay as they are; with ``promote`` a type that does not hold the found values becomes one that does.
+    """
+    if isinstance(target, T.StructType) and isinstance(found, T.StructType):
+        incoming = {f.name.lower(): f for f in found.fields}
+        out = []
+        for f in target.fields:
+            g = incoming.pop(f.name.lower(), None)
+            out.append(f if g is None else T.StructField(f.name, extended(f.dataType, g.dataType, promote), True))
+        return T.StructType(out + [T.StructField(g.name, g.dataType, True) for g in incoming.values()])
+    if isinstance(target, T.ArrayType) and isinstance(found, T.ArrayType):
+        return T.ArrayType(extended(target.elementType, found.elementType, promote))
+    if isinstance(target, T.MapType) and isinstance(found, T.MapType):
+        return T.MapType(target.keyType, extended(target.valueType, found.valueType, promote))
+    return common_type(target, found, "widen") if promote and not fits(found, target) else target
+
+
+def misfits(target: T.DataType, found: T.DataType, path: str = "", widen: bool = False) -> list[str]:
+    """Where ``found`` has values that ``target`` cannot hold; fields that ``target`` lacks are none of them.
+
+    With ``widen`` a wider number is none either.
+    """
+    if isinstance(target, T.StructType) and isinstance(found, T.StructType):
+        have = {f.name.lower(): f for f in target.fields}
+        out = []
+        for f in found.fields:
+            t = have.get(f.name.lower())
+            if t is not None:
+                out += misfits(t.dataType, f.dataType, f"{path}.{f.name}" if path else f.name, widen)
+        return out
+    if isinstance(target, T.ArrayType) and isinstance(found, T.ArrayType):
+        return misfits(target.elementType, found.elementType, f"{path}[]", widen)
+    if isinstance(target, T.MapType) and isinstance(found, T.MapType) and fits(found.keyType, target.keyType):
+        return misfits(target.valueType, found.valueType, f"{path}{{}}", widen)
+    if widen and found.simpleString() in WIDTH and target.simpleString() in WIDTH:
+        return []
+    return [] if fits(found, target) else [f"{path}: {found.simpleString()} does not fit {target.simpleString()}"]
+
+
+def nested_additions(target: T.DataType, found: T.DataType, path: str = "") -> list[str]:
+    """Fields inside columns of ``target`` that only ``found`` has."""
+    if isinstance(target, T.StructType) and isinstance(found, T.StructType):
+        have = {f.name.lower(): f for f in target.fields}
+        out = []
+        for f in found.fields:
+            t = have.get(f.name.lower())
+            name = f"{path}.{f.name}" if path else f.name
+            if t is not None:
+                out += nested_additions(t.dataType, f.dataType, name)
+            elif path:
+                out.append(name)
+        return out
+    if isinstance(target, T.ArrayType) and isinstance(found, T.ArrayType):
+        return nested_additions(target.elementType, found.elementType, f"{path}[]")
+    if isinstance(target, T.MapType) and isinstance(found, T.MapType):
+        return nested_additions(target.valueType, found.valueType, f"{path}{{}}")
+    return []
+
+
+def reshaped(value, found: T.DataType, target: T.DataType):
+    """A column of one type as another: structs by field name, what is missing NULL, other values cast."""
+    from pyspark.sql import functions as F
+
+    if found == target:
+        return value
+    if isinstance(target, T.StructType) and isinstance(found, T.StructType):
+        have = {f.name.lower(): f for f in found.fields}
+        fields = []
+        for f in target.fields:
+            g = have.get(f.name.lower())
+            part = F.lit(None).cast(f.dataType) if g is None else reshaped(value[g.name], g.dataType, f.dataType)
+            fields.append(part.alias(f.name))
+        return F.when(value.isNotNull(), F.struct(*fields))
+    if isinstance(target, T.ArrayType) and isinstance(found, T.ArrayType):
+        return F.transform(value, lambda x: reshaped(x, found.elementType, target.elementType))
+    if isinstance(target, T.MapType) and isinstance(found, T.MapType) and found.keyType == target.keyType:
+        return F.transform_values(value, lambda _, x: reshaped(x, found.valueType, target.valueType))
+    return value.cast(target)
+
+
+def reshaped_rows(rows, target: T.StructType):
+    """Rows with the columns and types of ``target``; columns they lack are NULL."""
+    from pyspark.sql import functions as F
+
+    have = {f.name.lower(): f for f in rows.schema.fields}
+    out = []
+    for f in target.fields:
+        g = have.get(f.name.lower())
+        quoted = None if g is None else F.col("`" + g.name.replace("`", "``") + "`")
+        out.append((F.lit(None).cast(f.dataType) if g is None else reshaped(quoted, g.dataType, f.dataType)).alias(f.name))
+    return rows.select(*out)
+
+
 def common_type(a: T.DataType, b: T.DataType, promote: str) -> T.DataType:
     """Type for a column seen as both; ``promote="string"`` never widens numbers."""
     if isinstance(a, T.NullType):
@@ -114,30 +208,6 @@ def diff(old: T.StructType, new: T.StructType, strict: bool = False) -> list[Sch
     return out
 
 
-def conflicts(table: T.StructType, found: T.StructType) -> list[str]:
-    """Columns of a file whose values would not fit the table's type."""
-    have = {f.name.lower(): f for f in table.fields}
-    out = []
-    for f in found.fields:
-        t = have.get(f.name.lower())
-        if t is not None and not fits(f.dataType, t.dataType):
-            out.append(f"{f.name}: {f.dataType.simpleString()} does not fit {t.dataType.simpleString()}")
-    return out
-
-
-def clashes(known: T.StructType, found: T.StructType) -> list[str]:
-    """Columns whose two types have no common type but text."""
-    have = {f.name.lower(): f.dataType for f in known.fields}
-    out = []
-    for f in found.fields:
-        t = have.get(f.name.lower())
-        if t is None or fits(f.dataType, t):
-            continue
-        if isinstance(common_type(t, f.dataType, "widen"), T.StringType):
-            out.append(f"{f.name}: {f.dataType.simpleString()} does not fit {t.simpleString()}")
-    return out
-
-
 def doubled_names(found: T.StructType) -> list[str]:
     """Columns that one schema spells in two ways; they cannot be told apart in a table."""
     seen: dict[str, str] = {}
@@ -149,19 +219,19 @@ def doubled_names(found: T.StructType) -> list[str]:
     return out
 
 
+def typed(found: T.DataType) -> T.DataType:
+    """Text for what no record had a value of."""
+    if isinstance(found, T.StructType):
+        fields = [(f, T.StringType() if f.dataType == T.StructType([]) else typed(f.dataType)) for f in found.fields]
+        return T.StructType([T.StructField(f.name, kind, f.nullable) for f, kind in fields])
+    if isinstance(found, T.ArrayType):
+        return T.ArrayType(typed(found.elementType))
+    return T.StringType() if isinstance(found, T.NullType) else found
+
+
 def from_variant_schema(text: str) -> T.StructType | None:
     """Spark type of a ``schema_of_variant_agg`` result; None when the records are not objects."""
-    while text.startswith("ARRAY<") and text.endswith(">"):
-        text = text[6:-1]
-    if not text.startswith("OBJECT<"):
-        return None
-    if text == "OBJECT<>":
-        return T.StructType([])
-    # Quoted names keep their text; only bare type words are replaced.
-    parts = re.split(r"(`(?:[^`]|``)*`)", text)
-    for i in range(0, len(parts), 2):
-        p = re.sub(r"\bOBJECT<", "STRUCT<", parts[i])
-        p = re.sub(r": DECIMAL\(\d+,\d+\)|(?<=<)DECIMAL\(\d+,\d+\)", lambda m: ": DOUBLE" if m[0][0] == ":" else "DOUBLE", p)
-        p = re.sub(r": (?:VARIANT|VOID)\b", ": STRING", p)
-        parts[i] = re.sub(r"(?<=<)(?:VARIANT|VOID)\b", "STRING", p)
-    return T._parse_datatype_string("".join(parts))
+    from tidemark.functions.schema_nodes import schema_of
+
+    found = schema_of(text)
+    return None if found is None else typed(found)

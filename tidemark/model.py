@@ -26,8 +26,15 @@ RUN_RUNNING, RUN_SUCCESS, RUN_FAILED, RUN_PARTIAL = "running", "success", "faile
 # Accepted source formats and write modes.
 FORMATS = ("json", "csv", "parquet", "avro", "orc", "xml")
 WRITE_MODES = ("append", "overwrite", "overwrite_partitions", "merge")
+# What a run does with columns and nested fields that the table lacks: add them, add them with a default for the rows that
+# are there, keep them in a generation of the table from then on, or hold their files until the change is approved.
+ON_NEW_COLUMNS = ("auto_merge", "backfill_default", "version_table", "approve")
+BACKFILL_MODES = ("include_existing", "new_only", "from_date")
 
 SCHEMA_ERROR = "SchemaEvolutionError"
+# What a plan says of a file whose schema change was approved.
+SCHEMA_APPROVED = "SchemaApproved"
+PENDING_APPROVAL = "pending_approval"
 MALFORMED_ERROR = "MalformedRecordError"
 CORRUPT_ERROR = "CorruptFileError"
 
@@ -153,6 +160,21 @@ class IngestionConfig:
     # Only files modified from then on, or the day folders of the last days.
     since: datetime | None = None
     lookback_days: int | None = None
+    # How new columns are taken in (see ON_NEW_COLUMNS), and SQL literals by column for ``backfill_default``.
+    on_new_columns: str = "auto_merge"
+    column_defaults: dict[str, str] = field(default_factory=dict)
+    # Whether a wider type is taken in at once, or only for files whose change was approved.
+    type_promotion: str = "approve"
+    # JSON only: a text column for what neither a column nor its type can hold; such values then hold no file back.
+    rescue_column: str | None = None
+    # Which files a first load takes: all, those since ``activated_at``, or those modified from ``backfill_start`` on, up to
+    # ``backfill_end``.
+    backfill_mode: str = "include_existing"
+    activated_at: datetime | None = None
+    backfill_start: datetime | None = None
+    backfill_end: datetime | None = None
+    # Streams: files older than this (``7d``) than the newest one are left out.
+    max_file_age: str | None = None
 
     def __post_init__(self) -> None:
         self.format = self.format.lower()
@@ -166,6 +188,16 @@ class IngestionConfig:
             raise ValueError("on_bad_records must be 'fail_file' or 'quarantine'")
         if self.plan_mode not in ("changed", "path"):
             raise ValueError("plan_mode must be 'changed' or 'path'")
+        if self.on_new_columns not in ON_NEW_COLUMNS:
+            raise ValueError(f"unsupported on_new_columns {self.on_new_columns!r}; expected one of {ON_NEW_COLUMNS}")
+        if self.type_promotion not in ("approve", "auto"):
+            raise ValueError("type_promotion must be 'approve' or 'auto'")
+        if self.backfill_mode not in BACKFILL_MODES:
+            raise ValueError(f"unsupported backfill_mode {self.backfill_mode!r}; expected one of {BACKFILL_MODES}")
+        if self.backfill_mode == "new_only" and self.activated_at is None:
+            raise ValueError("backfill_mode 'new_only' needs activated_at")
+        if self.rescue_column and self.format != "json":
+            raise ValueError("rescue_column needs format 'json'")
 
     @property
     def explicit_schema(self) -> T.StructType | None:

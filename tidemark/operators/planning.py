@@ -39,6 +39,7 @@ def classify(manifest: DataFrame, state: DataFrame) -> DataFrame:
         F.col("file_etag").alias("_etag"),
         F.col("file_modified_at").alias("_modified"),
         F.col("retry_count").alias("_retries"),
+        *([F.col("error_type").alias("previous_error")] if "error_type" in state.columns else []),
     )
     changed = file_changed(F.col("etag"), F.col("_etag"), F.col("modified_at"), F.col("_modified"))
     action = (

@@ -33,25 +33,47 @@ def corrupt_counts(parsed: DataFrame, *by: str) -> DataFrame:
     )
 
 
-def rescue(lines: DataFrame, schema: T.StructType, value: str = "value", into: str = "_rescued_data") -> DataFrame:
-    """Typed columns plus, as JSON, every field the schema lacks or whose value does not fit its type."""
+def rescue(lines: DataFrame, schema: T.StructType, value: str = "value", into: str = "_rescued_data", corrupt: str | None = None) -> DataFrame:
+    """Typed columns plus, as JSON, every field the schema lacks or whose value does not fit its type.
+
+    Of a nested field that has more than its type, what is left of it. A record that is no object is what is left as a
+    whole, or the column ``corrupt`` where that is named; empty lines are none then.
+    """
     record = F.try_parse_json(F.col(value))
-    fields = record.try_cast("map<string,variant>")
     keep = [c for c in lines.columns if c != value]
+    parsed = lines.withColumns({"_v": record, "_m": record.try_cast("map<string,variant>")})
+    if corrupt:
+        parsed = parsed.filter(F.trim(F.col(value)) != "")
+    rest = _rest("_m", F.col("_v"), schema)
+    left = F.when(F.size(rest) > 0, F.to_json(rest))
+    whole = F.col("_m").isNull()
+    bad = [F.when(whole, F.col(value)).alias(corrupt)] if corrupt else []
+    left = left if corrupt else F.when(whole, F.col(value)).otherwise(left)
+    return parsed.select(*keep, *[_typed(F.col("_v"), f).alias(f.name) for f in schema.fields], left.alias(into), *bad)
+
+
+def _member(name: str) -> str:
+    return "$['" + name.replace("'", "\\'") + "']"
+
+
+def _typed(v, f: T.StructField):
+    return F.try_variant_get(v, _member(f.name), f.dataType.simpleString())
+
 
-    def typed(f: T.StructField, v=None):
-        if v is None:
-            name = f.name.replace("'", "\\'")
-            return F.try_variant_get("_v", f"$['{name}']", f.dataType.simpleString())
-        return F.try_variant_get(v, "$", f.dataType.simpleString())
+def _rest(fields, v, schema: T.StructType):
+    """A map of what the schema does not hold of an object, given as a map and as a variant."""
 
-    def lost(k, v):
-        stored = F.lit(False)
+    def lost(k, x):
+        held = F.lit(False)
         for f in schema.fields:
-            stored = stored | ((k == f.name) & (typed(f, v).isNotNull() | F.is_variant_null(v)))
-        return ~stored
+            held = held | ((k == f.name) & (F.try_variant_get(x, "$", f.dataType.simpleString()).isNotNull() | F.is_variant_null(x)))
+        return ~held
 
-    parsed = lines.withColumns({"_v": record, "_m": fields})
-    rest = F.map_filter("_m", lost)
-    left = F.when(F.col("_m").isNull(), F.col(value)).when(F.size(rest) > 0, F.to_json(rest))
-    return parsed.select(*keep, *[typed(f).alias(f.name) for f in schema.fields], left.alias(into))
+    rest = F.map_filter(fields, lost)
+    for f in schema.fields:
+        if isinstance(f.dataType, T.StructType):
+            inner = F.try_variant_get(v, _member(f.name), "variant")
+            below = _rest(inner.try_cast("map<string,variant>"), inner, f.dataType)
+            more = F.map_from_arrays(F.array(F.lit(f.name)), F.array(F.to_variant_object(below)))
+            rest = F.when(F.size(below) > 0, F.map_concat(rest, more)).otherwise(rest)
+    return rest

@@ -148,6 +148,13 @@ def inconsistency_report(lines: DataFrame, value: str = "value", file: str = "_s
     return inconsistent_columns(column_types(lines, value, file))
 
 
+def open_decisions(history: DataFrame) -> DataFrame:
+    """One row per version: what was decided of it last, or that it waits."""
+    rest = [c for c in history.columns if c not in ("ingestion_id", "version")]
+    last = F.max_by(F.struct(*rest), F.coalesce("resolved_at", F.lit("0001-01-01").cast("timestamp")))
+    return history.groupBy("ingestion_id", "version").agg(last.alias("_r")).select("ingestion_id", "version", "_r.*").select(*history.columns)
+
+
 def pending_approvals(history: DataFrame) -> DataFrame:
     """Ingestions with schema changes that wait for a decision."""
     return (

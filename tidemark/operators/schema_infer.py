@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from tidemark.functions.schema_types import from_variant_schema, merge
+from tidemark.functions.schema_nodes import described, merged_schema
+from tidemark.functions.schema_types import typed
 from tidemark.model import SOURCE_FILE
 from tidemark.sources.paths import scanned_file, escape_glob
 from tidemark.sources.readers import reader_options
@@ -41,14 +42,12 @@ def schema_groups(per_file: DataFrame) -> DataFrame:
     )
 
 
-def merge_variant_schemas(texts, start: T.StructType | None = None) -> T.StructType:
-    """Union of per-file schemas, numbers widened, other conflicts to string."""
-    out = start or T.StructType([])
-    for text in texts:
-        found = from_variant_schema(text) if text else None
-        if found is not None:
-            out = merge(out, found, "widen")
-    return out
+def merge_variant_schemas(groups: DataFrame) -> T.StructType:
+    """Union of the schemas of ``variant_schema, first_file`` rows, numbers widened, other conflicts to string.
+
+    Schemas are parsed in tasks and folded by an aggregate per path, so only the merged columns reach the driver.
+    """
+    return typed(merged_schema(described(groups, "variant_schema", "first_file")))
 
 
 def csv_headers(spark: SparkSession, paths: list[str], options: dict | None = None) -> DataFrame:
@@ -101,12 +100,3 @@ def inconsistent_columns(types: DataFrame) -> DataFrame:
         "types",
         (F.col("type_count") > 1).alias("inconsistent"),
     )
-
-
-def common_schema(schemas: list[T.StructType]) -> T.StructType:
-    out = T.StructType([])
-    for s in schemas:
-        out = merge(out, s, "widen")
-    return out
-
-

@@ -1,23 +1,48 @@
 """Ledger, runs and schema history as parquet folders in shared storage.
 
-Each append goes to its own ``i=<ingestion>/r=<run>/phase=<phase>`` folder and replaces it when repeated: a
-replayed run leaves one set of events, concurrent runs never share an output folder, and one ingestion's
-history is read without listing the others.
+Deltas
+    Each append goes to its own ``<table>/i=<ingestion>/r=<run>/phase=<phase>`` folder and replaces it when repeated: a
+    replayed run leaves one set of events and concurrent runs never share an output folder.
+
+Base
+    ``fold`` merges the deltas of ended runs into the base, ``base/<table>/g=<generation>/b=<bucket>``: one row per key
+    in buckets of the key's hash, sorted by key. Only buckets that a delta touches are rewritten. Of a file the base also
+    has its version: the last run that loaded it, and how often it was loaded.
+
+Pointer
+    ``pointer/<table>/<number>`` names the generation of each bucket. It is written whole under a new number, readers follow
+    the largest, and of two folds at once the second finds its number taken and gives up. Folded deltas get a
+    mark below ``folded`` after the pointer, so a reader in between sees them twice, which changes nothing: the
+    state is a maximum per key. They are deleted by the next fold, with the generations no pointer names, so readers
+    that planned before have a whole fold's time. What is appended meanwhile is a delta like any other.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tidemark.functions.expressions import as_column
-from tidemark.model import FAILED, LEDGER_SCHEMA, PROCESSING, RUN_SCHEMA, SCHEMA_FILE_SCHEMA, SCHEMA_VERSION_SCHEMA
-from tidemark.operators.ledger import current_state, recent_state, split_by_age, stale_reset, transition
-from tidemark.workspace import make_folder, materialize, path_exists
+from tidemark.model import (
+    CLEARED, FAILED, LEDGER_SCHEMA, PROCESSING, RUN_PARTIAL, RUN_RUNNING, RUN_SCHEMA, RUN_SUCCESS, SCHEMA_FILE_SCHEMA, SCHEMA_VERSION_SCHEMA, SUCCESS,
+)
+from tidemark.operators.ledger import KEY, current_state, split_by_age, stale_reset, transition
+from tidemark.workspace import claim_file, delete_path, list_folder, make_folder, materialize, path_exists, read_text
 
 FOLDERS = [T.StructField(n, T.StringType()) for n in ("i", "r", "phase")]
+# Which event of a file is the latest; the later columns only make ties come out the same in every read.
+ORDER = ("event_time", "seq", "run_id", "file_size_bytes", "status")
+VERSION = T.StructType([
+    T.StructField("live_run_id", T.StringType()),
+    T.StructField("live_time", T.TimestampType()),
+    T.StructField("live_seq", T.IntegerType()),
+    T.StructField("loads", T.LongType()),
+])
+# Rows that a bucket may reach before the base is dealt anew into more of them.
+BUCKET_ROWS = 2_000_000
 
 
 class StateStore:
@@ -27,14 +52,19 @@ class StateStore:
         "schema_versions": SCHEMA_VERSION_SCHEMA,
         "schema_files": SCHEMA_FILE_SCHEMA,
     }
+    KEYS = {"ledger": KEY, "runs": ("ingestion_id", "run_id")}
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, fold_after: int | None = 64):
+        """``fold_after``: how many run folders may wait before a run that ends folds them; None leaves it to the caller."""
         self.spark = spark
         self.root = root.rstrip("/")
+        self.fold_after = fold_after
         # A table exists as an empty folder from the start, so readers need no special first case.
         for name in self.TABLES:
             make_folder(spark, f"{self.root}/{name}")
 
+    # -- deltas -----------------------------------------------------------------------------------------------
+
     def folder(self, table: str, ingestion_id: str | None = None, run_id: str | None = None, phase: str | None = None) -> str:
         parts = [self.root, table]
         for name, value in (("i", ingestion_id), ("r", run_id), ("phase", phase)):
@@ -47,15 +77,38 @@ class StateStore:
         if "run_id" not in rows.columns:
             rows = rows.withColumn("run_id", F.lit(run_id))
         rows.select(*columns).write.mode("overwrite").parquet(self.folder(table, ingestion_id, run_id, phase))
+        mark = self.mark(table, self.folder(table, ingestion_id, run_id))
+        if path_exists(self.spark, mark):
+            # A run that was folded is written again: all its events count as new once more.
+            delete_path(self.spark, mark)
 
     def read(self, table: str, ingestion_id: str | None = None, run_id: str | None = None, phase: str | None = None) -> DataFrame:
-        """Rows of the table, of one ingestion, one run or one phase; only that folder is listed and read."""
-        schema = self.TABLES[table]
+        """Rows as they were appended, of one ingestion, one run or one phase; only that folder is listed and read."""
         path = self.folder(table, ingestion_id, run_id, phase)
-        if not path_exists(self.spark, path):
+        return self._read(table, [path] if path_exists(self.spark, path) else [])
+
+    def _read(self, table: str, folders: list[str]) -> DataFrame:
+        schema = self.TABLES[table]
+        if not folders:
             return self.spark.createDataFrame([], schema)
         found = self.spark.read.schema(T.StructType([*schema.fields, *FOLDERS])).option("basePath", self.folder(table))
-        return found.parquet(path).select(*[f.name for f in schema.fields])
+        return found.parquet(*folders).select(*[f.name for f in schema.fields])
+
+    def mark(self, table: str, folder: str) -> str:
+        return f"{self.root}/folded/{table}/{folder.removeprefix(f'{self.root}/{table}/')}"
+
+    def delta_folders(self, table: str, ingestion_id: str | None = None) -> list[str]:
+        """Run folders that are not in the base yet."""
+        top = [self.folder(table, ingestion_id)] if ingestion_id is not None else [f"{self.folder(table)}/{name}" for name in self._names(self.folder(table))]
+        out = []
+        for folder in top:
+            runs = self._names(folder)
+            done = set(self._names(self.mark(table, folder))) if runs else set()
+            out += [f"{folder}/{r}" for r in runs if r not in done]
+        return out
+
+    def _names(self, folder: str) -> list[str]:
+        return sorted(p.rstrip("/").rsplit("/", 1)[-1] for p in list_folder(self.spark, folder))
 
     def has_plan(self, ingestion_id: str, run_id: str) -> bool:
         return path_exists(self.spark, self.folder("ledger", ingestion_id, run_id, "plan") + "/_SUCCESS")
@@ -65,14 +118,195 @@ class StateStore:
         return self.read("ledger", ingestion_id, run_id, "plan")
 
     def events(self, ingestion_id: str | None = None, run_id: str | None = None) -> DataFrame:
+        """Events as appended; of folded runs they are there until the next fold."""
         return self.read("ledger", ingestion_id, run_id)
 
+    # -- base ---------------------------------------------------------------------------------------------------
+
+    def pointer(self, table: str) -> tuple[int, dict]:
+        """The number and content of the newest pointer."""
+        numbers = self._names(f"{self.root}/pointer/{table}")
+        if not numbers:
+            return 0, {"buckets": 0, "held": {}, "folded": []}
+        return int(numbers[-1]), json.loads(read_text(self.spark, f"{self.root}/pointer/{table}/{numbers[-1]}"))
+
+    def base_schema(self, table: str) -> T.StructType:
+        return T.StructType([*self.TABLES[table].fields, *(VERSION.fields if table == "ledger" else [])])
+
+    def base(self, table: str, held: dict | None = None) -> DataFrame | None:
+        """The base's rows, one per key, with their bucket ``b``."""
+        held = self.pointer(table)[1]["held"] if held is None else held
+        if not held:
+            return None
+        root, schema = f"{self.root}/base/{table}", self.base_schema(table)
+        found = self.spark.read.schema(schema.add("g", T.StringType()).add("b", T.IntegerType())).option("basePath", root)
+        return found.parquet(*[f"{root}/g={g}/b={b}" for b, g in held.items()]).select(*[f.name for f in self.base_schema(table).fields], "b")
+
+    def _bucket(self, table: str, buckets: int, *values):
+        return F.pmod(F.xxhash64(*(values or self.KEYS[table])), F.lit(buckets)).cast("int")
+
+    def _versions(self, events: DataFrame, done: DataFrame) -> DataFrame:
+        """Events with the version columns: loads by runs that readers see."""
+        seen = done.select(F.col("run_id").alias("_done")).distinct()
+        loaded = F.col("_done").isNotNull() & (F.col("status") == SUCCESS)
+        return events.join(seen, events["run_id"] == seen["_done"], "left").withColumns({
+            "live_run_id": F.when(loaded, F.col("run_id")), "live_time": F.when(loaded, F.col("event_time")),
+            "live_seq": F.when(loaded, F.col("seq")), "loads": F.when(loaded, 1).otherwise(0).cast("bigint"),
+        }).drop("_done")
+
+    def _merged(self, table: str, rows: DataFrame) -> DataFrame:
+        """One row per key."""
+        keys = list(self.KEYS[table])
+        columns = [f.name for f in self.TABLES[table].fields if f.name not in keys]
+        if table == "runs":
+            latest = F.max_by(F.struct(*columns), F.struct(F.coalesce("ended_at", "started_at"), F.col("ended_at").isNotNull()))
+            return rows.groupBy(*keys).agg(latest.alias("_r")).select(*keys, "_r.*").select(*self.TABLES[table].names)
+        live = F.struct("live_time", "live_seq", "live_run_id")
+        merged = rows.groupBy(*keys).agg(
+            F.max_by(F.struct(*columns), F.struct(*ORDER)).alias("_r"),
+            F.max(F.when(F.col("live_run_id").isNotNull(), live)).alias("_live"), F.sum("loads").cast("bigint").alias("loads"),
+        )
+        return merged.select(*keys, "_r.*", "_live.*", "loads").select(*self.base_schema(table).names)
+
+    def ended(self) -> DataFrame:
+        """Runs whose rows readers see."""
+        return self.runs().filter(F.col("status").isin(RUN_SUCCESS, RUN_PARTIAL))
+
+    def fold(self) -> bool:
+        """Merges the deltas of ended runs into the base; False if there were none or another fold came first."""
+        # The ledger first: whether a run has ended is looked up in the runs.
+        ledger = self._fold("ledger")
+        return self._fold("runs") or ledger
+
+    def fold_if_due(self) -> bool:
+        if self.fold_after is None or len(self.delta_folders("runs")) < self.fold_after:
+            return False
+        return self.fold()
+
+    def _foldable(self, table: str) -> list[str]:
+        """Folders of runs that will not write any more, and of passes that are no runs."""
+        running = {(r[0], r[1]) for r in self.runs().filter(F.col("status") == RUN_RUNNING).select("ingestion_id", "run_id").collect()}
+        out = []
+        for folder in self.delta_folders(table):
+            i, r = (unquote(x.split("=", 1)[1]) for x in folder.rsplit("/", 2)[1:])
+            if (i, r) not in running:
+                out.append(folder)
+        return out
+
+    def _fold(self, table: str, keep=None) -> bool:
+        """``keep`` turns the merged rows into those that stay; then all buckets are rewritten."""
+        number, old = self.pointer(table)
+        folders = self._foldable(table)
+        if not folders and keep is None:
+            return False
+        delta, base = self._read(table, folders), self.base(table, old["held"])
+        if table == "ledger":
+            delta = self._versions(delta, self.ended())
+        size = (base.count() if base is not None else 0) + (delta.count() if folders else 0)
+        buckets = max(8, 1 << max(0, -(-size // BUCKET_ROWS) - 1).bit_length())
+        whole = keep is not None or base is None or buckets > 2 * old["buckets"]
+        buckets = buckets if whole else old["buckets"]
+        delta = delta.withColumn("b", self._bucket(table, buckets))
+        held: dict[str, str] = {}
+        if whole:
+            mine = base.withColumn("b", self._bucket(table, buckets)) if base is not None else None
+        else:
+            touched = [str(r.b) for r in delta.select("b").distinct().collect()]  # at most the number of buckets
+            held = {b: g for b, g in old["held"].items() if b not in touched}
+            mine = self.base(table, {b: g for b, g in old["held"].items() if b in touched})
+        rows = delta if mine is None else mine.unionByName(delta)
+        merged = self._merged(table, rows.drop("b"))
+        if keep is not None:
+            merged = keep(merged)
+        token, keys = uuid.uuid4().hex, self.KEYS[table]
+        placed = merged.withColumn("b", self._bucket(table, buckets))
+        # Sorted by key, so the look-up of one ingestion, file or run skips all row groups but few.
+        spread = placed.repartitionByRange("b", *keys).sortWithinPartitions("b", *keys)
+        spread.write.partitionBy("b").parquet(f"{self.root}/base/{table}/g={token}")
+        for name in self._names(f"{self.root}/base/{table}/g={token}"):
+            if name.startswith("b="):
+                held[name[2:]] = token
+        now = {"buckets": buckets, "held": held, "folded": folders}
+        if not claim_file(self.spark, f"{self.root}/pointer/{table}/{number + 1:010d}", json.dumps(now)):
+            delete_path(self.spark, f"{self.root}/base/{table}/g={token}")
+            return False
+        for folder in folders:
+            make_folder(self.spark, self.mark(table, folder))
+        self._clean(table, number, old, now)
+        return True
+
+    def _clean(self, table: str, number: int, old: dict, now: dict) -> None:
+        """Deletes what the fold before has folded, and generations that neither it nor this one names."""
+        for folder in old["folded"]:
+            if path_exists(self.spark, self.mark(table, folder)) and folder not in now["folded"]:
+                delete_path(self.spark, folder)
+                delete_path(self.spark, self.mark(table, folder))
+        named = {*old["held"].values(), *now["held"].values()}
+        for name in self._names(f"{self.root}/base/{table}"):
+            if name[2:] not in named:
+                delete_path(self.spark, f"{self.root}/base/{table}/{name}")
+        for name in self._names(f"{self.root}/pointer/{table}"):
+            if int(name) < number:
+                delete_path(self.spark, f"{self.root}/pointer/{table}/{name}")
+
+    # -- state --------------------------------------------------------------------------------------------------
+
     def state(self, ingestion_id: str | None = None) -> DataFrame:
-        return current_state(self.events(ingestion_id))
+        """The latest event of each file: the base, with the files that deltas tell of ranked anew."""
+        mine = F.lit(True) if ingestion_id is None else F.col("ingestion_id") == ingestion_id
+        return self._state(self.delta_folders("ledger", ingestion_id), mine)
+
+    def file(self, ingestion_id: str, file_path: str) -> DataFrame:
+        """The state of one file; of the base one bucket is read."""
+        return self._state(
+            self.delta_folders("ledger", ingestion_id), (F.col("ingestion_id") == ingestion_id) & (F.col("file_path") == file_path),
+            lambda buckets: F.col("b") == self._bucket("ledger", buckets, F.lit(ingestion_id), F.lit(file_path)),
+        )
+
+    def _state(self, folders: list[str], mine, in_bucket=None) -> DataFrame:
+        columns, (_, pointer) = LEDGER_SCHEMA.names, self.pointer("ledger")
+        base = self.base("ledger", pointer["held"])
+        delta = self._read("ledger", folders).filter(mine)
+        if base is None:
+            return current_state(delta, order=ORDER)
+        if in_bucket is not None:
+            base = base.filter(in_bucket(pointer["buckets"]))
+        base = base.filter(mine).select(*columns)
+        if not folders:
+            return base.filter(F.col("status") != CLEARED)
+        changed = delta.select(*KEY).distinct()
+        same = base.join(changed, list(KEY), "left_anti").filter(F.col("status") != CLEARED)
+        again = base.join(changed, list(KEY), "left_semi").unionByName(delta)
+        return same.select(*columns).unionByName(current_state(again.select(*columns), order=ORDER))
 
     def recent(self, since, ingestion_id: str | None = None) -> DataFrame:
-        """State for reports on what was processed since a moment; the filter reaches the scan."""
-        return recent_state(self.events(ingestion_id), as_column(since).cast("timestamp"))
+        """State for reports on what was processed since a moment; the filter reaches the scans.
+
+        An event is never older than the processing it tells of, so only that window is read and ranked.
+        """
+        late = F.col("event_time") >= as_column(since).cast("timestamp")
+        mine = late if ingestion_id is None else late & (F.col("ingestion_id") == ingestion_id)
+        return self._state(self.delta_folders("ledger", ingestion_id), mine)
+
+    def versions(self, ingestion_id: str | None = None) -> DataFrame:
+        """``ingestion_id, file_path, live_run_id`` of the files that several runs have loaded.
+
+        Their rows of other runs are outdated. Only runs that readers see count, and a load without any row counts.
+        """
+        mine = F.lit(True) if ingestion_id is None else F.col("ingestion_id") == ingestion_id
+        folders = self.delta_folders("ledger", ingestion_id)
+        events = self._read("ledger", folders).filter(mine & (F.col("status") == SUCCESS))
+        fresh = self._versions(events, self.ended()).filter("loads > 0").select(*KEY, *VERSION.names)
+        base = self.base("ledger")
+        if base is not None:
+            base = base.filter(mine).filter("loads > 0").select(*KEY, *VERSION.names)
+            names = fresh.select(*KEY).distinct()
+            old = base.filter("loads > 1").join(names, list(KEY), "left_anti")
+            fresh = fresh.unionByName(base.join(names, list(KEY), "left_semi"))
+        live = F.struct("live_time", "live_seq", "live_run_id")
+        found = fresh.groupBy(*KEY).agg(F.max(live).alias("_live"), F.sum("loads").alias("loads")).filter("loads > 1")
+        found = found.select(*KEY, F.col("_live.live_run_id").alias("live_run_id"))
+        return found if base is None else found.unionByName(old.select(*found.columns))
 
     def reset_stale(self, ingestion_id: str, run_id: str, as_of, hours: int = 2) -> None:
         """Stores the events that return files of lost runs to PENDING; a replayed run keeps its own."""
@@ -80,45 +314,38 @@ class StateStore:
         self.append("ledger", ingestion_id, run_id, "reset", stale_reset(state, F.lit(as_of), hours).drop("run_id"))
 
     def fail_in_flight(self, ingestion_id: str, run_id: str, at, error_type: str, message: str) -> None:
-        """Stores that the files a broken run had taken have failed, so that a later run may take them."""
-        mine = self.state(ingestion_id).filter((F.col("run_id") == run_id) & (F.col("status") == PROCESSING))
+        """Stores that the files of a broken run have failed, so that a later run may take them.
+
+        Those it had loaded too: readers don't see a run that broke.
+        """
+        mine = self.state(ingestion_id).filter((F.col("run_id") == run_id) & F.col("status").isin(PROCESSING, SUCCESS))
         events = transition(mine, F.lit(at), FAILED, error_type=error_type, error_message=message, processed_at=F.lit(at))
         self.append("ledger", ingestion_id, run_id, "broken", events)
 
     def runs(self, ingestion_id: str | None = None) -> DataFrame:
         """Latest row per run."""
-        rows = self.read("runs", ingestion_id)
-        rest = [c for c in rows.columns if c != "run_id"]
-        latest = rows.groupBy("run_id").agg(F.max_by(F.struct(*rest), F.struct(F.coalesce("ended_at", "started_at"), F.col("ended_at").isNotNull())).alias("_r"))
-        return latest.select("_r.*", "run_id").select(*rows.columns)
-
-    def _rewrite(self, table: str, rows: DataFrame, token: str) -> None:
-        placed = rows.withColumns({"i": F.col("ingestion_id"), "r": F.lit(token), "phase": F.lit("state")})
-        # Ranges of the key split an ingestion that holds most rows over many files, and sorted files let the
-        # look-up of one file or run skip all row groups but one.
-        key = "file_path" if "file_path" in rows.columns else "run_id"
-        spread = placed.repartitionByRange("i", key).sortWithinPartitions("i", key)
-        spread.write.partitionBy("i", "r", "phase").mode("overwrite").parquet(self.folder(table))
-
-    def compacted(self, root: str) -> "StateStore":
-        """A new store with one row per file and few large files; the old one stays as it is."""
-        new = StateStore(self.spark, root)
-        new._rewrite("ledger", self.state(), "compact")
-        for name in ("runs", "schema_versions", "schema_files"):
-            new._rewrite(name, self.runs() if name == "runs" else self.read(name), "compact")
-        return new
-
-    def retire(self, root: str, archive: str, as_of, retention_days: int = 90) -> tuple["StateStore", int]:
-        """A new store without files processed before the horizon, and how many went to ``archive``.
-
-        Each pass adds its own folder to the archive, so earlier passes stay.
+        rows, base = self._read("runs", self.delta_folders("runs", ingestion_id)), self.base("runs")
+        if base is not None:
+            rows = rows.unionByName(base.drop("b") if ingestion_id is None else base.drop("b").filter(F.col("ingestion_id") == ingestion_id))
+        return self._merged("runs", rows)
+
+    def retire(self, archive: str, as_of, retention_days: int = 90) -> int:
+        """Takes files processed before the horizon out of the state; returns how many went to ``archive``.
+
+        Each pass adds its own folder to the archive. Of a file that several runs have loaded the version stays, so its
+        outdated rows stay hidden.
         """
-        # Stored once: both halves and the count come from it.
-        kept, old = split_by_age(materialize(self.state(), "state"), as_of, retention_days)
         moved = f"{archive.rstrip('/')}/pass={uuid.uuid4().hex}"
-        old.write.parquet(moved)
-        new = StateStore(self.spark, root)
-        new._rewrite("ledger", kept, "retired")
-        for name in ("runs", "schema_versions", "schema_files"):
-            new._rewrite(name, self.runs() if name == "runs" else self.read(name), "retired")
-        return new, self.spark.read.schema(LEDGER_SCHEMA).parquet(moved).count()
+
+        def keep(merged: DataFrame) -> DataFrame:
+            # Stored once: the archive and the base come from it.
+            merged = materialize(merged, "state")
+            kept, old = split_by_age(merged.filter(F.col("status") != CLEARED), as_of, retention_days)
+            old.select(*LEDGER_SCHEMA.names).write.parquet(moved)
+            hidden = merged.filter(F.col("status") == CLEARED).unionByName(old.filter("loads > 1").withColumn("status", F.lit(CLEARED)))
+            return kept.unionByName(hidden)
+
+        if not self._fold("ledger", keep):
+            delete_path(self.spark, moved)
+            return 0
+        return self.spark.read.schema(LEDGER_SCHEMA).parquet(moved).count()

@@ -48,9 +48,17 @@ TRANSFORMS = {
     "filter": lambda df, arg: filter_rows(df, arg),
     "rename": lambda df, arg: rename_columns(df, arg),
     "cast": lambda df, arg: cast_columns(df, arg),
+    # (column, formats, into) and (column, parts) or (column, parts, separator)
+    "parse_dates": lambda df, arg: parse_dates(df, *arg),
+    "derive": lambda df, arg: fill_derived(df, *arg),
 }
 
 
+def names(arg) -> list[str]:
+    """The columns that a step's argument names first: those it turns."""
+    return [arg[0]] if isinstance(arg, tuple) else list(arg)
+
+
 def apply(df: DataFrame, steps: list[tuple[str, object]]) -> DataFrame:
     """Configured steps in order."""
     for name, arg in steps:

@@ -4,18 +4,26 @@ Rows of a run go to partitions ``(_run_id, _part)``; good records to ``_part = k
 fit the schema to ``_part = -1 - k``, where ``k`` numbers the scans of the run. Both come out of one scan
 and one write. Writing such a partition again replaces only itself, and readers see a run once its run row
 says it ended, so a lost job leaves nothing visible and a replay leaves the same rows.
+
+A change that stored files cannot take, such as a wider type or a field inside a struct, opens a new generation of the
+table, ``<table>_g2`` and so on, with the new schema. Runs write to the newest one; readers see all of them in its
+columns and types. ``settle_generations`` moves the rows of older ones over.
 """
 
 from __future__ import annotations
 
 import uuid
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from tidemark.functions.schema_types import new_columns
+from tidemark.functions.schema_types import new_columns, reshaped_rows
 from tidemark.model import CORRUPT, PART, RUN_ID, RUN_PARTIAL, RUN_SUCCESS, SERVICE_COLUMNS, SOURCE_FILE
 from tidemark.workspace import delete_path, materialize
 
+if TYPE_CHECKING:
+    from tidemark.operators.state_store import StateStore
+
 
 def quote(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
@@ -25,12 +33,31 @@ def table_exists(spark: SparkSession, table: str) -> bool:
     return spark.catalog.tableExists(table)
 
 
+def generations(spark: SparkSession, table: str) -> list[str]:
+    """The table and its later generations, oldest first."""
+    out = [table] if table_exists(spark, table) else []
+    while out and table_exists(spark, f"{table}_g{len(out) + 1}"):
+        out.append(f"{table}_g{len(out) + 1}")
+    return out
+
+
+def newest(spark: SparkSession, table: str) -> str:
+    """The generation that runs write to."""
+    return (generations(spark, table) or [table])[-1]
+
+
 def drop_table(spark: SparkSession, table: str) -> dict:
-    """Drops the table if it is there and says whether it was."""
-    existed = table_exists(spark, table)
-    location = table_location(spark, table) if existed else None
-    spark.sql(f"DROP TABLE IF EXISTS {table}")
-    return {"table_name": table, "existed": existed, "location": location}
+    """Drops the table, with all generations, if it is there and says whether it was."""
+    names = generations(spark, table)
+    location = table_location(spark, table) if names else None
+    for name in reversed(names):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    return {"table_name": table, "existed": bool(names), "location": location}
+
+
+def default_of(field: T.StructField) -> str | None:
+    """The SQL text of a column's default."""
+    return field.metadata.get("CURRENT_DEFAULT")
 
 
 def table_location(spark: SparkSession, table: str) -> str:
@@ -48,7 +75,7 @@ def create_table(
     """Partitioned by run and part first, then by the user's columns."""
     data = [f for f in schema.fields if f.name not in SERVICE_COLUMNS and f.name not in partition_columns]
     parts = {f.name: f for f in schema.fields}
-    columns = [f"{quote(f.name)} {f.dataType.simpleString()}" for f in data]
+    columns = [_declared(f, default_of(f)) for f in data]
     columns += [f"{SOURCE_FILE} string", f"{CORRUPT} string", f"{RUN_ID} string", f"{PART} int"]
     columns += [f"{quote(c)} {parts[c].dataType.simpleString()}" for c in partition_columns]
     by = ", ".join([RUN_ID, PART, *[quote(c) for c in partition_columns]])
@@ -56,15 +83,67 @@ def create_table(
     spark.sql(f"CREATE TABLE {table} ({', '.join(columns)}) USING parquet PARTITIONED BY ({by}){where}")
 
 
-def evolve_table(spark: SparkSession, table: str, incoming: T.StructType) -> list[T.StructField]:
-    """Adds the columns the table lacks, in source order; returns them."""
+def _declared(field: T.StructField, default: str | None = None) -> str:
+    return f"{quote(field.name)} {field.dataType.simpleString()}" + (f" DEFAULT {default}" if default else "")
+
+
+def evolve_table(spark: SparkSession, table: str, incoming: T.StructType, defaults: dict[str, str] | None = None) -> list[T.StructField]:
+    """Adds the columns the table lacks, in source order; returns them.
+
+    ``defaults`` has SQL literals by column; rows that are stored already read as them.
+    """
+    table = newest(spark, table)
     added = [f for f in new_columns(spark.table(table).schema, incoming) if f.name not in SERVICE_COLUMNS]
     if added:
-        ddl = ", ".join(f"{quote(f.name)} {f.dataType.simpleString()}" for f in added)
+        known = {k.lower(): v for k, v in (defaults or {}).items()}
+        ddl = ", ".join(_declared(f, known.get(f.name.lower())) for f in added)
         spark.sql(f"ALTER TABLE {table} ADD COLUMNS ({ddl})")
     return added
 
 
+def open_generation(
+    spark: SparkSession, table: str, schema: T.StructType, partition_columns: tuple[str, ...] = (), location: str | None = None
+) -> str:
+    """A new generation with another schema; a draft of it that a lost run left is not used by any reader yet."""
+    number = len(generations(spark, table)) + 1
+    name = f"{table}_g{number}"
+    place = f"{location.rstrip('/')}_g{number}" if location else None
+    if place:
+        delete_path(spark, place)
+    create_table(spark, name, schema, partition_columns, place)
+    return name
+
+
+def stored(spark: SparkSession, table: str) -> DataFrame:
+    """The rows of all generations in the columns and types of the newest one."""
+    names = generations(spark, table)
+    rows = spark.table(names[-1])
+    for name in names[:-1]:
+        old = spark.table(name)
+        have = {c.lower() for c in old.columns}
+        for f in rows.schema.fields:
+            if f.name.lower() not in have and default_of(f):
+                old = old.withColumn(f.name, F.expr(default_of(f)))
+        rows = rows.unionByName(reshaped_rows(old, rows.schema))
+    return rows
+
+
+def settle_generations(spark: SparkSession, table: str) -> int:
+    """Rewrites the partitions of older generations into the newest one; returns how many runs were moved.
+
+    A run's partitions are written before its old ones go; meant for a time without readers, as in between they would
+    see the run twice. Repeating it after a loss writes the same partitions again.
+    """
+    names, moved = generations(spark, table), 0
+    for name in names[:-1]:
+        target = spark.table(names[-1]).schema
+        for row in spark.sql(f"SHOW PARTITIONS {name}").select(F.regexp_extract("partition", f"{RUN_ID}=([^/]+)", 1).alias("r")).distinct().collect():
+            overwrite_partitions(reshaped_rows(spark.table(name).filter(F.col(RUN_ID) == row.r), target), names[-1])
+            _drop_partitions(spark, name, row.r)
+            moved += 1
+    return moved
+
+
 def overwrite_partitions(df: DataFrame, table: str) -> None:
     """Replaces the partitions present in ``df``; columns go by name, absent ones become NULL.
 
@@ -88,7 +167,13 @@ def overwrite_partitions(df: DataFrame, table: str) -> None:
 
 
 def drop_run(spark: SparkSession, table: str, run_id: str, part: int | None = None) -> None:
-    """Drops partitions of a run that must not be seen, with their files: external tables keep those."""
+    """Drops partitions of a run that must not be seen, in all generations."""
+    for name in generations(spark, table):
+        _drop_partitions(spark, name, run_id, part)
+
+
+def _drop_partitions(spark: SparkSession, table: str, run_id: str, part: int | None = None) -> None:
+    """With their files: external tables keep those."""
     spec = f"{RUN_ID} = '{run_id}'" + ("" if part is None else f", {PART} = {part}")
     if spark.sql(f"SHOW PARTITIONS {table} PARTITION ({spec})").isEmpty():
         return
@@ -105,6 +190,7 @@ def write_part(
     cluster_columns: tuple[str, ...] = (),
 ) -> None:
     """One scan, one write: good and bad records of part ``part``."""
+    spark = rows.sparkSession
     out = rows.withColumns({
         RUN_ID: F.lit(run_id),
         PART: F.when(F.col(CORRUPT).isNull(), F.lit(part)).otherwise(F.lit(-1 - part)),
@@ -115,13 +201,13 @@ def write_part(
     elif partition_columns:
         # Rebalancing splits a value that holds most rows over many writers.
         out = out.hint("rebalance", *partition_columns)
-    overwrite_partitions(out, table)
+    overwrite_partitions(out, newest(spark, table))
 
 
 def file_counts(spark: SparkSession, table: str, run_id: str) -> DataFrame:
     """Good and bad records per source file of a run, read from two columns of what was written."""
     return (
-        spark.table(table)
+        spark.table(newest(spark, table))
         .filter(F.col(RUN_ID) == run_id)
         .groupBy(SOURCE_FILE)
         .agg(F.count_if(F.col(PART) >= 0).alias("good_count"), F.count_if(F.col(PART) < 0).alias("bad_count"))
@@ -130,6 +216,7 @@ def file_counts(spark: SparkSession, table: str, run_id: str) -> DataFrame:
 
 def retract_files(spark: SparkSession, table: str, run_id: str, part: int, failed: DataFrame) -> None:
     """Takes the rows of failed files out of a part that is not committed yet."""
+    table = newest(spark, table)
     rows = spark.table(table).filter((F.col(RUN_ID) == run_id) & (F.col(PART) == part))
     kept = rows.join(failed.select(SOURCE_FILE), SOURCE_FILE, "left_anti")
     if kept.isEmpty():
@@ -139,20 +226,19 @@ def retract_files(spark: SparkSession, table: str, run_id: str, part: int, faile
         overwrite_partitions(kept, table)
 
 
-def committed(spark: SparkSession, table: str, runs: DataFrame, service_columns: bool = False) -> DataFrame:
-    """The rows readers see: good records of ended runs, of each file those of the last run that loaded it."""
-    done = runs.filter(F.col("status").isin(RUN_SUCCESS, RUN_PARTIAL)).select(
-        F.col("run_id").alias(RUN_ID), F.struct(F.coalesce("ended_at", "started_at"), "run_id").alias("_at")
-    )
-    good = spark.table(table).filter(F.col(PART) >= 0)
-    rows = good.join(done.select(RUN_ID), RUN_ID, "left_semi")
-    # Files that several runs have loaded are few: pairs of file and run come from two columns, and only outdated
-    # pairs meet the rows.
-    pairs = good.select(SOURCE_FILE, RUN_ID).distinct().join(done, RUN_ID)
-    several = pairs.groupBy(SOURCE_FILE).agg(F.max("_at").alias("_last"), F.count("*").alias("_n")).filter("_n > 1")
-    outdated = pairs.join(several, SOURCE_FILE).filter("_at < _last").select(SOURCE_FILE, RUN_ID)
-    if not outdated.isEmpty():
-        rows = rows.join(outdated, [SOURCE_FILE, RUN_ID], "left_anti").select(*good.columns)
+def committed(spark: SparkSession, table: str, store: StateStore, ingestion_id: str | None = None, service_columns: bool = False) -> DataFrame:
+    """The rows readers see: good records of ended runs, of each file those of the last run that loaded it.
+
+    Which run that is comes from the ledger: also a load that brought no row hides the rows before it. Files that
+    several runs have loaded are few; only their versions meet the rows.
+    """
+    done = store.ended().filter(F.lit(True) if ingestion_id is None else F.col("ingestion_id") == ingestion_id)
+    done = done.select(F.col("run_id").alias(RUN_ID), F.col("ingestion_id").alias("_ingestion")).dropDuplicates([RUN_ID])
+    good = stored(spark, table).filter(F.col(PART) >= 0)
+    rows = good.join(done, RUN_ID)
+    live = store.versions(ingestion_id)
+    outdated = (rows[SOURCE_FILE] == live["file_path"]) & (rows["_ingestion"] == live["ingestion_id"]) & (rows[RUN_ID] != live["live_run_id"])
+    rows = rows.join(live, outdated, "left_anti").select(*good.columns)
     if service_columns:
         return rows
     return rows.drop(*SERVICE_COLUMNS)
@@ -162,14 +248,14 @@ def rejected(spark: SparkSession, table: str, runs: DataFrame) -> DataFrame:
     """Records of ended runs that did not fit the schema, with file and run: the error table."""
     done = runs.filter(F.col("status").isin(RUN_SUCCESS, RUN_PARTIAL)).select(F.col("run_id").alias(RUN_ID))
     return (
-        spark.table(table).filter(F.col(PART) < 0).join(done, RUN_ID, "left_semi").select(SOURCE_FILE, CORRUPT, RUN_ID)
+        stored(spark, table).filter(F.col(PART) < 0).join(done, RUN_ID, "left_semi").select(SOURCE_FILE, CORRUPT, RUN_ID)
     )
 
 
 def bytes_written(spark: SparkSession, table: str, run_id: str) -> DataFrame:
     """Size of the run's data files; one row per data file before the sum."""
     files = (
-        spark.table(table)
+        spark.table(newest(spark, table))
         .filter((F.col(RUN_ID) == run_id) & (F.col(PART) >= 0))
         .select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("s"))
         .groupBy("f")

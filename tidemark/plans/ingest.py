@@ -12,21 +12,24 @@ from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from tidemark.functions.schema_types import clashes, conflicts, diff, doubled_names, from_variant_schema, merge, new_columns
+from tidemark.functions.schema_nodes import merged_schema, nodes, rebuilt, schema_of, width
+from tidemark.functions.schema_types import diff, doubled_names, extended, misfits, nested_additions, new_columns, reshaped_rows, typed
 from tidemark.model import (
-    CORRUPT, CORRUPT_ERROR, FAILED, MALFORMED_ERROR, MANIFEST_SCHEMA, PROCESSING, RUN_FAILED, RUN_PARTIAL, RUN_RUNNING, RUN_SCHEMA,
-    RUN_SUCCESS, SCHEMA_ERROR, SCHEMA_VERSION_SCHEMA, SKIPPED, SOURCE_FILE, SUCCESS, IngestionConfig,
+    CORRUPT, CORRUPT_ERROR, FAILED, MALFORMED_ERROR, MANIFEST_SCHEMA, PENDING, PENDING_APPROVAL, PROCESSING, RUN_FAILED, RUN_PARTIAL,
+    RUN_RUNNING, RUN_SCHEMA, RUN_SUCCESS, SCHEMA_APPROVED, SCHEMA_ERROR, SCHEMA_VERSION_SCHEMA, SKIPPED, SOURCE_FILE, SUCCESS, IngestionConfig,
 )
 from tidemark.operators import planning, transforms, writer
 from tidemark.operators.ledger import finished_events
 from tidemark.operators.schema_history import user_columns
+from tidemark.operators.records import rescue
 from tidemark.operators.schema_infer import csv_headers, json_file_schemas, read_lines
 from tidemark.operators.state_store import StateStore
 from tidemark.operators.upsert import dedupe, swap_snapshot
 from tidemark.sources import manifest as manifests
 from tidemark.sources.listing import check_markers, footer_schemas
 from tidemark.sources.readers import listing_tasks, scan, scan_permissive
-from tidemark.workspace import delete_path, path_exists
+from tidemark.session import ship
+from tidemark.workspace import delete_path, materialize, path_exists
 
 VERDICT_COLUMNS = "verdict string, error_type string, message string"
 VERDICT_SCHEMA = f"{SOURCE_FILE} string, {VERDICT_COLUMNS}"
@@ -35,15 +38,11 @@ PROBE_SCHEMA = f"{SOURCE_FILE} string, found string, {VERDICT_COLUMNS}"
 ERRORS_IN_RUN_ROW = 100
 
 
-def schema_of(text: str | None) -> T.StructType | None:
-    """A schema from its JSON, or from Spark's text for variants."""
-    if not text:
-        return None
-    return T.StructType.fromJson(json.loads(text)) if text.startswith("{") else from_variant_schema(text)
-
-
-def new_only(known: T.StructType, found: T.StructType) -> T.StructType:
-    return T.StructType(new_columns(known, found))
+AWAITING = "awaiting approval: "
+GROUP_SCHEMA = (
+    "found string, approved boolean, first string, problem string, "
+    "nodes array<struct<path: array<string>, name: string, kind: string, position: int>>"
+)
 
 
 @dataclass
@@ -76,6 +75,7 @@ def run_ingestion(
     if not re.fullmatch(r"[A-Za-z0-9_.-]+", run_id):
         raise ValueError(f"run id {run_id!r} cannot name a partition")
     clock = time.monotonic()
+    ship(spark)
     try:
         with listing_tasks(spark):
             result = _Run(spark, config, store, run_id, started, trigger).execute(manifest)
@@ -95,7 +95,7 @@ class _Run:
         self.clock = time.monotonic()
         self.added: list[str] = []
         self.new_versions: list[int] = []
-        self.groups: list = []
+        self.whole = T.StructType([])
 
     def now(self) -> datetime:
         return self.started + timedelta(seconds=time.monotonic() - self.clock)
@@ -105,7 +105,7 @@ class _Run:
         self.begin()
         files = self.fix_plan(manifest)
         todo = files.filter(F.col("status") == PROCESSING)
-        total = todo.agg(F.count("*")).first()[0]
+        total, self.approved = todo.agg(F.count("*"), F.count_if(F.col("error_type") == SCHEMA_APPROVED)).first()
         if total:
             # A scan holds its file list on the driver, as every Spark file scan does; beyond the bound the run
             # takes several scans, split by a hash of the path. Schemas and verdicts are decided before, for all.
@@ -143,6 +143,8 @@ class _Run:
         todo = planning.prefilter(
             todo, self.started, config.max_file_size_gb, config.exclude_pattern, config.max_file_age_days
         )
+        todo = self.in_backfill(todo)
+        approved = (F.col("previous_status") == PENDING) & (F.col("previous_error") == SCHEMA_ERROR)
         at = F.lit(self.started)
         skip = F.col("skip_reason").isNotNull()
         rows = todo.select(
@@ -154,7 +156,7 @@ class _Run:
             F.lit(None).cast("bigint").alias("records_ingested"), F.lit(None).cast("bigint").alias("bytes_read"),
             F.lit(None).cast("bigint").alias("processing_duration_ms"),
             F.col("skip_reason").alias("error_message"),
-            F.when(skip, "PreFilter").alias("error_type"),
+            F.when(skip, "PreFilter").when(approved, SCHEMA_APPROVED).alias("error_type"),
             F.col("next_retry_count").alias("retry_count"),
             F.lit(None).cast("int").alias("schema_version"),
             at.alias("event_time"), F.lit(0).alias("seq"),
@@ -162,6 +164,19 @@ class _Run:
         store.append("ledger", config.ingestion_id, self.run_id, "plan", rows)
         return store.planned(config.ingestion_id, self.run_id)
 
+    def in_backfill(self, todo: DataFrame) -> DataFrame:
+        """Of files never seen before only those that the backfill mode takes."""
+        config = self.config
+        if config.backfill_mode == "include_existing":
+            return todo
+        bounds = (config.activated_at, None) if config.backfill_mode == "new_only" else (config.backfill_start, config.backfill_end)
+        taken = F.lit(True)
+        if bounds[0] is not None:
+            taken = taken & (F.col("modified_at") >= F.lit(bounds[0]))
+        if bounds[1] is not None:
+            taken = taken & (F.col("modified_at") < F.lit(bounds[1]))
+        return todo.filter((F.col("action") != planning.NEW) | taken)
+
     def listed(self) -> DataFrame:
         """The manifest of the source, of the day folders looked back at, or of the files modified lately."""
         config = self.config
@@ -180,61 +195,94 @@ class _Run:
         return [r[0] for r in mine.select(column).collect()]
 
     def judge(self, todo: DataFrame, scans: int) -> None:
-        """One decision for all files of the run: verdicts, and the schema that each of the others is read with.
+        """One decision for all files of the run: verdicts, and how each of the others is read.
 
-        Stored are a row per file with the JSON of its own schema (``verdicts``), and kept a row per distinct schema.
+        Stored are a row per file (``judged``) and a row per distinct schema (``groups``). Schemas are parsed, held against
+        the table and folded in tasks; the columns of the union alone come to the driver.
         """
-        config = self.config
+        config, spark = self.config, self.spark
         filled = todo.filter("file_size_bytes > 0")
-        table_schema = None
-        if writer.table_exists(self.spark, config.table):
-            table_schema = user_columns(self.spark.table(config.table).schema)
+        flagged = todo.filter(F.col("error_type") == SCHEMA_APPROVED).select(F.col("file_path").alias(SOURCE_FILE), F.lit(True).alias("_ok"))
+        table = user_columns(spark.table(writer.newest(spark, config.table)).schema) if writer.table_exists(spark, config.table) else None
         if config.explicit_schema is not None:
-            probe = filled.select(F.col("file_path").alias(SOURCE_FILE), F.lit(config.explicit_schema.json()).alias("found"), *[F.lit(None).cast("string").alias(c) for c in ("verdict", "error_type", "message")])
+            nothing = [F.lit(None).cast("string").alias(c) for c in ("verdict", "error_type", "message")]
+            probe = filled.select(F.col("file_path").alias(SOURCE_FILE), F.lit(config.explicit_schema.json()).alias("found"), *nothing)
         else:
             for k in range(scans):
                 paths = self.paths(filled, k, scans)
                 if paths:
                     self.probe(paths).write.mode("overwrite").parquet(self.probe_path(k))
                 else:
-                    self.spark.createDataFrame([], PROBE_SCHEMA).write.mode("overwrite").parquet(self.probe_path(k))
-            probe = self.spark.read.schema(PROBE_SCHEMA).parquet(*[self.probe_path(k) for k in range(scans)])
-        # A row per distinct schema; the first file in key order sets a new column's type.
-        good = probe.filter("error_type IS NULL")
-        firsts = good.groupBy("found").agg(F.min(SOURCE_FILE).alias("first")).collect()
-        merged = table_schema or T.StructType([])
-        reasons: dict[str, str] = {}
-        self.groups: list[tuple[list[str], T.StructType]] = []
-        for text in [r["found"] for r in sorted(firsts, key=lambda r: r["first"])]:
-            s = schema_of(text)
-            if s is None:
-                if text not in (None, "", "VOID"):
-                    reasons[text] = f"records are not objects: {text}"
-                continue
-            problems = doubled_names(s)
-            if config.format != "csv" and table_schema is not None:
-                problems += conflicts(table_schema, s)
-            if config.format != "csv":
-                problems += [p for p in clashes(merged, s) if p not in problems]
-            if problems:
-                reasons[text] = "; ".join(problems)
-            else:
-                # A CSV value that does not fit the column's type is a bad record of its file alone.
-                merged = merge(merged, s if config.format != "csv" else new_only(merged, s), "widen")
-                self.groups.append(([text], s))
-        bad = self.spark.createDataFrame(list(reasons.items()), "found string, schema_problem string")
-        judged = probe.join(bad, "found", "left").select(
-            SOURCE_FILE, "found",
-            F.coalesce("verdict", F.when(F.col("schema_problem").isNotNull(), SKIPPED)).alias("verdict"),
-            F.coalesce("error_type", F.when(F.col("schema_problem").isNotNull(), SCHEMA_ERROR)).alias("error_type"),
-            F.coalesce("message", F.concat(F.lit("Schema mismatch: "), F.col("schema_problem"))).alias("message"),
+                    spark.createDataFrame([], PROBE_SCHEMA).write.mode("overwrite").parquet(self.probe_path(k))
+            probe = spark.read.schema(PROBE_SCHEMA).parquet(*[self.probe_path(k) for k in range(scans)])
+        if self.approved:
+            probe = probe.join(flagged, SOURCE_FILE, "left").withColumn("approved", F.coalesce("_ok", F.lit(False))).drop("_ok")
+        else:
+            probe = probe.withColumn("approved", F.lit(False))
+        good = probe.filter("error_type IS NULL AND found IS NOT NULL AND found NOT IN ('', 'VOID')")
+        groups = good.groupBy("found", "approved").agg(F.min(SOURCE_FILE).alias("first"))
+        groups.mapInPandas(describe(config, table), GROUP_SCHEMA).write.mode("overwrite").parquet(self.groups_path())
+        groups = spark.read.schema(GROUP_SCHEMA).parquet(self.groups_path())
+        some = groups.filter("problem IS NULL").select("nodes").limit(2).collect()
+        if len(some) > 1:
+            groups = self.without_clashes(groups, table)
+            whole = self.union_of(groups.filter("problem IS NULL"))
+        else:  # one schema is its own union
+            whole = rebuilt([(n.path, n.name, n.kind) for row in some for n in row.nodes])
+        if whole.fields:
+            self.target_schema(whole)
+        if config.on_new_columns == "approve" and table is not None:
+            waiting = self.union_of(groups.filter(F.startswith("problem", F.lit(AWAITING))))
+            if waiting.fields:
+                self.record_version([], extended(table, typed(waiting)), PENDING_APPROVAL, table, pending=True)
+        keyed = groups.select("found", "approved", "problem", F.lit(None).cast("string").alias("key"))
+        if whole.fields:
+            self.whole = whole
+            now = user_columns(spark.table(writer.newest(spark, config.table)).schema)
+            keyed = groups.select("found", "approved", "problem").mapInPandas(
+                reading_keys(config.format, now), "found string, approved boolean, problem string, key string"
+            )
+        held = F.col("problem").isNotNull()
+        judged = probe.join(keyed.withColumn("_known", F.lit(True)), ["found", "approved"], "left").select(
+            SOURCE_FILE, F.when(~held, F.col("key")).alias("key"),
+            F.coalesce("verdict", F.when(held, SKIPPED)).alias("verdict"),
+            F.coalesce("error_type", F.when(held, SCHEMA_ERROR)).alias("error_type"),
+            F.coalesce("message", F.concat(F.lit("Schema mismatch: "), F.col("problem"))).alias("message"),
         )
         judged.write.mode("overwrite").parquet(self.judged_path())
-        if self.groups:
-            whole = T.StructType([])
-            for _, s in self.groups:
-                whole = merge(whole, s if config.format != "csv" else new_only(whole, s), "widen")
-            self.target_schema(whole)
+
+    def union_of(self, groups: DataFrame) -> T.StructType:
+        rows = groups.select("first", F.explode("nodes").alias("n")).select("first", "n.*")
+        return merged_schema(rows, first_wins=self.config.format == "csv")
+
+    def without_clashes(self, groups: DataFrame, table: T.StructType | None) -> DataFrame:
+        """Marks groups whose type of a new column has nothing but text in common with that of an earlier group.
+
+        The first accepted group in key order sets a column's type. Only groups that clash with one that clashes
+        with none are marked in a round, so each later round sees the types as if the marked ones had never been there.
+        """
+        if self.config.format == "csv" or self.config.rescue_column:
+            # A CSV value that does not fit the column's type is a bad record of its file alone; others are rescued.
+            return groups
+        known = [f".{f.name.lower()}" for f in table.fields] if table is not None else []
+        while True:
+            live = groups.filter("problem IS NULL").select(F.struct("first", "found", "approved").alias("g"), F.explode("nodes").alias("n"))
+            top = live.filter((F.size("n.path") == 1) & (F.col("n.kind") != "void") & ~F.col("n.path")[0].isin(known))
+            top = top.select("g", F.col("n.path")[0].alias("column"), F.col("n.kind").alias("kind"), F.col("n.name").alias("name"))
+            setters = top.groupBy("column").agg(F.min("g").alias("by"), F.min_by("kind", "g").alias("set"))
+            simple = ~F.col("kind").isin("struct", "array") & ~F.startswith("kind", F.lit("map<"))
+            fine = (F.col("kind") == F.col("set")) | (width(F.col("kind")).isNotNull() & width(F.col("set")).isNotNull()) | ((F.col("set") == "string") & simple)
+            told = F.format_string("%s: %s does not fit %s", "name", "kind", "set")
+            clashing = top.join(setters, "column").filter(~fine & ~F.col("g.approved")).select("g", "by", told.alias("why"))
+            clashing = materialize(clashing, "clashes")
+            sure = clashing.join(clashing.select(F.col("g").alias("by")).distinct(), "by", "left_anti")
+            reasons = sure.groupBy("g.found", "g.approved").agg(F.array_join(F.sort_array(F.collect_set("why")), "; ").alias("why"))
+            if clashing.isEmpty():
+                return groups
+            groups = groups.join(reasons, ["found", "approved"], "left").withColumn("problem", F.coalesce("problem", "why")).drop("why")
+
+    def groups_path(self) -> str:
+        return f"{self.store.root}/probes/run_id={self.run_id}/groups"
 
     def judged_path(self) -> str:
         return f"{self.store.root}/probes/run_id={self.run_id}/judged"
@@ -263,102 +311,129 @@ class _Run:
             files = files.repartition(min(len(paths), 4 * spark.sparkContext.defaultParallelism))
             return files.mapInPandas(footer_schemas(config.format, FAILED, CORRUPT_ERROR), PROBE_SCHEMA)
         if config.format == "csv" and str(config.format_options.get("header", "")).lower() == "true":
-            heads = csv_headers(spark, paths, config.format_options)
-            names: dict[str, list[str]] = {}
-            for r in heads.collect():
-                names.setdefault(r["header"], []).append(r[SOURCE_FILE])
-            batches = list(names.values())
+            # A header's types are inferred once, from all files that have it; files meet their header by a join.
+            heads = materialize(csv_headers(spark, paths, config.format_options), "headers")
+            batches = [(r.header, [x[0] for x in heads.filter(F.col("header").eqNullSafe(F.lit(r.header))).select(SOURCE_FILE).collect()]) for r in heads.select("header").distinct().collect()]
         else:
-            batches = [paths]
+            heads = spark.createDataFrame([(p,) for p in paths], f"{SOURCE_FILE} string").withColumn("header", F.lit(""))
+            batches = [("", paths)]
         rows = []
-        for batch in batches:
+        for header, batch in batches:
             try:
                 text = scan(spark, config.format, batch, options=config.format_options, literal_paths=True).schema.json()
-                rows += [(p, text, None, None, None) for p in batch]
+                rows.append((header, text, None, None, None))
             except Exception as e:
                 if "UNABLE_TO_INFER_SCHEMA" not in str(e):
                     raise
-                rows += [(p, None, FAILED, CORRUPT_ERROR, "no readable schema") for p in batch]
-        return spark.createDataFrame(rows, PROBE_SCHEMA)
+                rows.append((header, None, FAILED, CORRUPT_ERROR, "no readable schema"))
+        told = spark.createDataFrame(rows, f"header string, found string, {VERDICT_COLUMNS}")
+        return heads.join(told, heads["header"].eqNullSafe(told["header"])).select(SOURCE_FILE, *told.columns[1:])
 
     def load_part(self, k: int, scans: int) -> None:
-        judged = self.spark.read.schema(f"{SOURCE_FILE} string, found string, {VERDICT_COLUMNS}").parquet(self.judged_path())
+        judged = self.spark.read.schema(f"{SOURCE_FILE} string, key string, {VERDICT_COLUMNS}").parquet(self.judged_path())
         mine = judged if scans == 1 else judged.filter(F.pmod(F.xxhash64(SOURCE_FILE), F.lit(scans)) == k)
         verdicts = mine.filter("verdict IS NOT NULL").select(SOURCE_FILE, "verdict", "error_type", "message")
-        by_schema: dict[str, list[str]] = {}
-        for r in mine.filter("verdict IS NULL AND found IS NOT NULL").select(SOURCE_FILE, "found").collect():
-            by_schema.setdefault(r["found"], []).append(r[SOURCE_FILE])
-        groups = self.read_groups(by_schema)
+        ready = mine.filter("verdict IS NULL AND key IS NOT NULL")
+        # Of each file its path and a number come to the driver; the few ways of reading come once.
+        keys = {r.n: r.key for r in ready.select("key", F.xxhash64("key").alias("n")).distinct().collect()}
+        by_key: dict[int, list[str]] = {n: [] for n in keys}
+        for r in ready.select(SOURCE_FILE, F.xxhash64("key").alias("n")).collect():
+            by_key[r.n].append(r[SOURCE_FILE])
+        groups = [(by_key[n], keys[n]) for n in sorted(keys, key=keys.get)]
         if groups:
             verdicts = verdicts.unionByName(self.write_groups(groups, k))
         verdicts.write.mode("overwrite").parquet(self.verdict_path(k))
 
-    def read_groups(self, by_schema: dict[str, list[str]]) -> list[tuple[list[str], T.StructType]]:
-        """Files that one reader can take: the same spelling of the columns, and the same columns where order counts."""
-        grouped: dict[tuple, tuple[list[str], T.StructType]] = {}
-        table = {f.name.lower(): f.name for f in user_columns(self.spark.table(self.config.table).schema).fields} if by_schema else {}
-        for text, paths in sorted(by_schema.items()):
-            s = schema_of(text)
-            if s is None:
-                continue
-            odd = tuple(sorted(f.name for f in s.fields if table.get(f.name.lower(), f.name) != f.name))
-            key = (text,) if self.config.format == "csv" else odd
-            old = grouped.get(key)
-            grouped[key] = ((old[0] if old else []) + paths, merge(old[1], s, "widen") if old else s)
-        return list(grouped.values())
-
     def target_schema(self, found: T.StructType) -> None:
         """Creates or evolves the table for the found columns."""
         config, spark = self.config, self.spark
-        stored = found
+        into = found
         if config.transforms:
-            stored = transforms.apply(spark.createDataFrame([], found), list(config.transforms)).schema
+            into = transforms.apply(spark.createDataFrame([], typed(found)), list(config.transforms)).schema
+        if config.rescue_column:
+            into = T.StructType([*into.fields, T.StructField(config.rescue_column, T.StringType())])
         if not writer.table_exists(spark, config.table):
-            writer.create_table(spark, config.table, stored, config.partition_columns, config.location)
-            self.record_version([], stored, "initial")
-        elif config.evolution_enabled:
-            before = user_columns(spark.table(config.table).schema)
-            added = writer.evolve_table(spark, config.table, stored)
-            if added:
-                self.added += [f.name for f in added]
-                self.record_version(added, user_columns(spark.table(config.table).schema), "auto_merge", before)
-
-    def read_schema(self, found: T.StructType) -> T.StructType:
-        """The file's columns in its own spelling, with the table's types."""
-        table = {f.name.lower(): f for f in user_columns(self.spark.table(self.config.table).schema).fields}
-        touched = {name.lower() for kind, arg in self.config.transforms if kind in ("cast", "rename") for name in arg}
+            writer.create_table(spark, config.table, typed(into), config.partition_columns, config.location)
+            self.record_version([], typed(into), "initial")
+            return
+        name = writer.newest(spark, config.table)
+        before = user_columns(spark.table(name).schema)
+        # With steps in between, only whole columns can be told apart.
+        closed = config.transforms or not (config.evolution_enabled or self.approved)
+        now = before if closed else typed(extended(before, into, promote=True))
+        kept = T.StructType([f for f in now.fields if f.name.lower() in {b.name.lower() for b in before.fields}])
+        changed = kept.simpleString() != before.simpleString()
+        if not config.evolution_enabled and not changed:
+            return
+        fresh = new_columns(before, typed(into)) if config.evolution_enabled else []
+        if changed or (fresh and config.on_new_columns == "version_table"):
+            defaults = {f.name.lower(): f.metadata for f in before.fields}
+            fields = [T.StructField(f.name, f.dataType, True, defaults.get(f.name.lower())) for f in kept.fields]
+            writer.open_generation(spark, config.table, T.StructType([*fields, *fresh]), config.partition_columns, config.location)
+            how = "type_promotion" if misfits(before, into) else "nested_merge" if changed else "version_table"
+        elif fresh:
+            filling = config.on_new_columns == "backfill_default"
+            writer.evolve_table(spark, config.table, typed(into), config.column_defaults if filling else None)
+            how = "backfill_default" if filling else "auto_merge"
+        else:
+            return
+        self.added += [f.name for f in fresh]
+        self.record_version(fresh, user_columns(spark.table(writer.newest(spark, config.table)).schema), how, before)
+
+    def read_schema(self, key: str) -> T.StructType:
+        """The columns in the files' own spelling, with the table's types, or the files' where a reader can't turn them."""
+        config = self.config
+        table = {f.name.lower(): f for f in user_columns(self.spark.table(writer.newest(self.spark, config.table)).schema).fields}
+        found = schema_of(key) if config.format == "csv" else self.whole
+        odd, own = ({}, {}) if config.format == "csv" else json.loads(key)
+        touched = {name.lower() for kind, arg in config.transforms if kind in ("cast", "rename", "parse_dates") for name in transforms.names(arg)}
         fields = []
         for f in found.fields:
             t = table.get(f.name.lower())
             known = t is not None and f.name.lower() not in touched
-            if t is None and not self.config.evolution_enabled and self.config.format != "csv" and not self.config.transforms:
+            if t is None and not config.evolution_enabled and config.format != "csv" and not config.transforms:
                 continue
-            fields.append(T.StructField(f.name, t.dataType if known else f.dataType, True))
+            kind = T._parse_json_datatype(own[f.name.lower()]) if f.name.lower() in own else t.dataType if known else typed(f.dataType)
+            fields.append(T.StructField(odd.get(f.name.lower(), t.name if t is not None else f.name), kind, True))
         return T.StructType(fields)
 
-    def read_group(self, paths: list[str], found: T.StructType) -> DataFrame:
-        config = self.config
-        rows = scan_permissive(self.spark, config.format, paths, self.read_schema(found), config.format_options)
-        table = {f.name.lower(): f.name for f in self.spark.table(config.table).schema.fields}
+    def read_group(self, paths: list[str], key: str) -> DataFrame:
+        config, spark = self.config, self.spark
+        schema = self.read_schema(key)
+        if config.rescue_column:
+            rows = rescue(read_lines(spark, paths, config.format_options), schema, into=config.rescue_column, corrupt=CORRUPT)
+        else:
+            rows = scan_permissive(spark, config.format, paths, schema, config.format_options)
+        target = spark.table(writer.newest(spark, config.table)).schema
+        table = {f.name.lower(): f.name for f in target.fields}
         rows = rows.withColumnsRenamed({c: table[c.lower()] for c in rows.columns if table.get(c.lower(), c) != c})
         if config.transforms:
-            service = [c for c in (SOURCE_FILE, CORRUPT) if c in rows.columns]
+            service = [c for c in (SOURCE_FILE, CORRUPT, config.rescue_column) if c in rows.columns]
             steps = [(k, [*arg, *service]) if k == "select" else (k, arg) for k, arg in config.transforms]
             rows = transforms.apply(rows, steps)
+        elif config.format in ("parquet", "orc"):
+            have = {c.lower() for c in rows.columns}
+            rows = reshaped_rows(rows, T.StructType([f for f in target.fields if f.name.lower() in have]))
+        for f in target.fields:
+            default = writer.default_of(f)
+            if default:
+                rows = rows.withColumn(f.name, F.coalesce(F.col(f.name), F.expr(default)) if f.name in rows.columns else F.expr(default))
         return rows
 
     def latest_version(self) -> int | None:
-        return self.store.read("schema_versions", self.config.ingestion_id).agg(F.max("version")).first()[0]
+        decided = self.store.read("schema_versions", self.config.ingestion_id).filter(F.col("resolution_type") != PENDING_APPROVAL)
+        return decided.agg(F.max("version")).first()[0]
 
-    def record_version(self, added, schema: T.StructType, resolution: str, before=None) -> None:
+    def record_version(self, added, schema: T.StructType, resolution: str, before=None, pending: bool = False) -> None:
         config = self.config
-        version = (self.latest_version() or 0) + 1
+        version = (self.store.read("schema_versions", config.ingestion_id).agg(F.max("version")).first()[0] or 0) + 1
         summary = "; ".join(f"{c.change_type} {c.column_name}" for c in diff(before or T.StructType([]), schema))
         now = self.now()
-        row = (config.ingestion_id, version, now, schema.json(), resolution, now, summary, self.run_id)
+        row = (config.ingestion_id, version, now, schema.json(), resolution, None if pending else now, summary, self.run_id)
         rows = self.spark.createDataFrame([row], SCHEMA_VERSION_SCHEMA)
         self.store.append("schema_versions", config.ingestion_id, self.run_id, f"v{version}", rows)
-        self.new_versions.append(version)
+        if not pending:
+            self.new_versions.append(version)
 
     def write_groups(self, groups, k: int) -> DataFrame:
         """Reads and writes all groups of one scan; failing files are taken out until the rest passes."""
@@ -366,16 +441,16 @@ class _Run:
         failed: dict[str, str] = {}
         while True:
             frames = []
-            for paths, schema in groups:
+            for paths, key in groups:
                 left = [p for p in paths if p not in failed]
                 if left:
-                    frames.append(self.read_group(left, schema))
+                    frames.append(self.read_group(left, key))
             if not frames:
                 break
             rows = frames[0]
             for f in frames[1:]:
                 rows = rows.unionByName(f, allowMissingColumns=True)
-            table = {f.name for f in spark.table(config.table).schema.fields}
+            table = {f.name for f in spark.table(writer.newest(spark, config.table)).schema.fields}
             rows = rows.select(*[c for c in rows.columns if c in table])
             try:
                 writer.write_part(rows, config.table, self.run_id, k, config.partition_columns, config.cluster_columns)
@@ -392,7 +467,7 @@ class _Run:
         verdicts = spark.createDataFrame(out, VERDICT_SCHEMA)
         if config.on_bad_records == "fail_file":
             bad = (
-                spark.table(config.table)
+                spark.table(writer.newest(spark, config.table))
                 .filter((F.col(writer.RUN_ID) == self.run_id) & (F.col(writer.PART) == -1 - k))
                 .groupBy(SOURCE_FILE).agg(F.count("*").alias("n"))
             )
@@ -458,6 +533,7 @@ class _Run:
                    success, failed, skipped, records, bytes_read, written, errors)
         if config.write_mode != "append" and success and (records or config.allow_empty_overwrite):
             self.publish()
+        store.fold_if_due()
         low = config.row_count_threshold is not None and records < config.row_count_threshold
         return RunResult(self.run_id, status, success, failed, skipped, records, bytes_read, written, tuple(self.added), low)
 
@@ -466,6 +542,65 @@ class _Run:
         publish_snapshot(self.spark, self.config, self.store, self.run_id)
 
 
+def describe(config: IngestionConfig, table: T.StructType | None):
+    """For tasks: the nodes of each schema, and why its files can't be loaded into the table."""
+    text, csv, rescuing = table.json() if table is not None else None, config.format == "csv", bool(config.rescue_column)
+    holding, auto = config.on_new_columns == "approve" and table is not None, config.type_promotion == "auto"
+
+    def one(found: str, approved: bool, known: T.StructType | None) -> tuple[str | None, list]:
+        s = schema_of(found)
+        if s is None:
+            return f"records are not objects: {found}", []
+        problems = doubled_names(s)
+        if known is not None and not csv and not approved:
+            wrong = misfits(known, s, widen=auto)
+            if rescuing and wrong:
+                bad = {w.split(":")[0].split(".")[0].split("[")[0].split("{")[0].lower() for w in wrong}
+                s = T.StructType([f for f in s.fields if f.name.lower() not in bad])
+            else:
+                problems += wrong
+        if holding and not approved and not problems:
+            new = [f.name for f in new_columns(known, s)] + nested_additions(known, s)
+            if new:
+                problems = [AWAITING + ", ".join(new)]
+        return "; ".join(problems) or None, nodes(s)
+
+    def run(batches):
+        import pandas as pd
+
+        known = T.StructType.fromJson(json.loads(text)) if text else None
+        for batch in batches:
+            made = [one(f, a, known) for f, a in zip(batch["found"], batch["approved"])]
+            rows = [[dict(zip(("path", "name", "kind", "position"), n)) for n in m[1]] for m in made]
+            yield pd.DataFrame({"found": batch["found"], "approved": batch["approved"], "first": batch["first"], "problem": [m[0] for m in made], "nodes": rows})
+
+    return run
+
+
+def reading_keys(fmt: str, table: T.StructType):
+    """For tasks: how the files of a schema are read: columns with another spelling, and types a reader can't turn."""
+    text = table.json()
+
+    def key(found: str, known: dict) -> str:
+        if fmt == "csv":
+            return found
+        s = schema_of(found)
+        if s is None:
+            return None
+        odd = {f.name.lower(): f.name for f in s.fields if f.name.lower() in known and known[f.name.lower()].name != f.name}
+        own = {}
+        if fmt in ("parquet", "orc"):
+            own = {f.name.lower(): f.dataType.jsonValue() for f in s.fields if f.name.lower() in known and known[f.name.lower()].dataType != f.dataType}
+        return json.dumps([odd, own], sort_keys=True)
+
+    def run(batches):
+        known = {f.name.lower(): f for f in T.StructType.fromJson(json.loads(text)).fields}
+        for batch in batches:
+            yield batch.assign(key=[key(x, known) for x in batch["found"]])
+
+    return run
+
+
 def run_status(success: int, failed: int) -> str:
     if failed and success:
         return RUN_PARTIAL
@@ -500,7 +635,7 @@ def _write_run(spark, store, config, run_id, started, ended, trigger, status, su
 def publish_snapshot(spark, config: IngestionConfig, store: StateStore, run_id: str) -> None:
     """``<table>_current``: the table as overwrite or merge would leave it after this run."""
     name = published_name(config)
-    committed = writer.committed(spark, config.table, store.runs(config.ingestion_id), service_columns=True)
+    committed = writer.committed(spark, config.table, store, config.ingestion_id, service_columns=True)
     mine = committed.filter(F.col(writer.RUN_ID) == run_id)
     fresh = mine.drop(*writer.SERVICE_COLUMNS)
     there = writer.table_exists(spark, name)

@@ -97,9 +97,11 @@ def drop_target(spark: SparkSession, config: IngestionConfig) -> dict:
     """Drops the table; the files of an external one go with it, so a new table starts empty."""
     if config.write_mode != "append" and writer.table_exists(spark, config.table):
         drop_published(spark, published_name(config), published_location(spark, config))
+    places = [writer.table_location(spark, name) for name in writer.generations(spark, config.table)]
     dropped = writer.drop_table(spark, config.table)
-    if config.location and dropped["existed"]:
-        delete_path(spark, config.location)
+    if config.location:
+        for place in places:
+            delete_path(spark, place)
     return dropped
 
 

@@ -92,7 +92,7 @@ def ingest_stream(
     options = {**config.format_options, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
     if config.file_pattern:
         options["pathGlobFilter"] = config.file_pattern
-    source = read_files(spark, config.source_path, config.format, full, options, max_files_per_trigger)
+    source = read_files(spark, config.source_path, config.format, full, options, max_files_per_trigger, config.max_file_age)
     rows = source.select(
         "*", scanned_file(F.col("_metadata.file_path")).alias(SOURCE_FILE),
         F.col("_metadata.file_size").alias("_size"), F.col("_metadata.file_modification_time").alias("_modified"),
@@ -136,6 +136,7 @@ def commit_batch(df: DataFrame, run_id: str, config: IngestionConfig, store: Sta
     row = (config.ingestion_id, begun, begun + took, run_status(m[0], m[1]), "stream", m[0] + m[1], m[1], m[2], m[3], m[4],
            written, int(took.total_seconds()), m[1], [], config.table, run_id)
     store.append("runs", config.ingestion_id, run_id, "end", spark.createDataFrame([row], RUN_SCHEMA))
+    store.fold_if_due()
 
 
 def _first_start(store: StateStore, ingestion_id: str, run_id: str) -> datetime | None:

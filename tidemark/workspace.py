@@ -61,3 +61,34 @@ def list_folder(spark: SparkSession, path: str) -> list[str]:
     """Paths of what lies directly in a folder."""
     fs, target = _hadoop(spark, path)
     return [str(s.getPath().toString()) for s in fs.listStatus(target)] if fs.exists(target) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file as text."""
+    fs, target = _hadoop(spark, path)
+    stream = fs.open(target)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def claim_file(spark: SparkSession, path: str, text: str) -> bool:
+    """Writes a small file that appears whole, unless its name is taken; of two writers one gets it."""
+    fs, target = _hadoop(spark, path)
+    jvm = spark.sparkContext._jvm
+    draft = jvm.org.apache.hadoop.fs.Path(f"{path.rsplit('/', 2)[0]}/.draft-{uuid.uuid4().hex}")
+    fs.mkdirs(target.getParent())
+    out = fs.create(draft, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    rename = jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename")
+    try:
+        context.rename(fs.makeQualified(draft), fs.makeQualified(target), jvm.java.lang.reflect.Array.newInstance(rename, 0))
+        return True
+    except Exception as e:
+        if "FileAlreadyExists" not in str(e):
+            raise
+        fs.delete(draft, False)
+        return False
