@@ -322,13 +322,15 @@ def write_manifest(rows: DataFrame, folder: str) -> tuple[DataFrame, DataFrame,
     groups = subroots.select(F.lit("").alias("tree"), F.col("tree").alias("group"), F.col("top").alias("subroot"))
     groups = placed(groups, ["group"], f"{folder}/top")
     root, upper = build_trees(groups.select("tree", "pos", F.col("subroot").alias("digest")), f"{folder}/top")
-    tops = groups.join(root, "tree").select("group", "pos", "subroot", F.col("top").alias("root"))
+    # The last tree is the only one of its kind, so its top is one row.
+    tops = groups.join(F.broadcast(root.select(F.col("tree").alias("last"), F.col("top").alias("root"))), F.col("tree") == F.col("last"))
+    tops = tops.select("group", "pos", "subroot", "root")
     return leaves, tops, rounds, upper
 
 
 def folded(leaves: DataFrame, tops: DataFrame, rounds: list[DataFrame], upper: list[DataFrame]) -> DataFrame:
     """``tree, doc_id, leaf, proof_sha256, folded_root`` per row of ``leaves(tree, pos, doc_id, replaced)``."""
-    none = tops.select(F.lit("").alias("tree"), F.expr(f"CAST(array() AS {STEPS})").alias("way")).distinct()
+    none = upper[-1].select("tree", F.expr(f"CAST(array() AS {STEPS})").alias("way"))
     last = upper[0].join(ways_to_chunks(none, upper), ["tree", "chunk"]).mapInArrow(_ways, f"tree string, pos long, way {STEPS}")
     of_group = tops.join(last.select("pos", "way"), "pos").select(F.col("group").alias("tree"), "way")
     packed = leaves.groupBy("tree", F.expr(f"pos div {CHUNK}").alias("chunk")).agg(F.sort_array(F.collect_list(F.struct("pos", "doc_id", "replaced"))).alias("rows"))
