@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.tables import as_bytes, texts
+from tidemark.llm.tables import as_bytes, id_range, texts
 from tidemark.llm.text import BASE, U, mix
 
 GRAM, WINDOW = 16, 32  # powers of two
@@ -125,18 +125,9 @@ def neighbours(docs: DataFrame) -> DataFrame:
     is dealt a second time, as a borrowed row, to the range before it: one row per range. Texts are moved once.
     """
     spark, base = docs.sparkSession, texts(docs)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shares = [k / (4 * parts) for k in range(1, 4 * parts)]
-    cuts = base.agg(F.percentile_approx("doc_id", shares, 10_000 + 100 * parts).alias("cuts")).first().cuts or []
-    cuts = sorted(set(cuts))
-    wide = max(1, int(len(cuts) ** 0.5))
-    # Ranges are numbered from the largest ids on; a coarse and a fine look-up keep the comparisons per row few.
-    marks = F.array(*(F.lit(c) for c in cuts[::wide])) if cuts else F.expr("CAST(array() AS array<long>)")
-    every = F.array(*(F.lit(c) for c in cuts)) if cuts else F.expr("CAST(array() AS array<long>)")
-    coarse = F.greatest(F.size(F.filter(marks, lambda c: c <= F.col("doc_id"))) - 1, F.lit(0)) * wide
-    below = coarse + F.size(F.filter(F.slice(every, coarse + 1, F.lit(wide)), lambda c: c <= F.col("doc_id")))
-    bucket = F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(len(cuts) - below)
-    own = base.withColumn("bucket", bucket).withColumn("borrowed", F.lit(False))
+    number, ranges = id_range(base, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # From the largest ids on; rows without an id come last and have the range after all others.
+    own = base.withColumn("bucket", F.when(F.col("doc_id").isNull(), ranges).otherwise(ranges - 1 - number)).withColumn("borrowed", F.lit(False))
 
     heads = own.groupBy("bucket").agg(F.max("doc_id").alias("head")).orderBy("bucket").collect()  # a row per range
     lent = [(r.head, heads[k - 1].bucket) for k, r in enumerate(heads)]
@@ -144,7 +135,7 @@ def neighbours(docs: DataFrame) -> DataFrame:
     first = base.join(lent, base["doc_id"].eqNullSafe(lent["head"])).groupBy("doc_id", "to").agg(F.min("text").alias("text"))
     borrowed = first.select("doc_id", "text", F.col("to").alias("bucket"), F.lit(True).alias("borrowed"))
     both = own.unionByName(borrowed).select("bucket", "borrowed", "doc_id", "text")
-    return both.repartition(parts, "bucket").sortWithinPartitions("bucket", "borrowed", F.col("doc_id").desc_nulls_last(), "text")
+    return both.repartitionById(ranges + 1, "bucket").sortWithinPartitions("bucket", "borrowed", F.col("doc_id").desc_nulls_last(), "text")
 
 
 PRINTS = pa.schema(
