@@ -7,7 +7,8 @@ Method
     ``(L/2, L]``; for each class a reduced document is looked at in windows of ``4 L`` positions that overlap by half,
     which bounds the size of what is compared with the item, and so the number of coordinates that are needed.
     Windows and items of a class are candidates if they agree in at least one of ``COORDINATES`` MinHash
-    coordinates. Each candidate pair is then counted exactly over the whole document.
+    coordinates and the document has enough shingles for the item. Each candidate pair is then counted exactly over
+    the whole document, by its two sets; no shared shingle is a row per document and item.
 
 Recall of the search
     An item that lies within ``2 L`` positions is inside one window. There its similarity is at least
@@ -59,23 +60,28 @@ def contaminated(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> D
     hits = materialize(hits, "reduced-documents")
     classed = hits.join(universe.select("h", "class"), "h")
     enough = classed.groupBy("doc_id", "class").agg(F.countDistinct("h").alias("n")).join(least, "class")
-    enough = enough.filter(f"100 * n >= {percent} * least").select("doc_id", "class")
+    enough = enough.filter(f"100 * n >= {percent} * least").select("doc_id", "class", "n")
     at = F.expr("pos div (2 * class)")
-    placed = classed.join(enough, ["doc_id", "class"]).select("doc_id", "class", F.explode(F.array(at, at - 1)).alias("window"), "h")
-    windows = placed.groupBy("doc_id", "class", "window").agg(F.sort_array(F.collect_set("h")).alias("hs"))
-    windows = materialize(windows.select("doc_id", "class", "hs").distinct(), "windows")
-
-    def coordinates(sets: DataFrame, key: str) -> DataFrame:
-        return sets.select(key, "class", F.posexplode(F.expr(_signature("hs"))).alias("j", "m"))
-
-    kinds = windows.select("class", "hs").distinct().withColumn("set_key", F.xxhash64("class", "hs"))
-    item_sets = of_item.groupBy("item_id", "class").agg(F.collect_list("h").alias("hs"))
-    found = coordinates(kinds, "set_key").join(coordinates(item_sets, "item_id"), ["class", "j", "m"]).select("set_key", "item_id").distinct()
-    pairs = windows.select("doc_id", F.xxhash64("class", "hs").alias("set_key")).join(found, "set_key").select("doc_id", "item_id").distinct()
-
-    common = hits.select("doc_id", "h").distinct().join(of_item.select("item_id", "h", "n_item"), "h")
-    common = common.join(materialize(pairs, "contained-candidates"), ["doc_id", "item_id"])
-    counted = common.groupBy("doc_id", "item_id").agg(F.max("n_item").alias("n_item"), F.count("*").alias("n_common"))
+    placed = classed.join(enough, ["doc_id", "class"]).select("doc_id", "class", "n", F.explode(F.array(at, at - 1)).alias("window"), "h")
+    windows = placed.groupBy("doc_id", "class", "window").agg(F.max("n").alias("n"), F.sort_array(F.collect_set("h")).alias("hs"))
+    windows = materialize(windows.select("doc_id", "class", "n", "hs").distinct(), "windows")
+
+    def coordinates(sets: DataFrame, *keys: str) -> DataFrame:
+        return sets.select(*keys, "class", F.posexplode(F.expr(_signature("hs"))).alias("j", "m"))
+
+    # An item can't be in a document that has fewer of all items' shingles than it needs.
+    kinds = windows.groupBy("class", "hs").agg(F.max("n").alias("most")).withColumn("set_key", F.xxhash64("class", "hs"))
+    item_sets = materialize(of_item.groupBy("item_id", "class", "n_item").agg(F.collect_list("h").alias("hs")), "item-sets")
+    found = coordinates(kinds, "set_key", "most").join(coordinates(item_sets, "item_id", "n_item"), ["class", "j", "m"])
+    found = found.filter(f"100 * most >= {percent} * n_item").select("set_key", "item_id", "n_item").distinct()
+    pairs = windows.select("doc_id", "n", F.xxhash64("class", "hs").alias("set_key")).join(found, "set_key")
+    pairs = pairs.filter(f"100 * n >= {percent} * n_item").select("doc_id", "item_id").distinct()
+    pairs = materialize(pairs, "contained-candidates")
+
+    # Pairs come first: only their documents' sets are gathered, and a pair is a row with both sets in it.
+    whole = hits.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_set("h").alias("of_doc"))
+    both = pairs.join(item_sets.select("item_id", "n_item", "hs"), "item_id").join(whole, "doc_id")
+    counted = both.select("doc_id", "item_id", "n_item", F.size(F.array_intersect("hs", "of_doc")).cast("long").alias("n_common"))
     return counted.filter(f"100 * n_common >= {percent} * n_item").withColumn("containment", F.col("n_common") / F.col("n_item"))
 
 
