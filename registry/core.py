@@ -5,9 +5,10 @@ from __future__ import annotations
 from functools import cached_property
 from typing import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from tidemark.operators.ledger import current_state, recent_state
+from tidemark.model import LEDGER_SCHEMA
+from tidemark.operators.state_store import ORDER as STATE_ORDER, StateStore
 from tidemark.workspace import scratch
 
 QUERIES: dict[str, Callable] = {}
@@ -116,7 +117,6 @@ WHERE rn = 1
     "sources": "SELECT DISTINCT source AS ingestion_id FROM documents",
 }
 NEEDS = {"ledger": ("manifest",), "state": ("events_log",)}
-STATE_ORDER = ("event_time", "seq", "run_id", "file_size_bytes", "status")
 
 
 def duckdb_cte(*names: str) -> str:
@@ -166,14 +166,35 @@ class Inputs:
     def events_log(self) -> DataFrame:
         return self.derived("events_log", lineitem=self.table("lineitem"))
 
+    @property
+    def store(self) -> StateStore:
+        """The log in a state store: folded up to the last quarter, then two deltas that are not."""
+        def make():
+            store = StateStore(self.spark, self.scratch("state"), fold_after=None)
+            at = self.events_log.agg(F.percentile_approx(F.unix_micros(F.col("event_time").cast("timestamp")), [0.75, 0.9])).first()[0]
+            stamp = F.unix_micros(F.col("event_time").cast("timestamp"))
+            parts = [("early", stamp <= at[0]), ("late", (stamp > at[0]) & (stamp <= at[1])), ("latest", stamp > at[1])]
+            have = set(self.events_log.columns)
+            rows = self.events_log.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in LEDGER_SCHEMA.fields])
+            for k, (name, mine) in enumerate(parts):
+                store.append("ledger", "all", name, "done", rows.filter(mine))
+                if k == 0:
+                    store.fold()
+            return store
+
+        return self.once("state_store", make)
+
+    def _as_given(self, state: DataFrame) -> DataFrame:
+        """Times without a zone, as the given tables have them."""
+        return state.withColumns({f.name: F.col(f.name).cast("timestamp_ntz") for f in LEDGER_SCHEMA.fields if f.dataType == T.TimestampType()})
+
     @cached_property
     def state(self) -> DataFrame:
-        return current_state(self.events_log, order=STATE_ORDER)
+        return self._as_given(self.store.state())
 
     def recent(self, now: str, days: int) -> DataFrame:
         """State for a report on the last days before ``now``."""
-        since = F.expr(f"TIMESTAMP_NTZ '{now}' - INTERVAL '{days}' DAY")
-        return recent_state(self.events_log, since, order=STATE_ORDER)
+        return self._as_given(self.store.recent(F.expr(f"TIMESTAMP_NTZ '{now}' - INTERVAL '{days}' DAY")))
 
     @cached_property
     def runs(self) -> DataFrame:

@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 
 from registry.core import MANIFEST_NOW, LEDGER_NOW, STATE_ORDER, query
 from tidemark.functions.expressions import next_retry_at
+from tidemark.model import LEDGER_SCHEMA
 from tidemark.operators import ledger as L, planning as B
+from tidemark.operators.state_store import StateStore
 from tidemark.sources import manifest as M, paths
 
 CHANGED_SQL = """CASE WHEN coalesce(m.etag, '') <> '' AND coalesce(l.file_etag, '') <> '' THEN m.etag <> l.file_etag
@@ -152,13 +154,39 @@ def _(c):
     return B.plan(c.manifest, c.ledger, "changed").select("ingestion_id", "file_path", "size_bytes")
 
 
-@query("b5_current_state", "SELECT ingestion_id, file_path, run_id, status, retry_count, event_time FROM state", ("state",))
+B5 = "SELECT ingestion_id, file_path, run_id, status, retry_count, event_time FROM state"
+
+
+@query("b5_current_state", B5, ("state",))
+def _(c):
+    """The folded state with the deltas behind it."""
+    return c.state.select("ingestion_id", "file_path", "run_id", "status", "retry_count", "event_time")
+
+
+@query("b5_ranked_log", B5, ("state",))
 def _(c):
+    """The same from the whole log."""
     return L.current_state(c.events_log, order=STATE_ORDER).select(
         "ingestion_id", "file_path", "run_id", "status", "retry_count", "event_time"
     )
 
 
+@query("b5_folded_again", B5, ("state",))
+def _(c):
+    """The state of a store whose base was merged twice, touching only the buckets that the second part concerns."""
+    def make():
+        store = StateStore(c.spark, c.scratch("folding"), fold_after=None)
+        have = set(c.events_log.columns)
+        rows = c.events_log.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in LEDGER_SCHEMA.fields])
+        few = F.pmod(F.xxhash64("file_path"), F.lit(50)) == 0
+        for name, mine in (("most", ~few | (F.col("seq") > 1)), ("rest", few & (F.col("seq") <= 1))):
+            store.append("ledger", "all", name, "done", rows.filter(mine))
+            store.fold()
+        return store
+
+    return c._as_given(c.once("folding", make).state()).select("ingestion_id", "file_path", "run_id", "status", "retry_count", "event_time")
+
+
 @query("b6_retry_selection", """
 SELECT ingestion_id, file_path, retry_count FROM state WHERE status = 'FAILED' AND retry_count < 3""", ("state",))
 def _(c):
