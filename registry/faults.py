@@ -114,6 +114,45 @@ def _(c):
     return c.spark.table(c.once("merging", make).table + "_current").select("event_id", "event_type", "value")
 
 
+def _bucketed(c):
+    """A merge of everything, then one of a single key and of a row without a key, then the same again."""
+    def make():
+        from tidemark.operators.upsert import Buckets
+        from tidemark.plans.ingest import published_location, published_name
+
+        config, store = job(c, "bucketing", write_mode="merge", merge_keys=("event_id",))
+        rows = events(c).select("event_id", "event_type", "value", (F.col("user_id") % CUTS).alias("cut"))
+        last = c.table("events").agg(F.max("event_id").alias("event_id")).select("event_id", F.lit("later").alias("event_type"), F.lit(-1.0).alias("value"), F.lit(0).alias("cut"))
+        nobody = last.withColumns({"event_id": F.lit(None).cast("bigint"), "event_type": F.lit("nobody")})
+        land_cut(rows.unionByName(nobody), config.source_path, "a")
+        run_ingestion(c.spark, config, store, T1, "run_1")
+        published = Buckets(c.spark, published_name(config), published_location(c.spark, config), ["event_id"])
+        held = [published.manifest()[1]["held"]]
+        for k, more in ((2, last), (3, nobody.withColumn("value", F.lit(-2.0)))):
+            land_cut(more, config.source_path, f"b{k}")
+            run_ingestion(c.spark, config, store, T1 + timedelta(hours=k), f"run_{k}")
+            held.append(published.manifest()[1]["held"])
+        return config, [sum(b[k] != a.get(k) for k in b) for a, b in zip(held, held[1:])]
+
+    return c.once("bucketing", make)
+
+
+@query("i16_bucketed_merge", """
+SELECT event_id, CASE WHEN event_id = (SELECT max(event_id) FROM events) THEN 'later' ELSE event_type END AS event_type,
+  CASE WHEN event_id = (SELECT max(event_id) FROM events) THEN -1.0 ELSE value END AS value FROM events UNION ALL SELECT NULL, 'nobody', -2.0""")
+def _(c):
+    """Rows without a key value are one key."""
+    config, _ = _bucketed(c)
+    return c.spark.table(config.table + "_current").select("event_id", "event_type", "value")
+
+
+@query("i16_buckets_written", "SELECT load, 1 AS buckets_written FROM (SELECT unnest([2, 3]) AS load) l WHERE EXISTS (SELECT 1 FROM events)")
+def _(c):
+    """A merge of one key writes one bucket."""
+    _, written = _bucketed(c)
+    return c.spark.createDataFrame(list(zip((2, 3), written)), "load int, buckets_written int").join(c.table("events").limit(1).select(), how="left_semi")
+
+
 @query("r2_full_refresh_merge", "SELECT event_type, count(*) AS n, CAST(sum(event_id) AS bigint) AS ids FROM events WHERE event_id % 2 = 1 GROUP BY 1")
 def _(c):
     """What is gone from the source is gone from the published table after a full refresh."""

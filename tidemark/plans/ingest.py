@@ -24,7 +24,7 @@ from tidemark.operators.schema_history import user_columns
 from tidemark.operators.records import rescue
 from tidemark.operators.schema_infer import csv_headers, json_file_schemas, read_lines
 from tidemark.operators.state_store import StateStore
-from tidemark.operators.upsert import dedupe, swap_snapshot
+from tidemark.operators.upsert import Buckets, dedupe, swap_snapshot
 from tidemark.sources import manifest as manifests
 from tidemark.sources.listing import check_markers, footer_schemas
 from tidemark.sources.readers import listing_tasks, scan, scan_permissive
@@ -646,10 +646,9 @@ def publish_snapshot(spark, config: IngestionConfig, store: StateStore, run_id:
             age = store.planned(config.ingestion_id, run_id).select(F.col("file_path").alias(SOURCE_FILE), F.col("file_modified_at").alias("_modified"))
             fresh = mine.join(age, SOURCE_FILE, "left").withColumn("_file", F.col(SOURCE_FILE)).drop(*writer.SERVICE_COLUMNS)
             order = ["_modified", "_file"]
-        rows = dedupe(fresh, keys, order).drop("_modified", "_file")
-        if there:
-            rows = spark.table(name).join(rows.select(*keys), keys, "left_anti").unionByName(rows, allowMissingColumns=True)
-    elif config.write_mode == "overwrite_partitions" and there:
+        Buckets(spark, name, published_location(spark, config), keys).merge(dedupe(fresh, keys, order).drop("_modified", "_file"))
+        return
+    if config.write_mode == "overwrite_partitions" and there:
         by = list(config.partition_columns)
         kept = spark.table(name).join(fresh.select(*by).distinct(), by, "left_anti")
         rows = kept.unionByName(fresh, allowMissingColumns=True)
