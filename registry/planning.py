@@ -255,7 +255,7 @@ def _(c):
 SELECT ingestion_id, file_path, status FROM state WHERE NOT file_path LIKE '%/ing1%/part_%'""", ("state",))
 def _(c):
     gone = L.clear_history(c.state, "2099-01-01 00:00:00", "%/ing1%/part_%")
-    again = L.current_state(c.events_log.unionByName(gone), order=STATE_ORDER)
+    again = L.current_state(c.events_log.unionByName(gone.select(*c.events_log.columns)), order=STATE_ORDER)
     return again.select("ingestion_id", "file_path", "status")
 
 

@@ -359,7 +359,8 @@ class _Run:
         name = writer.newest(spark, config.table)
         before = user_columns(spark.table(name).schema)
         # With steps in between, only whole columns can be told apart.
-        closed = config.transforms or not (config.evolution_enabled or self.approved)
+        # A CSV value that does not fit is a bad record; its column keeps its type.
+        closed = config.transforms or config.format == "csv" or not (config.evolution_enabled or self.approved)
         now = before if closed else typed(extended(before, into, promote=True))
         kept = T.StructType([f for f in now.fields if f.name.lower() in {b.name.lower() for b in before.fields}])
         changed = kept.simpleString() != before.simpleString()
