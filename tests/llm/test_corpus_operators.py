@@ -140,6 +140,21 @@ def test_decontamination_odd_rows(spark):
     assert decontaminate.contaminated(empty, items).count() == decontaminate.contaminated(docs_of(spark, [(1, item, None)]), items.limit(0)).count() == 0
 
 
+def test_a_common_sentence_makes_no_pair_of_every_document_and_item(spark):
+    """Items that open alike, and documents that hold that opening and little else: no pair is counted; real copies are."""
+    import glob
+
+    opening = " ".join(f"open{k}" for k in range(12))
+    items = [(i, opening + " " + " ".join(f"i{i}w{k}" for k in range(40))) for i in range(60)]
+    docs = [(d, opening + " " + " ".join(f"d{d}w{k}" for k in range(60)), "s") for d in range(400)] + [(1000 + i, "x " + t + " y", "s") for i, t in items[:5]]
+    root = spark.conf.get("spark.checkpoint.dir").removeprefix("file:")
+    before = set(glob.glob(f"{root}/contained-candidates-*"))
+    found = decontaminate.contaminated(docs_of(spark, docs), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == {(1000 + i, i) for i in range(5)}
+    made = set(glob.glob(f"{root}/contained-candidates-*")) - before
+    assert spark.read.parquet(*[f"file:{p}" for p in made]).count() <= 5 * len(items)
+
+
 def test_line_dedup_odd_rows(spark):
     rows = [(2, "a\nb\nc\nd\nx"), (1, "z\na\nb\nc\nd"), (3, "a\nb\nc"), (4, "a\nb"), (5, None), (6, "\n\n\n\n"), (7, "q\nq\nq\nq\nq\nq"), (None, "m\nn\no"), (8, "m\nn\no"), (9, "k\nl\nm"), (9, "k\nl\nm"), (10, "y\n" * 20_000)]
     got = collections.defaultdict(list)
@@ -213,6 +228,18 @@ def test_blocks_decode_from_checkpoints_and_find_damage(monkeypatch):
         assert (token_files.decode_block(token_files.encode_block(ids[:n], model), model) == ids[:n]).all()
 
 
+def test_short_ways_to_ids_equal_the_tokenizer(monkeypatch):
+    """Random odd texts: controls, ligatures, contractions, combining marks, special tokens, signs behind letters."""
+    monkeypatch.setenv("TOKENIZERS_PARALLELISM", "false")
+    words = token_files.Words(tokenizer_path())
+    rng = np.random.default_rng(17)
+    plain = list("aZQtsrve 0'.,!?<|>_-$%*#&;:()\"/\\~`^@[]{}=+\t\r\n") + ["<|endoftext|>", "<|STARTOFTEXT|>", "\x00", "\x0b", "\x1c", "'re", "'S", "  ", "word", "The", "..."]
+    signs = plain + list("éÑßœŒ’²٣ſﬁΣς日😀İ") + ["\u0301", "\u0308", "\xa0", "\u2009", "\x85"]
+    texts = ["".join(rng.choice(some, rng.integers(1, 25))) for some in (plain, signs) for _ in range(20_000)]
+    want = [np.array(e.ids, dtype="<u2").tobytes() for e in words.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [words.ids(t) for t in texts] == want
+
+
 def test_token_files_of_an_empty_table(spark, tmp_path):
     token_files.write_tokens(docs_of(spark, [(1, "a", None)]).limit(0), f"file:{tmp_path}/none", tokenizer_path())
     assert token_files.read_tokens(spark, f"file:{tmp_path}/none").count() == 0

@@ -2,6 +2,7 @@
 
 Files below a folder
     ``model``: the shared frequency table, ``id, freq``; the frequencies sum to ``2 ** SCALE``.
+    ``tokens``: what is to be coded; ``kind=0`` has blocks of plain ids, ``kind=1`` how often each task wrote an id.
     ``blocks``: a row per block: ``part, block`` (in this order the blocks are the corpus), the ``doc_ids`` and
     ``lengths`` of its documents, and ``payload``: a header, lane states at the checkpoints, and the coded words.
     ``index``: ``part, block, start, n_tokens``, the place of each block's first id in the corpus.
@@ -16,7 +17,7 @@ Payload (little-endian)
 
 Defined cases
     A null text is an empty one; an empty text is its end id alone. Documents are in ascending ``doc_id`` order, those
-    without one first, equal ids by their text; repeated rows are written each. A block holds whole documents: it is
+    without one first, equal ids by their token ids; repeated rows are written each. A block holds whole documents: it is
     closed by the document that fills it, so a long text makes a long block. Other columns are not looked at. An empty
     table gives an empty corpus. A payload whose checksums do not hold raises an error.
 """
@@ -35,14 +36,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.tables import texts
+from tidemark.llm.tables import id_range, texts
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID, VOCABULARY = 1, 1 << 16
 BLOCK_IDS, LANES_LOG, CHECKPOINT_IDS, SCALE = 1 << 19, 10, 1 << 18, 18
 HEADER, MAGIC, VERSION = struct.Struct("<4sBBHIIIII"), b"TMrA", 1
 LOW = np.uint64(1 << 31)
-CACHED_WORDS, CACHED_LENGTH = 1_200_000, 48
+CACHED_WORDS, CACHED_LENGTH = 800_000, 48
+# Rows that a task turns or packs at once.
+SLICE = 512
+# Signs that the tokenizer splits from the letters before them; not the apostrophe, which some letters may follow.
+SIGNS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "'<")
 U64 = np.uint64
 
 
@@ -147,7 +152,7 @@ class Words(dict):
     """Token ids of texts, as bytes of 16-bit numbers; a dictionary of those of the pieces between spaces.
 
     The tokenizer drops white space, lower-cases, and splits letters from what follows them, so a piece by itself
-    has the same ids as within its text, and so have its lower-cased letters and a full stop or comma behind them
+    has the same ids as within its text, and so have its lower-cased letters and the signs behind them
     (of Latin letters that stay letters in lower case).
     The store of pieces is bounded and started anew when it is full.
     """
@@ -173,13 +178,14 @@ class Words(dict):
 
     def of_model(self, word: str) -> bytes:
         """The ids of lower-case letters that need no normalising: the model's part of the tokenizer alone."""
-        return array("H", [t.id for t in self.model.tokenize(word.translate(self.letters))]).tobytes()
+        return array("H", [t.id for t in self.model.tokenize(word if word.isascii() else word.translate(self.letters))]).tobytes()
 
     def __missing__(self, piece: str) -> bytes:
-        if piece.isascii() and not piece.islower() and "<" not in piece and piece.lower() != piece:
+        letters = piece.rstrip(SIGNS)
+        if piece.isascii() and "<" not in piece and piece.lower() != piece:
             found = self[piece.lower()]
-        elif piece[-1:] in (".", ",") and piece[:-1].isalpha() and max(piece) < "\u0250" and piece[:-1].lower().isalpha():
-            found = self[piece[:-1]] + self[piece[-1]]
+        elif len(letters) < len(piece) and letters.isalpha() and max(letters) < "\u0250" and letters.lower().isalpha():
+            found = self[letters] + self[piece[len(letters) :]]
         elif self.direct and piece.isalpha() and max(piece) < "\u0250" and piece.lower() == piece and is_normalized("NFC", piece):
             found = self.of_model(piece)
         else:
@@ -191,6 +197,8 @@ class Words(dict):
     def ids(self, text: str) -> bytes:
         if len(self) > CACHED_WORDS:
             self.clear()
+        if text.isascii() and "<" not in text:  # no special token's string can come of it
+            text = text.lower()
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
@@ -199,51 +207,68 @@ def _words(path: str) -> Words:
     return Words(path)
 
 
-TOKENS = "part int, block long, doc_ids array<long>, lengths array<long>, ids binary"
-
+def _slices(batches):
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
 
-def _tokenize(path: str, end_id: int, block_ids: int):
-    end = np.array([end_id], dtype="<u2").tobytes()
 
+def _tokenize(path: str):
     def run(batches):
         import os
 
-        from pyspark import TaskContext
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        part, words, block = TaskContext.get().partitionId(), _words(path), 0
-        names, sizes, held, size = [], [], [], 0
+        words = _words(path)
+        for batch in _slices(batches):
+            made = [words.ids(text) for text in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("part", "doc_id")), pa.array(made, pa.binary())], ["part", "doc_id", "ids"])
+
+    return run
+
+
+PACKED = {
+    "kind": pa.int32(), "part": pa.int32(), "block": pa.int64(), "doc_ids": pa.list_(pa.int64()), "lengths": pa.list_(pa.int64()), "ids": pa.binary(),
+    "id": pa.int32(), "n": pa.int64(),
+}
+PACKED_KIND = "kind int, part int, block long, doc_ids array<long>, lengths array<long>, ids binary, id int, n long"
+
+
+def _pack(end_id: int, block_ids: int):
+    """Blocks of documents in order, each followed by the end id; at last the counts of all ids."""
+    end = np.array([end_id], dtype="<u2").tobytes()
+
+    def rows(size, /, **columns):
+        return pa.RecordBatch.from_arrays([pa.array(columns[c], k) if c in columns else pa.nulls(size, k) for c, k in PACKED.items()], list(PACKED))
+
+    def run(batches):
+        counts = np.zeros(VOCABULARY, dtype=np.int64)
+        part, block, names, sizes, held, size = None, 0, [], [], [], 0
 
         def full():
-            columns = [[part], [block], [names], [sizes], [b"".join(held)]]
-            kinds = [pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["part", "block", "doc_ids", "lengths", "ids"])
+            ids = b"".join(held)
+            counts[:] += np.bincount(np.frombuffer(ids, "<u2"), minlength=VOCABULARY)
+            return rows(1, kind=[0], part=[part], block=[block], doc_ids=[names], lengths=[sizes], ids=[ids])
 
-        for batch in batches:
-            for name, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids = words.ids(text)
+        for batch in _slices(batches):
+            for own, name, ids in zip(*(batch.column(c).to_pylist() for c in ("part", "doc_id", "ids"))):
+                if names and own != part or size >= block_ids:
+                    yield full()
+                    block, names, sizes, held, size = block + 1, [], [], [], 0
+                if own != part:
+                    part, block = own, 0
                 names.append(name)
                 sizes.append(len(ids) // 2 + 1)
                 held += (ids, end)
                 size += sizes[-1]
-                if size >= block_ids:
-                    yield full()
-                    block, names, sizes, held, size = block + 1, [], [], [], 0
         if names:
             yield full()
+        seen = np.flatnonzero(counts)
+        if len(seen):
+            yield rows(len(seen), kind=np.ones(len(seen), np.int32), id=seen, n=counts[seen])
 
     return run
 
 
-def _count(batches):
-    total = np.zeros(VOCABULARY, dtype=np.int64)
-    for batch in batches:
-        for ids in batch.column("ids"):
-            total += np.bincount(np.frombuffer(ids.as_buffer(), "<u2"), minlength=VOCABULARY)
-    seen = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen])], ["id", "n"])
-
-
 def _encode(freq: np.ndarray):
     def run(batches):
         model = Model(freq)
@@ -258,14 +283,17 @@ def _encode(freq: np.ndarray):
 
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, block_ids: int = BLOCK_IDS) -> None:
-    """Tokenizes whole texts in ``doc_id`` order and writes the corpus below ``folder``."""
+    """Tokenizes whole texts and writes the corpus, in ``doc_id`` order, below ``folder``."""
     spark = docs.sparkSession
-    ordered = texts(docs).repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
-    tokens = ordered.mapInArrow(_tokenize(tokenizer, end_id, block_ids), TOKENS)
-    tokens.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(f"{folder}/tokens")
-    tokens = spark.read.schema(TOKENS).parquet(f"{folder}/tokens")
-
-    counted = tokens.select("ids").mapInArrow(_count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    number, ranges = id_range(texts(docs), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # Texts become ids where they are read, and ids are what is moved into order.
+    tokens = texts(docs).withColumn("part", number).mapInArrow(_tokenize(tokenizer), "part int, doc_id long, ids binary")
+    ordered = tokens.repartitionById(ranges, "part").sortWithinPartitions("part", "doc_id", "ids")
+    packed = ordered.mapInArrow(_pack(end_id, block_ids), PACKED_KIND)
+    packed.write.partitionBy("kind").option("compression", "lz4_raw").option("parquet.block.size", 16 << 20).parquet(f"{folder}/tokens")
+    packed = spark.read.schema(PACKED_KIND).parquet(f"{folder}/tokens")
+
+    counted = packed.filter("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(VOCABULARY, dtype=np.int64)
     for row in counted:  # at most one row per id of the vocabulary
         counts[row.id] = row.n
@@ -273,12 +301,13 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
     seen = [(int(k), int(freq[k])) for k in np.flatnonzero(freq)]
     spark.createDataFrame(seen, "id int, freq long").coalesce(1).write.parquet(f"{folder}/model")
 
+    tokens = packed.filter("kind = 0").select("part", "block", "doc_ids", "lengths", "ids")
     blocks = tokens.mapInArrow(_encode(freq), "part int, block long, doc_ids array<long>, lengths array<long>, payload binary")
     blocks.write.option("compression", "uncompressed").option("parquet.block.size", 16 << 20).parquet(f"{folder}/blocks")
 
     sizes = spark.read.parquet(f"{folder}/blocks").select("part", "block", F.expr("aggregate(lengths, 0L, (a, x) -> a + x)").alias("n_tokens"))
     parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("held"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per task of the writing job
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
     parts = parts.select("part", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("first"))
     within = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     index = sizes.join(parts, "part").withColumn("start", F.col("first") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
