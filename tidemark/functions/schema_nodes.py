@@ -29,6 +29,9 @@ def parse_variant_schema(text: str) -> T.DataType | None:
             tokens.append((m.group(0), m.group(1).replace("``", "`") if m.group(1) is not None else m.group(0)))
     at = 0
 
+    def peek() -> str:
+        return tokens[at][0] if at < len(tokens) else ""
+
     def take(expected: str | None = None) -> tuple[str, str]:
         nonlocal at
         if at >= len(tokens) or expected is not None and tokens[at][0] != expected:
@@ -38,7 +41,7 @@ def parse_variant_schema(text: str) -> T.DataType | None:
 
     def name() -> str:
         parts = [take()[1]]
-        while tokens[at][0] != ":":
+        while peek() not in (":", ""):
             parts.append(take()[1])
         return "".join(parts)
 
@@ -47,7 +50,7 @@ def parse_variant_schema(text: str) -> T.DataType | None:
         if word == "OBJECT":
             take("<")
             fields = []
-            while tokens[at][0] != ">":
+            while peek() != ">":
                 if fields:
                     take(",")
                 label = name()
