@@ -725,6 +725,42 @@ def _(c):
     return P.preview_schema(df).select("column_name", "data_type", "nullable")
 
 
+@query("p1_preview_heads", """
+SELECT * FROM (VALUES ('event_id', 'bigint', true), ('event_type', 'string', true), ('meta', 'struct<k:bigint>', true), ('region', 'string', true),
+  ('ts', 'string', true), ('user_id', 'bigint', true), ('value', 'double', true)) v(column_name, data_type, nullable) WHERE EXISTS (SELECT 1 FROM events WHERE day(ts) > 20)""")
+def _(c):
+    """From the first lines of ten files; the others are not opened."""
+    schema, _ = P.preview_heads(M.list_files(c.spark, f"{landed(c)}/days_b"))
+    return schema.select("column_name", "data_type", "nullable")
+
+
+@query("a15_sampled_run", """
+SELECT event_type, count(*) AS n, CAST(sum(event_id) AS bigint) AS ids, count(region) AS regions FROM (
+  SELECT event_type, event_id, CASE WHEN day(ts) > 20 THEN 1 END AS region FROM events) e GROUP BY 1""")
+def _(c):
+    """Two runs whose schema comes from the first lines of three files each; the second adds columns."""
+    def make():
+        table = "sampled_" + c.scratch("t")[-12:]
+        store = StateStore(c.spark, c.scratch("state"))
+        for k, folder in enumerate(("days_a", "days_b")):
+            config = IngestionConfig("sampled", f"{landed(c)}/{folder}", table, location=f"{store.root}/table", file_pattern=".json", schema_sample_files=3)
+            run_ingestion(c.spark, config, store, T1 if k == 0 else T2, f"run_{k}")
+        return config, store
+
+    config, store = c.once("sampled", make)
+    rows = writer.committed(c.spark, config.table, store)
+    return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("event_id").cast("bigint").alias("ids"), F.count("region").alias("regions"))
+
+
+@query("k3_timed_sample", "SELECT count(DISTINCT day(ts)) AS files, count(*) AS records, true AS took_time FROM events WHERE day(ts) > 20 HAVING count(*) > 0")
+def _(c):
+    """A sample that is read and timed, with its records counted by the read itself."""
+    from tidemark.operators.impact import timed_sample
+
+    found = timed_sample(c.spark, M.list_files(c.spark, f"{landed(c)}/days_b"), "json", BASE, files=31)
+    return c.spark.createDataFrame([(found["files"], found["records"], found["seconds"] > 0)], "files long, records long, took_time boolean")
+
+
 @query("p2_sample_rows", """
 SELECT concat('{"o_orderkey":', o_orderkey, ',"o_custkey":', o_custkey, ',"o_orderstatus":"', o_orderstatus, '"}') AS record
 FROM orders ORDER BY o_orderkey LIMIT 5""")

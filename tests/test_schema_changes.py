@@ -142,3 +142,24 @@ def test_bucketed_merge_is_a_merge(spark, tmp_path):
         assert step not in (1, 3) or len(written) == 1
     assert spark.table(name).filter("more = 'x'").count() == 1
     assert len([p for p in (tmp_path / "published" / "manifest").iterdir() if not p.name.startswith(".")]) == 2
+
+
+def test_heads_of_files_are_whole_lines(spark, tmp_path):
+    """Long files, compressed ones, a first line beyond the bound, no line end, nothing at all."""
+    import gzip
+
+    from tidemark.sources import manifest as M
+    from tidemark.sources.readers import sample_lines
+
+    lines = [json.dumps({"id": k, "t": "é" * 20}) for k in range(500)]
+    (tmp_path / "a.json").write_text("\n".join(lines))
+    (tmp_path / "b.json.gz").write_bytes(gzip.compress("\n".join(lines).encode()))
+    (tmp_path / "c.json").write_text(json.dumps({"long": "x" * 5000}) + "\n" + lines[0] + "\n")
+    (tmp_path / "d.json").write_text(lines[3])
+    (tmp_path / "e.json").write_text("")
+    found = sample_lines(M.list_files(spark, f"file:{tmp_path}"), head_bytes=1000)
+    got = {r[0].rsplit("/", 1)[-1]: r[1] for r in found.groupBy("_source_file").agg(F.collect_list("value")).collect()}
+    assert set(got) == {"a.json", "b.json.gz", "c.json", "d.json"}
+    for name in ("a.json", "b.json.gz"):
+        assert 1 < len(got[name]) < 20 and got[name] == lines[: len(got[name])]
+    assert len(json.loads(got["c.json"][0])["long"]) == 5000 and got["d.json"] == [lines[3]]

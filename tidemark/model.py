@@ -173,6 +173,8 @@ class IngestionConfig:
     activated_at: datetime | None = None
     backfill_start: datetime | None = None
     backfill_end: datetime | None = None
+    # JSON: the schema comes from the first lines of so many files, and the others are not read for it.
+    schema_sample_files: int | None = None
     # Streams: files older than this (``7d``) than the newest one are left out.
     max_file_age: str | None = None
 
@@ -198,6 +200,8 @@ class IngestionConfig:
             raise ValueError("backfill_mode 'new_only' needs activated_at")
         if self.rescue_column and self.format != "json":
             raise ValueError("rescue_column needs format 'json'")
+        if self.schema_sample_files and self.format != "json":
+            raise ValueError("schema_sample_files needs format 'json'")
 
     @property
     def explicit_schema(self) -> T.StructType | None:

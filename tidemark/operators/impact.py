@@ -166,3 +166,25 @@ def extrapolated_minutes(manifest: DataFrame, sample: DataFrame, sample_seconds:
     whole = manifest.agg(F.sum("size_bytes").alias("total_bytes")).withColumn("sample_bytes", part)
     minutes = F.col("total_bytes") / F.col("sample_bytes") * F.lit(sample_seconds) / 60.0
     return whole.withColumn("estimated_minutes", round_half_even(minutes, 6))
+
+
+def timed_sample(spark, manifest: DataFrame, fmt: str, schema, options: dict | None = None, files: int = 10) -> dict:
+    """Reads the first files in full and tells how many there were, their bytes and records, and the seconds it took.
+
+    Records are counted by an observation of the read itself. ``extrapolated_minutes`` takes files and seconds.
+    """
+    import time
+
+    from pyspark.sql import Observation
+
+    from tidemark.sources.manifest import first_files
+    from tidemark.sources.readers import scan
+
+    sample = first_files(manifest.filter("size_bytes > 0"), files).select("path", "size_bytes").collect()
+    if not sample:
+        return {"files": 0, "bytes": 0, "records": 0, "seconds": 0.0}
+    seen, clock = Observation(), time.perf_counter()
+    rows = scan(spark, fmt, [r.path for r in sample], schema, options, literal_paths=True)
+    rows.observe(seen, F.count(F.lit(1)).alias("records")).write.format("noop").mode("overwrite").save()
+    took = time.perf_counter() - clock
+    return {"files": len(sample), "bytes": sum(r.size_bytes for r in sample), "records": seen.get["records"], "seconds": took}

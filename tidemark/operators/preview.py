@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tidemark.model import SOURCE_FILE
 from tidemark.operators.schema_history import schema_rows
+from tidemark.operators.schema_infer import sample_schema
+from tidemark.sources.readers import sample_lines
 
 # Rows looked at for the schema, rows shown, records assumed per file.
 PREVIEW_ROWS, SAMPLE_ROWS, RECORDS_PER_FILE = 100, 5, 1000
@@ -14,6 +17,14 @@ def preview_schema(df: DataFrame) -> DataFrame:
     return schema_rows(df.sparkSession, df.limit(PREVIEW_ROWS).schema)
 
 
+def preview_heads(manifest: DataFrame, files: int = 10, rows: int = SAMPLE_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Schema rows and the first records as text, both from the first lines of a few files alone."""
+    lines = sample_lines(manifest, files)
+    found = sample_schema(manifest, files)
+    records = lines.filter(F.trim("value") != "").orderBy(SOURCE_FILE).limit(rows).select(F.col("value").alias("record"))
+    return schema_rows(manifest.sparkSession, found), records
+
+
 def sample_rows(df: DataFrame, order: list[str], n: int = SAMPLE_ROWS) -> DataFrame:
     """First rows as JSON text."""
     return df.orderBy(*order).limit(n).select(F.to_json(F.struct(*df.columns)).alias("record"))

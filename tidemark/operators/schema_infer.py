@@ -8,7 +8,7 @@ from tidemark.functions.schema_nodes import described, merged_schema
 from tidemark.functions.schema_types import typed
 from tidemark.model import SOURCE_FILE
 from tidemark.sources.paths import scanned_file, escape_glob
-from tidemark.sources.readers import reader_options
+from tidemark.sources.readers import SAMPLE_FILES, reader_options, sample_lines
 
 
 def read_lines(spark: SparkSession, paths: list[str], options: dict | None = None) -> DataFrame:
@@ -50,6 +50,12 @@ def merge_variant_schemas(groups: DataFrame) -> T.StructType:
     return typed(merged_schema(described(groups, "variant_schema", "first_file")))
 
 
+def sample_schema(manifest: DataFrame, files: int = SAMPLE_FILES) -> T.StructType:
+    """The schema of JSON records, from the first lines of the first files; the rest is not read."""
+    seen = json_file_schemas(sample_lines(manifest, files))
+    return merge_variant_schemas(schema_groups(seen))
+
+
 def csv_headers(spark: SparkSession, paths: list[str], options: dict | None = None) -> DataFrame:
     """Header line of every CSV file, found in one text scan.
 

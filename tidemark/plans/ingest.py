@@ -22,7 +22,7 @@ from tidemark.operators import planning, transforms, writer
 from tidemark.operators.ledger import finished_events
 from tidemark.operators.schema_history import user_columns
 from tidemark.operators.records import rescue
-from tidemark.operators.schema_infer import csv_headers, json_file_schemas, read_lines
+from tidemark.operators.schema_infer import csv_headers, json_file_schemas, read_lines, sample_schema
 from tidemark.operators.state_store import StateStore
 from tidemark.operators.upsert import Buckets, dedupe, swap_snapshot
 from tidemark.sources import manifest as manifests
@@ -204,9 +204,15 @@ class _Run:
         filled = todo.filter("file_size_bytes > 0")
         flagged = todo.filter(F.col("error_type") == SCHEMA_APPROVED).select(F.col("file_path").alias(SOURCE_FILE), F.lit(True).alias("_ok"))
         table = user_columns(spark.table(writer.newest(spark, config.table)).schema) if writer.table_exists(spark, config.table) else None
-        if config.explicit_schema is not None:
+        given = config.explicit_schema
+        if given is None and config.schema_sample_files:
+            files = filled.select(F.col("file_path").alias("path"), F.col("file_size_bytes").alias("size_bytes"))
+            given = sample_schema(files, config.schema_sample_files)
+            # What the table has already is looked for in the files that were not sampled, too.
+            given = given if table is None else extended(table, given)
+        if given is not None:
             nothing = [F.lit(None).cast("string").alias(c) for c in ("verdict", "error_type", "message")]
-            probe = filled.select(F.col("file_path").alias(SOURCE_FILE), F.lit(config.explicit_schema.json()).alias("found"), *nothing)
+            probe = filled.select(F.col("file_path").alias(SOURCE_FILE), F.lit(given.json()).alias("found"), *nothing)
         else:
             for k in range(scans):
                 paths = self.paths(filled, k, scans)

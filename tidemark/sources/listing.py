@@ -156,3 +156,30 @@ def footer_schemas(fmt: str, failed: str, error_type: str):
             yield pd.DataFrame(rows, columns=[batch.columns[0], "found", "verdict", "error_type", "message"], dtype=object)
 
     return read
+
+
+def heads(file_column: str, value_column: str, limit: int):
+    """Function for ``mapInPandas``: the whole lines within the first bytes of each file, at least one of them.
+
+    No more than that is read: of compressed files so many bytes are unpacked. A first line that is longer is read on.
+    """
+
+    def lines(path: str) -> list[str]:
+        system, inner, _ = _open(path)
+        data, more = b"", True
+        with system.open_input_stream(inner) as f:
+            while more and (len(data) < limit or b"\n" not in data):
+                part = f.read(limit)
+                data, more = data + part, bool(part)
+            if more and not data.endswith(b"\n") and f.read(1):
+                data = data[: data.rindex(b"\n")]
+        return data.decode("utf-8", "replace").splitlines() if data else []
+
+    def read(batches):
+        import pandas as pd
+
+        for batch in batches:
+            rows = [(path, line) for path in batch.iloc[:, 0] for line in lines(path)]
+            yield pd.DataFrame(rows, columns=[file_column, value_column], dtype=object)
+
+    return read

@@ -8,6 +8,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tidemark.model import CORRUPT, FORMATS, SOURCE_FILE
+from tidemark.sources.listing import heads
 from tidemark.sources.paths import scanned_file, escape_glob
 
 # Option names of the ingestion config and the reader options they stand for.
@@ -98,10 +99,14 @@ def scan_permissive(
     return df if CORRUPT in df.columns else df.withColumn(CORRUPT, F.lit(None).cast("string"))
 
 
-def sample_schema(spark: SparkSession, fmt: str, manifest: DataFrame, options: dict | None = None, files: int = 10):
-    """Schema inferred from the first files of a manifest, to apply to the rest."""
-    first = [r.path for r in manifest.orderBy("path").limit(files).select("path").collect()]
-    return scan(spark, fmt, first, options=options, literal_paths=True).schema
+# Files of a sample, and the bytes of each that are looked at.
+SAMPLE_FILES, HEAD_BYTES = 10, 1 << 16
+
+
+def sample_lines(manifest: DataFrame, files: int = SAMPLE_FILES, head_bytes: int = HEAD_BYTES) -> DataFrame:
+    """``value`` and file of the first lines of the first filled files in key order; nothing else is read of them."""
+    first = manifest.filter("size_bytes > 0").orderBy("path").limit(files).select("path")
+    return first.repartition(files, "path").mapInPandas(heads(SOURCE_FILE, "value", head_bytes), f"{SOURCE_FILE} string, value string")
 
 
 def union_scans(*scans: DataFrame) -> DataFrame:
