@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from registry.core import LEDGER_NOW, query
 from tidemark.operators import analytics as A, impact as R, quality as Q, preview as P
+from tidemark.operators.state_store import StateStore
 from tidemark.plans.ingest import run_metrics
 from tidemark.sources import manifest as M
 
@@ -197,6 +198,33 @@ def _(c):
     return A.tiered(c.state, LEDGER_NOW, detail_days=300)[0].select("ingestion_id", "file_path", "status", "processed_at")
 
 
+def _tiers(c):
+    """Two passes over the state, the first half a year before the second."""
+    def make():
+        from tidemark.operators.tiers import Tiers
+
+        store = StateStore(c.spark, c.scratch("tiers"), fold_after=None)
+        store.append("ledger", "all", "seed", "done", c.store.state())
+        tiers = Tiers(store, c.scratch("tiers-kept"))
+        for moment in ("2001-02-15 00:00:00", LEDGER_NOW):
+            tiers.run(moment)
+        return tiers
+
+    return c.once("tiers", make)
+
+
+@query("h17_daily_after_passes", _rollup_sql("day", f"state WHERE processed_at >= {NOW} - INTERVAL 365 DAY AND processed_at < {NOW} - INTERVAL 30 DAY"), S)
+def _(c):
+    """Daily sums that two passes of retention have kept; they add up by day."""
+    return _tiers(c).daily(LEDGER_NOW)
+
+
+@query("h17_detail_after_passes", f"""
+SELECT status, count(*) AS files FROM state WHERE processed_at IS NULL OR processed_at >= {NOW} - INTERVAL 30 DAY GROUP BY 1""", S)
+def _(c):
+    return _tiers(c).detail().groupBy("status").agg(F.count("*").alias("files"))
+
+
 @query("i9_run_metrics", """
 SELECT run_id, count(*) FILTER (WHERE status = 'SUCCESS') AS success_count, count(*) FILTER (WHERE status = 'FAILED') AS failed_count,
   count(*) FILTER (WHERE status = 'SKIPPED') AS skipped_count,

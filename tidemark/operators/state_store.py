@@ -332,7 +332,7 @@ class StateStore:
     def retire(self, archive: str, as_of, retention_days: int = 90) -> int:
         """Takes files processed before the horizon out of the state; returns how many went to ``archive``.
 
-        Each pass adds its own folder to the archive. Of a file that several runs have loaded the version stays, so its
+        Each pass adds its own folder, ``pass=<token>``, to the archive. Of a file that several runs have loaded the version stays, so its
         outdated rows stay hidden.
         """
         moved = f"{archive.rstrip('/')}/pass={uuid.uuid4().hex}"
