@@ -17,8 +17,8 @@ Recall of the search
 
 Defined cases
     Null and empty texts, and rows without ``doc_id`` or ``item_id``, contaminate nothing and are not found. An item or
-    document of fewer than five words has its whole sequence as its only shingle. Rows that share an id are one
-    document or item. Other columns are not looked at. Empty tables give an empty result.
+    document of fewer than five words has its whole sequence as its only shingle. Rows that share an id, repeated ones
+    too, are one document or item. Very long texts are looked at whole, window by window. Other columns are not looked at. Empty tables give an empty result.
 """
 
 from __future__ import annotations

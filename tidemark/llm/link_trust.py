@@ -15,7 +15,7 @@ Rules
 Defined cases
     The host is what follows the first ``://`` up to ``/``, ``?``, ``#`` or the end, with A to Z lower-cased; the path
     goes on to ``?``, ``#`` or the end. Without ``://``, or for a null url, both are empty. Null html has no links.
-    Hosts without links keep their restart weight alone. Repeated rows are judged alike and count as links each.
+    Hosts without links keep their restart weight alone. Ranks below 5e-13 are dropped; a verdict needs over 1e-2. Repeated rows are judged alike and count as links each.
     Other columns are not looked at. An empty table gives an empty result.
 
 Scale

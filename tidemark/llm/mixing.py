@@ -15,6 +15,7 @@ Defined cases
     A token is a word. A null source is a source of its own; a null text has no words; documents without ``doc_id``
     share one hash. Equal rows get equal places and are taken or left together. A source without words has no
     weight; its documents are used once. An empty table gives an empty result. Other columns pass through ``mixed``.
+    Very long texts are counted whole.
 
 Scale
     Only ids and counts are shuffled: per source and per (source, block). The boundary of a source is a hash value

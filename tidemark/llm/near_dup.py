@@ -10,8 +10,8 @@ Method
 Defined cases
     A null text is an empty one. A text without words has no shingle and is linked with nothing. Equal sets are one
     class and are linked without pairs. Rows that share a ``doc_id`` are one document, with the links of all of
-    them; a row without ``doc_id`` is linked with nothing. Other columns are not looked at. An empty table gives an
-    empty result.
+    them; a row without ``doc_id`` is linked with nothing. Very long texts have all their shingles. Other columns are
+    not looked at. An empty table gives an empty result.
 
 Skew
     Equal sets are merged by a map-side aggregate before bands are made. A band shared by many sets is not paired

@@ -14,7 +14,8 @@ Defined cases
     A null text is an empty one. A document fails the fixed limits if it has under ``MIN_WORDS`` words or more than
     ``MAX_REPEAT`` percent of its words in repeated windows; such a document is not kept whatever the trees say.
     Labels that are null are left out, several labels of one document count as their largest, and without labels of
-    both kinds the trees accept everything. Other columns are not looked at; repeated rows get equal verdicts.
+    both kinds the trees accept everything. Other columns are not looked at; repeated rows get equal verdicts. Very
+    long texts are counted whole. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -17,7 +17,8 @@ Bounds
 Defined cases
     A null or empty text has no match and the curve's lowest score. Null labels are left out, several labels of a
     document count as their largest. Without labels of both kinds the lexicon is empty and every score is 0.
-    Rows without ``doc_id`` are scored and not held out. Other columns are not looked at.
+    Rows without ``doc_id`` are scored and not held out; repeated rows get equal scores. Very long texts are matched
+    whole. Other columns are not looked at. An empty table gives an empty result.
 """
 
 from __future__ import annotations
