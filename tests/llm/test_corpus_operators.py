@@ -290,6 +290,19 @@ def test_chat_trees_share_turns_and_read_back(spark, tmp_path):
     assert chat_trees.read_digests(spark, f"file:{tmp_path}/none").count() == 0
 
 
+def test_rows_without_a_conversation_and_very_long_turns(spark, tmp_path):
+    long = [(1, 0, "user", "<x>" * 150_000), (1, 1, "assistant", "é\\" * 150_000)]
+    folder = f"file:{tmp_path}/trees"
+    chat_trees.write_trees(chats_of(spark, [(None, 0, "assistant", f"a{k % 3}") for k in range(60)] + long), folder, pack_chars=500)
+    got = chat_trees.read_digests(spark, folder).collect()
+    alone = collections.Counter((r.n_turns, r.loss_chars, r.turns_sha256) for r in got if r.conv_id is None)
+    assert len(got) == 61 and sorted(alone.values()) == [20, 20, 20] and {k[:2] for k in alone} == {(1, 2)}
+    whole = next(r for r in got if r.conv_id == 1)
+    import hashlib
+
+    assert whole.loss_sha256 == hashlib.sha256(long[1][3].encode()).hexdigest() and whole.n_turns == 2
+
+
 def test_long_shared_turns_are_not_written_for_every_conversation(spark, tmp_path):
     prompt = "p" * 2000
     rows = [(k, t, r, x) for k in range(40) for t, (r, x) in enumerate((("system", prompt), ("user", f"question {k}")))]

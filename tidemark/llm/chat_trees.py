@@ -15,8 +15,8 @@ Packs
 
 Defined cases
     A null role or text is an empty one. Turns are ordered by ``turn``, then role and text; rows with the same
-    ``turn`` are turns one after the other, repeated rows too. Rows without ``conv_id`` are one conversation without
-    id. Other columns are not looked at. An empty table gives an empty result.
+    ``turn`` are turns one after the other, repeated rows too. A row without ``conv_id`` is a conversation of
+    one turn without id, so any number of them can be there. Very long turns are written whole. Other columns are not looked at. An empty table gives an empty result.
 
 Scale
     Equal conversations are merged by a map-side aggregate before anything is sorted; a first turn in a third of all
@@ -138,7 +138,8 @@ def _pack(pack_chars: int):
 def conversations(rows: DataFrame) -> DataFrame:
     """``conv_id, turns, keys, path, path_key`` per conversation."""
     turn = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    convs = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    convs = rows.filter("conv_id IS NOT NULL").groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    convs = convs.unionByName(rows.filter("conv_id IS NULL").select("conv_id", F.array(turn).alias("turns")))
     convs = convs.select("conv_id", F.expr("transform(turns, t -> struct(t.role AS role, t.text AS text))").alias("turns"))
     convs = convs.withColumn("keys", F.expr("transform(turns, t -> md5(concat(char_length(t.role), ':', t.role, t.text)))"))
     return convs.withColumn("path", F.array_join("keys", "")).withColumn("path_key", F.md5(F.col("path").cast("binary")))
