@@ -26,7 +26,7 @@ from tidemark.operators.schema_infer import csv_headers, json_file_schemas, read
 from tidemark.operators.state_store import StateStore
 from tidemark.operators.upsert import Buckets, dedupe, swap_snapshot
 from tidemark.sources import manifest as manifests
-from tidemark.sources.listing import check_markers, footer_schemas
+from tidemark.sources.listing import footer_schemas, read_through
 from tidemark.sources.readers import listing_tasks, scan, scan_permissive
 from tidemark.session import ship
 from tidemark.workspace import delete_path, materialize, path_exists
@@ -68,8 +68,12 @@ def run_ingestion(
     run_id: str | None = None,
     manifest: DataFrame | None = None,
     trigger: str = "manual",
+    skip_idle: bool = False,
 ) -> RunResult:
-    """Processes the files of ``config`` that need it. ``run_id`` of a lost run replays that run."""
+    """Processes the files of ``config`` that need it. ``run_id`` of a lost run replays that run.
+
+    With ``skip_idle`` a run that finds nothing to do leaves no trace.
+    """
     started = as_of or datetime.now(timezone.utc)
     run_id = run_id or uuid.uuid4().hex
     if not re.fullmatch(r"[A-Za-z0-9_.-]+", run_id):
@@ -78,7 +82,7 @@ def run_ingestion(
     ship(spark)
     try:
         with listing_tasks(spark):
-            result = _Run(spark, config, store, run_id, started, trigger).execute(manifest)
+            result = _Run(spark, config, store, run_id, started, trigger).execute(manifest, skip_idle)
     except Exception as e:
         ended = started + timedelta(seconds=time.monotonic() - clock)
         _write_run(spark, store, config, run_id, started, ended, trigger, RUN_FAILED,
@@ -100,10 +104,14 @@ class _Run:
     def now(self) -> datetime:
         return self.started + timedelta(seconds=time.monotonic() - self.clock)
 
-    def execute(self, manifest: DataFrame | None) -> RunResult:
+    def execute(self, manifest: DataFrame | None, skip_idle: bool = False) -> RunResult:
         config, store = self.config, self.store
         self.begin()
         files = self.fix_plan(manifest)
+        if skip_idle and files.isEmpty():
+            delete_path(self.spark, store.folder("ledger", config.ingestion_id, self.run_id, "plan"))
+            delete_path(self.spark, store.folder("runs", config.ingestion_id, self.run_id, "start"))
+            return RunResult(self.run_id, RUN_SUCCESS, 0, 0, 0, 0, 0, 0)
         todo = files.filter(F.col("status") == PROCESSING)
         total, self.approved = todo.agg(F.count("*"), F.count_if(F.col("error_type") == SCHEMA_APPROVED)).first()
         if total:
@@ -217,7 +225,7 @@ class _Run:
             for k in range(scans):
                 paths = self.paths(filled, k, scans)
                 if paths:
-                    self.probe(paths).write.mode("overwrite").parquet(self.probe_path(k))
+                    self.write_probe(paths, k)
                 else:
                     spark.createDataFrame([], PROBE_SCHEMA).write.mode("overwrite").parquet(self.probe_path(k))
             probe = spark.read.schema(PROBE_SCHEMA).parquet(*[self.probe_path(k) for k in range(scans)])
@@ -299,6 +307,28 @@ class _Run:
     def verdict_path(self, k: int) -> str:
         return f"{self.store.root}/verdicts/run_id={self.run_id}/part={k}"
 
+    def write_probe(self, paths: list[str], k: int) -> None:
+        """Stores the probe of one scan; files that break it are found in one job and probed no more."""
+        target = self.probe_path(k)
+        try:
+            self.probe(paths).write.mode("overwrite").parquet(target)
+        except Exception:
+            bad = self.unreadable(paths)
+            if not bad:
+                raise
+            rows = self.spark.createDataFrame([(p, None, FAILED, CORRUPT_ERROR, m) for p, m in bad.items()], PROBE_SCHEMA)
+            left = [p for p in paths if p not in bad]
+            if left:
+                rows = rows.unionByName(self.probe(left))
+            rows.write.mode("overwrite").parquet(target)
+
+    def unreadable(self, paths: list[str]) -> dict[str, str]:
+        """Of the files that can't be read to their end, why; all are read once, in tasks."""
+        files = self.spark.createDataFrame([(p,) for p in paths], "path string")
+        files = files.repartition(min(len(paths), 4 * self.spark.sparkContext.defaultParallelism))
+        found = files.mapInPandas(read_through(self.config.format), "path string, message string")
+        return {r.path: r.message for r in found.collect()}
+
     def probe(self, paths: list[str]) -> DataFrame:
         """Per file: its schema, or why it cannot be loaded."""
         config, spark = self.config, self.spark
@@ -443,9 +473,14 @@ class _Run:
             self.new_versions.append(version)
 
     def write_groups(self, groups, k: int) -> DataFrame:
-        """Reads and writes all groups of one scan; failing files are taken out until the rest passes."""
+        """Reads and writes all groups of one scan.
+
+        If that fails, one more job reads the files to their ends and tells all that can't be; the rest is written again.
+        Only a file that this job can read and Spark can't is known from Spark's error.
+        """
         config, spark = self.config, self.spark
         failed: dict[str, str] = {}
+        looked = False
         while True:
             frames = []
             for paths, key in groups:
@@ -463,13 +498,16 @@ class _Run:
                 writer.write_part(rows, config.table, self.run_id, k, config.partition_columns, config.cluster_columns)
                 break
             except Exception as e:
-                path = unreadable_path(e)
                 known = {p for paths, _ in groups for p in paths}
+                if not looked:
+                    looked = True
+                    failed = self.unreadable(sorted(known))
+                    if failed:
+                        continue
+                path = unreadable_path(e)
                 if path is None or path not in known or path in failed:
                     raise
                 failed[path] = str(e)
-                if len(failed) == 1 and config.format in ("parquet", "orc"):
-                    failed.update(self.without_magic(sorted(known - set(failed))))
         out = [(p, FAILED, CORRUPT_ERROR, m) for p, m in failed.items()]
         verdicts = spark.createDataFrame(out, VERDICT_SCHEMA)
         if config.on_bad_records == "fail_file":
@@ -486,14 +524,6 @@ class _Run:
                 ))
         return verdicts
 
-    def without_magic(self, paths: list[str]) -> dict[str, str]:
-        """Files that lack the format's leading and trailing marker, found in one job over file ends."""
-        marker = {"parquet": (b"PAR1", b"PAR1"), "orc": (b"ORC", b"")}[self.config.format]
-        found = self.spark.createDataFrame([(p,) for p in paths], "path string").mapInPandas(
-            check_markers(*marker), "path string"
-        )
-        return {r[0]: "file markers are missing" for r in found.collect()}
-
     def finish_files(self, files: DataFrame, scans: int) -> None:
         config, spark, store = self.config, self.spark, self.store
         verdicts = spark.read.schema(VERDICT_SCHEMA).parquet(*[self.verdict_path(k) for k in range(scans)])

@@ -1,30 +1,32 @@
-"""File listing as a Spark data source: the manifest is produced by tasks, not by the driver.
+"""File listing by Spark tasks, functions that look into listed files, and a stream of moments to list at.
 
-``binaryFile`` leaves out empty files and keeps the whole listing in driver memory; this source keeps
-empty files and lists one directory subtree per task.
+``binaryFile`` leaves out empty files and keeps the whole listing in driver memory; this listing keeps
+empty files and spreads over as many tasks as the tree needs.
 """
 
 from __future__ import annotations
 
 import sys
+import time
+from collections import deque
 from datetime import datetime, timezone
 
 from pyspark import cloudpickle
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import Observation, functions as F
+from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
-from tidemark.model import MANIFEST_SCHEMA
+from tidemark.workspace import scratch
+
+LISTED = "path string, size_bytes bigint, modified_at timestamp, pending boolean"
+# What the first task of a listing may spend, what a folder costs beside its files, and folders a core takes in a round.
+FIRST_BUDGET, FOLDER_COST, TASKS_PER_CORE = 20_000, 200, 4
+BATCH_ROWS = 10_000
 
 
 # Workers get this module's code with the task, so they need not have the package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-class Subtree(InputPartition):
-    def __init__(self, uri: str, recursive: bool):
-        self.uri = uri
-        self.recursive = recursive
-
-
 def spelling(uri: str) -> tuple[str, str, str]:
     """How pyarrow names a URI, and what to put before its paths in place of what to cut off to get URIs back.
 
@@ -65,64 +67,148 @@ def _children(uri: str):
             yield info, named(info.path), info.type == fs.FileType.Directory
 
 
-class ListingReader(DataSourceReader):
-    def __init__(self, roots: list[str]):
-        self.roots = roots
+def explore(budget: int):
+    """Function for ``mapInArrow``: what lies below the given folders, breadth first, until the budget is spent.
 
-    def partitions(self):
-        """Each root's own files are one task, each directory below it another."""
-        out = []
-        for root in self.roots:
-            out.append(Subtree(root, False))
-            out.extend(Subtree(uri, True) for _, uri, is_dir in _children(root) if is_dir)
-        return out
+    A file costs one, the listing of a folder ``FOLDER_COST``. Folders that are left are given back as pending rows; one is
+    always listed, so each round gets further.
+    """
 
-    def read(self, partition):
-        pending = [partition.uri]
-        while pending:
-            for info, uri, is_dir in _children(pending.pop()):
+    def rows(found, pending: bool):
+        import pyarrow as pa
+
+        paths, sizes, times = zip(*found)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(paths, pa.string()), pa.array(sizes, pa.int64()), pa.array(times, pa.timestamp("us", "UTC")), pa.array([pending] * len(found))],
+            names=["path", "size_bytes", "modified_at", "pending"],
+        )
+
+    def read(batches):
+        spent, left = 0, deque()
+        for batch in batches:
+            left.extend(batch.column(0).to_pylist())
+        while left and spent < budget:
+            spent += FOLDER_COST
+            files = []
+            for info, uri, is_dir in _children(left.popleft()):
                 if is_dir:
-                    if partition.recursive:
-                        pending.append(uri)
+                    left.append(uri)
                     continue
-                modified = datetime.fromtimestamp(info.mtime_ns / 1e9, tz=timezone.utc)
-                yield (uri, info.size, modified, None)
+                spent += 1
+                files.append((uri, info.size, info.mtime_ns // 1000))
+                if len(files) == BATCH_ROWS:
+                    yield rows(files, False)
+                    files = []
+            if files:
+                yield rows(files, False)
+        while left:
+            yield rows([(left.popleft(), None, None) for _ in range(min(len(left), BATCH_ROWS))], True)
+
+    return read
+
+
+def walk(spark, roots: list[str], budget: int = FIRST_BUDGET):
+    """All files below the roots: ``path, size_bytes, modified_at``.
+
+    Folders are listed in rounds. What a task of one round leaves is dealt to as many tasks as it has folders in the
+    next, up to some per core, with twice the budget: a deep or lopsided tree spreads as soon as it is known to be large,
+    and a small one takes one task. Only the number of folders left comes to the driver. One folder's own entries are
+    listed by one task, as stores page through them in order.
+    """
+    base, written = scratch(spark, "listing"), []
+    most = TASKS_PER_CORE * max(spark.sparkContext.defaultParallelism, 8)
+    frontier = spark.createDataFrame([(r,) for r in roots], "path string").repartition(max(1, min(len(roots), most)))
+    while True:
+        left = Observation()
+        found = frontier.mapInArrow(explore(budget), LISTED).observe(left, F.count_if("pending").alias("folders"))
+        written.append(f"{base}/round-{len(written)}")
+        found.write.parquet(written[-1])
+        folders = left.get["folders"]
+        if not folders:
+            break
+        pending = spark.read.schema(LISTED).parquet(written[-1]).filter("pending")
+        frontier, budget = pending.select("path").repartition(min(folders, most)), 2 * budget
+    return spark.read.schema(LISTED).parquet(*written).filter("NOT pending").drop("pending")
+
+
+class Moment(InputPartition):
+    def __init__(self, at: int):
+        self.at = at
+
 
+class ArrivalReader(DataSourceStreamReader):
+    """Offsets are moments of listing; what was listed then is the plan that the batch's run stores."""
 
-class ListingSource(DataSource):
+    def initialOffset(self):
+        return {"listed_at": 0}
+
+    def latestOffset(self):
+        return {"listed_at": time.time_ns() // 1000}
+
+    def partitions(self, start, end):
+        return [Moment(end["listed_at"])]
+
+    def read(self, partition):
+        yield (datetime.fromtimestamp(partition.at / 1e6, tz=timezone.utc),)
+
+
+class ArrivalSource(DataSource):
     @classmethod
     def name(cls):
-        return "tidemark_listing"
+        return "tidemark_arrivals"
 
     def schema(self):
-        return MANIFEST_SCHEMA
+        return "listed_at timestamp"
 
-    def reader(self, schema):
-        roots = [v for k, v in sorted(self.options.items()) if k.startswith("root")]
-        return ListingReader(roots or [self.options["path"]])
+    def streamReader(self, schema):
+        return ArrivalReader()
 
 
 def register(spark) -> None:
-    spark.dataSource.register(ListingSource)
+    spark.dataSource.register(ArrivalSource)
+
+
+def read_through(fmt: str):
+    """Function for ``mapInPandas``: the files that can't be read to their end, with the reason.
+
+    Compressed text is unpacked where Spark and Arrow pack alike (gzip, bzip2, zstd); columnar files are decoded.
+    """
+    codecs = {".gz": "gzip", ".bz2": "bz2", ".zst": "zstd"}
 
+    def through(path: str) -> None:
+        system, inner, _ = _open(path)
+        if fmt == "parquet":
+            from pyarrow import parquet
 
-def check_markers(head: bytes, tail: bytes):
-    """Function for ``mapInPandas``: paths whose file does not start and end with the markers."""
+            with system.open_input_file(inner) as f:
+                for _ in parquet.ParquetFile(f).iter_batches():
+                    pass
+        elif fmt == "orc":
+            from pyarrow import orc
 
-    def check(batches):
+            with system.open_input_file(inner) as f:
+                whole = orc.ORCFile(f)
+                for k in range(whole.nstripes):
+                    whole.read_stripe(k)
+        else:
+            codec = next((c for end, c in codecs.items() if inner.endswith(end)), None)
+            with system.open_input_stream(inner, compression=codec) as f:
+                while f.read(1 << 20):
+                    pass
+
+    def read(batches):
         for batch in batches:
-            bad = []
+            why = []
             for path in batch["path"]:
-                system, inner, _ = _open(path)
-                with system.open_input_file(inner) as f:
-                    size = f.size()
-                    start = f.read_at(min(size, len(head)), 0)
-                    end = f.read_at(min(size, len(tail)), max(0, size - len(tail)))
-                if start != head or end != tail:
-                    bad.append(path)
-            yield batch[batch["path"].isin(bad)]
-
-    return check
+                try:
+                    through(path)
+                    why.append(None)
+                except Exception as e:
+                    why.append(f"{type(e).__name__}: {e}")
+            told = batch.assign(message=why)
+            yield told[told["message"].notna()]
+
+    return read
 
 
 def footer_schemas(fmt: str, failed: str, error_type: str):

@@ -25,11 +25,7 @@ def strip_etag(etag: Column) -> Column:
 
 def list_files(spark: SparkSession, *roots: str) -> DataFrame:
     """Complete recursive listing, empty files included."""
-    listing.register(spark)
-    reader = spark.read.format("tidemark_listing")
-    for i, root in enumerate(roots):
-        reader = reader.option(f"root{i:06d}", root)
-    found = reader.load()
+    found = listing.walk(spark, list(roots))
     return found.select(
         canonical(F.col("path")).alias("path"),
         "size_bytes",

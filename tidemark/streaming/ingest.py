@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from tidemark.model import CORRUPT, FAILED, MALFORMED_ERROR, RUN_RUNNING, RUN_SCHEMA, SOURCE_FILE, SUCCESS, IngestionConfig
 from tidemark.operators import planning, writer
 from tidemark.operators.state_store import StateStore
-from tidemark.plans.ingest import run_metrics, run_status
-from tidemark.sources import manifest as manifests
+from tidemark.plans.ingest import run_ingestion, run_metrics, run_status
+from tidemark.sources import listing, manifest as manifests
 from tidemark.sources.paths import scanned_file
 from tidemark.sources.readers import reader_options
 
@@ -109,6 +109,36 @@ def ingest_stream(
     )
 
 
+def ingest_arrivals(
+    spark: SparkSession,
+    config: IngestionConfig,
+    store: StateStore,
+    checkpoint: str,
+    as_of: datetime | None = None,
+    trigger: str = "availableNow",
+    interval: str = "10 seconds",
+    stream_id: str = "arrivals",
+):
+    """Starts a query whose every micro-batch lists the source and runs whatever the ledger says needs it.
+
+    The stream carries moments of listing; what was listed at one is the plan that the batch's run stores, so a batch that
+    Spark repeats takes the same files. Empty, changed and failed files come as in any run, and so do new columns; a schema
+    may be given or found. A batch without anything to do leaves no trace.
+    """
+    listing.register(spark)
+
+    def batch(_, batch_id: int) -> None:
+        run_ingestion(spark, config, store, as_of, f"{stream_id}-{batch_id:010d}", trigger="stream", skip_idle=True)
+
+    return (
+        spark.readStream.format("tidemark_arrivals").load()
+        .writeStream.foreachBatch(batch)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**trigger_options(trigger, interval))
+        .start()
+    )
+
+
 def commit_batch(df: DataFrame, run_id: str, config: IngestionConfig, store: StateStore, as_of: datetime | None = None) -> None:
     """Table rows, one ledger event per file, then the run row."""
     spark = df.sparkSession
