@@ -1,5 +1,6 @@
 """Queries over whole ingestion runs that meet odd files: clashes, spellings, changes, failures and several passes."""
 
+import gzip
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from tidemark.operators import quality, writer
 from tidemark.operators.state_store import StateStore
 from tidemark.plans.ingest import run_ingestion
 from tidemark.plans.refresh import refresh
+from tidemark.streaming.ingest import ingest_arrivals
 
 T1 = datetime(2024, 2, 1, tzinfo=timezone.utc)
 
@@ -235,12 +237,12 @@ def _data_file(c, folder: str) -> str:
     return next(p for p in list_folder(c.spark, folder) if p.rsplit("/", 1)[-1].startswith("part-"))
 
 
-def _write_over(c, path: str, text: str) -> None:
+def _write_over(c, path: str, content: str | bytes) -> None:
     from tidemark.workspace import _hadoop
 
     fs, target = _hadoop(c.spark, path)
     out = fs.create(target, True)
-    out.write(bytearray(text.encode()))
+    out.write(bytearray(content.encode() if isinstance(content, str) else content))
     out.close()
 
 
@@ -255,6 +257,53 @@ def _move_over(c, source: str, target: str) -> None:
         fs.rename(path, _hadoop(c.spark, old)[1])
 
 
+def _per_cut(c, config, store):
+    """Of each cut's file what the ledger has, and the rows that readers see."""
+    seen = rows_of(c, config, store).groupBy("kept").agg(F.count("*").alias("n"))
+    cut = F.regexp_extract("file_path", "/cut=([0-9]+)/", 1).cast("bigint").alias("cut")
+    return store.state(config.ingestion_id).select(cut, "status", "records_ingested").join(seen, F.col("cut") == F.col("kept"), "left").select(
+        "cut", "status", F.col("records_ingested").alias("records"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query("i14_empty_files", f"""
+SELECT user_id % {CUTS} AS cut, 'SUCCESS' AS status, count(*) FILTER (WHERE user_id % {CUTS} % 3 = 0) AS records,
+  count(*) FILTER (WHERE user_id % {CUTS} % 3 = 0) AS n FROM events GROUP BY 1""")
+def _(c):
+    """A stream of listings enters files that are empty from the start and files that become empty, each as done with no record."""
+    def make():
+        config, store = job(c, "arriving")
+        config.file_pattern = None
+        land_cut(events(c).withColumn("kept", F.col("user_id") % CUTS), config.source_path, "a", compression="none")
+        checkpoint = c.scratch("arriving-stream")
+        for step in (1, 2):
+            for folder in _cut_folders(c, f"{config.source_path}/a"):
+                if int(folder.rsplit("=", 1)[1]) % 3 == step:
+                    _write_over(c, _data_file(c, folder), "")
+            ingest_arrivals(c.spark, config, store, checkpoint, T1 + timedelta(hours=step)).awaitTermination()
+        return config, store
+
+    return _per_cut(c, *c.once("arriving", make))
+
+
+@query("i6_cut_gzip", f"""
+SELECT user_id % {CUTS} AS cut, CASE WHEN user_id % {CUTS} % 3 = 1 THEN 'FAILED' ELSE 'SUCCESS' END AS status,
+  CASE WHEN user_id % {CUTS} % 3 <> 1 THEN count(*) END AS records, count(*) FILTER (WHERE user_id % {CUTS} % 3 <> 1) AS n FROM events GROUP BY 1, 2, user_id % {CUTS} % 3""")
+def _(c):
+    """Packed files that end too early fail alone; no row of them is seen, and all others are loaded."""
+    def make():
+        config, store = job(c, "cutting")
+        config.file_pattern = None
+        land_cut(events(c).withColumn("kept", F.col("user_id") % CUTS), config.source_path, "a", compression="gzip")
+        cut = gzip.compress(b'{"event_id": 1, "kept": 1}\n' * 1000)[:-20]
+        for folder in _cut_folders(c, f"{config.source_path}/a"):
+            if int(folder.rsplit("=", 1)[1]) % 3 == 1:
+                _write_over(c, _data_file(c, folder), cut)
+        run_ingestion(c.spark, config, store, T1, "run_1")
+        return config, store
+
+    return _per_cut(c, *c.once("cutting", make))
+
+
 @query("i6_csv_isolation", """
 SELECT 'good' AS folder, 'SUCCESS' AS status, count(*) AS records FROM events WHERE event_id % 2 = 0
 UNION ALL SELECT 'late', 'SUCCESS', count(*) FROM events WHERE event_id % 2 = 1 UNION ALL SELECT 'odd', 'FAILED', NULL""")

@@ -12,14 +12,16 @@ from collections import deque
 from datetime import datetime, timezone
 
 from pyspark import cloudpickle
-from pyspark.sql import Observation, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 from tidemark.workspace import scratch
 
 LISTED = "path string, size_bytes bigint, modified_at timestamp, pending boolean"
-# What the first task of a listing may spend, what a folder costs beside its files, and folders a core takes in a round.
-FIRST_BUDGET, FOLDER_COST, TASKS_PER_CORE = 20_000, 200, 4
+# What the first task of a listing may spend, and what a folder costs beside its files.
+FIRST_BUDGET, FOLDER_COST = 20_000, 200
+# Tasks of a round: one per folder up to one per core, then one per so many folders up to some per core.
+FOLDERS_PER_TASK, TASKS_PER_CORE = 8, 4
 BATCH_ROWS = 10_000
 
 
@@ -107,17 +109,20 @@ def explore(budget: int):
     return read
 
 
-def walk(spark, roots: list[str], budget: int = FIRST_BUDGET):
+def walk(spark, roots: list[str], budget: int = FIRST_BUDGET) -> DataFrame:
     """All files below the roots: ``path, size_bytes, modified_at``.
 
-    Folders are listed in rounds. What a task of one round leaves is dealt to as many tasks as it has folders in the
-    next, up to some per core, with twice the budget: a deep or lopsided tree spreads as soon as it is known to be large,
-    and a small one takes one task. Only the number of folders left comes to the driver. One folder's own entries are
-    listed by one task, as stores page through them in order.
+    Folders are listed in rounds. What the tasks of one round leave is dealt anew in the next, with twice the budget: a deep
+    or lopsided tree spreads as soon as it is known to be large, and a small one takes one task. Only the number of folders
+    left comes to the driver. One folder's own entries are listed by one task, as stores page through them in order.
     """
     base, written = scratch(spark, "listing"), []
-    most = TASKS_PER_CORE * max(spark.sparkContext.defaultParallelism, 8)
-    frontier = spark.createDataFrame([(r,) for r in roots], "path string").repartition(max(1, min(len(roots), most)))
+    cores = max(spark.sparkContext.defaultParallelism, 8)
+
+    def dealt(folders: DataFrame, n: int) -> DataFrame:
+        return folders.repartition(max(1, min(n, max(cores, n // FOLDERS_PER_TASK), TASKS_PER_CORE * cores)))
+
+    frontier = dealt(spark.createDataFrame([(r,) for r in roots], "path string"), len(roots))
     while True:
         left = Observation()
         found = frontier.mapInArrow(explore(budget), LISTED).observe(left, F.count_if("pending").alias("folders"))
@@ -127,7 +132,7 @@ def walk(spark, roots: list[str], budget: int = FIRST_BUDGET):
         if not folders:
             break
         pending = spark.read.schema(LISTED).parquet(written[-1]).filter("pending")
-        frontier, budget = pending.select("path").repartition(min(folders, most)), 2 * budget
+        frontier, budget = dealt(pending.select("path"), folders), 2 * budget
     return spark.read.schema(LISTED).parquet(*written).filter("NOT pending").drop("pending")
 
 
