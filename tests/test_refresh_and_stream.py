@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F, types as T
 
 from conftest import land
-from tidemark.model import IngestionConfig
+from tidemark.model import LEDGER_SCHEMA, IngestionConfig
 from tidemark.operators import writer
 from tidemark.operators.state_store import StateStore
 from tidemark.plans.ingest import run_ingestion
@@ -151,3 +151,41 @@ def test_clear_by_pattern(spark, job):
     run_ingestion(spark, config, store, T0, "r1")
     assert clear(store, "ing1", T1, "%batch_1.json") == 1
     assert run_ingestion(spark, config, store, T1, "r2").success == 1
+
+
+def test_stored_sums_follow_every_change(spark, job):
+    from datetime import timedelta
+
+    from tidemark.operators import analytics as A
+
+    _, store, src = job
+    store.fold_after = None
+
+    def load(run, files, at, status="SUCCESS"):
+        rows = [("ing1", f"f{n}", 10, at, None, status, at, at, at, n, 10, 1, None, None, 0, None, at, 1, run) for n in files]
+        store.append("ledger", "ing1", run, "done", spark.createDataFrame(rows, LEDGER_SCHEMA))
+
+    def check():
+        for grain in A.ROLLUPS:
+            want = sorted(tuple(r) for r in A.rollup(store.state(), grain).collect())
+            assert sorted(tuple(r) for r in store.rolled(grain).collect()) == want
+        return store.rolled("day").inputFiles()
+
+    assert store.rolled("day").count() == 0
+    load("r1", range(40), T1)
+    check()
+    store.fold()
+    files = check()
+    assert files and not any("/base/" in p for p in files)  # without deltas the sums are all that is read
+    load("r2", [3], T1 + timedelta(days=1), "FAILED")
+    load("r3", [100], T1 + timedelta(days=1))
+    files = check()
+    assert 0 < len({p for p in files if "/base/" in p}) <= 2  # of the base the buckets of the two files
+    assert [r.file_count for r in store.rolled("day", "ing1").orderBy("window_start").collect()] == [39, 2] and store.rolled("day", "other").count() == 0
+    store.fold()
+    assert not any("/base/" in p for p in check())
+    load("r4", [3, 4], T1 + timedelta(days=9))
+    store.fold()
+    check()
+    assert store.retire(f"file:{src.parent}/archive", T1 + timedelta(days=95), 90) == 39
+    check()

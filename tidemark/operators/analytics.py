@@ -226,6 +226,18 @@ def rollup(rows: DataFrame, grain: str, time: str = "processed_at", by: tuple[st
     ).select(*by, F.col("_w.start").alias("window_start"), "file_count", "failed_count", "records", "bytes")
 
 
+# What a rollup sums up; sums of parts add up to those of the whole.
+SUMS = ("file_count", "failed_count", "records", "bytes")
+
+
+def merged_sums(hourly: DataFrame, grain: str) -> DataFrame:
+    """Partial hourly sums, which may be negative corrections, as hours, days or weeks; those without a file are left out."""
+    length, start = ROLLUPS[grain]
+    w = F.window(F.col("window_start"), length, startTime=start)
+    merged = hourly.groupBy("ingestion_id", w.alias("_w")).agg(*[F.sum(c).cast("bigint").alias(c) for c in SUMS])
+    return merged.filter("file_count > 0").select("ingestion_id", F.col("_w.start").alias("window_start"), *SUMS)
+
+
 def tiered(state: DataFrame, as_of, detail_days: int = 30, aggregate_days: int = 365) -> tuple[DataFrame, DataFrame]:
     """(file rows of the last days, daily sums of the last year)."""
     now = as_column(as_of)

@@ -9,6 +9,10 @@ Base
     in buckets of the key's hash, sorted by key. Only buckets that a delta touches are rewritten. Of a file the base also
     has its version: the last run that loaded it, and how often it was loaded.
 
+Sums
+    A fold of the ledger also writes hourly sums of each bucket that it rewrites, ``sums/g=<generation>``. ``rolled`` merges
+    them to days and weeks; of the files that deltas tell of the old hour is taken out and the new one put in.
+
 Pointer
     ``pointer/<table>/<number>`` names the generation of each bucket. It is written whole under a new number, readers follow
     the largest, and of two folds at once the second finds its number taken and gives up. Folded deltas get a
@@ -29,6 +33,7 @@ from tidemark.functions.expressions import as_column
 from tidemark.model import (
     CLEARED, FAILED, LEDGER_SCHEMA, PROCESSING, RUN_PARTIAL, RUN_RUNNING, RUN_SCHEMA, RUN_SUCCESS, SCHEMA_FILE_SCHEMA, SCHEMA_VERSION_SCHEMA, SUCCESS,
 )
+from tidemark.operators.analytics import SUMS, merged_sums, rollup
 from tidemark.operators.ledger import KEY, current_state, split_by_age, stale_reset, transition
 from tidemark.workspace import claim_file, delete_path, list_folder, make_folder, materialize, path_exists, read_text
 
@@ -227,8 +232,15 @@ class StateStore:
             if name.startswith("b="):
                 held[name[2:]] = token
         now = {"buckets": buckets, "held": held, "folded": folders}
+        if table == "ledger":
+            fresh = {b: g for b, g in held.items() if g == token}
+            if fresh:
+                self._hourly(self.base(table, fresh), "b").write.parquet(f"{self.root}/sums/g={token}")
+            now["summed"] = sorted({*old.get("summed", []), token} & set(held.values()))
         if not claim_file(self.spark, f"{self.root}/pointer/{table}/{number + 1:010d}", json.dumps(now)):
             delete_path(self.spark, f"{self.root}/base/{table}/g={token}")
+            if table == "ledger":
+                delete_path(self.spark, f"{self.root}/sums/g={token}")
             return False
         for folder in folders:
             make_folder(self.spark, self.mark(table, folder))
@@ -242,9 +254,10 @@ class StateStore:
                 delete_path(self.spark, folder)
                 delete_path(self.spark, self.mark(table, folder))
         named = {*old["held"].values(), *now["held"].values()}
-        for name in self._names(f"{self.root}/base/{table}"):
-            if name[2:] not in named:
-                delete_path(self.spark, f"{self.root}/base/{table}/{name}")
+        for kind in (f"base/{table}", *(["sums"] if table == "ledger" else [])):
+            for name in self._names(f"{self.root}/{kind}"):
+                if name[2:] not in named:
+                    delete_path(self.spark, f"{self.root}/{kind}/{name}")
         for name in self._names(f"{self.root}/pointer/{table}"):
             if int(name) < number:
                 delete_path(self.spark, f"{self.root}/pointer/{table}/{name}")
@@ -288,6 +301,49 @@ class StateStore:
         mine = late if ingestion_id is None else late & (F.col("ingestion_id") == ingestion_id)
         return self._state(self.delta_folders("ledger", ingestion_id), mine)
 
+    @staticmethod
+    def _hourly(state: DataFrame, *by: str) -> DataFrame:
+        return rollup(state.filter(F.col("status") != CLEARED), "hour", by=("ingestion_id", *by))
+
+    def _sums(self, pointer: dict) -> DataFrame:
+        """The hourly sums kept with the base; of buckets folded before there were any, made from their rows."""
+        held, columns = pointer["held"], ("ingestion_id", "window_start", *SUMS)
+        with_sums = {b: g for b, g in held.items() if g in pointer.get("summed", [])}
+        without = {b: g for b, g in held.items() if b not in with_sums}
+        schema = f"ingestion_id string, b int, window_start timestamp, {', '.join(f'{c} bigint' for c in SUMS)}"
+        out = self.spark.createDataFrame([], schema).select(*columns)
+        if with_sums:
+            root = f"{self.root}/sums"
+            found = self.spark.read.schema(f"{schema}, g string").option("basePath", root).parquet(*[f"{root}/g={g}" for g in sorted(set(with_sums.values()))])
+            # A row per bucket; of a generation only the buckets count that no later one has rewritten.
+            named = self.spark.createDataFrame([(int(b), g) for b, g in with_sums.items()], "b int, g string")
+            out = found.join(named, ["b", "g"], "left_semi").select(*columns)
+        if without:
+            out = out.unionByName(self._hourly(self.base("ledger", without)))
+        return out
+
+    def rolled(self, grain: str, ingestion_id: str | None = None) -> DataFrame:
+        """Hourly, daily or weekly sums over the state, as ``analytics.rollup`` of it gives them.
+
+        Of the base only the buckets of files that deltas tell of are read, else the sums alone.
+        """
+        mine = F.lit(True) if ingestion_id is None else F.col("ingestion_id") == ingestion_id
+        folders, (_, pointer) = self.delta_folders("ledger", ingestion_id), self.pointer("ledger")
+        sums = self._sums(pointer).filter(mine)
+        if folders:
+            delta = self._read("ledger", folders).filter(mine)
+            again = delta
+            if pointer["held"]:
+                changed = delta.select(*KEY).distinct()
+                touched = {str(r.b) for r in changed.select(self._bucket("ledger", pointer["buckets"]).alias("b")).distinct().collect()}
+                held = {b: g for b, g in pointer["held"].items() if b in touched}
+                if held:
+                    was = self.base("ledger", held).join(changed, list(KEY), "left_semi").select(*LEDGER_SCHEMA.names)
+                    sums = sums.unionByName(self._hourly(was).withColumns({c: -F.col(c) for c in SUMS}))
+                    again = was.unionByName(delta)
+            sums = sums.unionByName(self._hourly(current_state(again, order=ORDER)))
+        return merged_sums(sums, grain)
+
     def versions(self, ingestion_id: str | None = None) -> DataFrame:
         """``ingestion_id, file_path, live_run_id`` of the files that several runs have loaded.
 
