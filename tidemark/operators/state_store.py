@@ -29,17 +29,19 @@ from urllib.parse import quote, unquote
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from tidemark.functions.expressions import as_column
+from tidemark.functions.expressions import as_column, first_per_key
 from tidemark.model import (
     CLEARED, FAILED, LEDGER_SCHEMA, PROCESSING, RUN_PARTIAL, RUN_RUNNING, RUN_SCHEMA, RUN_SUCCESS, SCHEMA_FILE_SCHEMA, SCHEMA_VERSION_SCHEMA, SUCCESS,
 )
 from tidemark.operators.analytics import SUMS, merged_sums, rollup
-from tidemark.operators.ledger import KEY, current_state, split_by_age, stale_reset, transition
-from tidemark.workspace import claim_file, delete_path, list_folder, make_folder, materialize, path_exists, read_text
+from tidemark.operators.ledger import KEY, current_state, stale_reset, transition, with_age
+from tidemark.workspace import claim_file, delete_path, folder_bytes, list_folder, make_folder, materialize, path_exists, read_text
 
 FOLDERS = [T.StructField(n, T.StringType()) for n in ("i", "r", "phase")]
 # Which event of a file is the latest; the later columns only make ties come out the same in every read.
 ORDER = ("event_time", "seq", "run_id", "file_size_bytes", "status")
+# What a file row gives to the sums.
+COUNTED = ("status", "processed_at", "records_ingested", "bytes_read")
 VERSION = T.StructType([
     T.StructField("live_run_id", T.StringType()),
     T.StructField("live_time", T.TimestampType()),
@@ -48,6 +50,8 @@ VERSION = T.StructType([
 ])
 # Rows that a bucket may reach before the base is dealt anew into more of them.
 BUCKET_ROWS = 2_000_000
+# Share of the base's bytes from which on deltas are ranked with the whole base in place of looking their files up in it.
+DELTA_SHARE = 1 / 8
 
 
 class StateStore:
@@ -145,7 +149,10 @@ class StateStore:
             return None
         root, schema = f"{self.root}/base/{table}", self.base_schema(table)
         found = self.spark.read.schema(schema.add("g", T.StringType()).add("b", T.IntegerType())).option("basePath", root)
-        return found.parquet(*[f"{root}/g={g}/b={b}" for b, g in held.items()]).select(*[f.name for f in self.base_schema(table).fields], "b")
+        return found.parquet(*self._held_folders(table, held)).select(*[f.name for f in self.base_schema(table).fields], "b")
+
+    def _held_folders(self, table: str, held: dict) -> list[str]:
+        return [f"{self.root}/base/{table}/g={g}/b={b}" for b, g in held.items()]
 
     def _bucket(self, table: str, buckets: int, *values):
         return F.pmod(F.xxhash64(*(values or self.KEYS[table])), F.lit(buckets)).cast("int")
@@ -159,19 +166,19 @@ class StateStore:
             "live_seq": F.when(loaded, F.col("seq")), "loads": F.when(loaded, 1).otherwise(0).cast("bigint"),
         }).drop("_done")
 
-    def _merged(self, table: str, rows: DataFrame) -> DataFrame:
-        """One row per key."""
-        keys = list(self.KEYS[table])
+    def _merged(self, table: str, rows: DataFrame, *by: str) -> DataFrame:
+        """One row per key, and per ``by``, which the key determines."""
+        keys = [*by, *self.KEYS[table]]
         columns = [f.name for f in self.TABLES[table].fields if f.name not in keys]
         if table == "runs":
             latest = F.max_by(F.struct(*columns), F.struct(F.coalesce("ended_at", "started_at"), F.col("ended_at").isNotNull()))
-            return rows.groupBy(*keys).agg(latest.alias("_r")).select(*keys, "_r.*").select(*self.TABLES[table].names)
+            return rows.groupBy(*keys).agg(latest.alias("_r")).select(*keys, "_r.*").select(*self.TABLES[table].names, *by)
         live = F.struct("live_time", "live_seq", "live_run_id")
         merged = rows.groupBy(*keys).agg(
             F.max_by(F.struct(*columns), F.struct(*ORDER)).alias("_r"),
             F.max(F.when(F.col("live_run_id").isNotNull(), live)).alias("_live"), F.sum("loads").cast("bigint").alias("loads"),
         )
-        return merged.select(*keys, "_r.*", "_live.*", "loads").select(*self.base_schema(table).names)
+        return merged.select(*keys, "_r.*", "_live.*", "loads").select(*self.base_schema(table).names, *by)
 
     def ended(self) -> DataFrame:
         """Runs whose rows readers see."""
@@ -198,18 +205,16 @@ class StateStore:
                 out.append(folder)
         return out
 
-    def _fold(self, table: str, keep=None) -> bool:
-        """``keep`` turns the merged rows into those that stay; then all buckets are rewritten."""
+    def _fold(self, table: str, split=None, moved: str | None = None) -> bool:
+        """``split`` gives merged rows that leave the base a negative bucket; they go to ``moved``, and all buckets are rewritten."""
         number, old = self.pointer(table)
         folders = self._foldable(table)
-        if not folders and keep is None:
+        if not folders and split is None:
             return False
         delta, base = self._read(table, folders), self.base(table, old["held"])
-        if table == "ledger":
-            delta = self._versions(delta, self.ended())
         size = (base.count() if base is not None else 0) + (delta.count() if folders else 0)
         buckets = max(8, 1 << max(0, -(-size // BUCKET_ROWS) - 1).bit_length())
-        whole = keep is not None or base is None or buckets > 2 * old["buckets"]
+        whole = split is not None or base is None or buckets > 2 * old["buckets"]
         buckets = buckets if whole else old["buckets"]
         delta = delta.withColumn("b", self._bucket(table, buckets))
         held: dict[str, str] = {}
@@ -219,18 +224,22 @@ class StateStore:
             touched = [str(r.b) for r in delta.select("b").distinct().collect()]  # at most the number of buckets
             held = {b: g for b, g in old["held"].items() if b not in touched}
             mine = self.base(table, {b: g for b, g in old["held"].items() if b in touched})
+        if table == "ledger":
+            # Stored first, so Spark knows how few ended runs are and need not shuffle the events to meet them.
+            delta = self._versions(delta, materialize(self.ended().select("run_id").distinct(), "ended"))
         rows = delta if mine is None else mine.unionByName(delta)
-        merged = self._merged(table, rows.drop("b"))
-        if keep is not None:
-            merged = keep(merged)
         token, keys = uuid.uuid4().hex, self.KEYS[table]
-        placed = merged.withColumn("b", self._bucket(table, buckets))
+        # The only shuffle: rows are dealt by ranges of bucket and key, merged where they are and written in that order.
         # Sorted by key, so the look-up of one ingestion, file or run skips all row groups but few.
-        spread = placed.repartitionByRange("b", *keys).sortWithinPartitions("b", *keys)
-        spread.write.partitionBy("b").parquet(f"{self.root}/base/{table}/g={token}")
+        merged = self._merged(table, rows.repartitionByRange("b", *keys), "b")
+        if split is not None:
+            merged = split(merged)
+        merged.sortWithinPartitions("b", *keys).write.partitionBy("b").parquet(f"{self.root}/base/{table}/g={token}")
         for name in self._names(f"{self.root}/base/{table}/g={token}"):
-            if name.startswith("b="):
+            if name.startswith("b=") and not name.startswith("b=-"):
                 held[name[2:]] = token
+        if moved is not None:
+            self._move_out(table, token, moved)
         now = {"buckets": buckets, "held": held, "folded": folders}
         if table == "ledger":
             fresh = {b: g for b, g in held.items() if g == token}
@@ -247,6 +256,15 @@ class StateStore:
         self._clean(table, number, old, now)
         return True
 
+    def _move_out(self, table: str, token: str, moved: str) -> None:
+        """Rows of a generation's negative buckets go to their own folder."""
+        folder = f"{self.root}/base/{table}/g={token}"
+        left = [f"{folder}/{name}" for name in self._names(folder) if name.startswith("b=-")]
+        out = self.spark.read.schema(self.TABLES[table]).parquet(*left) if left else self.spark.createDataFrame([], self.TABLES[table])
+        out.write.parquet(moved)
+        for path in left:
+            delete_path(self.spark, path)
+
     def _clean(self, table: str, number: int, old: dict, now: dict) -> None:
         """Deletes what the fold before has folded, and generations that neither it nor this one names."""
         for folder in old["folded"]:
@@ -287,11 +305,24 @@ class StateStore:
         base = base.filter(mine).select(*columns)
         if not folders:
             return base.filter(F.col("status") != CLEARED)
+        if folder_bytes(self.spark, *folders) > DELTA_SHARE * folder_bytes(self.spark, *self._held_folders("ledger", pointer["held"])):
+            return self._ranked(base, delta.select(*columns))
         changed = delta.select(*KEY).distinct()
         same = base.join(changed, list(KEY), "left_anti").filter(F.col("status") != CLEARED)
         again = base.join(changed, list(KEY), "left_semi").unionByName(delta)
         return same.select(*columns).unionByName(current_state(again.select(*columns), order=ORDER))
 
+    def _ranked(self, base: DataFrame, delta: DataFrame) -> DataFrame:
+        """The state from one shuffle of base and deltas each.
+
+        Deltas come to the shuffle as one row per file and task; the base has one per file and isn't sorted before. As in a
+        join, files without a name are no file's: those of the base meet none of the deltas.
+        """
+        nameless = F.col("ingestion_id").isNull() | F.col("file_path").isNull()
+        newest = first_per_key(delta, KEY, ORDER).withColumn("_alone", F.lit(False))
+        both = base.repartition(*KEY).withColumn("_alone", nameless).unionByName(newest)
+        return current_state(both, keys=(*KEY, "_alone"), order=ORDER).drop("_alone")
+
     def recent(self, since, ingestion_id: str | None = None) -> DataFrame:
         """State for reports on what was processed since a moment; the filter reaches the scans.
 
@@ -322,6 +353,15 @@ class StateStore:
             out = out.unionByName(self._hourly(self.base("ledger", without)))
         return out
 
+    @staticmethod
+    def _counted(rows: DataFrame) -> DataFrame:
+        """File rows as sums of one file each."""
+        return rows.filter(F.col("status") != CLEARED).select(
+            "ingestion_id", F.col("processed_at").alias("window_start"), F.lit(1).cast("bigint").alias("file_count"),
+            F.when(F.col("status") == FAILED, 1).otherwise(0).cast("bigint").alias("failed_count"),
+            F.coalesce("records_ingested", F.lit(0)).cast("bigint").alias("records"), F.coalesce("bytes_read", F.lit(0)).cast("bigint").alias("bytes"),
+        )
+
     def rolled(self, grain: str, ingestion_id: str | None = None) -> DataFrame:
         """Hourly, daily or weekly sums over the state, as ``analytics.rollup`` of it gives them.
 
@@ -332,16 +372,18 @@ class StateStore:
         sums = self._sums(pointer).filter(mine)
         if folders:
             delta = self._read("ledger", folders).filter(mine)
-            again = delta
+            newest = first_per_key(delta, KEY, ORDER)
+            sums = sums.unionByName(self._counted(newest))
             if pointer["held"]:
-                changed = delta.select(*KEY).distinct()
-                touched = {str(r.b) for r in changed.select(self._bucket("ledger", pointer["buckets"]).alias("b")).distinct().collect()}
+                touched = {str(r.b) for r in delta.select(self._bucket("ledger", pointer["buckets"]).alias("b")).distinct().collect()}
                 held = {b: g for b, g in pointer["held"].items() if b in touched}
                 if held:
-                    was = self.base("ledger", held).join(changed, list(KEY), "left_semi").select(*LEDGER_SCHEMA.names)
-                    sums = sums.unionByName(self._hourly(was).withColumns({c: -F.col(c) for c in SUMS}))
-                    again = was.unionByName(delta)
-            sums = sums.unionByName(self._hourly(current_state(again, order=ORDER)))
+                    # Of a file that the base has too, one of both rows doesn't count: the base's, or that of the deltas if it is older.
+                    was = self.base("ledger", held).select(*[F.col(c).alias(f"_{c}") if c not in KEY else F.col(c) for c in LEDGER_SCHEMA.names])
+                    later = F.struct(*ORDER) > F.struct(*[F.col(f"_{c}").alias(c) for c in ORDER])
+                    both = newest.join(was, list(KEY))
+                    lost = both.select("ingestion_id", *[F.when(later, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in COUNTED])
+                    sums = sums.unionByName(self._counted(lost).withColumns({c: -F.col(c) for c in SUMS}))
         return merged_sums(sums, grain)
 
     def versions(self, ingestion_id: str | None = None) -> DataFrame:
@@ -393,15 +435,15 @@ class StateStore:
         """
         moved = f"{archive.rstrip('/')}/pass={uuid.uuid4().hex}"
 
-        def keep(merged: DataFrame) -> DataFrame:
-            # Stored once: the archive and the base come from it.
-            merged = materialize(merged, "state")
-            kept, old = split_by_age(merged.filter(F.col("status") != CLEARED), as_of, retention_days)
-            old.select(*LEDGER_SCHEMA.names).write.parquet(moved)
-            hidden = merged.filter(F.col("status") == CLEARED).unionByName(old.filter("loads > 1").withColumn("status", F.lit(CLEARED)))
-            return kept.unionByName(hidden)
+        def split(merged: DataFrame) -> DataFrame:
+            # Base and archive are written by one job, so a row is in one of them.
+            here, gone = F.struct("b", "status"), F.struct((-1 - F.col("b")).alias("b"), "status")
+            hidden = F.struct("b", F.lit(CLEARED).alias("status"))
+            places = F.when((F.col("status") == CLEARED) | ~F.col("archived"), F.array(here)).when(F.col("loads") > 1, F.array(gone, hidden)).otherwise(F.array(gone))
+            aged = with_age(merged.filter(F.col("status").isNotNull()), as_of, retention_days)
+            return aged.withColumn("_at", F.explode(places)).withColumns({"b": F.col("_at.b"), "status": F.col("_at.status")}).select(*merged.columns)
 
-        if not self._fold("ledger", keep):
+        if not self._fold("ledger", split, moved):
             delete_path(self.spark, moved)
             return 0
         return self.spark.read.schema(LEDGER_SCHEMA).parquet(moved).count()

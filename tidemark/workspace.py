@@ -63,6 +63,15 @@ def list_folder(spark: SparkSession, path: str) -> list[str]:
     return [str(s.getPath().toString()) for s in fs.listStatus(target)] if fs.exists(target) else []
 
 
+def folder_bytes(spark: SparkSession, *paths: str) -> int:
+    """Bytes of the files below some folders."""
+    total = 0
+    for path in paths:
+        fs, target = _hadoop(spark, path)
+        total += fs.getContentSummary(target).getLength()
+    return total
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     """A small file as text."""
     fs, target = _hadoop(spark, path)
