@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from datetime import date, datetime
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 BYTES_PER_GB = 1024**3
 
@@ -21,6 +21,17 @@ def as_column(value) -> Column:
     raise TypeError(f"not a moment: {value!r}")
 
 
+def settled(spark, value) -> Column:
+    """A moment's value now as a literal, so that jobs which run at different times get the same."""
+    if not isinstance(value, Column):
+        return as_column(value)
+    now = spark.range(1).select(value.alias("m"))
+    kind = now.schema["m"].dataType
+    if kind == T.TimestampType():
+        return F.timestamp_micros(F.lit(now.select(F.unix_micros("m")).first()[0]).cast("bigint"))
+    return F.lit(now.select(F.col("m").cast("string")).first()[0]).cast(kind)
+
+
 def minus(moment: Column, **units: int) -> Column:
     """``moment`` minus hours/days given as keyword arguments."""
     out = moment

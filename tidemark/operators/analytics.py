@@ -238,6 +238,41 @@ def merged_sums(hourly: DataFrame, grain: str) -> DataFrame:
     return merged.filter("file_count > 0").select("ingestion_id", F.col("_w.start").alias("window_start"), *SUMS)
 
 
+def hourly_parts(counted: DataFrame, most: int = 100_000) -> DataFrame:
+    """Sums of file rows (``SUMS`` and a moment ``window_start``) by hour and all other columns, each task of what it reads.
+
+    Nothing is shuffled, so the sums of an hour are those of its rows. A task holds up to ``most`` sums before it gives them.
+    """
+    length, start = ROLLUPS["hour"]
+    hour = F.window(F.col("window_start"), length, startTime=start)
+    rows = counted.withColumn("_w", hour).withColumn("window_start", F.col("_w.start")).drop("_w")
+    names, sums = rows.columns, SUMS
+
+    def summed(batches):
+        import pyarrow as pa
+
+        keys = [n for n in names if n not in sums]
+
+        def merged(parts):
+            found = pa.concat_tables(parts).group_by(keys, use_threads=False).aggregate([(c, "sum") for c in sums])
+            return pa.table([found[n if n in keys else f"{n}_sum"] for n in names], names=names)
+
+        parts, held = [], 0
+        for batch in batches:
+            parts.append(merged([pa.Table.from_batches([batch])]))
+            held += parts[-1].num_rows
+            if held >= most:
+                parts = [merged(parts)]
+                held = parts[0].num_rows
+                if 2 * held >= most:
+                    yield from parts[0].to_batches()
+                    parts, held = [], 0
+        if parts:
+            yield from merged(parts).to_batches()
+
+    return rows.mapInArrow(summed, rows.schema)
+
+
 def tiered(state: DataFrame, as_of, detail_days: int = 30, aggregate_days: int = 365) -> tuple[DataFrame, DataFrame]:
     """(file rows of the last days, daily sums of the last year)."""
     now = as_column(as_of)

@@ -10,8 +10,9 @@ Base
     has its version: the last run that loaded it, and how often it was loaded.
 
 Sums
-    A fold of the ledger also writes hourly sums of each bucket that it rewrites, ``sums/g=<generation>``. ``rolled`` merges
-    them to days and weeks; of the files that deltas tell of the old hour is taken out and the new one put in.
+    A fold of the ledger also writes hourly sums of each bucket that it rewrites, ``sums/g=<generation>``: each task sums up
+    what it reads, so an hour may have several rows. ``rolled`` merges them to days and weeks; of the files that deltas tell
+    of the old hour is taken out and the new one put in.
 
 Pointer
     ``pointer/<table>/<number>`` names the generation of each bucket. It is written whole under a new number, readers follow
@@ -23,17 +24,18 @@ Pointer
 
 from __future__ import annotations
 
+import functools
 import json
 import uuid
 from urllib.parse import quote, unquote
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from tidemark.functions.expressions import as_column, first_per_key
+from tidemark.functions.expressions import as_column, first_per_key, settled
 from tidemark.model import (
     CLEARED, FAILED, LEDGER_SCHEMA, PROCESSING, RUN_PARTIAL, RUN_RUNNING, RUN_SCHEMA, RUN_SUCCESS, SCHEMA_FILE_SCHEMA, SCHEMA_VERSION_SCHEMA, SUCCESS,
 )
-from tidemark.operators.analytics import SUMS, merged_sums, rollup
+from tidemark.operators.analytics import SUMS, hourly_parts, merged_sums, rollup
 from tidemark.operators.ledger import KEY, current_state, stale_reset, transition, with_age
 from tidemark.workspace import claim_file, delete_path, folder_bytes, list_folder, make_folder, materialize, path_exists, read_text
 
@@ -52,6 +54,16 @@ VERSION = T.StructType([
 BUCKET_ROWS = 2_000_000
 # Share of the base's bytes from which on deltas are ranked with the whole base in place of looking their files up in it.
 DELTA_SHARE = 1 / 8
+# Bytes of base and deltas from which on their keys' hashes are counted first, and only rows that share one are ranked.
+COUNTED_BYTES = 32 << 20
+# Hashes that a task may hold for that; with more of them all rows are ranked.
+SHARED_HASHES = 2_000_000
+# Rows that a task of a fold may get before its rows are dealt to more tasks.
+TASK_ROWS = 500_000
+# Buckets that one job moves from generation to generation.
+MOVED_BUCKETS = 64
+# Whole rows are written several times on their way, so the store's files are kept small.
+CODEC = "zstd"
 
 
 class StateStore:
@@ -85,7 +97,7 @@ class StateStore:
         columns = [f.name for f in self.TABLES[table].fields]
         if "run_id" not in rows.columns:
             rows = rows.withColumn("run_id", F.lit(run_id))
-        rows.select(*columns).write.mode("overwrite").parquet(self.folder(table, ingestion_id, run_id, phase))
+        rows.select(*columns).write.mode("overwrite").option("compression", CODEC).parquet(self.folder(table, ingestion_id, run_id, phase))
         mark = self.mark(table, self.folder(table, ingestion_id, run_id))
         if path_exists(self.spark, mark):
             # A run that was folded is written again: all its events count as new once more.
@@ -206,7 +218,10 @@ class StateStore:
         return out
 
     def _fold(self, table: str, split=None, moved: str | None = None) -> bool:
-        """``split`` gives merged rows that leave the base a negative bucket; they go to ``moved``, and all buckets are rewritten."""
+        """``split`` gives merged rows that leave the base a negative bucket; they go to ``moved``, and all buckets are rewritten.
+
+        It must give the same for the same rows whenever it is asked.
+        """
         number, old = self.pointer(table)
         folders = self._foldable(table)
         if not folders and split is None:
@@ -214,37 +229,44 @@ class StateStore:
         delta, base = self._read(table, folders), self.base(table, old["held"])
         size = (base.count() if base is not None else 0) + (delta.count() if folders else 0)
         buckets = max(8, 1 << max(0, -(-size // BUCKET_ROWS) - 1).bit_length())
-        whole = split is not None or base is None or buckets > 2 * old["buckets"]
-        buckets = buckets if whole else old["buckets"]
-        delta = delta.withColumn("b", self._bucket(table, buckets))
-        held: dict[str, str] = {}
-        if whole:
-            mine = base.withColumn("b", self._bucket(table, buckets)) if base is not None else None
+        token, held = uuid.uuid4().hex, {}
+        target = f"{self.root}/base/{table}/g={token}"
+        if not folders and base is not None and old["buckets"] / 4 <= buckets <= 2 * old["buckets"]:
+            # There is nothing to merge: each bucket's rows are read and written where they are.
+            buckets, names = old["buckets"], list(old["held"])
+            for k in range(0, len(names), MOVED_BUCKETS):
+                # A scan per bucket, so a task has the rows of one bucket only and sorts no more than those.
+                mine = [self.base(table, {b: old["held"][b]}) for b in names[k:k + MOVED_BUCKETS]]
+                self._write_base(table, split(functools.reduce(DataFrame.unionByName, mine)).filter("b >= 0"), target)
+            gone = split(base).filter("b < 0").select(*self.TABLES[table].names)
+            gone.write.option("compression", CODEC).parquet(moved)
         else:
-            touched = [str(r.b) for r in delta.select("b").distinct().collect()]  # at most the number of buckets
-            held = {b: g for b, g in old["held"].items() if b not in touched}
-            mine = self.base(table, {b: g for b, g in old["held"].items() if b in touched})
-        if table == "ledger":
-            # Stored first, so Spark knows how few ended runs are and need not shuffle the events to meet them.
-            delta = self._versions(delta, materialize(self.ended().select("run_id").distinct(), "ended"))
-        rows = delta if mine is None else mine.unionByName(delta)
-        token, keys = uuid.uuid4().hex, self.KEYS[table]
-        # The only shuffle: rows are dealt by ranges of bucket and key, merged where they are and written in that order.
-        # Sorted by key, so the look-up of one ingestion, file or run skips all row groups but few.
-        merged = self._merged(table, rows.repartitionByRange("b", *keys), "b")
-        if split is not None:
-            merged = split(merged)
-        merged.sortWithinPartitions("b", *keys).write.partitionBy("b").parquet(f"{self.root}/base/{table}/g={token}")
-        for name in self._names(f"{self.root}/base/{table}/g={token}"):
+            whole = split is not None or base is None or buckets > 2 * old["buckets"]
+            buckets = buckets if whole else old["buckets"]
+            delta = delta.withColumn("b", self._bucket(table, buckets))
+            if whole:
+                mine = base.withColumn("b", self._bucket(table, buckets)) if base is not None else None
+            else:
+                touched = [str(r.b) for r in delta.select("b").distinct().collect()]  # at most the number of buckets
+                held = {b: g for b, g in old["held"].items() if b not in touched}
+                mine = self.base(table, {b: g for b, g in old["held"].items() if b in touched})
+            if table == "ledger":
+                # Stored first, so Spark knows how few ended runs are and need not shuffle the events to meet them.
+                delta = self._versions(delta, materialize(self.ended().select("run_id").distinct(), "ended"))
+            rows = delta if mine is None else mine.unionByName(delta)
+            # The only shuffle: rows are dealt by ranges of bucket and key, merged where they are and written in that order.
+            merged = self._merged(table, self._dealt(table, rows, size), "b")
+            self._write_base(table, merged if split is None else split(merged), target)
+            if moved is not None:
+                self._move_out(table, token, moved)
+        for name in self._names(target):
             if name.startswith("b=") and not name.startswith("b=-"):
                 held[name[2:]] = token
-        if moved is not None:
-            self._move_out(table, token, moved)
         now = {"buckets": buckets, "held": held, "folded": folders}
         if table == "ledger":
             fresh = {b: g for b, g in held.items() if g == token}
             if fresh:
-                self._hourly(self.base(table, fresh), "b").write.parquet(f"{self.root}/sums/g={token}")
+                hourly_parts(self._counted(self.base(table, fresh), "b")).write.option("compression", CODEC).parquet(f"{self.root}/sums/g={token}")
             now["summed"] = sorted({*old.get("summed", []), token} & set(held.values()))
         if not claim_file(self.spark, f"{self.root}/pointer/{table}/{number + 1:010d}", json.dumps(now)):
             delete_path(self.spark, f"{self.root}/base/{table}/g={token}")
@@ -256,12 +278,24 @@ class StateStore:
         self._clean(table, number, old, now)
         return True
 
+    def _dealt(self, table: str, rows: DataFrame, size: int) -> DataFrame:
+        """Rows by ranges of bucket and key, in so many tasks that each can sort its rows in memory."""
+        by, tasks = ("b", *self.KEYS[table]), -(-size // TASK_ROWS)
+        if tasks <= int(self.spark.conf.get("spark.sql.shuffle.partitions")):
+            return rows.repartitionByRange(*by)
+        return rows.repartitionByRange(tasks, *by)
+
+    def _write_base(self, table: str, rows: DataFrame, target: str) -> None:
+        # Sorted by key, so the look-up of one ingestion, file or run skips all row groups but few.
+        ordered = rows.sortWithinPartitions("b", *self.KEYS[table])
+        ordered.write.mode("append").option("compression", CODEC).partitionBy("b").parquet(target)
+
     def _move_out(self, table: str, token: str, moved: str) -> None:
         """Rows of a generation's negative buckets go to their own folder."""
         folder = f"{self.root}/base/{table}/g={token}"
         left = [f"{folder}/{name}" for name in self._names(folder) if name.startswith("b=-")]
         out = self.spark.read.schema(self.TABLES[table]).parquet(*left) if left else self.spark.createDataFrame([], self.TABLES[table])
-        out.write.parquet(moved)
+        out.write.option("compression", CODEC).parquet(moved)
         for path in left:
             delete_path(self.spark, path)
 
@@ -285,7 +319,7 @@ class StateStore:
     def state(self, ingestion_id: str | None = None) -> DataFrame:
         """The latest event of each file: the base, with the files that deltas tell of ranked anew."""
         mine = F.lit(True) if ingestion_id is None else F.col("ingestion_id") == ingestion_id
-        return self._state(self.delta_folders("ledger", ingestion_id), mine)
+        return self._state(self.delta_folders("ledger", ingestion_id), mine, whole=ingestion_id is None)
 
     def file(self, ingestion_id: str, file_path: str) -> DataFrame:
         """The state of one file; of the base one bucket is read."""
@@ -294,7 +328,7 @@ class StateStore:
             lambda buckets: F.col("b") == self._bucket("ledger", buckets, F.lit(ingestion_id), F.lit(file_path)),
         )
 
-    def _state(self, folders: list[str], mine, in_bucket=None) -> DataFrame:
+    def _state(self, folders: list[str], mine, in_bucket=None, whole: bool = False) -> DataFrame:
         columns, (_, pointer) = LEDGER_SCHEMA.names, self.pointer("ledger")
         base = self.base("ledger", pointer["held"])
         delta = self._read("ledger", folders).filter(mine)
@@ -305,23 +339,33 @@ class StateStore:
         base = base.filter(mine).select(*columns)
         if not folders:
             return base.filter(F.col("status") != CLEARED)
-        if folder_bytes(self.spark, *folders) > DELTA_SHARE * folder_bytes(self.spark, *self._held_folders("ledger", pointer["held"])):
-            return self._ranked(base, delta.select(*columns))
+        fresh, held = folder_bytes(self.spark, *folders), folder_bytes(self.spark, *self._held_folders("ledger", pointer["held"]))
+        if fresh > DELTA_SHARE * held:
+            return self._ranked(base, delta.select(*columns), counted=whole and fresh + held >= COUNTED_BYTES)
         changed = delta.select(*KEY).distinct()
         same = base.join(changed, list(KEY), "left_anti").filter(F.col("status") != CLEARED)
         again = base.join(changed, list(KEY), "left_semi").unionByName(delta)
         return same.select(*columns).unionByName(current_state(again.select(*columns), order=ORDER))
 
-    def _ranked(self, base: DataFrame, delta: DataFrame) -> DataFrame:
-        """The state from one shuffle of base and deltas each.
+    def _ranked(self, base: DataFrame, delta: DataFrame, counted: bool = False) -> DataFrame:
+        """The state from one shuffle of base and deltas each; with ``counted`` from one of the rows that may have a newer one.
 
         Deltas come to the shuffle as one row per file and task; the base has one per file and isn't sorted before. As in a
         join, files without a name are no file's: those of the base meet none of the deltas.
         """
-        nameless = F.col("ingestion_id").isNull() | F.col("file_path").isNull()
+        nameless, keys = F.col("ingestion_id").isNull() | F.col("file_path").isNull(), (*KEY, "_alone")
+        base = base.withColumn("_alone", nameless)
+        if counted:
+            rows = base.unionByName(delta.withColumn("_alone", F.lit(False))).withColumn("_hash", F.xxhash64(*keys))
+            times = rows.select("_hash").repartition("_hash").groupBy("_hash").count()
+            shared = materialize(times.filter("count > 1").select("_hash"), "shared")
+            if shared.count() <= SHARED_HASHES:
+                # A row whose hash no other has is its file's only one. Those that share one may still be of several files.
+                only = rows.join(F.broadcast(shared), "_hash", "left_anti").drop("_hash", "_alone").filter(F.col("status") != CLEARED)
+                several = rows.join(F.broadcast(shared), "_hash", "left_semi").drop("_hash")
+                return only.unionByName(current_state(several, keys=keys, order=ORDER).drop("_alone"))
         newest = first_per_key(delta, KEY, ORDER).withColumn("_alone", F.lit(False))
-        both = base.repartition(*KEY).withColumn("_alone", nameless).unionByName(newest)
-        return current_state(both, keys=(*KEY, "_alone"), order=ORDER).drop("_alone")
+        return current_state(base.repartition(*KEY).unionByName(newest), keys=keys, order=ORDER).drop("_alone")
 
     def recent(self, since, ingestion_id: str | None = None) -> DataFrame:
         """State for reports on what was processed since a moment; the filter reaches the scans.
@@ -354,10 +398,10 @@ class StateStore:
         return out
 
     @staticmethod
-    def _counted(rows: DataFrame) -> DataFrame:
+    def _counted(rows: DataFrame, *by: str) -> DataFrame:
         """File rows as sums of one file each."""
         return rows.filter(F.col("status") != CLEARED).select(
-            "ingestion_id", F.col("processed_at").alias("window_start"), F.lit(1).cast("bigint").alias("file_count"),
+            "ingestion_id", *by, F.col("processed_at").alias("window_start"), F.lit(1).cast("bigint").alias("file_count"),
             F.when(F.col("status") == FAILED, 1).otherwise(0).cast("bigint").alias("failed_count"),
             F.coalesce("records_ingested", F.lit(0)).cast("bigint").alias("records"), F.coalesce("bytes_read", F.lit(0)).cast("bigint").alias("bytes"),
         )
@@ -433,10 +477,10 @@ class StateStore:
         Each pass adds its own folder, ``pass=<token>``, to the archive. Of a file that several runs have loaded the version stays, so its
         outdated rows stay hidden.
         """
-        moved = f"{archive.rstrip('/')}/pass={uuid.uuid4().hex}"
+        moved, as_of = f"{archive.rstrip('/')}/pass={uuid.uuid4().hex}", settled(self.spark, as_of)
 
         def split(merged: DataFrame) -> DataFrame:
-            # Base and archive are written by one job, so a row is in one of them.
+            # The moment is the same in all jobs, so a row is in the base or in the archive.
             here, gone = F.struct("b", "status"), F.struct((-1 - F.col("b")).alias("b"), "status")
             hidden = F.struct("b", F.lit(CLEARED).alias("status"))
             places = F.when((F.col("status") == CLEARED) | ~F.col("archived"), F.array(here)).when(F.col("loads") > 1, F.array(gone, hidden)).otherwise(F.array(gone))
