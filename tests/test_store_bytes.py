@@ -59,6 +59,30 @@ def test_later_passes_rewrite_buckets_without_dealing_rows(spark, tmp_path, monk
     assert [r.file_path for r in store.file("ing", "f33").collect()] == ["f33"]
 
 
+@pytest.mark.parametrize("most", [0, 10_000])
+def test_rows_that_leave_are_not_dealt(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(state_store, "COUNTED_BYTES", 0)
+    monkeypatch.setattr(state_store, "SHARED_HASHES", most)
+    store, dealt = aged(spark, tmp_path / "s"), []
+    deal = StateStore._dealt
+    monkeypatch.setattr(StateStore, "_dealt", lambda self, table, rows, *a: dealt.append(rows.count()) or deal(self, table, rows, *a))
+    archive = f"file:{tmp_path}/archive"
+    assert store.retire(archive, T0 + timedelta(days=50), 20) == 30
+    # Of 52 events 20 are of files with two; of the others 21 leave.
+    assert dealt == [31 if most else 52]
+    one = [("f%02d" % d, "two" if d < 10 else "one", SUCCESS) for d in range(40) if d != 5]
+    old = spark.read.parquet(archive).drop("pass")
+    assert old.columns == LEDGER_SCHEMA.names and paths(old) == sorted([x for x in one if x[0] < "f30"] + [("", "one", FAILED)])
+    assert paths(store.state()) == sorted([x for x in one if x[0] >= "f30"] + [("timeless", "two", FAILED)])
+    assert sorted(r.file_path for r in store.versions().collect()) == [f"f{d:02d}" for d in range(10) if d != 5]
+    # A later event of a file in the archive, and one of a file that stays: base and deltas are counted together.
+    late = file_rows(spark, ("f00", "three", 900, 3, FAILED), ("f11", "three", 5, 1, FAILED), ("f30", "three", 24 * 29 + 1, 0, FAILED), ("f31", "three", 24 * 49, 2, FAILED))
+    store.append("ledger", "ing", "three", "done", late)
+    assert store.retire(archive, T0 + timedelta(days=50), 15) == 5
+    assert paths(store.state()) == sorted([x for x in one if x[0] >= "f35"] + [("timeless", "two", FAILED), ("f00", "three", FAILED), ("f31", "three", FAILED)])
+    assert sorted(map(tuple, store.rolled("day").collect())) == sorted(map(tuple, rollup(store.state(), "day").collect()))
+
+
 def test_all_rows_may_leave_the_base(spark, tmp_path):
     store = StateStore(spark, f"file:{tmp_path}/s", fold_after=None)
     store.append("ledger", "ing", "one", "done", file_rows(spark, *[(f"f{d}", "one", d, 1, SUCCESS) for d in range(20)]))

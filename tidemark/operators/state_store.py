@@ -54,7 +54,8 @@ VERSION = T.StructType([
 BUCKET_ROWS = 2_000_000
 # Share of the base's bytes from which on deltas are ranked with the whole base in place of looking their files up in it.
 DELTA_SHARE = 1 / 8
-# Bytes of base and deltas from which on their keys' hashes are counted first, and only rows that share one are ranked.
+# Bytes of base and deltas from which on their keys' hashes are counted first, and only rows that share one are ranked with
+# others; in a pass the others that leave go to the archive at once.
 COUNTED_BYTES = 32 << 20
 # Hashes that a task may hold for that; with more of them all rows are ranked.
 SHARED_HASHES = 2_000_000
@@ -220,7 +221,7 @@ class StateStore:
     def _fold(self, table: str, split=None, moved: str | None = None) -> bool:
         """``split`` gives merged rows that leave the base a negative bucket; they go to ``moved``, and all buckets are rewritten.
 
-        It must give the same for the same rows whenever it is asked.
+        It must give the same for the same rows whenever it is asked, and rows that stay must stay when it is asked again.
         """
         number, old = self.pointer(table)
         folders = self._foldable(table)
@@ -254,6 +255,8 @@ class StateStore:
                 # Stored first, so Spark knows how few ended runs are and need not shuffle the events to meet them.
                 delta = self._versions(delta, materialize(self.ended().select("run_id").distinct(), "ended"))
             rows = delta if mine is None else mine.unionByName(delta)
+            if split is not None and folder_bytes(self.spark, *folders, *self._held_folders(table, old["held"])) >= COUNTED_BYTES:
+                rows = self._parted(table, rows, split, moved)
             # The only shuffle: rows are dealt by ranges of bucket and key, merged where they are and written in that order.
             merged = self._merged(table, self._dealt(table, rows, size), "b")
             self._write_base(table, merged if split is None else split(merged), target)
@@ -278,6 +281,22 @@ class StateStore:
         self._clean(table, number, old, now)
         return True
 
+    def _shared(self, hashes: DataFrame) -> DataFrame | None:
+        """Of a column ``_hash`` the values that come more than once, small enough to be held by each task; None if there are too many."""
+        times = hashes.repartition("_hash").groupBy("_hash").count()
+        shared = materialize(times.filter("count > 1").select("_hash"), "shared")
+        return F.broadcast(shared) if shared.count() <= SHARED_HASHES else None
+
+    def _parted(self, table: str, rows: DataFrame, split, moved: str) -> DataFrame:
+        """What is left to be merged once the rows that leave, and that no other could be merged with, are in ``moved``."""
+        hashed = rows.withColumn("_hash", F.xxhash64(*self.KEYS[table]))
+        shared = self._shared(hashed.select("_hash"))
+        if shared is None:
+            return rows
+        only = split(hashed.join(shared, "_hash", "left_anti").drop("_hash"))
+        only.filter("b < 0").select(*self.TABLES[table].names).write.option("compression", CODEC).parquet(moved)
+        return only.filter("b >= 0").unionByName(hashed.join(shared, "_hash", "left_semi").drop("_hash"))
+
     def _dealt(self, table: str, rows: DataFrame, size: int) -> DataFrame:
         """Rows by ranges of bucket and key, in so many tasks that each can sort its rows in memory."""
         by, tasks = ("b", *self.KEYS[table]), -(-size // TASK_ROWS)
@@ -295,7 +314,7 @@ class StateStore:
         folder = f"{self.root}/base/{table}/g={token}"
         left = [f"{folder}/{name}" for name in self._names(folder) if name.startswith("b=-")]
         out = self.spark.read.schema(self.TABLES[table]).parquet(*left) if left else self.spark.createDataFrame([], self.TABLES[table])
-        out.write.option("compression", CODEC).parquet(moved)
+        out.write.mode("append").option("compression", CODEC).parquet(moved)
         for path in left:
             delete_path(self.spark, path)
 
@@ -357,12 +376,11 @@ class StateStore:
         base = base.withColumn("_alone", nameless)
         if counted:
             rows = base.unionByName(delta.withColumn("_alone", F.lit(False))).withColumn("_hash", F.xxhash64(*keys))
-            times = rows.select("_hash").repartition("_hash").groupBy("_hash").count()
-            shared = materialize(times.filter("count > 1").select("_hash"), "shared")
-            if shared.count() <= SHARED_HASHES:
+            shared = self._shared(rows.select("_hash"))
+            if shared is not None:
                 # A row whose hash no other has is its file's only one. Those that share one may still be of several files.
-                only = rows.join(F.broadcast(shared), "_hash", "left_anti").drop("_hash", "_alone").filter(F.col("status") != CLEARED)
-                several = rows.join(F.broadcast(shared), "_hash", "left_semi").drop("_hash")
+                only = rows.join(shared, "_hash", "left_anti").drop("_hash", "_alone").filter(F.col("status") != CLEARED)
+                several = rows.join(shared, "_hash", "left_semi").drop("_hash")
                 return only.unionByName(current_state(several, keys=keys, order=ORDER).drop("_alone"))
         newest = first_per_key(delta, KEY, ORDER).withColumn("_alone", F.lit(False))
         return current_state(base.repartition(*KEY).unionByName(newest), keys=keys, order=ORDER).drop("_alone")
